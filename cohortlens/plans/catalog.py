@@ -15,8 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
+from cohortlens.functions import scalars as S
+from cohortlens.operators import aggregates as A
+from cohortlens.operators import cleaning as CL
+from cohortlens.operators import quality as Q
 from cohortlens.operators import temporal as G
-from cohortlens.plans.panel import LEVEL_PANEL_SQL, level_panel
+from cohortlens.plans.panel import (LEVEL_PANEL_SQL, LEVEL_SQL, NAMED_PANEL_SQL, PANEL_SQL, REQUEST_SQL,
+                                    level_panel, named_panel, orders_panel, request_view)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,6 +157,255 @@ def q_target(spark, sf):
     return G.drop_target(level_panel(spark, sf)).select("RA", "ano", K.TARGET_COL)
 
 
+# ============================================================ 2. scalar functions
+
+
+@register("extract_level", f"""WITH {PANEL_SQL}
+SELECT RA, ano, PEDRA_RAW, {LEVEL_SQL} AS PEDRA FROM panel""")
+def q_extract_level(spark, sf):
+    return orders_panel(spark, sf).select("RA", "ano", "PEDRA_RAW", S.extract_level("PEDRA_RAW").alias("PEDRA"))
+
+
+@register("encode_level", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, PEDRA, PEDRA_CODIGO FROM panel_lvl""")
+def q_encode_level(spark, sf):
+    return level_panel(spark, sf).select("RA", "ano", "PEDRA", "PEDRA_CODIGO")
+
+
+def _numeric_text(df):
+    txt = F.replace(F.col("INDE").cast("string"), F.lit("."), F.lit(","))
+    junk = (F.col("RA") + F.col("ano")) % 7
+    return df.withColumn("INDE_TXT", F.when(junk == 0, F.lit("abc")).when(junk == 1, F.concat(F.lit(" "), txt, F.lit(" ")))
+                         .otherwise(txt))
+
+
+@register("clean_numeric", f"""WITH {PANEL_SQL},
+t AS (SELECT RA, ano, CASE WHEN (RA + ano) % 7 = 0 THEN 'abc'
+                           WHEN (RA + ano) % 7 = 1 THEN ' ' || replace(CAST(INDE AS VARCHAR), '.', ',') || ' '
+                           ELSE replace(CAST(INDE AS VARCHAR), '.', ',') END AS INDE_TXT FROM panel)
+SELECT RA, ano, TRY_CAST(replace(trim(INDE_TXT), ',', '.') AS DOUBLE) AS INDE FROM t""")
+def q_clean_numeric(spark, sf):
+    return _numeric_text(orders_panel(spark, sf)).select("RA", "ano", S.clean_numeric("INDE_TXT").alias("INDE"))
+
+
+def _impute_query(strategy):
+    def q(spark, sf):
+        out = CL.impute(level_panel(spark, sf), strategy, exclude=("RA", "ano"))
+        return out.select("RA", "ano", r9("IPS").alias("IPS"), r9("PEDRA_CODIGO").alias("PEDRA_CODIGO"), "PEDRA")
+    return q
+
+
+def _impute_sql(fill_ips: str, fill_code: str) -> str:
+    return f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, round(coalesce(IPS, ({fill_ips})), 9) AS IPS,
+       round(coalesce(PEDRA_CODIGO, ({fill_code})), 9) AS PEDRA_CODIGO,
+       coalesce(PEDRA, '{K.UNKNOWN_TEXT}') AS PEDRA
+FROM panel_lvl"""
+
+
+def _mode_sql(c: str) -> str:
+    return (f"SELECT x FROM (SELECT {c} AS x, count(*) AS n FROM panel_lvl WHERE {c} IS NOT NULL GROUP BY 1) "
+            f"ORDER BY n DESC, x ASC LIMIT 1")
+
+
+register("impute_mean", _impute_sql("SELECT avg(IPS) FROM panel_lvl", "SELECT avg(PEDRA_CODIGO) FROM panel_lvl"))(
+    _impute_query("mean"))
+register("impute_median", _impute_sql("SELECT median(IPS) FROM panel_lvl",
+                                      "SELECT median(PEDRA_CODIGO) FROM panel_lvl"))(_impute_query("median"))
+register("impute_zero", _impute_sql("0.0", "0.0"))(_impute_query("zero"))
+register("impute_mode", _impute_sql(_mode_sql("IPS"), _mode_sql("PEDRA_CODIGO")))(_impute_query("mode"))
+
+
+@register("risk_tier", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, IAA / 10 AS p,
+       CASE WHEN IAA / 10 >= {K.RISK_THRESHOLD_HIGH} THEN 'ALTO' WHEN IAA / 10 >= {K.RISK_THRESHOLD_MEDIUM} THEN 'MEDIO'
+            WHEN IAA IS NOT NULL THEN 'BAIXO' END AS risco_classe
+FROM panel_lvl""")
+def q_risk_tier(spark, sf):
+    p = level_panel(spark, sf).select("RA", "ano", (F.col("IAA") / 10).alias("p"))
+    return p.withColumn("risco_classe", S.risk_tier("p"))
+
+
+@register("trend_label", f"""{TEMPORAL_SQL}
+SELECT RA, ano, CASE WHEN coalesce(tendencia_INDE, 0) > {K.TREND_THRESHOLD} THEN 'crescendo'
+                     WHEN coalesce(tendencia_INDE, 0) < -{K.TREND_THRESHOLD} THEN 'decrescendo'
+                     ELSE 'estável' END AS tendencia
+FROM t""")
+def q_trend_label(spark, sf):
+    return temporal_panel(spark, sf).select("RA", "ano", S.trend_label("tendencia_INDE").alias("tendencia"))
+
+
+_M = K.FEATURE_MEDIANS
+COLD_START_SQL = f"""WITH {REQUEST_SQL}
+SELECT aluno_id, ano, inde AS INDE, coalesce(ieg, {_M['IEG']}) AS IEG, coalesce(ida, {_M['IDA']}) AS IDA,
+       coalesce(ips, {_M['IPS']}) AS IPS, coalesce(iaa, {_M['IAA']}) AS IAA,
+       coalesce(inde - inde_anterior, 0.0) AS delta_INDE, coalesce(ieg - ieg_anterior, 0.0) AS delta_IEG,
+       coalesce(ida - ida_anterior, 0.0) AS delta_IDA, CAST(coalesce(anos_no_programa, 1) AS DOUBLE) AS anos_no_programa,
+       round(coalesce(tendencia_inde, 0.0), 9) AS tendencia_INDE, 0.0 AS pedras_mudadas_total
+FROM req"""
+
+
+@register("cold_start", COLD_START_SQL)
+def q_cold_start(spark, sf):
+    f = CL.risk_request_features(request_view(spark, sf))
+    return f.select("aluno_id", "ano", *[r9(c).alias(c) if c == "tendencia_INDE" else c for c in K.RISK_FEATURES])
+
+
+@register("request_deltas", f"""WITH {REQUEST_SQL}
+SELECT aluno_id, ano, coalesce(inde - inde_anterior, 0.0) AS delta_INDE,
+       coalesce(ieg - ieg_anterior, 0.0) AS delta_IEG, coalesce(ida - ida_anterior, 0.0) AS delta_IDA
+FROM req""")
+def q_request_deltas(spark, sf):
+    return CL.request_deltas(request_view(spark, sf))
+
+
+def _validate_sql() -> str:
+    rng = lambda c: f"CASE WHEN NOT ({c} BETWEEN 0.0 AND 10.0) THEN '{c}:intervalo' END"
+    names = ", ".join(f"'{n}'" for n in K.LEVEL_NAMES)
+    parts = ["CASE WHEN aluno_id IS NULL OR length(aluno_id) < 1 THEN 'aluno_id:obrigatorio' END",
+             "CASE WHEN ano IS NULL THEN 'ano:obrigatorio' END",
+             "CASE WHEN NOT (ano BETWEEN 2020 AND 2030) THEN 'ano:intervalo' END",
+             "CASE WHEN inde IS NULL THEN 'inde:obrigatorio' END", rng("inde")]
+    parts += [rng(c) for c in ("ieg", "ida", "ips", "iaa", "ian", "inde_anterior", "ieg_anterior", "ida_anterior")]
+    parts += ["CASE WHEN anos_no_programa < 1 THEN 'anos_no_programa:minimo' END",
+              f"CASE WHEN NOT (pedra IN ({names})) THEN 'pedra:dominio' END"]
+    return f"""WITH {REQUEST_SQL},
+v AS (SELECT aluno_id, ano, concat_ws(';', {', '.join(parts)}) AS erros FROM req)
+SELECT aluno_id, ano, erros, erros = '' AS valido FROM v"""
+
+
+@register("validate_rows", _validate_sql())
+def q_validate(spark, sf):
+    v = Q.validate(request_view(spark, sf))
+    return v.select("aluno_id", "ano", F.array_join("erros", ";").alias("erros"), "valido")
+
+
+# ============================================================ 4. dashboard / quality aggregates
+
+LATEST_COLS = ["INDE", "IPS", "IEG", "PEDRA", "PEDRA_CODIGO"]
+
+
+@register("latest_nonnull", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, max(ano) AS ano, {", ".join(f"arg_max({c}, ano) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in LATEST_COLS)}
+FROM panel_lvl GROUP BY RA""")
+def q_latest_nonnull(spark, sf):
+    return A.latest_nonnull(level_panel(spark, sf).select("RA", "ano", *LATEST_COLS))
+
+
+@register("latest_row", f"""WITH {LEVEL_PANEL_SQL}
+SELECT * FROM panel_lvl QUALIFY row_number() OVER (PARTITION BY RA ORDER BY ano DESC) = 1""")
+def q_latest_row(spark, sf):
+    return A.latest_row(level_panel(spark, sf))
+
+
+@register("level_distribution", f"""WITH {LEVEL_PANEL_SQL},
+l AS (SELECT RA, arg_max(PEDRA, ano) FILTER (WHERE PEDRA IS NOT NULL) AS PEDRA FROM panel_lvl GROUP BY RA)
+SELECT PEDRA, count(*) AS n FROM l WHERE PEDRA IS NOT NULL GROUP BY PEDRA""")
+def q_level_distribution(spark, sf):
+    latest = A.latest_nonnull(level_panel(spark, sf).select("RA", "ano", "PEDRA"))
+    return A.value_distribution(latest, "PEDRA")
+
+
+@register("index_by_year", f"""WITH {LEVEL_PANEL_SQL}
+SELECT ano, round(avg(INDE), 2) AS inde_medio FROM panel_lvl WHERE INDE IS NOT NULL GROUP BY ano""")
+def q_index_by_year(spark, sf):
+    return A.mean_by_period(level_panel(spark, sf), "INDE")
+
+
+@register("dashboard_kpis", f"""WITH {LEVEL_PANEL_SQL},
+l AS (SELECT RA, arg_max(INDE, ano) FILTER (WHERE INDE IS NOT NULL) AS INDE FROM panel_lvl GROUP BY RA)
+SELECT (SELECT count(*) FROM l) AS total_alunos, (SELECT round(avg(INDE), 2) FROM l) AS inde_medio,
+       (SELECT string_agg(CAST(ano AS VARCHAR), ',' ORDER BY CAST(ano AS VARCHAR))
+          FROM (SELECT DISTINCT ano FROM panel_lvl)) AS anos_disponiveis,
+       (SELECT count(DISTINCT ano) FROM panel_lvl) AS n_anos""")
+def q_dashboard(spark, sf):
+    return A.dashboard_kpis(level_panel(spark, sf))
+
+
+def _temporal_all_cols() -> list[str]:
+    return ["RA", "ano", "INDE", "IDA", "IPS", "IEG", "IAA", "IAN", "PEDRA", "PEDRA_CODIGO", "delta_INDE",
+            "delta_IEG", "delta_IDA", "tendencia_INDE", "anos_no_programa", "pedras_mudadas", "ingressante",
+            *[f"{f}_{s}_hist" for f in G.HIST_FEATURES for s in ("media", "min", "max")],
+            "pedras_mudadas_total"]
+
+
+@register("quality_summary", f"""{TEMPORAL_SQL},
+g AS (SELECT count(*) AS n, {" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _temporal_all_cols())} AS nn
+      FROM t GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS total_registros, {len(_temporal_all_cols())} AS n_colunas,
+       CAST(sum(n - 1) AS BIGINT) AS n_duplicados,
+       round(sum(n * nn) / (sum(n) * {len(_temporal_all_cols())}), 4) AS missing_rate
+FROM (SELECT {", ".join(_temporal_all_cols())}, count(*) AS n,
+             {" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _temporal_all_cols())} AS nn
+      FROM t GROUP BY {", ".join(_temporal_all_cols())})""")
+def q_quality(spark, sf):
+    return Q.quality_summary(temporal_panel(spark, sf).select(*_temporal_all_cols()))
+
+
+def _feature_stats_sql() -> str:
+    feats = [f for f in K.QUALITY_FEATURES if f in ("INDE", "IEG", "IDA", "IPS", "IAA", "IAN")]
+    unions = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM panel_lvl" for f in feats)
+    return f"""WITH {LEVEL_PANEL_SQL}, l AS ({unions})
+SELECT feature, coalesce(round(avg(x), 2), 0.0) AS mean, coalesce(round(stddev_samp(x), 2), 0.0) AS std,
+       coalesce(round(min(x), 2), 0.0) AS min, coalesce(round(max(x), 2), 0.0) AS max,
+       round(avg(CAST(x IS NULL AS DOUBLE)), 4) AS missing_pct, count(DISTINCT x) AS n_unique
+FROM l GROUP BY feature"""
+
+
+@register("feature_stats", _feature_stats_sql())
+def q_feature_stats(spark, sf):
+    return Q.feature_stats(level_panel(spark, sf))
+
+
+@register("rows_per_year", f"""WITH {LEVEL_PANEL_SQL}
+SELECT ano, count(*) AS n_registros FROM panel_lvl GROUP BY ano""")
+def q_rows_per_year(spark, sf):
+    return Q.rows_per_period(level_panel(spark, sf))
+
+
+@register("name_propagation", f"""WITH {NAMED_PANEL_SQL}
+SELECT RA, ano, first(NOME IGNORE NULLS) OVER (PARTITION BY RA ORDER BY ano
+         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS NOME
+FROM panel_named""")
+def q_name_propagation(spark, sf):
+    return A.propagate_first_name(named_panel(spark, sf)).select("RA", "ano", "NOME")
+
+
+LISTING_OUT = ["ra", "nome", "ano", "inde", "ieg", "ida", "ips", "iaa", "ian", "pedra", "tendencia_inde",
+               "pedras_mudadas_total", "anos_no_programa", "delta_inde", "delta_ieg", "delta_ida"]
+
+
+def entity_listing(spark: SparkSession, sf: str, year: int | None = None) -> DataFrame:
+    """Features -> optional period filter -> first-name propagation ->
+    projection -> NaN/Inf-safe 2-decimal rounding -> name, period order."""
+    df = G.temporal_features(named_panel(spark, sf))
+    df = A.propagate_first_name(df)
+    if year:
+        df = df.where(F.col("ano") == year)
+    from cohortlens.operators.schema import listing_projection
+    return A.listing_order(A.round_records(listing_projection(df)))
+
+
+@register("entity_listing", f"""WITH {NAMED_PANEL_SQL},
+f AS (
+  SELECT *, first(NOME IGNORE NULLS) OVER (PARTITION BY RA ORDER BY ano
+              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS NOME1,
+         INDE - lag(INDE) OVER w AS delta_INDE, IEG - lag(IEG) OVER w AS delta_IEG,
+         IDA - lag(IDA) OVER w AS delta_IDA, {TREND_SQL} AS tendencia_INDE,
+         CAST(row_number() OVER w AS INTEGER) AS anos_no_programa,
+         {LEVEL_CHANGE_SQL} AS pedras_mudadas
+  FROM panel_named {W_SQL}),
+t AS (SELECT *, sum(pedras_mudadas) OVER wr AS pedras_mudadas_total FROM f {W_SQL})
+SELECT RA AS ra, NOME1 AS nome, ano, round(INDE, 2) AS inde, round(IEG, 2) AS ieg, round(IDA, 2) AS ida,
+       round(IPS, 2) AS ips, round(IAA, 2) AS iaa, round(IAN, 2) AS ian, PEDRA AS pedra,
+       round(tendencia_INDE, 2) + 0.0 AS tendencia_inde, round(pedras_mudadas_total, 2) AS pedras_mudadas_total,
+       anos_no_programa, round(delta_INDE, 2) + 0.0 AS delta_inde, round(delta_IEG, 2) + 0.0 AS delta_ieg,
+       round(delta_IDA, 2) + 0.0 AS delta_ida
+FROM t""")
+def q_entity_listing(spark, sf):
+    return entity_listing(spark, sf).select(*LISTING_OUT)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))

@@ -134,3 +134,58 @@ def level_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secondary panel: raw events, entity ``user_id``, ordered by ``ts`` then ``event_id``."""
     return read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
+# Scoring requests: the 1995-2001 order years are moved into the scoring
+# calendar accepted by validation (2020-2030).
+REQUEST_YEAR_OFFSET = 26
+
+
+def request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests, one per panel row: current and previous indicators,
+    years so far, trend and the raw level text (deltas are not supplied)."""
+    from pyspark.sql import Window
+    p = orders_panel(spark, sf_dir)
+    w = Window.partitionBy("RA").orderBy("ano")
+    wa = Window.partitionBy("RA")
+    return p.select(
+        F.col("RA").cast("string").alias("aluno_id"),
+        (F.col("ano") + REQUEST_YEAR_OFFSET).alias("ano"),
+        F.col("INDE").alias("inde"), F.col("IEG").alias("ieg"), F.col("IDA").alias("ida"),
+        F.col("IPS").alias("ips"), F.col("IAA").alias("iaa"), F.col("IAN").alias("ian"),
+        F.lag("INDE").over(w).alias("inde_anterior"), F.lag("IEG").over(w).alias("ieg_anterior"),
+        F.lag("IDA").over(w).alias("ida_anterior"),
+        F.row_number().over(w).alias("anos_no_programa"),
+        F.coalesce(F.regr_slope(F.col("INDE"), F.col("ano").cast("double")).over(wa), F.lit(0.0))
+        .alias("tendencia_inde"),
+        F.col("PEDRA_RAW").alias("pedra"),
+    )
+
+
+REQUEST_SQL = PANEL_SQL + f""",
+req AS (
+  SELECT CAST(RA AS VARCHAR) AS aluno_id, ano + {REQUEST_YEAR_OFFSET} AS ano,
+         INDE AS inde, IEG AS ieg, IDA AS ida, IPS AS ips, IAA AS iaa, IAN AS ian,
+         lag(INDE) OVER w AS inde_anterior, lag(IEG) OVER w AS ieg_anterior,
+         lag(IDA) OVER w AS ida_anterior, CAST(row_number() OVER w AS INTEGER) AS anos_no_programa,
+         CASE WHEN count(INDE) OVER (PARTITION BY RA) < 2 THEN 0.0
+              ELSE coalesce(regr_slope(INDE, CAST(ano AS DOUBLE)) OVER (PARTITION BY RA), 0.0) END
+           AS tendencia_inde,
+         PEDRA_RAW AS pedra
+  FROM panel WINDOW w AS (PARTITION BY RA ORDER BY ano))"""
+
+
+def named_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level panel with a name column that is only filled in some years
+    (customer name when (RA + ano) % 3 = 0), like a name recorded in one
+    yearly file only.  Equi-join on the id: its hash partitioning on RA is
+    reused by every later window on RA."""
+    cust = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("RA"), "c_name")
+    p = level_panel(spark, sf_dir).join(cust, "RA", "left")
+    return p.withColumn("NOME", F.when((F.col("RA") + F.col("ano")) % 3 == 0, F.col("c_name"))).drop("c_name")
+
+
+NAMED_PANEL_SQL = LEVEL_PANEL_SQL + """,
+panel_named AS (
+  SELECT p.*, CASE WHEN (p.RA + p.ano) % 3 = 0 THEN c.c_name END AS NOME
+  FROM panel_lvl p LEFT JOIN customer c ON c.c_custkey = p.RA)"""
