@@ -18,6 +18,7 @@ from cohortlens import constants as K
 from cohortlens.functions import scalars as S
 from cohortlens.operators import aggregates as A
 from cohortlens.operators import cleaning as CL
+from cohortlens.operators import drift as D
 from cohortlens.operators import quality as Q
 from cohortlens.operators import temporal as G
 from cohortlens.plans.panel import (LEVEL_PANEL_SQL, LEVEL_SQL, NAMED_PANEL_SQL, PANEL_SQL, REQUEST_SQL,
@@ -406,6 +407,152 @@ def q_entity_listing(spark, sf):
     return entity_listing(spark, sf).select(*LISTING_OUT)
 
 
+# ============================================================ 5. drift
+
+
+def _drift_long_sql(features, source="panel_lvl", last_only=False, complete=False) -> str:
+    cc = " AND ".join(f"{f} IS NOT NULL" for f in features) if complete else "TRUE"
+    last = " AND ano = (SELECT last FROM yrs)" if last_only else ""
+    unions = " UNION ALL ".join(f"SELECT cmp, '{f}' AS feature, per, CAST({f} AS DOUBLE) AS x FROM lg"
+                                for f in features)
+    return f"""
+yrs AS (SELECT min(ano) AS ref, max(ano) AS last FROM {source}),
+curs AS (SELECT DISTINCT ano AS cur FROM {source} WHERE ano > (SELECT ref FROM yrs){last}),
+src AS (SELECT * FROM {source} WHERE {cc}),
+lg AS (
+  SELECT CAST(y.ref AS VARCHAR) || '_vs_' || CAST(c.cur AS VARCHAR) AS cmp, 0 AS per, s.*
+    FROM src s, yrs y, curs c WHERE s.ano = y.ref
+  UNION ALL
+  SELECT CAST(y.ref AS VARCHAR) || '_vs_' || CAST(s.ano AS VARCHAR) AS cmp, 1 AS per, s.*
+    FROM src s, yrs y WHERE s.ano IN (SELECT cur FROM curs)),
+lf0 AS ({unions}),
+lf AS (SELECT * FROM lf0 WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))"""
+
+
+def _drift_table_sql(stattest: str) -> str:
+    score = D.score_sql().replace("{t}", "stattest")
+    detected = D.detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")
+    p, q = "(CAST(a AS DOUBLE) / n_ref)", "(CAST(b AS DOUBLE) / n_cur)"
+    m = f"(({p} + {q}) / 2)"
+    k = "(CAST(n_cur AS DOUBLE) / n_ref)"
+    return f""",
+counts AS (SELECT cmp, feature, x, count(*) FILTER (WHERE per = 0) AS a, count(*) FILTER (WHERE per = 1) AS b
+           FROM lf GROUP BY cmp, feature, x),
+sizes AS (SELECT cmp, feature, CAST(sum(a) AS BIGINT) AS n_ref, CAST(sum(b) AS BIGINT) AS n_cur,
+                 count(*) AS n_values, first(x ORDER BY a DESC, x ASC) AS mode_ref
+          FROM counts GROUP BY cmp, feature),
+run AS (SELECT c.*, s.n_ref, s.n_cur, s.n_values, s.mode_ref,
+               sum(c.a) OVER (PARTITION BY c.cmp, c.feature ORDER BY c.x
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_a,
+               sum(c.b) OVER (PARTITION BY c.cmp, c.feature ORDER BY c.x
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_b,
+               lead(c.x) OVER (PARTITION BY c.cmp, c.feature ORDER BY c.x) AS x_next
+        FROM counts c JOIN sizes s ON c.cmp = s.cmp AND c.feature = s.feature),
+stats AS (SELECT cmp, feature, n_ref, n_cur, n_values,
+                 max(abs(CAST(cum_a AS DOUBLE) / n_ref - CAST(cum_b AS DOUBLE) / n_cur)) AS ks_d,
+                 sum(abs(CAST(cum_a AS DOUBLE) / n_ref - CAST(cum_b AS DOUBLE) / n_cur)
+                     * coalesce(x_next - x, 0.0)) AS w1,
+                 sum(CASE WHEN a > 0 THEN pow(b - a * {k}, 2) / (a * {k}) ELSE 0.0 END) AS chi_stat,
+                 count(*) FILTER (WHERE a = 0 AND b > 0) AS chi_inf,
+                 sum(CASE WHEN {p} > 0 THEN {p} * ln({p} / {m}) ELSE 0.0 END) AS kl_p,
+                 sum(CASE WHEN {q} > 0 THEN {q} * ln({q} / {m}) ELSE 0.0 END) AS kl_q,
+                 sum(CASE WHEN x = mode_ref THEN a ELSE 0 END) AS a_mode,
+                 sum(CASE WHEN x = mode_ref THEN b ELSE 0 END) AS b_mode
+          FROM run GROUP BY cmp, feature, n_ref, n_cur, n_values),
+moments AS (SELECT cmp, feature, stddev_pop(x) AS ref_std FROM lf WHERE per = 0 GROUP BY cmp, feature),
+fin AS (SELECT s.*, m.ref_std, {D.choose_test_sql(stattest)} AS stattest
+        FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+fin2 AS (SELECT *, {score} AS drift_score FROM fin),
+dt AS (SELECT cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, {detected} AS drift_detected FROM fin2)"""
+
+
+DRIFT_SUMMARY_SQL = """
+SELECT cmp, count(*) AS n_total_features, count(*) FILTER (WHERE drift_detected) AS n_drifted_features,
+       round(CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*), 4) AS drift_share,
+       CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) >= 0.5 AS dataset_drift,
+       CAST(0.5 AS DOUBLE) AS drift_threshold,
+       CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) > 0.5 AS above_threshold
+FROM dt GROUP BY cmp"""
+
+
+def _drift_long(spark, sf, features, last_only=False, complete=False):
+    df = level_panel(spark, sf)
+    ys = D.years_of(df)
+    curs = [ys[-1]] if last_only else ys[1:]
+    return D.long_periods(df, features, ys[0], curs, complete_cases=complete)
+
+
+def _register_drift_table(name, stattest, features, last_only=False, complete=False):
+    sql = f"WITH {LEVEL_PANEL_SQL},{_drift_long_sql(features, last_only=last_only, complete=complete)}" \
+          f"{_drift_table_sql(stattest)}\nSELECT * FROM dt"
+
+    def q(spark, sf):
+        return D.drift_table(_drift_long(spark, sf, features, last_only, complete), stattest)
+    register(name, sql)(q)
+
+
+_register_drift_table("drift_ks", "ks", K.DRIFT_FEATURES)
+_register_drift_table("drift_wasserstein", "wasserstein", K.DRIFT_FEATURES)
+_register_drift_table("drift_chisquare", "chisquare", ["IEG"])
+_register_drift_table("drift_jensenshannon", "jensenshannon", ["IEG", "IAA"])
+_register_drift_table("drift_ztest", "z", K.DRIFT_FEATURES)
+_register_drift_table("drift_auto", "auto", K.DRIFT_FEATURES)
+
+
+@register("drift_summary", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True, complete=True)}{_drift_table_sql('auto')}"
+          f"{DRIFT_SUMMARY_SQL}")
+def q_drift_summary(spark, sf):
+    """K2 on first vs last period, complete cases (the text-analysis path)."""
+    return D.drift_summary(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, True, True)))
+
+
+@register("drift_all_years", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES)}{_drift_table_sql('auto')}{DRIFT_SUMMARY_SQL}")
+def q_drift_all_years(spark, sf):
+    """First period against every later one."""
+    return D.drift_summary(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES)))
+
+
+@register("drift_histogram", f"""WITH {LEVEL_PANEL_SQL},{_drift_long_sql(K.DRIFT_FEATURES, last_only=True)},
+rng AS (SELECT cmp, feature, min(x) AS lo, max(x) AS hi FROM lf GROUP BY cmp, feature),
+b AS (SELECT l.cmp, l.feature, l.per, r.lo, r.hi,
+             CAST(CASE WHEN r.hi = r.lo THEN 0 ELSE least(floor((l.x - r.lo) / ((r.hi - r.lo) / 10)), 9) END
+                  AS INTEGER) AS bin
+      FROM lf l JOIN rng r ON l.cmp = r.cmp AND l.feature = r.feature)
+SELECT cmp, feature, bin, lo, hi, count(*) FILTER (WHERE per = 0) AS n_ref, count(*) FILTER (WHERE per = 1) AS n_cur
+FROM b GROUP BY cmp, feature, bin, lo, hi""")
+def q_drift_histogram(spark, sf):
+    return D.histogram(_drift_long(spark, sf, K.DRIFT_FEATURES, last_only=True), bins=10)
+
+
+@register("period_stats", f"""WITH {LEVEL_PANEL_SQL},
+yrs AS (SELECT min(ano) AS ref, max(ano) AS last FROM panel_lvl),
+src AS (SELECT * FROM panel_lvl, yrs WHERE ano IN (ref, last) AND {" AND ".join(f"{f} IS NOT NULL" for f in K.DRIFT_FEATURES)}),
+l AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, ano, ref, last, CAST({f} AS DOUBLE) AS x FROM src" for f in K.DRIFT_FEATURES)})
+SELECT feature, round(avg(x) FILTER (WHERE ano = ref), 2) AS ref_mean,
+       round(stddev_samp(x) FILTER (WHERE ano = ref), 2) AS ref_std,
+       round(avg(x) FILTER (WHERE ano = last), 2) AS cur_mean,
+       round(stddev_samp(x) FILTER (WHERE ano = last), 2) AS cur_std,
+       count(*) FILTER (WHERE ano = ref) AS ref_count, count(*) FILTER (WHERE ano = last) AS cur_count
+FROM l GROUP BY feature""")
+def q_period_stats(spark, sf):
+    df = level_panel(spark, sf)
+    ys = D.years_of(df)
+    return A.two_period_stats(df, K.DRIFT_FEATURES, ys[0], ys[-1])
+
+
+@register("drift_text", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True, complete=True)}{_drift_table_sql('auto')}" + """
+SELECT cmp, string_agg(line, chr(10) ORDER BY line) AS texto
+FROM (SELECT cmp, printf('- %s: %s (score=%.4f, teste=%s)', feature,
+                         CASE WHEN drift_detected THEN 'DRIFT' ELSE 'estável' END, drift_score, stattest) AS line
+      FROM dt)
+GROUP BY cmp""")
+def q_drift_text(spark, sf):
+    return D.drift_lines(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, True, True)))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))
