@@ -39,9 +39,10 @@ BINARY_VALUES = 2
 
 
 # ------------------------------------------------------------- SQL formulas
-def erfc_sql(z: str) -> str:
-    """Complementary error function (Numerical Recipes erfcc), any real z."""
-    t = f"(1.0 / (1.0 + 0.5 * abs({z})))"
+# Each formula reads plain columns produced by an earlier projection, so
+# every generated expression stays small enough for whole-stage codegen.
+def erfc_sql(z: str, t: str) -> str:
+    """erfc(z) (Numerical Recipes erfcc) given ``t = 1 / (1 + 0.5 |z|)``."""
     poly = ("(-1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * "
             "(-0.18628806 + {t} * (0.27886807 + {t} * (-1.13520398 + {t} * (1.48851587 + {t} * "
             "(-0.82215223 + {t} * 0.17087277)))))))))").format(t=t)
@@ -49,27 +50,55 @@ def erfc_sql(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN {pos} ELSE 2.0 - {pos} END)"
 
 
-def ks_pvalue_sql(d: str, n: str, m: str, terms: int = 40) -> str:
-    lam = f"({d} * sqrt(CAST({n} AS DOUBLE) * {m} / ({n} + {m})))"
+def ks_pvalue_sql(lam: str, terms: int = 40) -> str:
+    """Asymptotic Kolmogorov survival at ``lam``: 2 sum (-1)^(k-1) exp(-2 k^2 lam^2)."""
     series = " ".join(f"{'+' if k % 2 else '-'} exp(-2.0 * {k * k} * {lam} * {lam})" for k in range(1, terms + 1))
     return (f"(CASE WHEN {lam} < 0.2 THEN 1.0 "
             f"ELSE least(1.0, greatest(0.0, 2.0 * (0.0 {series}))) END)")
 
 
-def chi2_sf_sql(x: str, dof: str) -> str:
-    """Survival function of chi-square for 1..4 degrees of freedom (NULL above:
-    chi-square is only chosen for <= 5 distinct values)."""
-    h = f"({x} / 2.0)"
+def chi2_sf_sql(h: str, erfc_root: str, dof: str) -> str:
+    """Chi-square survival for 1..4 degrees of freedom from ``h = x / 2`` and
+    ``erfc_root = erfc(sqrt(h))`` (NULL above 4: chi-square is only chosen for
+    <= 5 distinct values)."""
     e = f"exp(-{h})"
     return (f"(CASE WHEN {dof} <= 0 THEN 1.0 "
-            f"WHEN {dof} = 1 THEN {erfc_sql(f'sqrt({h})')} "
+            f"WHEN {dof} = 1 THEN {erfc_root} "
             f"WHEN {dof} = 2 THEN {e} "
-            f"WHEN {dof} = 3 THEN {erfc_sql(f'sqrt({h})')} + 2.0 * sqrt({h} / pi()) * {e} "
+            f"WHEN {dof} = 3 THEN {erfc_root} + 2.0 * sqrt({h} / pi()) * {e} "
             f"WHEN {dof} = 4 THEN {e} * (1.0 + {h}) END)")
 
 
-def z_pvalue_sql(z: str) -> str:
-    return f"(CASE WHEN {z} IS NULL THEN 1.0 ELSE {erfc_sql(f'abs({z}) / sqrt(2.0)')} END)"
+# Staged projections shared by Spark and the SQL oracle: (name, expression).
+STAGE1 = [
+    ("lam", "ks_d * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur))"),
+    ("chi_root", "CASE WHEN chi_stat >= 0 THEN sqrt(chi_stat / 2.0) END"),
+    ("pool", "CAST(coalesce(a_mode, 0) + coalesce(b_mode, 0) AS DOUBLE) / (n_ref + n_cur)"),
+]
+STAGE2 = [
+    ("chi_t", "1.0 / (1.0 + 0.5 * abs(chi_root))"),
+    ("zstat", "CASE WHEN pool <= 0 OR pool >= 1 THEN NULL ELSE "
+              "(CAST(coalesce(a_mode, 0) AS DOUBLE) / n_ref - CAST(coalesce(b_mode, 0) AS DOUBLE) / n_cur) / "
+              "sqrt(pool * (1.0 - pool) * (1.0 / n_ref + 1.0 / n_cur)) END"),
+]
+STAGE3 = [
+    ("zarg", "abs(zstat) / sqrt(2.0)"),
+    ("erfc_chi", erfc_sql("chi_root", "chi_t")),
+]
+STAGE4 = [("z_t", "1.0 / (1.0 + 0.5 * abs(zarg))")]
+
+
+def score_columns() -> list[tuple[str, str]]:
+    return [
+        ("p_ks", ks_pvalue_sql("lam")),
+        ("d_wasserstein", "w1 / greatest(coalesce(ref_std, 0.0), 0.001)"),
+        ("d_js", "sqrt(greatest(0.5 * kl_p + 0.5 * kl_q, 0.0))"),
+        ("p_chi", f"CASE WHEN chi_inf > 0 THEN 0.0 ELSE {chi2_sf_sql('(chi_stat / 2.0)', 'erfc_chi', 'n_values - 1')} END"),
+        ("p_z", f"CASE WHEN zstat IS NULL THEN 1.0 ELSE {erfc_sql('zarg', 'z_t')} END"),
+    ]
+
+
+STAGES = [STAGE1, STAGE2, STAGE3, STAGE4]
 
 
 # ---------------------------------------------------------------- long form
@@ -124,25 +153,9 @@ def choose_test_sql(stattest: str = "auto") -> str:
             f"ELSE (CASE WHEN n_values <= {FEW_VALUES} THEN 'jensenshannon' ELSE 'wasserstein' END) END")
 
 
-def _raw_score_sql(test: str) -> str:
-    z = ("(CASE WHEN (coalesce(a_mode, 0) + coalesce(b_mode, 0)) IN (0, n_ref + n_cur) THEN NULL ELSE "
-         "(CAST(coalesce(a_mode, 0) AS DOUBLE) / n_ref - CAST(coalesce(b_mode, 0) AS DOUBLE) / n_cur) / "
-         "sqrt((CAST(coalesce(a_mode, 0) + coalesce(b_mode, 0) AS DOUBLE) / (n_ref + n_cur)) * "
-         "(1.0 - CAST(coalesce(a_mode, 0) + coalesce(b_mode, 0) AS DOUBLE) / (n_ref + n_cur)) * "
-         "(1.0 / n_ref + 1.0 / n_cur)) END)")
-    return {
-        "ks": ks_pvalue_sql("ks_d", "n_ref", "n_cur"),
-        "wasserstein": "(w1 / greatest(coalesce(ref_std, 0.0), 0.001))",
-        "jensenshannon": "sqrt(greatest(0.5 * kl_p + 0.5 * kl_q, 0.0))",
-        "chisquare": f"(CASE WHEN chi_inf > 0 THEN 0.0 ELSE {chi2_sf_sql('chi_stat', 'n_values - 1')} END)",
-        "z": z_pvalue_sql(z),
-    }[test]
-
-
-def score_sql(test_col: str = "stattest_v") -> str:
-    parts = " ".join(f"WHEN {{t}} = '{t}' THEN {_raw_score_sql(t)}" for t in
-                     ("ks", "wasserstein", "jensenshannon", "chisquare", "z"))
-    return "round(CASE " + parts + " END, 4)"
+def score_sql() -> str:
+    return ("round(CASE {t} WHEN 'ks' THEN p_ks WHEN 'wasserstein' THEN d_wasserstein "
+            "WHEN 'jensenshannon' THEN d_js WHEN 'chisquare' THEN p_chi WHEN 'z' THEN p_z END, 4)")
 
 
 def detected_sql() -> str:
@@ -151,7 +164,11 @@ def detected_sql() -> str:
 
 
 def _finish(stats: DataFrame, stattest: str) -> DataFrame:
-    t = stats.withColumn("stattest", F.expr(choose_test_sql(stattest)))
+    t = stats
+    for stage in STAGES:
+        t = t.withColumns({n: F.expr(e) for n, e in stage})
+    t = t.withColumns({n: F.expr(e) for n, e in score_columns()})
+    t = t.withColumn("stattest", F.expr(choose_test_sql(stattest)))
     t = t.withColumn("drift_score", F.expr(score_sql().replace("{t}", "stattest")))
     return t.withColumn("drift_detected",
                         F.expr(detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")))

@@ -429,6 +429,12 @@ lf0 AS ({unions}),
 lf AS (SELECT * FROM lf0 WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))"""
 
 
+def _stage_ctes() -> str:
+    stages = [*D.STAGES, D.score_columns()]
+    return ",\n".join(f"f{i + 1} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in st)} FROM f{i})"
+                       for i, st in enumerate(stages))
+
+
 def _drift_table_sql(stattest: str) -> str:
     score = D.score_sql().replace("{t}", "stattest")
     detected = D.detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")
@@ -460,8 +466,9 @@ stats AS (SELECT cmp, feature, n_ref, n_cur, n_values,
                  sum(CASE WHEN x = mode_ref THEN b ELSE 0 END) AS b_mode
           FROM run GROUP BY cmp, feature, n_ref, n_cur, n_values),
 moments AS (SELECT cmp, feature, stddev_pop(x) AS ref_std FROM lf WHERE per = 0 GROUP BY cmp, feature),
-fin AS (SELECT s.*, m.ref_std, {D.choose_test_sql(stattest)} AS stattest
-        FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+f0 AS (SELECT s.*, m.ref_std FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+{_stage_ctes()},
+fin AS (SELECT *, {D.choose_test_sql(stattest)} AS stattest FROM f5),
 fin2 AS (SELECT *, {score} AS drift_score FROM fin),
 dt AS (SELECT cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, {detected} AS drift_detected FROM fin2)"""
 
