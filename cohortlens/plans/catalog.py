@@ -19,6 +19,7 @@ from cohortlens.functions import scalars as S
 from cohortlens.operators import aggregates as A
 from cohortlens.operators import cleaning as CL
 from cohortlens.operators import drift as D
+from cohortlens.operators import metrics as M
 from cohortlens.operators import quality as Q
 from cohortlens.operators import temporal as G
 from cohortlens.plans.panel import (LEVEL_PANEL_SQL, LEVEL_SQL, NAMED_PANEL_SQL, PANEL_SQL, REQUEST_SQL,
@@ -560,6 +561,186 @@ def q_drift_text(spark, sf):
     return D.drift_lines(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, True, True)))
 
 
+# ============================================================ 6. evaluation metrics
+
+TARGET_SQL = TEMPORAL_SQL + f""",
+tt AS (SELECT *, CAST(lead(PEDRA_CODIGO) OVER (PARTITION BY RA ORDER BY ano) < PEDRA_CODIGO AS DOUBLE)
+                   AS {K.TARGET_COL} FROM t)"""
+_CC = " AND ".join(f"{c} IS NOT NULL" for c in [K.TARGET_COL, *K.RISK_FEATURES])
+SPLIT_SQL = TARGET_SQL + f""",
+sp AS (SELECT *, CASE WHEN md5(CAST(RA AS VARCHAR) || '|{M.SPLIT_SEED}') < '{M.TEST_HASH_BOUND}'
+                      THEN 'test' ELSE 'train' END AS split FROM tt WHERE {_CC}),
+scored AS (SELECT RA, ano, CAST({K.TARGET_COL} AS INTEGER) AS label, INDE / 10 AS score,
+                  CAST(INDE / 10 >= 0.5 AS INTEGER) AS prediction FROM sp WHERE split = 'test')"""
+
+
+def target_panel(spark, sf):
+    return G.drop_target(temporal_panel(spark, sf))
+
+
+def baseline_scored(spark, sf) -> DataFrame:
+    """Test-side rows scored by a fixed rule (index / 10, class at 0.5): the
+    metric operators' input when no trained model is involved."""
+    sp = M.group_split(target_panel(spark, sf), K.RISK_FEATURES).where("split = 'test'")
+    return sp.select("RA", "ano", F.col(K.TARGET_COL).cast("int").alias("label"),
+                     (F.col("INDE") / 10).alias("score"),
+                     ((F.col("INDE") / 10) >= 0.5).cast("int").alias("prediction"))
+
+
+@register("group_split", f"{SPLIT_SQL}\nSELECT RA, ano, split FROM sp")
+def q_group_split(spark, sf):
+    return M.group_split(target_panel(spark, sf), K.RISK_FEATURES).select("RA", "ano", "split")
+
+
+@register("confusion", f"{SPLIT_SQL}\nSELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction")
+def q_confusion(spark, sf):
+    return M.confusion(baseline_scored(spark, sf))
+
+
+@register("weighted_metrics", f"""{SPLIT_SQL},
+cf AS (SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction),
+cls AS (SELECT label AS c FROM cf UNION SELECT prediction FROM cf),
+per AS (SELECT c.c,
+          coalesce((SELECT sum(n) FROM cf WHERE label = c.c), 0) AS support,
+          coalesce((SELECT sum(n) FROM cf WHERE prediction = c.c), 0) AS predicted,
+          coalesce((SELECT sum(n) FROM cf WHERE label = c.c AND prediction = c.c), 0) AS tp
+        FROM cls c),
+pr AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS p,
+                 CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS r FROM per),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pr)
+SELECT round(sum(p * support) / sum(support), 9) AS precision, round(sum(r * support) / sum(support), 9) AS recall,
+       round(sum(f1 * support) / sum(support), 9) AS f1,
+       CAST(sum(CASE WHEN c = 1 THEN support ELSE 0 END) AS BIGINT) AS positive,
+       CAST(sum(CASE WHEN c = 0 THEN support ELSE 0 END) AS BIGINT) AS negative
+FROM f""")
+def q_weighted_metrics(spark, sf):
+    m = M.weighted_metrics(M.confusion(baseline_scored(spark, sf)))
+    return m.select(*[r9(c).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("positive").cast("bigint").alias("positive"),
+                    F.col("negative").cast("bigint").alias("negative"))
+
+
+@register("roc_auc", f"""{SPLIT_SQL},
+g AS (SELECT CAST(score AS DOUBLE) AS s, count(*) FILTER (WHERE label = 1) AS pos,
+             count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY 1),
+r AS (SELECT *, sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM g)
+SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                  THEN sum(pos * (cum_neg - neg + neg * 0.5)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END, 9) AS roc_auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+FROM r""")
+def q_roc_auc(spark, sf):
+    a = M.roc_auc(baseline_scored(spark, sf))
+    return a.select(r9("roc_auc").alias("roc_auc"), "n_pos", "n_neg")
+
+
+LATEST_CC_SQL = LEVEL_PANEL_SQL + f""",
+lat AS (SELECT RA, {", ".join(f"arg_max({c}, ano) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+                               for c in [*K.CLUSTER_FEATURES, "PEDRA_CODIGO"])}
+        FROM panel_lvl GROUP BY RA),
+latcc AS (SELECT * FROM lat WHERE {" AND ".join(f"{c} IS NOT NULL" for c in K.CLUSTER_FEATURES)})"""
+
+
+def latest_complete(spark, sf) -> DataFrame:
+    """Latest non-null record per entity, complete on the profile features."""
+    lat = A.latest_nonnull(level_panel(spark, sf).select("RA", "ano", *K.CLUSTER_FEATURES, "PEDRA_CODIGO"))
+    return lat.drop("ano").dropna(subset=K.CLUSTER_FEATURES)
+
+
+@register("zscore", f"""WITH {LATEST_CC_SQL}
+SELECT RA, {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 9) AS {c}_z" for c in K.CLUSTER_FEATURES)}
+FROM latcc""")
+def q_zscore(spark, sf):
+    z = M.zscore(latest_complete(spark, sf), K.CLUSTER_FEATURES)
+    return z.select("RA", *[r9(f"{c}_z").alias(f"{c}_z") for c in K.CLUSTER_FEATURES])
+
+
+EMB_DIM = 64
+EMB_SQL = f"""
+pts AS (SELECT vec_id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+pts2 AS (SELECT *, list_dot_product(v, v) AS sq FROM pts),
+dims AS (SELECT cluster, i, avg(v[i]) AS ci FROM pts2, range(1, {EMB_DIM + 1}) t(i) GROUP BY cluster, i),
+cents AS (SELECT d.cluster, list(d.ci ORDER BY d.i) AS c,
+                 (SELECT count(*) FROM pts2 p WHERE p.cluster = d.cluster) AS n,
+                 (SELECT avg(sq) FROM pts2 p WHERE p.cluster = d.cluster) AS msq
+          FROM dims d GROUP BY d.cluster)"""
+
+
+@register("silhouette_sq", f"""WITH {EMB_SQL},
+pd AS (SELECT p.vec_id, p.cluster AS own, c.cluster AS other, c.n,
+              p.sq - 2 * list_dot_product(p.v, c.c) + c.msq AS d
+       FROM pts2 p, cents c),
+pt AS (SELECT vec_id, own, max(CASE WHEN other = own AND n > 1 THEN n * d / (n - 1) END) AS a,
+              min(CASE WHEN other <> own THEN d END) AS b
+       FROM pd GROUP BY vec_id, own)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN greatest(a, b) > 0
+                      THEN (b - a) / greatest(a, b) ELSE 0.0 END), 6) AS silhouette,
+       count(*) AS n_points, count(DISTINCT own) AS n_clusters
+FROM pt""")
+def q_silhouette(spark, sf):
+    from cohortlens.sources.tables import read_table
+    e = read_table(spark, sf, "embeddings")
+    s = M.silhouette_sq(e, "label", vec_col="embedding", dim=EMB_DIM)
+    return s.select(F.round("silhouette", 6).alias("silhouette"), "n_points", "n_clusters")
+
+
+@register("davies_bouldin", f"""WITH {EMB_SQL},
+sp AS (SELECT p.cluster, avg(list_distance(p.v, c.c)) AS s FROM pts2 p JOIN cents c ON p.cluster = c.cluster
+       GROUP BY p.cluster),
+cl AS (SELECT c.cluster, c.c, s.s FROM cents c JOIN sp s ON c.cluster = s.cluster),
+w AS (SELECT a.cluster, max(CASE WHEN list_distance(a.c, b.c) > 0 THEN (a.s + b.s) / list_distance(a.c, b.c)
+                                 ELSE 0.0 END) AS worst
+      FROM cl a JOIN cl b ON a.cluster <> b.cluster GROUP BY a.cluster)
+SELECT round(avg(coalesce(worst, 0.0)), 6) AS davies_bouldin, count(*) AS n_clusters FROM w""")
+def q_davies_bouldin(spark, sf):
+    from cohortlens.sources.tables import read_table
+    e = read_table(spark, sf, "embeddings")
+    d = M.davies_bouldin(e, "label", vec_col="embedding", dim=EMB_DIM)
+    return d.select(F.round("davies_bouldin", 6).alias("davies_bouldin"), "n_clusters")
+
+
+PROFILE_SQL = LATEST_CC_SQL + f""",
+prof AS (SELECT CAST(PEDRA_CODIGO AS INTEGER) AS cluster_id, count(*) AS n_alunos,
+                {", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in K.CLUSTER_FEATURES)},
+                count(*) * 100.0 / (SELECT count(*) FROM latcc) AS percentual
+         FROM latcc GROUP BY 1)"""
+
+
+def _profile(spark, sf):
+    lat = latest_complete(spark, sf).withColumn("cluster", F.col("PEDRA_CODIGO").cast("int"))
+    return M.cluster_profile(lat, "cluster", K.CLUSTER_FEATURES)
+
+
+@register("cluster_profile", f"""WITH {PROFILE_SQL}
+SELECT cluster_id, n_alunos, round(percentual, 9) AS percentual,
+       {", ".join(f"round({c}_mean, 9) AS {c}_mean, round({c}_std, 9) AS {c}_std" for c in K.CLUSTER_FEATURES)}
+FROM prof""")
+def q_cluster_profile(spark, sf):
+    p = _profile(spark, sf)
+    return p.select("cluster_id", "n_alunos", r9("percentual").alias("percentual"),
+                    *[r9(f"{c}_{s}").alias(f"{c}_{s}") for c in K.CLUSTER_FEATURES for s in ("mean", "std")])
+
+
+_NAMES_ARR = ", ".join(f"'{n}'" for n in K.CLUSTER_PROFILE_NAMES)
+
+
+@register("cluster_names", f"""WITH {PROFILE_SQL},
+nn AS (SELECT cluster_id,
+              CASE WHEN max(INDE_mean) OVER () = min(INDE_mean) OVER () THEN 0.5
+                   ELSE (INDE_mean - min(INDE_mean) OVER ()) / (max(INDE_mean) OVER () - min(INDE_mean) OVER ()) END AS ni,
+              CASE WHEN max(IEG_mean) OVER () = min(IEG_mean) OVER () THEN 0.5
+                   ELSE (IEG_mean - min(IEG_mean) OVER ()) / (max(IEG_mean) OVER () - min(IEG_mean) OVER ()) END AS ne
+       FROM prof),
+sc AS (SELECT cluster_id, {K.CLUSTER_SCORE_WEIGHTS[0]} * ni + {K.CLUSTER_SCORE_WEIGHTS[1]} * ne AS score FROM nn),
+rk AS (SELECT *, row_number() OVER (ORDER BY score, cluster_id) - 1 AS rnk FROM sc)
+SELECT cluster_id, round(score, 9) AS score,
+       CASE WHEN rnk < {len(K.CLUSTER_PROFILE_NAMES)} THEN [{_NAMES_ARR}][rnk + 1]
+            ELSE 'Cluster ' || CAST(cluster_id AS VARCHAR) END AS cluster_nome
+FROM rk""")
+def q_cluster_names(spark, sf):
+    n = M.cluster_names(_profile(spark, sf))
+    return n.select("cluster_id", r9("score").alias("score"), "cluster_nome")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))
