@@ -741,6 +741,105 @@ def q_cluster_names(spark, sf):
     return n.select("cluster_id", r9("score").alias("score"), "cluster_nome")
 
 
+# ============================================================ 7. Spark ML (rows-only checks)
+
+_MODELS: dict = {}
+
+
+def risk_model(spark: SparkSession, sf: str):
+    """Train once per session and table set."""
+    from cohortlens.operators import models as ML
+    key = ("risk", id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = ML.train_risk_classifier(target_panel(spark, sf))
+    return _MODELS[key]
+
+
+def profile_model(spark: SparkSession, sf: str):
+    """Train once per session and table set."""
+    from cohortlens.operators import models as ML
+    key = ("profile", id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = ML.train_profiles(latest_complete(spark, sf))
+    return _MODELS[key]
+
+
+@register("risk_train_score")
+def q_risk_train_score(spark, sf):
+    return risk_model(spark, sf).metrics
+
+
+@register("importance_topk")
+def q_importance_topk(spark, sf):
+    from cohortlens.operators import models as ML
+    return ML.importance_topk(risk_model(spark, sf).importances, 10)
+
+
+@register("risk_scoring")
+def q_risk_scoring(spark, sf):
+    """Every request -> cold-start features -> probability, tier, class."""
+    from cohortlens.operators import models as ML
+    feats = CL.risk_request_features(request_view(spark, sf))
+    return ML.score_risk(risk_model(spark, sf), feats)
+
+
+@register("risk_high_count")
+def q_risk_high_count(spark, sf):
+    """latest non-null record per entity, complete cases, p >= 0.7."""
+    from cohortlens.operators import models as ML
+    latest = A.latest_nonnull(temporal_panel(spark, sf).select("RA", "ano", *K.RISK_FEATURES))
+    return ML.high_risk_count(risk_model(spark, sf), latest)
+
+
+@register("kmeans_assign")
+def q_kmeans_assign(spark, sf):
+    from cohortlens.operators import models as ML
+    pm = profile_model(spark, sf)
+    return ML.assign_profiles(pm, latest_complete(spark, sf)).select("RA", "cluster_id", "cluster_nome")
+
+
+@register("cluster_distribution")
+def q_cluster_distribution(spark, sf):
+    """named cluster counts over the latest complete records."""
+    from cohortlens.operators import models as ML
+    pm = profile_model(spark, sf)
+    a = ML.assign_profiles(pm, latest_complete(spark, sf))
+    return a.groupBy("cluster_nome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("profile_quality")
+def q_profile_quality(spark, sf):
+    from cohortlens.operators import models as ML
+    return ML.profile_quality(profile_model(spark, sf))
+
+
+@register("k_search")
+def q_k_search(spark, sf):
+    from cohortlens.operators import models as ML
+    return ML.k_search(latest_complete(spark, sf), max_k=10)
+
+
+@register("profile_scoring")
+def q_profile_scoring(spark, sf):
+    """Every request -> zero-filled profile features -> cluster + name."""
+    from cohortlens.operators import models as ML
+    req = CL.cluster_request_features(request_view(spark, sf))
+    return ML.assign_profiles(profile_model(spark, sf), req).select("aluno_id", "ano", "cluster_id", "cluster_nome")
+
+
+@register("listing_with_clusters")
+def q_listing_with_clusters(spark, sf):
+    """Listing rows with a profile name on complete cases, NULL otherwise."""
+    from cohortlens.operators import models as ML
+    df = A.propagate_first_name(G.temporal_features(named_panel(spark, sf)))
+    feats = K.CLUSTER_FEATURES
+    complete = df.dropna(subset=feats)
+    named = ML.assign_profiles(profile_model(spark, sf), complete).select("RA", "ano", F.col("cluster_nome").alias("cluster"))
+    out = df.join(named, ["RA", "ano"], "left")
+    from cohortlens.operators.schema import listing_projection
+    return A.listing_order(A.round_records(listing_projection(out)))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))
