@@ -741,6 +741,107 @@ def q_cluster_names(spark, sf):
     return n.select("cluster_id", r9("score").alias("score"), "cluster_nome")
 
 
+# ============================================================ 3. schema alignment
+
+
+def _raw(spark, sf):
+    from cohortlens.plans.raw_years import raw_year_tables
+    return raw_year_tables(spark, sf)
+
+
+def _raw_long_sql() -> str:
+    from cohortlens.plans.raw_years import RAW_COLUMNS_SQL, YEARS_SQL
+    unions = " UNION ALL ".join(f"SELECT ano, {name} AS coluna, {nn} AS nn FROM py WHERE {cond}"
+                                for name, nn, cond in RAW_COLUMNS_SQL)
+    return f"""WITH {YEARS_SQL},
+rl AS ({unions}),
+present AS (SELECT ano, coluna, count(*) FILTER (WHERE nn) AS n FROM rl GROUP BY ano, coluna),
+allc AS (SELECT DISTINCT coluna FROM present),
+ally AS (SELECT DISTINCT ano FROM panel),
+matrix AS (SELECT y.ano, c.coluna, p.n IS NOT NULL AS presente, CAST(coalesce(p.n, 0) AS BIGINT) AS n_nao_nulos
+           FROM ally y CROSS JOIN allc c LEFT JOIN present p ON p.ano = y.ano AND p.coluna = c.coluna)"""
+
+
+HARMONIZED_SQL = """
+SELECT RA, ano, 'Aluno-' || CAST(RA AS VARCHAR) AS NOME,
+       CASE WHEN ano = y0 THEN CAST(RA % 8 + 1 AS INTEGER) END AS FASE,
+       CASE WHEN ano = y0 THEN ['A', 'B', 'C'][CAST(RA % 3 + 1 AS INTEGER)] END AS TURMA,
+       INDE, PEDRA_RAW AS PEDRA, IEG, IDA, IPS, IAA, IAN,
+       CASE WHEN ano = y1 THEN 'Escola ' || CAST(RA % 7 AS VARCHAR) END AS "INSTITUICAO DE ENSINO"
+FROM py"""
+
+
+@register("harmonize_union", None)
+def q_harmonize(spark, sf):
+    from cohortlens.operators.schema import harmonize
+    return harmonize(_raw(spark, sf))
+
+
+def _register_harmonize_sql():
+    from cohortlens.plans.raw_years import YEARS_SQL
+    ORACLE["harmonize_union"] = f"WITH {YEARS_SQL}{HARMONIZED_SQL}"
+
+
+_register_harmonize_sql()
+
+
+@register("schema_matrix", _raw_long_sql() + "\nSELECT * FROM matrix")
+def q_schema_matrix(spark, sf):
+    from cohortlens.operators.schema import schema_matrix
+    return schema_matrix(_raw(spark, sf))
+
+
+@register("common_columns", _raw_long_sql() + """
+SELECT coluna FROM matrix WHERE presente GROUP BY coluna
+HAVING count(*) = (SELECT count(DISTINCT ano) FROM panel)""")
+def q_common_columns(spark, sf):
+    from cohortlens.operators.schema import common_columns
+    return common_columns(_raw(spark, sf))
+
+
+@register("unique_columns", _raw_long_sql() + """
+SELECT min(ano) AS ano, coluna FROM matrix WHERE presente GROUP BY coluna HAVING count(*) = 1""")
+def q_unique_columns(spark, sf):
+    from cohortlens.operators.schema import unique_columns
+    return unique_columns(_raw(spark, sf))
+
+
+_FIRST_YEAR_TYPES = [("RA", "bigint", "RA"), ("Nome", "string", "'x'"), ("Fase", "int", "1"),
+                     ("Turma", "string", "'x'"), ("INDE {sfx}", "string", "INDE"),
+                     ("Pedra {sfx}", "string", "PEDRA_RAW"), ("IEG", "double", "IEG"),
+                     ("IDA", "{ida_type}", "IDA"), ("IPS", "double", "IPS"), ("IAA", "double", "IAA"),
+                     ("IAN", "double", "IAN")]
+
+
+@register("profile_table", None)
+def q_profile_table(spark, sf):
+    """F12 on the first yearly table as loaded."""
+    from cohortlens.operators.schema import profile_table
+    raw = _raw(spark, sf)
+    return profile_table(raw[min(raw)])
+
+
+def _register_profile_sql():
+    from cohortlens.plans.raw_years import YEARS_SQL
+    sfx = "lpad(CAST((SELECT y0 FROM yrs) % 100 AS VARCHAR), 2, '0')"
+    ida_type = "CASE WHEN (SELECT y0 FROM yrs) % 2 = 1 THEN 'string' ELSE 'double' END"
+    rows = []
+    for name, typ, expr in _FIRST_YEAR_TYPES:
+        nm = f"'{name}'".replace("{sfx}", f"' || {sfx} || '")
+        tp = ida_type if typ == "{ida_type}" else f"'{typ}'"
+        rows.append(f"SELECT {nm} AS coluna, {tp} AS tipo, count(*) FILTER (WHERE ({expr}) IS NULL) AS n_nulos FROM f0")
+    ORACLE["profile_table"] = f"""WITH {YEARS_SQL},
+f0 AS (SELECT * FROM panel WHERE ano = (SELECT y0 FROM yrs)),
+c AS ({" UNION ALL ".join(rows)})
+SELECT coluna, tipo, n_nulos, round(n_nulos * 100.0 / (SELECT count(*) FROM f0), 6) AS pct_nulos,
+       (SELECT count(*) FROM f0) AS n_linhas, {len(_FIRST_YEAR_TYPES)} AS n_colunas,
+       (SELECT count(DISTINCT RA) FROM f0) AS n_ids_unicos
+FROM c"""
+
+
+_register_profile_sql()
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}
