@@ -842,6 +842,104 @@ FROM c"""
 _register_profile_sql()
 
 
+# ============================================================ 8. reports
+
+
+def _latest_report_fields(spark, sf) -> DataFrame:
+    df = A.propagate_first_name(G.temporal_features(named_panel(spark, sf)))
+    last = A.latest_row(df)
+    return last.select("RA", F.col("NOME").alias("nome"), F.col("PEDRA").alias("pedra"),
+                       F.col("INDE").alias("inde"), F.col("IEG").alias("ieg"), F.col("IDA").alias("ida"),
+                       F.col("IPS").alias("ips"), F.col("IAA").alias("iaa"), F.col("IAN").alias("ian"),
+                       "anos_no_programa", F.col("tendencia_INDE").alias("tendencia_num"))
+
+
+def _report_sql() -> str:
+    from cohortlens.operators.reports import REPORT_TEMPLATE
+    import re
+    pieces, pos = [], 0
+    defaults = {"idade": "'0'", "tendencia_inde": None, "cluster_nome": "'Não identificado'",
+                "risco_percentual": "'0'", "feedback_texto": "'Não disponível'"}
+    for m in re.finditer(r"\{(\w+)(?::\.(\d+)f)?\}", REPORT_TEMPLATE):
+        if m.start() > pos:
+            pieces.append("'" + REPORT_TEMPLATE[pos:m.start()].replace("'", "''") + "'")
+        f, d = m.group(1), m.group(2)
+        if f in defaults and defaults[f] is not None:
+            pieces.append(defaults[f])
+        elif d:
+            pieces.append(f"coalesce(printf('%.{d}f', {f}), 'N/A')")
+        else:
+            pieces.append(f"coalesce(CAST({f} AS VARCHAR), 'N/A')")
+        pos = m.end()
+    if pos < len(REPORT_TEMPLATE):
+        pieces.append("'" + REPORT_TEMPLATE[pos:].replace("'", "''") + "'")
+    body = " || ".join(p.replace("\n", "' || chr(10) || '") for p in pieces)
+    return f"""WITH {NAMED_PANEL_SQL},
+f AS (
+  SELECT *, first(NOME IGNORE NULLS) OVER (PARTITION BY RA ORDER BY ano
+              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS NOME1,
+         {TREND_SQL} AS tendencia_num,
+         CAST(row_number() OVER (PARTITION BY RA ORDER BY ano) AS INTEGER) AS anos_no_programa
+  FROM panel_named),
+l AS (SELECT RA, NOME1 AS nome, PEDRA AS pedra, INDE AS inde, anos_no_programa,
+             CASE WHEN coalesce(tendencia_num, 0) > {K.TREND_THRESHOLD} THEN 'crescendo'
+                  WHEN coalesce(tendencia_num, 0) < -{K.TREND_THRESHOLD} THEN 'decrescendo'
+                  ELSE 'estável' END AS tendencia_inde
+      FROM f QUALIFY row_number() OVER (PARTITION BY RA ORDER BY ano DESC) = 1)
+SELECT RA, {body} AS prompt FROM l"""
+
+
+@register("report_prompts", None)
+def q_report_prompts(spark, sf):
+    """C8 -> C13 -> C14 from each entity's latest record (no model fields)."""
+    from cohortlens.operators.reports import render_prompts, report_rows
+    return render_prompts(report_rows(_latest_report_fields(spark, sf))).select("RA", "prompt")
+
+
+ORACLE["report_prompts"] = _report_sql()
+
+
+@register("report_prompts_scored")
+def q_report_prompts_scored(spark, sf):
+    """Latest record + risk (N8) + profile (N9) -> defaults -> prompt."""
+    from cohortlens.operators import models as ML
+    from cohortlens.operators.reports import render_prompts, report_rows
+    base = _latest_report_fields(spark, sf)
+    feats = CL.risk_request_features(base.select(
+        "RA", "inde", "ieg", "ida", "ips", "iaa", F.col("anos_no_programa"),
+        F.col("tendencia_num").alias("tendencia_inde")))
+    risk = ML.score_risk(risk_model(spark, sf), feats, keep=("RA",))
+    prof = ML.assign_profiles(profile_model(spark, sf), CL.cluster_request_features(base.select("RA", "inde", "ieg", "ida", "ips", "iaa")))
+    rows = (base.join(risk.select("RA", (F.col("risco_probabilidade") * 100).alias("risco_percentual"), "risco_classe"), "RA", "left")
+            .join(prof.select("RA", "cluster_nome"), "RA", "left"))
+    return render_prompts(report_rows(rows)).select("RA", "risco_classe", "cluster_nome", "prompt")
+
+
+def _strip_sql() -> str:
+    from cohortlens.functions.text import WS_CLASS
+    ws = f"^{WS_CLASS}+|{WS_CLASS}+$"
+    t = f"regexp_replace(l, '{ws}', '', 'g')"
+    hdr = (f"({t} = '' OR {t} = '---' OR starts_with(lower({t}), '# relatório') "
+           f"OR starts_with(lower({t}), '## relatório') "
+           f"OR (starts_with(lower({t}), 'pedra:') AND contains(lower({t}), 'inde:')) "
+           f"OR starts_with(lower({t}), '**pedra') OR starts_with(lower({t}), '> **pedra'))")
+    return f"""WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '{ws}', '', 'g'), chr(10)) AS lines
+           FROM documents),
+f AS (SELECT doc_id, text, lines, list_position(list_transform(lines, lambda l: {hdr}), false) AS first FROM d)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN first IS NULL OR first = 0 THEN ''
+                    ELSE array_to_string(list_slice(lines, first, len(lines)), chr(10)) END AS texto
+FROM f"""
+
+
+@register("report_header_strip", _strip_sql())
+def q_report_header_strip(spark, sf):
+    """C16 over every document's whole text."""
+    from cohortlens.functions.text import strip_report_header
+    from cohortlens.sources.tables import read_table
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", strip_report_header(F.col("text")).alias("texto"))
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}
