@@ -923,21 +923,23 @@ def _strip_sql() -> str:
            f"OR starts_with(lower({t}), '## relatório') "
            f"OR (starts_with(lower({t}), 'pedra:') AND contains(lower({t}), 'inde:')) "
            f"OR starts_with(lower({t}), '**pedra') OR starts_with(lower({t}), '> **pedra'))")
-    return f"""WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '{ws}', '', 'g'), chr(10)) AS lines
-           FROM documents),
-f AS (SELECT doc_id, text, lines, list_position(list_transform(lines, lambda l: {hdr}), false) AS first FROM d)
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN first IS NULL OR first = 0 THEN ''
+    return f"""WITH d AS (SELECT conv_id, turn, text,
+                  string_split(regexp_replace(text, '{ws}', '', 'g'), chr(10)) AS lines
+           FROM conversations WHERE role = 'assistant'),
+f AS (SELECT conv_id, turn, text, lines, list_position(list_transform(lines, lambda l: {hdr}), false) AS first
+      FROM d)
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN first IS NULL OR first = 0 THEN ''
                     ELSE array_to_string(list_slice(lines, first, len(lines)), chr(10)) END AS texto
 FROM f"""
 
 
 @register("report_header_strip", _strip_sql())
 def q_report_header_strip(spark, sf):
-    """C16 over every document's whole text."""
+    """C16 over the whole text of every generated (assistant) turn."""
     from cohortlens.functions.text import strip_report_header
     from cohortlens.sources.tables import read_table
-    d = read_table(spark, sf, "documents")
-    return d.select("doc_id", strip_report_header(F.col("text")).alias("texto"))
+    d = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    return d.select("conv_id", "turn", strip_report_header(F.col("text")).alias("texto"))
 
 
 # ============================================================ 7. Spark ML (rows-only checks)
