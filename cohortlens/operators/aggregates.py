@@ -61,19 +61,13 @@ def dashboard_kpis(panel: DataFrame, id_col: str = K.ID_COL, time_col: str = K.T
     """N3 (F1-F3, F8): entity count and mean index over each entity's latest
     non-null values, plus the available periods -- one row."""
     latest = latest_nonnull(panel.select(id_col, time_col, index_col), id_col, time_col)
-    kpi = latest.agg(F.count(F.lit(1)).alias("total_alunos"),
-                     F.round(F.avg(index_col), 2).alias("inde_medio"))
-    yrs = panel.agg(F.array_join(F.array_sort(F.collect_set(F.col(time_col).cast("string"))), ",")
-                    .alias("anos_disponiveis"),
-                    F.count_distinct(time_col).alias("n_anos"))
-    return _one_row_concat(kpi, yrs)
-
-
-def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two single-row aggregates side by side with an equi-join on a
-    constant key: both sides are provably one row, so the join is 1 x 1."""
-    k = "__one"
-    return a.withColumn(k, F.lit(1)).join(F.broadcast(b.withColumn(k, F.lit(1))), k).drop(k)
+    yrs = panel.agg(F.struct(
+        F.array_join(F.array_sort(F.collect_set(F.col(time_col).cast("string"))), ",").alias("anos"),
+        F.count_distinct(time_col).alias("n"))).scalar()
+    return latest.agg(F.count(F.lit(1)).alias("total_alunos"),
+                      F.round(F.avg(index_col), 2).alias("inde_medio")) \
+                 .select("total_alunos", "inde_medio", yrs["anos"].alias("anos_disponiveis"),
+                         yrs["n"].alias("n_anos"))
 
 
 def two_period_stats(df: DataFrame, features: Sequence[str], ref_year: int, cur_year: int,

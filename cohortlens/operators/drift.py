@@ -179,10 +179,10 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64) ->
     keys = ["cmp", "feature"]
     counts = long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
                                            F.count_if(F.col("per") == 1).alias("b"))
-    moments = long.where("per = 0").groupBy(*keys).agg(F.stddev_pop("x").alias("ref_std"))
     run = bucketed_running_sums(counts, keys, "x", ["a", "b"], n_buckets=n_buckets, next_col="x_next")
     sizes = counts.groupBy(*keys).agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
                                       F.count(F.lit(1)).alias("n_values"),
+                                      (F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("ref_mean"),
                                       F.max_by(F.col("x"), F.struct(F.col("a"), -F.col("x"))).alias("mode_ref"))
     r = run.join(F.broadcast(sizes), keys)  # sizes: one row per (cmp, feature) -- bounded
     fr = F.col("cum_a") / F.col("n_ref")
@@ -202,8 +202,9 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64) ->
         F.sum(F.when(q > 0, q * F.log(q / m)).otherwise(0.0)).alias("kl_q"),
         F.sum(F.when(is_mode, F.col("a")).otherwise(0)).alias("a_mode"),
         F.sum(F.when(is_mode, F.col("b")).otherwise(0)).alias("b_mode"),
+        # population std of the reference, two-pass over the value counts
+        F.sqrt(F.sum(F.col("a") * F.pow(F.col("x") - F.col("ref_mean"), 2)) / F.first("n_ref")).alias("ref_std"),
     )
-    stats = stats.join(moments, keys, "left")
     out = _finish(stats, stattest)
     return out.select(*keys, "n_ref", "n_cur", "n_values", "stattest", "drift_score", "drift_detected")
 

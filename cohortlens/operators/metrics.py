@@ -71,9 +71,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", n_buckets
     score in parallel buckets; NULL when a class is missing.
     """
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-         .groupBy(F.lit(1).alias("g"), F.col(score).cast("double").alias("s"))
+         .groupBy(F.col(score).cast("double").alias("s"))
          .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
-    run = bucketed_running_sums(g, ["g"], "s", ["neg"], n_buckets=n_buckets)
+    run = bucketed_running_sums(g, [], "s", ["neg"], n_buckets=n_buckets)
     agg = run.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * 0.5)).alias("num"),
                   F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return agg.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
@@ -83,13 +83,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", n_buckets
 
 # ------------------------------------------------------------------------- J8
 def zscore(df: DataFrame, features: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """Standardise with population std (one aggregate, broadcast 1-row join)."""
-    stats = df.agg(*[F.avg(f).alias(f"__m_{f}") for f in features],
-                   *[F.stddev_pop(f).alias(f"__s_{f}") for f in features])
-    j = df.withColumn("__one", F.lit(1)).join(F.broadcast(stats.withColumn("__one", F.lit(1))), "__one")
-    exprs = {f"{f}{suffix}": F.when(F.col(f"__s_{f}") > 0, (F.col(f) - F.col(f"__m_{f}")) / F.col(f"__s_{f}"))
+    """Standardise with population std (one aggregate, used as a scalar subquery)."""
+    st = df.agg(F.struct(*[F.avg(f).alias(f"m_{f}") for f in features],
+                         *[F.stddev_pop(f).alias(f"s_{f}") for f in features])).scalar()
+    exprs = {f"{f}{suffix}": F.when(st[f"s_{f}"] > 0, (F.col(f) - st[f"m_{f}"]) / st[f"s_{f}"])
              .otherwise(F.lit(0.0)) for f in features}
-    return j.withColumns(exprs).drop("__one", *[f"__m_{f}" for f in features], *[f"__s_{f}" for f in features])
+    return df.withColumns(exprs)
 
 
 # ------------------------------------------------------------------------ J11
@@ -117,11 +116,9 @@ def _points(df: DataFrame, cluster_col: str, features, vec_col) -> DataFrame:
     return p.where(F.col("cluster").isNotNull()).withColumn("sq", _dot(F.col("v"), F.col("v")))
 
 
-def _with_all_centroids(points: DataFrame, cents: DataFrame) -> DataFrame:
-    """Attach the k centroids as one array column (1-row broadcast, k x d)."""
-    allc = cents.agg(F.collect_list(F.struct("cluster", "n", "c", "msq")).alias("cents"))
-    return points.withColumn("__one", F.lit(1)).join(
-        F.broadcast(allc.withColumn("__one", F.lit(1))), "__one").drop("__one")
+def _all_centroids(cents: DataFrame) -> Column:
+    """The k centroids as one array value (scalar subquery, k x d numbers)."""
+    return cents.agg(F.collect_list(F.struct("cluster", "n", "c", "msq"))).scalar()
 
 
 def silhouette_sq(df: DataFrame, cluster_col: str, features: Sequence[str] | None = None,
@@ -134,8 +131,8 @@ def silhouette_sq(df: DataFrame, cluster_col: str, features: Sequence[str] | Non
     d = dim if dim is not None else len(features)
     pts = _points(df, cluster_col, features, vec_col)
     cents = _centroids(pts, d)
-    j = _with_all_centroids(pts, cents)
-    dist = F.transform("cents", lambda c: F.struct(
+    j = pts.withColumn("__cents", _all_centroids(cents))  # projected: no subquery inside a lambda
+    dist = F.transform("__cents", lambda c: F.struct(
         c["cluster"].alias("cluster"), c["n"].alias("n"),
         (F.col("sq") - 2 * _dot(F.col("v"), c["c"]) + c["msq"]).alias("d")))
     j = j.withColumn("ds", dist)
@@ -163,15 +160,15 @@ def davies_bouldin(df: DataFrame, cluster_col: str, features: Sequence[str] | No
         F.avg(F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))).alias("s"))
     cl = cents.join(spread, "cluster").select("cluster", "c", "s")
     allc = cl.agg(F.collect_list(F.struct(F.col("cluster").alias("k"), F.col("c").alias("cc"),
-                                          F.col("s").alias("ss"))).alias("all"))
-    j = cl.withColumn("__one", F.lit(1)).join(F.broadcast(allc.withColumn("__one", F.lit(1))), "__one")
+                                          F.col("s").alias("ss")))).scalar()
+    j = cl.withColumn("__all", allc)  # projected: no subquery inside a lambda
 
     def ratio(o):
         dist = F.sqrt(F.aggregate(F.zip_with(F.col("c"), o["cc"], lambda x, y: (x - y) * (x - y)),
                                   F.lit(0.0), lambda acc, v: acc + v))
         return F.when(dist > 0, (F.col("s") + o["ss"]) / dist).otherwise(F.lit(0.0))
 
-    worst = F.array_max(F.transform(F.filter("all", lambda o: o["k"] != F.col("cluster")), ratio))
+    worst = F.array_max(F.transform(F.filter("__all", lambda o: o["k"] != F.col("cluster")), ratio))
     return j.agg(F.avg(F.coalesce(worst, F.lit(0.0))).alias("davies_bouldin"),
                  F.count(F.lit(1)).alias("n_clusters"))
 
@@ -183,9 +180,8 @@ def cluster_profile(df: DataFrame, cluster_col: str, features: Sequence[str]) ->
         F.count(F.lit(1)).alias("n_alunos"),
         *[F.avg(f).alias(f"{f}_mean") for f in features],
         *[F.stddev_samp(f).alias(f"{f}_std") for f in features])
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    j = g.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    return j.withColumn("percentual", F.col("n_alunos") * 100.0 / F.col("__total")).drop("__one", "__total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return g.withColumn("percentual", F.col("n_alunos") * 100.0 / total)
 
 
 # ------------------------------------------------------------------------ J12

@@ -96,9 +96,8 @@ def train_risk_classifier(df: DataFrame, features: Sequence[str] = K.RISK_FEATUR
                          F.col("prediction").cast("int").alias("prediction"), "score")
     conf = M.confusion(scored)
     wm = M.weighted_metrics(conf)
-    auc = M.roc_auc(scored).select("roc_auc")
-    metrics = wm.withColumn("__one", F.lit(1)).join(F.broadcast(auc.withColumn("__one", F.lit(1))), "__one") \
-                .drop("__one")
+    auc = M.roc_auc(scored).select("roc_auc").scalar()
+    metrics = wm.withColumn("roc_auc", auc)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = df.sparkSession
     importances = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)],
@@ -169,8 +168,10 @@ def profile_quality(model: ProfileModel) -> DataFrame:
     a = model.assigned.withColumn("v", vector_to_array("scaled"))
     d = len(model.features)
     sil = M.silhouette_sq(a, "cluster_id", vec_col="v", dim=d).select("silhouette", "n_points")
-    db = M.davies_bouldin(a, "cluster_id", vec_col="v", dim=d)
-    return sil.withColumn("__one", F.lit(1)).join(F.broadcast(db.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    db = M.davies_bouldin(a, "cluster_id", vec_col="v", dim=d).select(
+        F.struct("davies_bouldin", "n_clusters")).scalar()
+    return sil.select("silhouette", "n_points", db["davies_bouldin"].alias("davies_bouldin"),
+                      db["n_clusters"].alias("n_clusters"))
 
 
 def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, max_k: int = 10,

@@ -38,15 +38,22 @@ def bucketed_running_sums(df: DataFrame, keys: Sequence[str], order_col: str, va
     x = F.col(order_col)
     if n_buckets > 1:
         probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10000).alias("__bounds"))
-        with_b = df.join(F.broadcast(bounds), keys, "inner")
-        with_b = with_b.withColumn("__bk", F.size(F.filter("__bounds", lambda b: b < x))).drop("__bounds")
+        if keys:
+            bounds = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10000).alias("__bounds"))
+            with_b = df.join(F.broadcast(bounds), keys, "inner")
+            with_b = with_b.withColumn("__bk", F.size(F.filter("__bounds", lambda b: b < x))).drop("__bounds")
+        else:
+            bounds = df.agg(F.percentile_approx(order_col, probs, 10000)).scalar()
+            # (a subquery cannot sit inside a lambda: project it first)
+            with_b = df.withColumn("__bounds", bounds)
+            with_b = with_b.withColumn("__bk", F.size(F.filter("__bounds", lambda b: b < x))).drop("__bounds")
     else:
         with_b = df.withColumn("__bk", F.lit(0))
 
     tot = with_b.groupBy(*keys, "__bk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols],
                                             F.min(order_col).alias("__bmin"))
-    wb = Window.partitionBy(*keys).orderBy("__bk")
+    # Bucket totals: (#groups x n_buckets) rows; a global window is fine there.
+    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__bk")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, "__bk",
                       *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in value_cols],
