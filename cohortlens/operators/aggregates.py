@@ -125,3 +125,37 @@ def round_records(df: DataFrame, digits: int = 2) -> DataFrame:
     from cohortlens.functions.scalars import round_record_value
     exprs: dict[str, Column] = {c: round_record_value(c, digits) for c, t in df.dtypes if t in ("double", "float")}
     return df.withColumns(exprs) if exprs else df
+
+
+# ------------------------------------------------------------ D1 / D2 / D4 / D7 / I3
+ALL_MARKERS = ("Todas", "Todos")
+
+
+def filter_equals(df: DataFrame, col: str, value) -> DataFrame:
+    """``col == value``; a falsy value or the "all" marker keeps every row."""
+    if value is None or value == 0 or value == "" or value in ALL_MARKERS:
+        return df
+    return df.where(F.col(col) == F.lit(value))
+
+
+def complete_case_value(df: DataFrame, features: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Keep every row; ``out`` is computed only where all features are present."""
+    cond = None
+    for f in features:
+        c = F.col(f).isNotNull()
+        cond = c if cond is None else cond & c
+    return df.withColumn(out, F.when(cond, value))
+
+
+def lookup(df: DataFrame, id_col: str, value) -> DataFrame:
+    """The first row of one id (by period, then all columns for determinism)."""
+    return df.where(F.col(id_col) == F.lit(value)).orderBy(*df.columns).limit(1)
+
+
+def first_per_entity(df: DataFrame, id_col: str = K.ID_COL, time_col: str = K.TIME_COL,
+                     require: str | None = None) -> DataFrame:
+    """Keep-first dedup by id in time order (optionally among rows where
+    ``require`` is not null) -- row_number, not dropDuplicates (arbitrary row)."""
+    src = df.where(F.col(require).isNotNull()) if require else df
+    w = Window.partitionBy(id_col).orderBy(time_col)
+    return src.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -942,6 +942,113 @@ def q_report_header_strip(spark, sf):
     return d.select("conv_id", "turn", strip_report_header(F.col("text")).alias("texto"))
 
 
+# ============================================================ small operators
+
+
+@register("target_distribution", f"""{TARGET_SQL}
+SELECT {K.TARGET_COL}, count(*) AS n FROM tt WHERE {K.TARGET_COL} IS NOT NULL GROUP BY 1""")
+def q_target_distribution(spark, sf):
+    """F14."""
+    return A.value_distribution(target_panel(spark, sf), K.TARGET_COL)
+
+
+@register("target_by_split", f"""{SPLIT_SQL}
+SELECT split, round(avg({K.TARGET_COL}), 9) AS taxa_alvo, count(*) AS n FROM sp GROUP BY split""")
+def q_target_by_split(spark, sf):
+    """F16: mean target per side of the entity split."""
+    sp = M.group_split(target_panel(spark, sf), K.RISK_FEATURES)
+    return sp.groupBy("split").agg(r9(F.avg(K.TARGET_COL)).alias("taxa_alvo"), F.count(F.lit(1)).alias("n"))
+
+
+@register("listing_year", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA AS ra, ano, round(INDE, 2) AS inde, PEDRA AS pedra FROM panel_lvl
+WHERE ano = (SELECT max(ano) FROM panel_lvl)""")
+def q_listing_year(spark, sf):
+    """One period (the latest one present)."""
+    df = level_panel(spark, sf)
+    last = D.years_of(df)[-1]
+    out = A.filter_equals(df, "ano", last)
+    return out.select(F.col("RA").alias("ra"), "ano", F.round("INDE", 2).alias("inde"), F.col("PEDRA").alias("pedra"))
+
+
+@register("listing_level", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA AS ra, ano, PEDRA AS pedra FROM panel_lvl WHERE PEDRA = 'Ametista'""")
+def q_listing_level(spark, sf):
+    """One level; the "all" marker would keep every row."""
+    out = A.filter_equals(level_panel(spark, sf), "PEDRA", "Ametista")
+    return out.select(F.col("RA").alias("ra"), "ano", F.col("PEDRA").alias("pedra"))
+
+
+@register("complete_case_mask", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, CASE WHEN {" AND ".join(f"{c} IS NOT NULL" for c in K.CLUSTER_FEATURES)}
+                THEN round(INDE + IPS, 9) END AS indice_composto
+FROM panel_lvl""")
+def q_complete_case_mask(spark, sf):
+    """Value only on complete rows, other rows kept with NULL."""
+    out = A.complete_case_value(level_panel(spark, sf), K.CLUSTER_FEATURES, F.col("INDE") + F.col("IPS"),
+                                "indice_composto")
+    return out.select("RA", "ano", r9("indice_composto").alias("indice_composto"))
+
+
+@register("point_lookup", f"""WITH {LEVEL_PANEL_SQL}
+SELECT * FROM panel_lvl WHERE RA = (SELECT max(RA) FROM panel_lvl)
+ORDER BY ano LIMIT 1""")
+def q_point_lookup(spark, sf):
+    """First record of one id (the largest id present)."""
+    df = level_panel(spark, sf)
+    top = df.agg(F.max("RA")).scalar()
+    return df.where(F.col("RA") == top).orderBy("ano").limit(1)
+
+
+@register("level_options", f"""WITH {LEVEL_PANEL_SQL}
+SELECT DISTINCT PEDRA FROM panel_lvl WHERE PEDRA IS NOT NULL""")
+def q_level_options(spark, sf):
+    """Sorted distinct options of a category."""
+    df = level_panel(spark, sf)
+    return df.where(F.col("PEDRA").isNotNull()).select("PEDRA").distinct().orderBy("PEDRA")
+
+
+@register("first_named_record", f"""WITH {NAMED_PANEL_SQL}
+SELECT RA, ano, NOME FROM panel_named WHERE NOME IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY RA ORDER BY ano) = 1""")
+def q_first_named(spark, sf):
+    """Keep-first dedup by id among named rows (the name lookup table)."""
+    return A.first_per_entity(named_panel(spark, sf), require="NOME").select("RA", "ano", "NOME")
+
+
+@register("compare_periods", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True)}{_drift_table_sql('auto')}," + """
+sm AS (SELECT cmp, count(*) AS n_total_features, count(*) FILTER (WHERE drift_detected) AS n_drifted_features,
+              round(CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*), 4) AS drift_share,
+              CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) >= 0.5 AS dataset_drift,
+              CAST(0.5 AS DOUBLE) AS drift_threshold,
+              CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) > 0.5 AS above_threshold
+       FROM dt GROUP BY cmp),
+sz AS (SELECT CAST((SELECT ref FROM yrs) AS VARCHAR) || '_vs_' || CAST((SELECT last FROM yrs) AS VARCHAR) AS cmp,
+              count(*) FILTER (WHERE ano = (SELECT ref FROM yrs)) AS n_ref_rows,
+              count(*) FILTER (WHERE ano = (SELECT last FROM yrs)) AS n_cur_rows
+       FROM panel_lvl WHERE ano IN ((SELECT ref FROM yrs), (SELECT last FROM yrs)))
+SELECT sz.cmp, n_ref_rows, n_cur_rows, n_total_features, n_drifted_features, drift_share, dataset_drift,
+       drift_threshold, above_threshold,
+       CASE WHEN n_ref_rows = 0 OR n_cur_rows = 0 THEN 'Dados insuficientes' END AS error
+FROM sz LEFT JOIN sm ON sz.cmp = sm.cmp""")
+def q_compare_periods(spark, sf):
+    """K3: first vs last period with the insufficient-data guard."""
+    df = level_panel(spark, sf)
+    ys = D.years_of(df)
+    return D.compare_periods(df, ys[0], ys[-1], K.DRIFT_FEATURES).select(
+        "cmp", "n_ref_rows", "n_cur_rows", "n_total_features", "n_drifted_features", "drift_share",
+        "dataset_drift", "drift_threshold", "above_threshold", "error")
+
+
+@register("best_k")
+def q_best_k(spark, sf):
+    """H5: the k with the best silhouette from the k search."""
+    from cohortlens.operators import models as ML
+    ks = ML.k_search(latest_complete(spark, sf), max_k=10)
+    return ks.agg(F.max_by("k", "silhouette").alias("best_k"), F.max("silhouette").alias("silhouette"))
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}
