@@ -184,6 +184,9 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64) ->
                                       F.count(F.lit(1)).alias("n_values"),
                                       (F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("ref_mean"),
                                       F.max_by(F.col("x"), F.struct(F.col("a"), -F.col("x"))).alias("mode_ref"))
+    # Both sides must have values: an empty side has no distribution to test
+    # (the comparison then reports the insufficient-data error instead).
+    sizes = sizes.where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
     r = run.join(F.broadcast(sizes), keys)  # sizes: one row per (cmp, feature) -- bounded
     fr = F.col("cum_a") / F.col("n_ref")
     fc = F.col("cum_b") / F.col("n_cur")

@@ -447,7 +447,7 @@ counts AS (SELECT cmp, feature, x, count(*) FILTER (WHERE per = 0) AS a, count(*
            FROM lf GROUP BY cmp, feature, x),
 sizes AS (SELECT cmp, feature, CAST(sum(a) AS BIGINT) AS n_ref, CAST(sum(b) AS BIGINT) AS n_cur,
                  count(*) AS n_values, first(x ORDER BY a DESC, x ASC) AS mode_ref
-          FROM counts GROUP BY cmp, feature),
+          FROM counts GROUP BY cmp, feature HAVING sum(a) > 0 AND sum(b) > 0),
 run AS (SELECT c.*, s.n_ref, s.n_cur, s.n_values, s.mode_ref,
                sum(c.a) OVER (PARTITION BY c.cmp, c.feature ORDER BY c.x
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_a,
