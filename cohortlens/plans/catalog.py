@@ -1049,6 +1049,32 @@ def q_best_k(spark, sf):
     return ks.agg(F.max_by("k", "silhouette").alias("best_k"), F.max("silhouette").alias("silhouette"))
 
 
+# ============================================================ secondary panel: events (G1, G3, G5, G6, skew-safe)
+
+EVENT_HOT_ROWS = 64   # users above this many events take the chunked path
+EVENT_CHUNKS = 8
+
+
+@register("event_running_stats", """
+SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS n_seq, value - lag(value) OVER w AS delta_value,
+       round(avg(value) OVER wr, 9) AS value_media_hist, min(value) OVER wr AS value_min_hist,
+       max(value) OVER wr AS value_max_hist, round(sum(value) OVER wr, 9) AS value_soma_hist,
+       count(*) OVER (PARTITION BY user_id) AS n_total
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
+       wr AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_event_running_stats(spark, sf):
+    """Per-user running statistics of event values, hot users split in time chunks."""
+    from cohortlens.operators.skew import running_value_stats
+    from cohortlens.plans.panel import events_panel
+    ev = events_panel(spark, sf)
+    out = running_value_stats(ev, "user_id", "ts", "value", tiebreak=["event_id"], hot_rows=EVENT_HOT_ROWS,
+                              n_chunks=EVENT_CHUNKS, slope=False)
+    return out.select("user_id", "event_id", F.col("n_seq").cast("int").alias("n_seq"), "delta_value",
+                      r9("value_media_hist").alias("value_media_hist"), "value_min_hist", "value_max_hist",
+                      r9("value_soma_hist").alias("value_soma_hist"), "n_total")
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}

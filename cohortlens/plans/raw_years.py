@@ -7,8 +7,8 @@ is text in odd years, names under two different headers, first-year-only
 columns, a second-year-only accented header, and in the last year a
 duplicate header that collides after cleaning (kept: the first).
 
-The per-year split is a filter on the panel (one scan each, pruned by
-Catalyst); the list of years is a bounded driver-side list.
+The panel is written once partitioned by year, so each "file" is one
+partition folder; the list of years is a bounded driver-side list.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ def comma_text(c) -> F.Column:
 
 
 def raw_year_tables(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
-    p = orders_panel(spark, sf_dir)
+    """One DataFrame per year.  The panel is aggregated once and written
+    partitioned by year to the shared checkpoint folder; each yearly table
+    is then a partition-pruned read (one folder), not a new aggregation."""
+    from cohortlens.session import materialize
+    p = materialize(orders_panel(spark, sf_dir), "panel_by_year", partition_by="ano")
     years = years_of(p)
     out: dict[int, DataFrame] = {}
     for i, y in enumerate(years):
