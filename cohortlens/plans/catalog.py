@@ -1075,6 +1075,30 @@ def q_event_running_stats(spark, sf):
                       r9("value_soma_hist").alias("value_soma_hist"), "n_total")
 
 
+
+@register("harmonize_from_csv", None)
+def q_harmonize_from_csv(spark, sf):
+    """A1-A3 + B7: yearly tables written as ';' CSV files, loaded back with
+    type inference (missing files skipped), harmonised and unioned."""
+    import uuid
+    from cohortlens.operators.schema import harmonize
+    from cohortlens.plans.raw_years import write_year_csvs
+    from cohortlens.session import ensure_checkpoint_dir
+    from cohortlens.sources.csv_years import load_years
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_years-{uuid.uuid4().hex[:12]}"
+    paths = write_year_csvs(_raw(spark, sf), base)
+    return harmonize(load_years(spark, paths))
+
+
+def _register_csv_sql():
+    from cohortlens.plans.raw_years import YEARS_SQL
+    ORACLE["harmonize_from_csv"] = f"WITH {YEARS_SQL}" + HARMONIZED_SQL.replace(
+        "CAST(RA % 8 + 1 AS INTEGER)", "CAST(RA % 8 + 1 AS BIGINT)")
+
+
+_register_csv_sql()
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}

@@ -85,3 +85,15 @@ RAW_COLUMNS_SQL = [
     ("'Instituição de Ensino'", "TRUE", "ano = y1"),
     ("'ieg '", "FALSE", "ano = yn AND y0 <> yn"),
 ]
+
+
+def write_year_csvs(tables: dict[int, DataFrame], base: str, sep: str = ";") -> dict[int, str]:
+    """Write each yearly table as a header CSV folder (text kept verbatim)."""
+    paths = {}
+    for y, df in tables.items():
+        path = f"{base.rstrip('/')}/ano={y}.csv"
+        (df.write.mode("overwrite").option("header", True).option("sep", sep)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
+        paths[y] = path
+    return paths
