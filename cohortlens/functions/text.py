@@ -29,15 +29,30 @@ def is_report_header_line(line: Column) -> Column:
             | low.startswith("**pedra") | low.startswith("> **pedra"))
 
 
+def _header_block_regex() -> str:
+    """Regex for the run of header lines at the start of a (stripped) text.
+
+    A header line, once stripped and lower-cased, is empty, '---', starts
+    with '# relatório' / '## relatório' / '**pedra' / '> **pedra', or starts
+    with 'pedra:' and contains 'inde:'.  Lines end at '\n' only.
+    """
+    ws = WS_CLASS.replace("\n", "")           # whitespace within a line
+    rest = "[^\n]*"
+    body = ("(?:|---|#\\ relatório" + rest + "|##\\ relatório" + rest + "|pedra:" + rest + "inde:" + rest
+            + "|\\*\\*pedra" + rest + "|>\\ \\*\\*pedra" + rest + ")")
+    line = f"{ws}*{body}{ws}*"
+    return f"(?iu)^(?:{line}(?:\n|$))*"
+
+
+HEADER_BLOCK = _header_block_regex()
+
+
 def strip_report_header(text: Column) -> Column:
     """Drop leading header lines of a report, keep everything from the
-    first content line on.  The whole text is split and re-joined."""
-    lines = F.split(strip_ws(text), "\n", -1)
-    flags = F.transform(lines, is_report_header_line)
-    first = F.array_position(flags, F.lit(False))
-    kept = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines) - first.cast("int") + 1)) \
-            .otherwise(F.array().cast("array<string>"))
-    return F.when(text.isNotNull(), F.array_join(kept, "\n"))
+    first content line on.  One anchored regex consumes the header run; the
+    rest of the whole text is returned untouched."""
+    stripped = strip_ws(text)
+    return F.regexp_replace(stripped, HEADER_BLOCK, "")
 
 
 _PLACEHOLDER = re.compile(r"\{(\w+)(?::\.(\d+)f)?\}")
