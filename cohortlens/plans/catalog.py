@@ -1099,6 +1099,19 @@ def _register_csv_sql():
 _register_csv_sql()
 
 
+
+@register("modeling_matrix", f"""{TARGET_SQL}
+SELECT {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c != "tendencia_INDE"
+                  else f"round(coalesce({c}, 0.0), 9) AS {c}" for c in K.RISK_FEATURES)}, {K.TARGET_COL}
+FROM tt WHERE {K.TARGET_COL} IS NOT NULL""")
+def q_modeling_matrix(spark, sf):
+    """Rows with a target, all-NULL features dropped, remaining NULLs -> 0."""
+    from cohortlens.operators.models import prepare_for_modeling
+    m = prepare_for_modeling(target_panel(spark, sf), K.RISK_FEATURES)
+    return m.select(*[F.col(c).cast("double").alias(c) if c != "tendencia_INDE" else r9(c).alias(c)
+                      for c in K.RISK_FEATURES], K.TARGET_COL)
+
+
 # ============================================================ 7. Spark ML (rows-only checks)
 
 _MODELS: dict = {}
@@ -1133,6 +1146,13 @@ def q_importance_topk(spark, sf):
     return ML.importance_topk(risk_model(spark, sf).importances, 10)
 
 
+@register("importance_top3")
+def q_importance_top3(spark, sf):
+    """H4: the three most important features (as in a single-request response)."""
+    from cohortlens.operators import models as ML
+    return ML.importance_topk(risk_model(spark, sf).importances, 3)
+
+
 @register("risk_scoring")
 def q_risk_scoring(spark, sf):
     """Every request -> cold-start features -> probability, tier, class."""
