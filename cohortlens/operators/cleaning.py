@@ -52,11 +52,10 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str,
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
         return {c: row[c] for c in cols}
     if strategy == "median":
-        # Exact median (interpolated, like pandas).  Its buffer is bounded by
-        # the distinct values of the column; use strategy="approx_median" for
-        # unbounded-cardinality columns at scale.
-        row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
-        return {c: row[c] for c in cols}
+        # Exact median (interpolated, like pandas) by bounded histogram
+        # narrowing -- no per-column buffer of all distinct values.
+        from cohortlens.operators.quantiles import exact_median
+        return {c: exact_median(df, c) for c in cols}
     if strategy == "approx_median":
         row = df.agg(*[F.percentile_approx(c, 0.5, 100000).alias(c) for c in cols]).first()
         return {c: row[c] for c in cols}
@@ -71,8 +70,12 @@ def impute(df: DataFrame, strategy: str = "mean", exclude: Sequence[str] = (),
            text_fill: str = K.UNKNOWN_TEXT) -> DataFrame:
     """Numeric NULLs <- mean / median / mode / 0; text NULLs <- fixed text."""
     num = numeric_columns(df, exclude)
-    vals = {c: v for c, v in fill_values(df, num, strategy).items() if v is not None}
     txt = text_columns(df, exclude)
+    # Only columns that contain NULLs need a fill value (one bounded aggregate).
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + txt]).first() if num + txt else {}
+    num = [c for c in num if nulls[c]]
+    txt = [c for c in txt if nulls[c]]
+    vals = {c: v for c, v in fill_values(df, num, strategy).items() if v is not None}
     exprs: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(v).cast(dict(df.dtypes)[c]))
                                 for c, v in vals.items()}
     exprs.update({c: F.coalesce(F.col(c), F.lit(text_fill)) for c in txt})
