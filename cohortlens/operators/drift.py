@@ -247,7 +247,10 @@ def compare_periods(df: DataFrame, ref_period, cur_period, features: Sequence[st
              .agg(F.count_if(F.col(time_col) == ref_period).alias("n_ref_rows"),
                   F.count_if(F.col(time_col) == cur_period).alias("n_cur_rows"))
              .withColumn("cmp", F.lit(f"{ref_period}_vs_{cur_period}")))
-    out = sizes.join(summary, "cmp", "left")
+    # The summary has 0 or 1 row for this comparison: a scalar subquery, no join.
+    fields = [c for c in summary.columns if c != "cmp"]
+    sm = summary.select(F.struct(*fields)).scalar()
+    out = sizes.select("cmp", "n_ref_rows", "n_cur_rows", *[sm[c].alias(c) for c in fields])
     return out.withColumn("error", F.when((F.col("n_ref_rows") == 0) | (F.col("n_cur_rows") == 0),
                                           F.lit("Dados insuficientes")))
 
