@@ -23,7 +23,7 @@ from cohortlens.operators import metrics as M
 from cohortlens.operators import quality as Q
 from cohortlens.operators import temporal as G
 from cohortlens.plans.panel import (LEVEL_PANEL_SQL, LEVEL_SQL, NAMED_PANEL_SQL, PANEL_SQL, REQUEST_SQL,
-                                    level_panel, named_panel, orders_panel, request_view)
+                                    level_panel, named_panel, orders_panel, panel_years, request_view)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,9 +484,9 @@ FROM dt GROUP BY cmp"""
 
 
 def _drift_long(spark, sf, features, last_only=False, complete=False):
-    df = level_panel(spark, sf)
-    ys = D.years_of(df)
+    ys = panel_years(spark, sf)
     curs = [ys[-1]] if last_only else ys[1:]
+    df = level_panel(spark, sf, years=[ys[0], *curs])   # only the compared periods are scanned
     return D.long_periods(df, features, ys[0], curs, complete_cases=complete)
 
 
@@ -545,8 +545,8 @@ SELECT feature, round(avg(x) FILTER (WHERE ano = ref), 2) AS ref_mean,
        count(*) FILTER (WHERE ano = ref) AS ref_count, count(*) FILTER (WHERE ano = last) AS cur_count
 FROM l GROUP BY feature""")
 def q_period_stats(spark, sf):
-    df = level_panel(spark, sf)
-    ys = D.years_of(df)
+    ys = panel_years(spark, sf)
+    df = level_panel(spark, sf, years=[ys[0], ys[-1]])
     return A.two_period_stats(df, K.DRIFT_FEATURES, ys[0], ys[-1])
 
 
@@ -965,9 +965,8 @@ SELECT RA AS ra, ano, round(INDE, 2) AS inde, PEDRA AS pedra FROM panel_lvl
 WHERE ano = (SELECT max(ano) FROM panel_lvl)""")
 def q_listing_year(spark, sf):
     """One period (the latest one present)."""
-    df = level_panel(spark, sf)
-    last = D.years_of(df)[-1]
-    out = A.filter_equals(df, "ano", last)
+    last = panel_years(spark, sf)[-1]
+    out = A.filter_equals(level_panel(spark, sf, years=[last]), "ano", last)
     return out.select(F.col("RA").alias("ra"), "ano", F.round("INDE", 2).alias("inde"), F.col("PEDRA").alias("pedra"))
 
 
@@ -1034,8 +1033,8 @@ SELECT sz.cmp, n_ref_rows, n_cur_rows, n_total_features, n_drifted_features, dri
 FROM sz LEFT JOIN sm ON sz.cmp = sm.cmp""")
 def q_compare_periods(spark, sf):
     """K3: first vs last period with the insufficient-data guard."""
-    df = level_panel(spark, sf)
-    ys = D.years_of(df)
+    ys = panel_years(spark, sf)
+    df = level_panel(spark, sf, years=[ys[0], ys[-1]])
     return D.compare_periods(df, ys[0], ys[-1], K.DRIFT_FEATURES).select(
         "cmp", "n_ref_rows", "n_cur_rows", "n_total_features", "n_drifted_features", "drift_share",
         "dataset_drift", "drift_threshold", "above_threshold", "error")

@@ -69,9 +69,31 @@ def _sql_pedra_raw() -> str:
     return " ".join(parts) + " END"
 
 
-def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main panel: one row per (customer, order year)."""
+def period_filter(df: DataFrame, col: str, years) -> Column:
+    """``year(col) IN years`` written as date ranges, so Parquet can push it
+    down and skip row groups by their min/max statistics."""
+    typ = dict(df.dtypes)[col]
+    kind = "TIMESTAMP_NTZ" if typ == "timestamp_ntz" else ("DATE" if typ == "date" else "TIMESTAMP")
+    cond = None
+    for y in sorted(set(int(v) for v in years)):
+        c = (F.col(col) >= F.expr(f"{kind}'{y}-01-01'")) & (F.col(col) < F.expr(f"{kind}'{y + 1}-01-01'"))
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def panel_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Sorted distinct order years straight from the scan (bounded list)."""
     o = read_table(spark, sf_dir, "orders")
+    return [r[0] for r in o.select(F.year("o_orderdate").alias("y")).where("y IS NOT NULL").distinct()
+            .orderBy("y").collect()]
+
+
+def orders_panel(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """Main panel: one row per (customer, order year); ``years`` restricts
+    the scan itself (pushed-down date ranges)."""
+    o = read_table(spark, sf_dir, "orders")
+    if years is not None:
+        o = o.where(period_filter(o, "o_orderdate", years))
     n = F.count(F.lit(1))
     price = F.col("o_totalprice")
     agg = (
@@ -125,10 +147,10 @@ panel_lvl0 AS (SELECT * EXCLUDE (PEDRA_RAW), {LEVEL_SQL} AS PEDRA FROM panel),
 panel_lvl AS (SELECT *, CAST({CODE_SQL} AS DOUBLE) AS PEDRA_CODIGO FROM panel_lvl0)"""
 
 
-def level_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def level_panel(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Panel after level normalisation (C3): PEDRA + PEDRA_CODIGO."""
     from cohortlens.operators.schema import normalize_level_column
-    return normalize_level_column(orders_panel(spark, sf_dir), "PEDRA_RAW")
+    return normalize_level_column(orders_panel(spark, sf_dir, years), "PEDRA_RAW")
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
