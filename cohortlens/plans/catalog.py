@@ -243,7 +243,7 @@ SELECT aluno_id, ano, inde AS INDE, coalesce(ieg, {_M['IEG']}) AS IEG, coalesce(
        coalesce(ips, {_M['IPS']}) AS IPS, coalesce(iaa, {_M['IAA']}) AS IAA,
        coalesce(inde - inde_anterior, 0.0) AS delta_INDE, coalesce(ieg - ieg_anterior, 0.0) AS delta_IEG,
        coalesce(ida - ida_anterior, 0.0) AS delta_IDA, CAST(coalesce(anos_no_programa, 1) AS DOUBLE) AS anos_no_programa,
-       round(coalesce(tendencia_inde, 0.0), 9) AS tendencia_INDE, 0.0 AS pedras_mudadas_total
+       round(coalesce(tendencia_inde, 0.0), 9) AS tendencia_INDE, CAST(0.0 AS DOUBLE) AS pedras_mudadas_total
 FROM req"""
 
 
