@@ -191,9 +191,16 @@ def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, ma
     prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
     scaled = prep.transform(cc).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(k: int):
+        return k, KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="scaled",
+                         predictionCol="cluster_id").fit(scaled)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:       # independent fits as concurrent jobs
+        fitted = list(pool.map(fit, range(2, max_k + 1)))
     frames = []
-    for k in range(2, max_k + 1):
-        km = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster_id").fit(scaled)
+    for k, km in fitted:
         lab = km.transform(scaled).withColumn("v", vector_to_array("scaled"))
         sil = M.silhouette_sq(lab, "cluster_id", vec_col="v", dim=len(feats))
         frames.append(sil.select(F.lit(k).alias("k"), "silhouette",

@@ -59,10 +59,10 @@ def kth_value(values: DataFrame, k: int, lo: float, hi: float, below: int = 0,
             cum += n
         else:
             raise ValueError("rank outside the value range")
-    # Degenerate spacing (values one ulp apart): the remaining range holds
-    # very few distinct values -- count them directly.
+    # Degenerate spacing: the range is narrower than ``buckets`` ulps of lo,
+    # so it holds fewer than ``buckets`` distinct doubles -- count them all.
     pairs = values.where((x >= lo) & (x <= hi)).groupBy("x").agg(F.count(F.lit(1)).alias("c")) \
-                  .orderBy("x").limit(limit).collect()
+                  .orderBy("x").collect()
     cum = below
     for r in pairs:
         if cum + r["c"] > k:

@@ -27,7 +27,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 1_000_000
+# An entity is hot above DEFAULT_HOT_ROWS rows, so there are at most N / hot_rows
+# hot entities; the two broadcast chunk tables hold at most
+# n_chunks * N / hot_rows rows (about 50 MB of bounds for N = 1e12 rows).
+DEFAULT_HOT_ROWS = 10_000_000
 DEFAULT_CHUNKS = 64
 
 
