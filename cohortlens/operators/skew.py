@@ -4,7 +4,7 @@
 one entity holds a large share of all rows (a bot user, a default id), that
 task holds that share.  Here entities are split by size:
 
-* cold entities (<= ``hot_rows`` rows) use the plain windows;
+* cold entities use the plain windows;
 * hot entities are cut into ``n_chunks`` contiguous time ranges from
   per-entity approximate quantiles; each (entity, chunk) is its own window
   partition, and per-chunk summaries (count, sum, min, max, last value)
@@ -16,8 +16,8 @@ with equal time never straddle a border, and every running statistic here
 (row number, previous value, running count / sum / mean / min / max) is
 associative over consecutive chunks.  Whole-entity statistics (count,
 regression slope) are grouped aggregates -- partial aggregation absorbs
-the hot entity -- attached by a broadcast join for the hot ids (bounded by
-total rows / ``hot_rows``) and by the window for the cold ones.
+the hot entity -- attached by a broadcast join for the hot ids (at most
+1 / ``hot_share`` of them) and by the window for the cold ones.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# An entity is hot above DEFAULT_HOT_ROWS rows, so there are at most N / hot_rows
-# hot entities; the two broadcast chunk tables hold at most
-# n_chunks * N / hot_rows rows (about 50 MB of bounds for N = 1e12 rows).
-DEFAULT_HOT_ROWS = 10_000_000
-DEFAULT_CHUNKS = 64
+# An entity is hot when it holds more than HOT_SHARE of all rows (and at
+# least MIN_HOT_ROWS rows): there are then at most 1 / HOT_SHARE = 1000 hot
+# entities whatever the data size, so the two broadcast chunk tables hold at
+# most 1000 * n_chunks rows (1024 chunks: ~8 MB of bounds).
+HOT_SHARE = 0.001
+MIN_HOT_ROWS = 1_000_000
+DEFAULT_CHUNKS = 1024
 
 
 def numeric_time(df: DataFrame, time_col: str) -> Column:
@@ -65,13 +67,21 @@ def _plain(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str], v
 
 
 def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
-                        tiebreak: Sequence[str] = (), hot_rows: int = DEFAULT_HOT_ROWS,
-                        n_chunks: int = DEFAULT_CHUNKS, slope: bool = True) -> DataFrame:
+                        tiebreak: Sequence[str] = (), hot_share: float = HOT_SHARE,
+                        min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS,
+                        slope: bool = True) -> DataFrame:
     """Row number, delta to previous row, running mean/min/max/sum of
     ``value`` and whole-entity count (+ slope of value on time) per entity,
-    ordered by ``(time_col, *tiebreak)`` -- skew-safe."""
+    ordered by ``(time_col, *tiebreak)`` -- skew-safe.
+
+    Chunks are contiguous ranges of ``time_col``; rows of one entity that
+    share a timestamp stay in one chunk (the order key beyond time is the
+    tiebreak, which quantiles do not split).
+    """
     counts = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
-    hot_ids = counts.where(F.col("__n") > hot_rows)          # <= total / hot_rows rows
+    total = counts.agg(F.sum("__n")).scalar()
+    threshold = F.greatest(F.lit(float(min_hot_rows)), total * F.lit(float(hot_share)))
+    hot_ids = counts.where(F.col("__n") > threshold)         # at most 1 / hot_share rows
     tagged = df.join(F.broadcast(hot_ids.select(id_col, F.lit(True).alias("__hot"))), id_col, "left")
     cold = tagged.where(F.col("__hot").isNull()).drop("__hot")
     hot = tagged.where(F.col("__hot")).drop("__hot")
@@ -81,11 +91,11 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     # ---- hot entities: chunk by per-entity time quantiles
     t = numeric_time(df, time_col)
     probs = [i / n_chunks for i in range(1, n_chunks)]
-    bounds = hot.groupBy(id_col).agg(F.percentile_approx(t, probs, 10000).alias("__b"),
+    bounds = hot.groupBy(id_col).agg(F.percentile_approx(t, probs, max(10000, 8 * n_chunks)).alias("__b"),
                                      F.count(F.lit(1)).alias("n_total"),
                                      *([F.coalesce(F.regr_slope(F.col(value), t), F.lit(0.0))
                                         .alias(f"tendencia_{value}")] if slope else []))
-    h = hot.join(F.broadcast(bounds), id_col)                 # #hot rows, bounded as above
+    h = hot.join(F.broadcast(bounds), id_col)                 # <= 1 / hot_share rows
     h = h.withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
 
     ordering = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
@@ -103,7 +113,7 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
         F.min("__mn").over(before).alias("__omn"),
         F.max("__mx").over(before).alias("__omx"),
         F.lag("__last").over(wk).alias("__prev_last"))
-    h = h.join(F.broadcast(offs), [id_col, "__k"])           # #hot x n_chunks rows
+    h = h.join(F.broadcast(offs), [id_col, "__k"])           # <= n_chunks / hot_share rows
     w = Window.partitionBy(id_col, "__k").orderBy(time_col, *tiebreak)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run_s = F.sum(value).over(wr)

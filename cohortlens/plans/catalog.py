@@ -1050,7 +1050,7 @@ def q_best_k(spark, sf):
 
 # ============================================================ secondary panel: events (G1, G3, G5, G6, skew-safe)
 
-EVENT_HOT_ROWS = 64   # users above this many events take the chunked path
+EVENT_MIN_HOT_ROWS = 64   # floor of the hot threshold (hot = > 0.1 % of all events and > 64 events)
 EVENT_CHUNKS = 8
 
 
@@ -1067,7 +1067,7 @@ def q_event_running_stats(spark, sf):
     from cohortlens.operators.skew import running_value_stats
     from cohortlens.plans.panel import events_panel
     ev = events_panel(spark, sf)
-    out = running_value_stats(ev, "user_id", "ts", "value", tiebreak=["event_id"], hot_rows=EVENT_HOT_ROWS,
+    out = running_value_stats(ev, "user_id", "ts", "value", tiebreak=["event_id"], min_hot_rows=EVENT_MIN_HOT_ROWS,
                               n_chunks=EVENT_CHUNKS, slope=False)
     return out.select("user_id", "event_id", F.col("n_seq").cast("int").alias("n_seq"), "delta_value",
                       r9("value_media_hist").alias("value_media_hist"), "value_min_hist", "value_max_hist",

@@ -28,8 +28,9 @@ def collect(df):
 
 def test_chunked_equals_plain(spark):
     df = skewed(spark)
-    plain = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_rows=10**9))
-    chunked = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_rows=100, n_chunks=16))
+    plain = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], min_hot_rows=10**9))
+    chunked = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_share=0.0,
+                                          min_hot_rows=10, n_chunks=16))
     assert plain.keys() == chunked.keys()
     diff = [k for k in plain if plain[k] != chunked[k]]
     assert not diff, (plain[diff[0]], chunked[diff[0]])
@@ -37,6 +38,17 @@ def test_chunked_equals_plain(spark):
 
 def test_hot_entity_is_split_across_window_partitions(spark):
     df = skewed(spark)
-    out = running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_rows=100, n_chunks=16)
+    out = running_value_stats(df, "user_id", "ts", "value", ["event_id"], min_hot_rows=100, n_chunks=16)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "__k" in plan  # hot rows are windowed per (entity, chunk)
+
+
+def test_hot_threshold_is_relative_to_data(spark):
+    """Only entities above hot_share of all rows are chunked: at most 1/hot_share."""
+    from pyspark.sql import functions as F
+    df = skewed(spark)
+    out = running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_share=0.2, min_hot_rows=1,
+                              n_chunks=8)
+    assert out.count() == df.count()
+    counts = df.groupBy("user_id").count()
+    assert counts.where(F.col("count") > 0.2 * df.count()).count() == 1   # only user 0 is hot
