@@ -115,9 +115,16 @@ def attach_names(df: DataFrame, dim: DataFrame, name_col: str = "NOME", id_col:
 
 
 def listing_order(df: DataFrame, name_col: str = "nome", id_col: str = "ra", time_col: str = K.TIME_COL) -> DataFrame:
-    """H2: by name (or id when there is no name column), then period; nulls last."""
+    """H2: by name (or id when there is no name column), then period; nulls last.
+
+    The id closes the key: the order is total, so the range partitioner can
+    split any large tie group (e.g. many rows without a name) across tasks.
+    """
     first = name_col if name_col in df.columns else id_col
-    return df.orderBy(F.col(first).asc_nulls_last(), F.col(time_col).asc_nulls_last())
+    keys = [F.col(first).asc_nulls_last(), F.col(time_col).asc_nulls_last()]
+    if first != id_col and id_col in df.columns:
+        keys.append(F.col(id_col).asc_nulls_last())
+    return df.orderBy(*keys)
 
 
 def round_records(df: DataFrame, digits: int = 2) -> DataFrame:
