@@ -37,6 +37,13 @@ def request_errors(df: DataFrame, year_range: tuple[int, int] = (2020, 2030),
         checks.append((F.col("pedras_mudadas_total") < 0, "pedras_mudadas_total:minimo"))
     if "pedra" in df.columns:
         checks.append((~F.col("pedra").isin(*K.LEVEL_NAMES), "pedra:dominio"))
+    # report requests: name required when present, age 5-100, risk percentage 0-100
+    if "nome" in df.columns:
+        checks.append((F.col("nome").isNull() | (F.length("nome") < 1), "nome:obrigatorio"))
+    if "idade" in df.columns:
+        checks.append((~F.col("idade").between(5, 100), "idade:intervalo"))
+    if "risco_percentual" in df.columns:
+        checks.append((~F.col("risco_percentual").between(0, 100), "risco_percentual:intervalo"))
     # NULL comparisons stay NULL -> coalesce to "no violation" (optional fields).
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(msg))
                                      for cond, msg in checks]))

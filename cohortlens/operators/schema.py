@@ -141,12 +141,26 @@ def normalize_level_column(df: DataFrame, level_col: str = "PEDRA") -> DataFrame
 
 
 # ------------------------------------------------------------- B10 - B12, F12
+def clean_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """C4 on a frame: listed columns that exist become doubles; others ignored."""
+    todo = {c: clean_numeric(c) for c in columns if c in df.columns}
+    return df.withColumns(todo) if todo else df
+
+
+def _empty_matrix(time_col: str) -> DataFrame:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame([], f"{time_col} int, coluna string, presente boolean, n_nao_nulos bigint")
+
+
 def schema_matrix(tables: Mapping[int, DataFrame], time_col: str = K.TIME_COL) -> DataFrame:
     """One row per (column, year): declared in that year and its non-null count.
 
     One aggregate scan per yearly table; the per-year rows are unpivoted and
-    unioned, so the result has (#columns x #years) rows.
+    unioned, so the result has (#columns x #years) rows.  No tables -> empty.
     """
+    if not tables:
+        return _empty_matrix(time_col)
     parts = []
     all_cols = sorted({c for df in tables.values() for c in df.columns})
     for year, df in sorted(tables.items()):

@@ -132,3 +132,11 @@ def test_report_header_strip_matches_rule_on_random_texts(spark):
     got = {r["i"]: r["s"] for r in df.select("i", strip_report_header(F.col("t")).alias("s")).collect()}
     bad = [(texts[i], got[i], _strip_rule(texts[i])) for i in range(len(texts)) if got[i] != _strip_rule(texts[i])]
     assert not bad, bad[:3]
+
+
+def test_report_request_rules(spark):
+    df = spark.createDataFrame([("1", 2024, 7.0, "", 3, 150.0), ("2", 2024, 7.0, "Ana", 12, 40.0)],
+                               "aluno_id string, ano int, inde double, nome string, idade int, risco_percentual double")
+    out = {r["aluno_id"]: set(r["erros"]) for r in Q.validate(df).collect()}
+    assert out["1"] == {"nome:obrigatorio", "idade:intervalo", "risco_percentual:intervalo"}
+    assert out["2"] == set()

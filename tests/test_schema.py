@@ -87,3 +87,21 @@ def test_normalize_level_column(spark):
     out = B.normalize_level_column(df, "PEDRA_RAW")
     assert out.columns == ["PEDRA", "PEDRA_CODIGO"]
     assert [tuple(r) for r in out.collect()] == [("Quartzo", 0.0), (None, None)]
+
+
+def test_common_columns_empty_and_single(spark):
+    assert B.common_columns({}).count() == 0
+    one = {2022: spark.createDataFrame([(1, 2)], "B int, A int")}
+    assert sorted(r["coluna"] for r in B.common_columns(one).collect()) == ["A", "B"]
+    assert B.unique_columns(one).count() == 2
+
+
+def test_filter_common_features_only(spark):
+    df = spark.createDataFrame([("RA-1", 2022, 1.0, 2.0, "x")], "RA string, ano int, INDE double, IEG double, NOME string")
+    assert B.common_features_only(df).columns == ["RA", "ano", "INDE", "IEG"]
+
+
+def test_clean_numeric_columns_ignores_missing(spark):
+    df = spark.createDataFrame([("7,5", "a")], "x string, y string")
+    out = B.clean_numeric_columns(df, ["x", "missing"])
+    assert out.first()["x"] == 7.5 and out.columns == ["x", "y"]
