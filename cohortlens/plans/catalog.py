@@ -43,6 +43,12 @@ def r9(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 9)
 
 
+def r6(c) -> F.Column:
+    """Regression slopes and z-scores: irrational-like values (no exact ties),
+    rounded coarser so engine-specific float algorithms agree."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
 W_SQL = "WINDOW w AS (PARTITION BY RA ORDER BY ano), " \
         "wr AS (PARTITION BY RA ORDER BY ano ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -64,16 +70,16 @@ def q_deltas(spark, sf):
 
 
 @register("trend_slope", f"""WITH {LEVEL_PANEL_SQL}
-SELECT RA, ano, round({TREND_SQL}, 9) AS tendencia_INDE FROM panel_lvl {W_SQL}""")
+SELECT RA, ano, round({TREND_SQL}, 6) AS tendencia_INDE FROM panel_lvl {W_SQL}""")
 def q_trend(spark, sf):
-    return G.trend_slope(level_panel(spark, sf)).select("RA", "ano", r9("tendencia_INDE").alias("tendencia_INDE"))
+    return G.trend_slope(level_panel(spark, sf)).select("RA", "ano", r6("tendencia_INDE").alias("tendencia_INDE"))
 
 
 @register("trend_slope_asof", f"""WITH {LEVEL_PANEL_SQL}
-SELECT RA, ano, round({TREND_ASOF_SQL}, 9) AS tendencia_INDE_asof FROM panel_lvl {W_SQL}""")
+SELECT RA, ano, round({TREND_ASOF_SQL}, 6) AS tendencia_INDE_asof FROM panel_lvl {W_SQL}""")
 def q_trend_asof(spark, sf):
     return G.trend_slope(level_panel(spark, sf), as_of=True).select(
-        "RA", "ano", r9("tendencia_INDE_asof").alias("tendencia_INDE_asof"))
+        "RA", "ano", r6("tendencia_INDE_asof").alias("tendencia_INDE_asof"))
 
 
 @register("years_in_program", f"""WITH {LEVEL_PANEL_SQL}
@@ -130,7 +136,7 @@ t1 AS (
 t AS (SELECT *, sum(pedras_mudadas) OVER wr AS pedras_mudadas_total FROM t1 {W_SQL})"""
 
 TEMPORAL_OUT = ("RA, ano, INDE, IDA, IPS, IEG, IAA, IAN, PEDRA, PEDRA_CODIGO, delta_INDE, delta_IEG, "
-                "delta_IDA, round(tendencia_INDE, 9) AS tendencia_INDE, anos_no_programa, pedras_mudadas, "
+                "delta_IDA, round(tendencia_INDE, 6) AS tendencia_INDE, anos_no_programa, pedras_mudadas, "
                 "pedras_mudadas_total, ingressante, "
                 + ", ".join(f"{f}_media_hist, {f}_min_hist, {f}_max_hist" for f in G.HIST_FEATURES))
 
@@ -142,7 +148,7 @@ def temporal_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def _temporal_select(df: DataFrame) -> DataFrame:
     cols = ["RA", "ano", "INDE", "IDA", "IPS", "IEG", "IAA", "IAN", "PEDRA", "PEDRA_CODIGO",
-            "delta_INDE", "delta_IEG", "delta_IDA", r9("tendencia_INDE").alias("tendencia_INDE"),
+            "delta_INDE", "delta_IEG", "delta_IDA", r6("tendencia_INDE").alias("tendencia_INDE"),
             "anos_no_programa", "pedras_mudadas", "pedras_mudadas_total", "ingressante"]
     return df.select(*cols, *_hist_cols())
 
@@ -243,14 +249,14 @@ SELECT aluno_id, ano, inde AS INDE, coalesce(ieg, {_M['IEG']}) AS IEG, coalesce(
        coalesce(ips, {_M['IPS']}) AS IPS, coalesce(iaa, {_M['IAA']}) AS IAA,
        coalesce(inde - inde_anterior, 0.0) AS delta_INDE, coalesce(ieg - ieg_anterior, 0.0) AS delta_IEG,
        coalesce(ida - ida_anterior, 0.0) AS delta_IDA, CAST(coalesce(anos_no_programa, 1) AS DOUBLE) AS anos_no_programa,
-       round(coalesce(tendencia_inde, 0.0), 9) AS tendencia_INDE, CAST(0.0 AS DOUBLE) AS pedras_mudadas_total
+       round(coalesce(tendencia_inde, 0.0), 6) AS tendencia_INDE, CAST(0.0 AS DOUBLE) AS pedras_mudadas_total
 FROM req"""
 
 
 @register("cold_start", COLD_START_SQL)
 def q_cold_start(spark, sf):
     f = CL.risk_request_features(request_view(spark, sf))
-    return f.select("aluno_id", "ano", *[r9(c).alias(c) if c == "tendencia_INDE" else c for c in K.RISK_FEATURES])
+    return f.select("aluno_id", "ano", *[r6(c).alias(c) if c == "tendencia_INDE" else c for c in K.RISK_FEATURES])
 
 
 @register("request_deltas", f"""WITH {REQUEST_SQL}
@@ -647,11 +653,11 @@ def latest_complete(spark, sf) -> DataFrame:
 
 
 @register("zscore", f"""WITH {LATEST_CC_SQL}
-SELECT RA, {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 9) AS {c}_z" for c in K.CLUSTER_FEATURES)}
+SELECT RA, {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 6) AS {c}_z" for c in K.CLUSTER_FEATURES)}
 FROM latcc""")
 def q_zscore(spark, sf):
     z = M.zscore(latest_complete(spark, sf), K.CLUSTER_FEATURES)
-    return z.select("RA", *[r9(f"{c}_z").alias(f"{c}_z") for c in K.CLUSTER_FEATURES])
+    return z.select("RA", *[r6(f"{c}_z").alias(f"{c}_z") for c in K.CLUSTER_FEATURES])
 
 
 EMB_DIM = 64
@@ -1101,13 +1107,13 @@ _register_csv_sql()
 
 @register("modeling_matrix", f"""{TARGET_SQL}
 SELECT {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c != "tendencia_INDE"
-                  else f"round(coalesce({c}, 0.0), 9) AS {c}" for c in K.RISK_FEATURES)}, {K.TARGET_COL}
+                  else f"round(coalesce({c}, 0.0), 6) AS {c}" for c in K.RISK_FEATURES)}, {K.TARGET_COL}
 FROM tt WHERE {K.TARGET_COL} IS NOT NULL""")
 def q_modeling_matrix(spark, sf):
     """Rows with a target, all-NULL features dropped, remaining NULLs -> 0."""
     from cohortlens.operators.models import prepare_for_modeling
     m = prepare_for_modeling(target_panel(spark, sf), K.RISK_FEATURES)
-    return m.select(*[F.col(c).cast("double").alias(c) if c != "tendencia_INDE" else r9(c).alias(c)
+    return m.select(*[F.col(c).cast("double").alias(c) if c != "tendencia_INDE" else r6(c).alias(c)
                       for c in K.RISK_FEATURES], K.TARGET_COL)
 
 
