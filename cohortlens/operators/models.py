@@ -72,6 +72,30 @@ def prepare_for_modeling(df: DataFrame, features: Sequence[str], target: str = K
     return sub.fillna(0.0, subset=keep)
 
 
+ROWS_PER_PARTITION = 500_000
+
+
+def right_sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Persist ``df`` in about ``rows_per_partition`` rows per partition.
+
+    Iterative learners launch several jobs per iteration; on a small
+    training set the per-task overhead of many tiny partitions dominates,
+    on a large one we keep (or raise) the parallelism.  One count of the
+    persisted data decides.
+    """
+    import math
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
+    want = max(1, math.ceil(n / rows_per_partition))
+    have = cached.rdd.getNumPartitions()
+    if want == have:
+        return cached
+    resized = (cached.coalesce(want) if want < have else cached.repartition(want)).persist(StorageLevel.MEMORY_AND_DISK)
+    resized.count()
+    cached.unpersist()
+    return resized
+
+
 def _prob1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
@@ -85,7 +109,7 @@ def train_risk_classifier(df: DataFrame, features: Sequence[str] = K.RISK_FEATUR
         id_col, *[F.col(f).cast("double").alias(f) for f in feats],
         F.col(target).cast("double").alias("label"), "split")
     data = data.withColumn("w", F.when(F.col("label") == 1.0, POSITIVE_WEIGHT).otherwise(1.0))
-    train = data.where("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
+    train = right_sized(data.where("split = 'train'"))
     params = dict(GBT_PARAMS, maxIter=max_iter)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
                             GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", **params)])
@@ -147,7 +171,7 @@ def train_profiles(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATUR
     cc = latest.dropna(subset=feats)
     prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
-    scaled = prep.transform(cc).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = right_sized(prep.transform(cc).select("scaled"))
 
     def fit(s: int):
         m = KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="scaled", predictionCol="cluster_id").fit(scaled)
@@ -190,7 +214,7 @@ def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, ma
     cc = latest.dropna(subset=feats)
     prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
-    scaled = prep.transform(cc).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = right_sized(prep.transform(cc).select("scaled"))
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(k: int):
