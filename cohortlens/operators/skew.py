@@ -37,10 +37,15 @@ DEFAULT_CHUNKS = 1024
 
 
 def numeric_time(df: DataFrame, time_col: str) -> Column:
-    """Time as a number: epoch microseconds for timestamps, else the value."""
+    """Time as a number: fractional days since 1970-01-01 for timestamps and
+    dates (independent of the session time zone for TIMESTAMP_NTZ), else
+    the value itself."""
     typ = dict(df.dtypes)[time_col]
-    if typ.startswith("timestamp"):
-        return F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
+    if typ == "timestamp_ntz":
+        us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{time_col}`)")
+        return us.cast("double") / F.lit(86_400_000_000.0)
+    if typ == "timestamp":
+        return F.unix_micros(F.col(time_col)).cast("double") / F.lit(86_400_000_000.0)
     if typ == "date":
         return F.unix_date(F.col(time_col)).cast("double")
     return F.col(time_col).cast("double")

@@ -1064,20 +1064,25 @@ EVENT_CHUNKS = 8
 SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS n_seq, value - lag(value) OVER w AS delta_value,
        round(avg(value) OVER wr, 9) AS value_media_hist, min(value) OVER wr AS value_min_hist,
        max(value) OVER wr AS value_max_hist, round(sum(value) OVER wr, 9) AS value_soma_hist,
-       count(*) OVER (PARTITION BY user_id) AS n_total
+       count(*) OVER (PARTITION BY user_id) AS n_total,
+       round(CASE WHEN count(value) OVER (PARTITION BY user_id) < 2 THEN 0.0
+                  ELSE coalesce(regr_slope(value, epoch_us(ts) / 86400000000.0) OVER (PARTITION BY user_id), 0.0)
+             END, 6) AS tendencia_value
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
        wr AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_event_running_stats(spark, sf):
-    """Per-user running statistics of event values, hot users split in time chunks."""
+    """Per-user running statistics and value trend (per day) of event values,
+    hot users split in time chunks (G1, G2, G3, G5, G6 on the secondary panel)."""
     from cohortlens.operators.skew import running_value_stats
     from cohortlens.plans.panel import events_panel
     ev = events_panel(spark, sf)
     out = running_value_stats(ev, "user_id", "ts", "value", tiebreak=["event_id"], min_hot_rows=EVENT_MIN_HOT_ROWS,
-                              n_chunks=EVENT_CHUNKS, slope=False)
+                              n_chunks=EVENT_CHUNKS, slope=True)
     return out.select("user_id", "event_id", F.col("n_seq").cast("int").alias("n_seq"), "delta_value",
                       r9("value_media_hist").alias("value_media_hist"), "value_min_hist", "value_max_hist",
-                      r9("value_soma_hist").alias("value_soma_hist"), "n_total")
+                      r9("value_soma_hist").alias("value_soma_hist"), "n_total",
+                      r6("tendencia_value").alias("tendencia_value"))
 
 
 
