@@ -163,19 +163,36 @@ def detected_sql() -> str:
             " ELSE {s} >= " + str(DISTANCE_THRESHOLD) + " END")
 
 
-def _finish(stats: DataFrame, stattest: str) -> DataFrame:
+def _ks_exact_column() -> F.Column:
+    """Exact KS p-value per (comparison, feature) row -- a pandas UDF over the
+    statistics table, which has one row per group (bounded input)."""
+    from cohortlens.functions.ks_exact import ks_exact_udf
+    return ks_exact_udf(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))
+
+
+def _finish(stats: DataFrame, stattest: str, ks_method: str = "asymp") -> DataFrame:
+    from cohortlens.functions.ks_exact import MAX_EXACT
     t = stats
     for stage in STAGES:
         t = t.withColumns({n: F.expr(e) for n, e in stage})
     t = t.withColumns({n: F.expr(e) for n, e in score_columns()})
+    if ks_method == "exact":
+        small = F.greatest(F.col("n_ref"), F.col("n_cur")) <= MAX_EXACT
+        t = t.withColumn("p_ks", F.when(small, _ks_exact_column()).otherwise(F.col("p_ks")))
     t = t.withColumn("stattest", F.expr(choose_test_sql(stattest)))
     t = t.withColumn("drift_score", F.expr(score_sql().replace("{t}", "stattest")))
     return t.withColumn("drift_detected",
                         F.expr(detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")))
 
 
-def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64) -> DataFrame:
-    """K4 result: (cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, drift_detected)."""
+def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64,
+                ks_method: str = "asymp") -> DataFrame:
+    """K4 result: (cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, drift_detected).
+
+    ``ks_method="exact"`` uses the exact small-sample KS p-value (both sizes
+    <= 10 000), as two-sample KS implementations do by default; "asymp"
+    (default) uses the Kolmogorov series, which is SQL-expressible.
+    """
     keys = ["cmp", "feature"]
     counts = long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
                                            F.count_if(F.col("per") == 1).alias("b"))
@@ -208,7 +225,7 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64) ->
         # population std of the reference, two-pass over the value counts
         F.sqrt(F.sum(F.col("a") * F.pow(F.col("x") - F.col("ref_mean"), 2)) / F.first("n_ref")).alias("ref_std"),
     )
-    out = _finish(stats, stattest)
+    out = _finish(stats, stattest, ks_method)
     return out.select(*keys, "n_ref", "n_cur", "n_values", "stattest", "drift_score", "drift_detected")
 
 

@@ -513,6 +513,12 @@ _register_drift_table("drift_ztest", "z", K.DRIFT_FEATURES)
 _register_drift_table("drift_auto", "auto", K.DRIFT_FEATURES)
 
 
+@register("drift_ks_exact")
+def q_drift_ks_exact(spark, sf):
+    """K4 with the exact small-sample KS p-value (rows-only: not SQL-expressible)."""
+    return D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES), "ks", ks_method="exact")
+
+
 @register("drift_summary", f"WITH {LEVEL_PANEL_SQL},"
           f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True, complete=True)}{_drift_table_sql('auto')}"
           f"{DRIFT_SUMMARY_SQL}")

@@ -106,3 +106,14 @@ def test_histogram_counts(spark):
     h = D.histogram(D.long_periods(df, ["x"], 1, [2]), bins=10).collect()
     assert sum(r["n_ref"] for r in h) == 4 and sum(r["n_cur"] for r in h) == 2
     assert max(r["bin"] for r in h) == 9
+
+
+def test_exact_ks_in_drift_table(spark):
+    from cohortlens.functions.ks_exact import ks_exact_pvalue
+    rng = np.random.default_rng(12)
+    ref, cur = rng.normal(0, 1, 60).round(3), rng.normal(0.6, 1, 45).round(3)
+    xs = np.union1d(ref, cur)
+    d = max(abs((ref <= x).mean() - (cur <= x).mean()) for x in xs)
+    df = frame(spark, ref, 2022).unionByName(frame(spark, cur, 2023))
+    r = D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), "ks", n_buckets=4, ks_method="exact").first()
+    assert r["drift_score"] == pytest.approx(round(ks_exact_pvalue(d, 60, 45), 4), abs=1e-4)
