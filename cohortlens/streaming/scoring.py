@@ -22,22 +22,28 @@ REQUEST_SCHEMA = ("aluno_id string, ano int, inde double, ieg double, ida double
 
 
 def score_requests(requests: DataFrame, risk_model, profile_model=None) -> DataFrame:
-    """Validate, then score valid requests; invalid ones keep their errors."""
+    """Validate, then score every request; invalid ones keep their errors.
+
+    Both models are applied as one chain of ``transform`` calls (profile
+    first, then risk) -- no join between branches of the input, so the same
+    code runs on a batch or a streaming DataFrame.  The cluster-name
+    dimension is a k-row static table (stream-static broadcast join).
+    """
     from cohortlens.operators import models as ML
     v = Q.validate(requests)
-    scored = ML.score_risk(risk_model, CL.risk_request_features(v), keep=("aluno_id", "ano", "erros", "valido"))
+    keep = ["aluno_id", "ano", "erros", "valido"]
     if profile_model is not None:
-        prof = ML.assign_profiles(profile_model, CL.cluster_request_features(v)).select(
-            "aluno_id", "ano", "cluster_id", "cluster_nome")
-        scored = scored.join(prof, ["aluno_id", "ano"], "left") if not requests.isStreaming else scored
-    return scored
+        prof = ML.assign_profiles(profile_model, CL.cluster_request_features(v))
+        v = prof.select(*requests.columns, "erros", "valido", "cluster_id", "cluster_nome")
+        keep += ["cluster_id", "cluster_nome"]
+    return ML.score_risk(risk_model, CL.risk_request_features(v), keep=tuple(keep))
 
 
 def start_scoring_stream(spark, source_dir: str, sink_dir: str, risk_model, name: str = "risk_scoring",
-                         fmt: str = "parquet", trigger_once: bool = True) -> StreamingQuery:
+                         fmt: str = "parquet", trigger_once: bool = True, profile_model=None) -> StreamingQuery:
     """Read request files as they land, score them, append results to ``sink_dir``."""
     stream = spark.readStream.schema(REQUEST_SCHEMA).format(fmt).load(source_dir)
-    out = score_requests(stream, risk_model)
+    out = score_requests(stream, risk_model, profile_model)
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt) \
         .outputMode("append")

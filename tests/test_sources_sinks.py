@@ -86,8 +86,10 @@ def test_streaming_scoring(spark):
     req = catalog.request_view(spark, SF001)
     req.write.parquet(src)
     risk = ML.train_risk_classifier(catalog.target_panel(spark, SF001), max_iter=3)
-    q = start_scoring_stream(spark, src, sink, risk, name="test_stream_" + os.path.basename(d))
+    prof = ML.train_profiles(catalog.latest_complete(spark, SF001), n_init=1, max_iter=20)
+    q = start_scoring_stream(spark, src, sink, risk, name="test_stream_" + os.path.basename(d), profile_model=prof)
     q.awaitTermination(120)
     out = spark.read.parquet(sink)
     assert out.count() == req.count()
     assert out.where(F.col("valido") & F.col("risco_classe").isNull()).count() == 0
+    assert out.where(F.col("cluster_nome").isNull()).count() == 0
