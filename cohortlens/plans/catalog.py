@@ -1055,8 +1055,7 @@ def q_compare_periods(spark, sf):
 @register("best_k")
 def q_best_k(spark, sf):
     """H5: the k with the best silhouette from the k search."""
-    from cohortlens.operators import models as ML
-    ks = ML.k_search(latest_complete(spark, sf), max_k=10)
+    ks = k_search_table(spark, sf)
     return ks.agg(F.max_by("k", "silhouette").alias("best_k"), F.max("silhouette").alias("silhouette"))
 
 
@@ -1207,10 +1206,18 @@ def q_profile_quality(spark, sf):
     return ML.profile_quality(profile_model(spark, sf))
 
 
+def k_search_table(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 once per session and table set (shared by k_search and best_k)."""
+    from cohortlens.operators import models as ML
+    key = ("k_search", id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = ML.k_search(latest_complete(spark, sf), max_k=10)
+    return _MODELS[key]
+
+
 @register("k_search")
 def q_k_search(spark, sf):
-    from cohortlens.operators import models as ML
-    return ML.k_search(latest_complete(spark, sf), max_k=10)
+    return k_search_table(spark, sf)
 
 
 @register("profile_scoring")
