@@ -70,13 +70,13 @@ def q_deltas(spark, sf):
 
 
 @register("trend_slope", f"""WITH {LEVEL_PANEL_SQL}
-SELECT RA, ano, round({TREND_SQL}, 6) AS tendencia_INDE FROM panel_lvl {W_SQL}""")
+SELECT RA, ano, round({TREND_SQL}, 6) + 0.0 AS tendencia_INDE FROM panel_lvl {W_SQL}""")
 def q_trend(spark, sf):
     return G.trend_slope(level_panel(spark, sf)).select("RA", "ano", r6("tendencia_INDE").alias("tendencia_INDE"))
 
 
 @register("trend_slope_asof", f"""WITH {LEVEL_PANEL_SQL}
-SELECT RA, ano, round({TREND_ASOF_SQL}, 6) AS tendencia_INDE_asof FROM panel_lvl {W_SQL}""")
+SELECT RA, ano, round({TREND_ASOF_SQL}, 6) + 0.0 AS tendencia_INDE_asof FROM panel_lvl {W_SQL}""")
 def q_trend_asof(spark, sf):
     return G.trend_slope(level_panel(spark, sf), as_of=True).select(
         "RA", "ano", r6("tendencia_INDE_asof").alias("tendencia_INDE_asof"))
@@ -136,7 +136,7 @@ t1 AS (
 t AS (SELECT *, sum(pedras_mudadas) OVER wr AS pedras_mudadas_total FROM t1 {W_SQL})"""
 
 TEMPORAL_OUT = ("RA, ano, INDE, IDA, IPS, IEG, IAA, IAN, PEDRA, PEDRA_CODIGO, delta_INDE, delta_IEG, "
-                "delta_IDA, round(tendencia_INDE, 6) AS tendencia_INDE, anos_no_programa, pedras_mudadas, "
+                "delta_IDA, round(tendencia_INDE, 6) + 0.0 AS tendencia_INDE, anos_no_programa, pedras_mudadas, "
                 "pedras_mudadas_total, ingressante, "
                 + ", ".join(f"{f}_media_hist, {f}_min_hist, {f}_max_hist" for f in G.HIST_FEATURES))
 
@@ -249,7 +249,7 @@ SELECT aluno_id, ano, inde AS INDE, coalesce(ieg, {_M['IEG']}) AS IEG, coalesce(
        coalesce(ips, {_M['IPS']}) AS IPS, coalesce(iaa, {_M['IAA']}) AS IAA,
        coalesce(inde - inde_anterior, 0.0) AS delta_INDE, coalesce(ieg - ieg_anterior, 0.0) AS delta_IEG,
        coalesce(ida - ida_anterior, 0.0) AS delta_IDA, CAST(coalesce(anos_no_programa, 1) AS DOUBLE) AS anos_no_programa,
-       round(coalesce(tendencia_inde, 0.0), 6) AS tendencia_INDE, CAST(0.0 AS DOUBLE) AS pedras_mudadas_total
+       round(coalesce(tendencia_inde, 0.0), 6) + 0.0 AS tendencia_INDE, CAST(0.0 AS DOUBLE) AS pedras_mudadas_total
 FROM req"""
 
 
@@ -659,7 +659,7 @@ def latest_complete(spark, sf) -> DataFrame:
 
 
 @register("zscore", f"""WITH {LATEST_CC_SQL}
-SELECT RA, {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 6) AS {c}_z" for c in K.CLUSTER_FEATURES)}
+SELECT RA, {", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 6) + 0.0 AS {c}_z" for c in K.CLUSTER_FEATURES)}
 FROM latcc""")
 def q_zscore(spark, sf):
     z = M.zscore(latest_complete(spark, sf), K.CLUSTER_FEATURES)
@@ -1072,7 +1072,7 @@ SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS n_seq, value -
        count(*) OVER (PARTITION BY user_id) AS n_total,
        round(CASE WHEN count(value) OVER (PARTITION BY user_id) < 2 THEN 0.0
                   ELSE coalesce(regr_slope(value, epoch_us(ts) / 86400000000.0) OVER (PARTITION BY user_id), 0.0)
-             END, 6) AS tendencia_value
+             END, 6) + 0.0 AS tendencia_value
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
        wr AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
@@ -1117,7 +1117,7 @@ _register_csv_sql()
 
 @register("modeling_matrix", f"""{TARGET_SQL}
 SELECT {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c != "tendencia_INDE"
-                  else f"round(coalesce({c}, 0.0), 6) AS {c}" for c in K.RISK_FEATURES)}, {K.TARGET_COL}
+                  else f"round(coalesce({c}, 0.0), 6) + 0.0 AS {c}" for c in K.RISK_FEATURES)}, {K.TARGET_COL}
 FROM tt WHERE {K.TARGET_COL} IS NOT NULL""")
 def q_modeling_matrix(spark, sf):
     """Rows with a target, all-NULL features dropped, remaining NULLs -> 0."""
