@@ -208,27 +208,37 @@ def profile_quality(model: ProfileModel) -> DataFrame:
 
 
 def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, max_k: int = 10,
-             max_iter: int = KMEANS_MAX_ITER, seed: int = KMEANS_SEED) -> DataFrame:
-    """k = 2..max_k -> (k, silhouette, cost); the scaled data is cached once."""
+             max_iter: int = KMEANS_MAX_ITER, seed: int = KMEANS_SEED, n_init: int = 10,
+             parallelism: int = 4) -> DataFrame:
+    """k = 2..max_k -> (k, silhouette, cost), each k the best of ``n_init``
+    seeded fits by cost.  The scaled data is cached once and the (k, seed)
+    fits run as concurrent Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
     feats = list(features)
     cc = latest.dropna(subset=feats)
     prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
     scaled = right_sized(prep.transform(cc).select("scaled"))
-    from concurrent.futures import ThreadPoolExecutor
 
-    def fit(k: int):
-        return k, KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="scaled",
-                         predictionCol="cluster_id").fit(scaled)
-
-    with ThreadPoolExecutor(max_workers=4) as pool:       # independent fits as concurrent jobs
-        fitted = list(pool.map(fit, range(2, max_k + 1)))
+    def fit(ks):
+        k, s = ks
+        m = KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="scaled", predictionCol="cluster_id").fit(scaled)
+        return k, m.summary.trainingCost, s, m
+
+    jobs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(max(1, n_init))]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(fit, jobs))
+    best: dict[int, tuple] = {}
+    for k, cost, s, m in fitted:
+        if k not in best or (cost, s) < best[k][:2]:
+            best[k] = (cost, s, m)
     frames = []
-    for k, km in fitted:
+    for k in sorted(best):
+        cost, _, km = best[k]
         lab = km.transform(scaled).withColumn("v", vector_to_array("scaled"))
         sil = M.silhouette_sq(lab, "cluster_id", vec_col="v", dim=len(feats))
-        frames.append(sil.select(F.lit(k).alias("k"), "silhouette",
-                                 F.lit(float(km.summary.trainingCost)).alias("cost")))
+        frames.append(sil.select(F.lit(k).alias("k"), "silhouette", F.lit(float(cost)).alias("cost")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

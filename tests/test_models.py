@@ -66,7 +66,7 @@ def test_profile_scoring_covers_requests(spark, profiles):
 
 
 def test_k_search_cost_decreases(spark):
-    ks = ML.k_search(catalog.latest_complete(spark, SF001), max_k=5, max_iter=50).orderBy("k").collect()
+    ks = ML.k_search(catalog.latest_complete(spark, SF001), max_k=5, max_iter=50, n_init=2).orderBy("k").collect()
     assert [r["k"] for r in ks] == [2, 3, 4, 5]
     assert ks[-1]["cost"] < ks[0]["cost"]
 
