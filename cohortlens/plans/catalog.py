@@ -797,6 +797,22 @@ def _register_harmonize_sql():
 _register_harmonize_sql()
 
 
+@register("common_features", None)
+def q_common_features(spark, sf):
+    """The harmonised union restricted to id, period and the shared indicators."""
+    from cohortlens.operators.schema import common_features_only, harmonize
+    return common_features_only(harmonize(_raw(spark, sf)))
+
+
+def _register_common_features_sql():
+    from cohortlens.plans.raw_years import YEARS_SQL
+    ORACLE["common_features"] = f"""WITH {YEARS_SQL}
+SELECT RA, ano, INDE, IAN, IDA, IEG, IAA, IPS FROM py"""
+
+
+_register_common_features_sql()
+
+
 @register("schema_matrix", _raw_long_sql() + "\nSELECT * FROM matrix")
 def q_schema_matrix(spark, sf):
     from cohortlens.operators.schema import schema_matrix
