@@ -8,7 +8,6 @@ defaults applied, and the prompt rendered by a native ``concat``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import trend_label
 from cohortlens.functions.text import render_template

@@ -8,7 +8,6 @@ the panel views read (see ``plans.panel``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.operators import aggregates as A
@@ -16,7 +15,6 @@ from cohortlens.operators import cleaning as CL
 from cohortlens.operators import drift as D
 from cohortlens.operators import models as ML
 from cohortlens.operators import quality as Q
-from cohortlens.operators import temporal as G
 from cohortlens.plans import catalog
 from cohortlens.sources import sinks
 
@@ -98,4 +96,4 @@ def report_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["processed_panel", "train_all", "dashboard", "listing", "drift_across_years", "data_quality",
-           "drift_with_stats", "score_risk_requests", "score_profile_requests", "report_dataset", "G", "F"]
+           "drift_with_stats", "score_risk_requests", "score_profile_requests", "report_dataset"]
