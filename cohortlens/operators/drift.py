@@ -194,9 +194,12 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64,
     (default) uses the Kolmogorov series, which is SQL-expressible.
     """
     keys = ["cmp", "feature"]
-    counts = long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
-                                           F.count_if(F.col("per") == 1).alias("b"))
-    run = bucketed_running_sums(counts, keys, "x", ["a", "b"], n_buckets=n_buckets, next_col="x_next")
+    from cohortlens.session import cut_lineage
+    # Per-value counts feed five branches: checkpoint them once so the panel
+    # upstream is scanned and aggregated a single time.
+    counts = cut_lineage(long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
+                                                      F.count_if(F.col("per") == 1).alias("b")))
+    run = bucketed_running_sums(counts, keys, "x", ["a", "b"], n_buckets=n_buckets, next_col="x_next", cut=False)
     sizes = counts.groupBy(*keys).agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
                                       F.count(F.lit(1)).alias("n_values"),
                                       (F.sum(F.col("a") * F.col("x")) / F.sum("a")).alias("ref_mean"),

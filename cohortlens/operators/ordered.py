@@ -27,14 +27,19 @@ from pyspark.sql import functions as F
 
 
 def bucketed_running_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
-                          n_buckets: int = 64, next_col: str | None = None) -> DataFrame:
+                          n_buckets: int = 64, next_col: str | None = None, cut: bool = True) -> DataFrame:
     """Add ``cum_<v>`` (inclusive running sum of ``v`` ordered by ``order_col``
     within ``keys``) for each value column; optionally ``next_col`` = the next
     ``order_col`` value in the group (NULL for the last).
 
     ``order_col`` must be unique within a group (pre-aggregate first).
+    The input feeds four branches, so it is checkpointed first (``cut``)
+    unless the caller already did.
     """
     keys = list(keys)
+    if cut:
+        from cohortlens.session import cut_lineage
+        df = cut_lineage(df)
     x = F.col(order_col)
     if n_buckets > 1:
         probs = [i / n_buckets for i in range(1, n_buckets)]

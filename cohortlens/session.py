@@ -69,3 +69,15 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable, eager ``checkpoint()`` into the shared checkpoint folder.
+
+    Used where a small pre-aggregated table feeds several branches of one
+    plan: every branch then reads the checkpoint instead of re-running the
+    upstream scan and aggregation (adaptive execution does not always reuse
+    the exchange), and a lost executor never recomputes the upstream.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
