@@ -66,8 +66,9 @@ def dashboard_kpis(panel: DataFrame, id_col: str = K.ID_COL, time_col: str = K.T
         F.count_distinct(time_col).alias("n"))).scalar()
     return latest.agg(F.count(F.lit(1)).alias("total_alunos"),
                       F.round(F.avg(index_col), 2).alias("inde_medio")) \
-                 .select("total_alunos", "inde_medio", yrs["anos"].alias("anos_disponiveis"),
-                         yrs["n"].alias("n_anos"))
+                 .withColumn("__y", yrs) \
+                 .select("total_alunos", "inde_medio", F.col("__y.anos").alias("anos_disponiveis"),
+                         F.col("__y.n").alias("n_anos"))
 
 
 def two_period_stats(df: DataFrame, features: Sequence[str], ref_year: int, cur_year: int,

@@ -270,21 +270,26 @@ def compare_periods(df: DataFrame, ref_period, cur_period, features: Sequence[st
     # The summary has 0 or 1 row for this comparison: a scalar subquery, no join.
     fields = [c for c in summary.columns if c != "cmp"]
     sm = summary.select(F.struct(*fields)).scalar()
-    out = sizes.select("cmp", "n_ref_rows", "n_cur_rows", *[sm[c].alias(c) for c in fields])
+    out = sizes.withColumn("__sm", sm).select("cmp", "n_ref_rows", "n_cur_rows",
+                                              *[F.col(f"__sm.{c}").alias(c) for c in fields])
     return out.withColumn("error", F.when((F.col("n_ref_rows") == 0) | (F.col("n_cur_rows") == 0),
                                           F.lit("Dados insuficientes")))
 
 
 def histogram(long: DataFrame, bins: int = 10) -> DataFrame:
     """K5: shared equal-width bins per (cmp, feature) and counts per period."""
+    from cohortlens.session import cut_lineage
     keys = ["cmp", "feature"]
-    rng = long.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = long.join(F.broadcast(rng), keys)  # one row per (cmp, feature) -- bounded
+    # Work on per-value counts (checkpointed, read twice), not on the rows.
+    counts = cut_lineage(long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
+                                                      F.count_if(F.col("per") == 1).alias("b")))
+    rng = counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    j = counts.join(F.broadcast(rng), keys)  # one row per (cmp, feature) -- bounded
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     return (j.withColumn("bin", b).groupBy(*keys, "bin", "lo", "hi")
-            .agg(F.count_if(F.col("per") == 0).alias("n_ref"), F.count_if(F.col("per") == 1).alias("n_cur")))
+            .agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur")))
 
 
 def drift_lines(table: DataFrame, stats: DataFrame | None = None) -> DataFrame:

@@ -46,6 +46,8 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") ->
 def weighted_metrics(conf: DataFrame) -> DataFrame:
     """Support-weighted precision / recall / F1 from a confusion table
     (classes = labels or predictions seen; 0 when a ratio is undefined)."""
+    from cohortlens.session import cut_lineage
+    conf = cut_lineage(conf)   # <= classes^2 rows, read by three branches
     by_label = conf.groupBy(F.col("label").alias("c")).agg(F.sum("n").alias("support"))
     by_pred = conf.groupBy(F.col("prediction").alias("c")).agg(F.sum("n").alias("predicted"))
     tp = conf.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("c"), F.col("n").alias("tp"))
@@ -86,9 +88,11 @@ def zscore(df: DataFrame, features: Sequence[str], suffix: str = "_z") -> DataFr
     """Standardise with population std (one aggregate, used as a scalar subquery)."""
     st = df.agg(F.struct(*[F.avg(f).alias(f"m_{f}") for f in features],
                          *[F.stddev_pop(f).alias(f"s_{f}") for f in features])).scalar()
-    exprs = {f"{f}{suffix}": F.when(st[f"s_{f}"] > 0, (F.col(f) - st[f"m_{f}"]) / st[f"s_{f}"])
+    # Project the struct once: one subquery, not one per field.
+    j = df.withColumn("__st", st)
+    exprs = {f"{f}{suffix}": F.when(F.col(f"__st.s_{f}") > 0, (F.col(f) - F.col(f"__st.m_{f}")) / F.col(f"__st.s_{f}"))
              .otherwise(F.lit(0.0)) for f in features}
-    return df.withColumns(exprs)
+    return j.withColumns(exprs).drop("__st")
 
 
 # ------------------------------------------------------------------------ J11
@@ -152,13 +156,14 @@ def davies_bouldin(df: DataFrame, cluster_col: str, features: Sequence[str] | No
     """Davies-Bouldin index (Euclidean): mean over clusters of the max over
     other clusters of (S_i + S_j) / |c_i - c_j|; S = mean distance to centroid."""
     d = dim if dim is not None else len(features)
+    from cohortlens.session import cut_lineage
     pts = _points(df, cluster_col, features, vec_col)
-    cents = _centroids(pts, d)
+    cents = cut_lineage(_centroids(pts, d))          # k rows, read twice
     own = pts.join(F.broadcast(cents.select("cluster", "c")), "cluster")
     diff = F.zip_with("v", "c", lambda x, y: (x - y) * (x - y))
     spread = own.groupBy("cluster").agg(
         F.avg(F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))).alias("s"))
-    cl = cents.join(spread, "cluster").select("cluster", "c", "s")
+    cl = cut_lineage(cents.join(spread, "cluster").select("cluster", "c", "s"))   # k rows, read twice
     allc = cl.agg(F.collect_list(F.struct(F.col("cluster").alias("k"), F.col("c").alias("cc"),
                                           F.col("s").alias("ss")))).scalar()
     j = cl.withColumn("__all", allc)  # projected: no subquery inside a lambda
@@ -180,7 +185,8 @@ def cluster_profile(df: DataFrame, cluster_col: str, features: Sequence[str]) ->
         F.count(F.lit(1)).alias("n_alunos"),
         *[F.avg(f).alias(f"{f}_mean") for f in features],
         *[F.stddev_samp(f).alias(f"{f}_std") for f in features])
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # Total from the k-row group table itself (a window over k rows), not a second pass.
+    total = F.sum("n_alunos").over(Window.partitionBy(F.lit(0)))
     return g.withColumn("percentual", F.col("n_alunos") * 100.0 / total)
 
 

@@ -203,8 +203,9 @@ def profile_quality(model: ProfileModel) -> DataFrame:
     sil = M.silhouette_sq(a, "cluster_id", vec_col="v", dim=d).select("silhouette", "n_points")
     db = M.davies_bouldin(a, "cluster_id", vec_col="v", dim=d).select(
         F.struct("davies_bouldin", "n_clusters")).scalar()
-    return sil.select("silhouette", "n_points", db["davies_bouldin"].alias("davies_bouldin"),
-                      db["n_clusters"].alias("n_clusters"))
+    return sil.withColumn("__db", db).select("silhouette", "n_points",
+                                             F.col("__db.davies_bouldin").alias("davies_bouldin"),
+                                             F.col("__db.n_clusters").alias("n_clusters"))
 
 
 def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, max_k: int = 10,

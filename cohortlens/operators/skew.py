@@ -83,7 +83,9 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     share a timestamp stay in one chunk (the order key beyond time is the
     tiebreak, which quantiles do not split).
     """
-    counts = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
+    from cohortlens.session import cut_lineage
+    # One row per entity; read for the total and the hot list -> checkpoint once.
+    counts = cut_lineage(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).scalar()
     threshold = F.greatest(F.lit(float(min_hot_rows)), total * F.lit(float(hot_share)))
     hot_ids = counts.where(F.col("__n") > threshold)         # at most 1 / hot_share rows
@@ -100,7 +102,8 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
                                      F.count(F.lit(1)).alias("n_total"),
                                      *([F.coalesce(F.regr_slope(F.col(value), t), F.lit(0.0))
                                         .alias(f"tendencia_{value}")] if slope else []))
-    h = hot.join(F.broadcast(bounds), id_col)                 # <= 1 / hot_share rows
+    bounds = cut_lineage(bounds)                              # <= 1 / hot_share rows, read twice
+    h = hot.join(F.broadcast(bounds), id_col)
     h = h.withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
 
     ordering = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
