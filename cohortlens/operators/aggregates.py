@@ -157,7 +157,9 @@ def complete_case_value(df: DataFrame, features: Sequence[str], value: Column, o
 
 def lookup(df: DataFrame, id_col: str, value) -> DataFrame:
     """The first row of one id (by period, then all columns for determinism)."""
-    return df.where(F.col(id_col) == F.lit(value)).orderBy(*df.columns).limit(1)
+    val = value if isinstance(value, Column) else F.lit(value)
+    cols = [c for c in df.columns if not c.startswith("__")]
+    return df.where(F.col(id_col) == val).orderBy(*cols).limit(1)
 
 
 def first_per_entity(df: DataFrame, id_col: str = K.ID_COL, time_col: str = K.TIME_COL,

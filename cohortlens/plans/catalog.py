@@ -1022,9 +1022,11 @@ SELECT * FROM panel_lvl WHERE RA = (SELECT max(RA) FROM panel_lvl)
 ORDER BY ano LIMIT 1""")
 def q_point_lookup(spark, sf):
     """First record of one id (the largest id present)."""
+    from cohortlens.sources.tables import read_table
     df = level_panel(spark, sf)
-    top = df.agg(F.max("RA")).scalar()
-    return df.where(F.col("RA") == top).orderBy("ano").limit(1)
+    # The panel's ids are the order customers: take the largest straight from the scan.
+    top = read_table(spark, sf, "orders").agg(F.max("o_custkey")).scalar()
+    return A.lookup(df.withColumn("__top", top), "RA", F.col("__top")).drop("__top")
 
 
 @register("level_options", f"""WITH {LEVEL_PANEL_SQL}
