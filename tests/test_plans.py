@@ -42,3 +42,19 @@ def test_yearly_tables_read_pruned_partitions(spark):
     y = min(tables)
     plan = plan_of(tables[y])
     assert "PartitionFilters: [isnotnull(ano" in plan and "Exchange" not in plan
+
+
+def test_no_upstream_recomputation_under_aqe(spark):
+    """Scalar-struct fields and multi-branch inputs must not re-run the panel."""
+    for name, max_scans in (("zscore", 2), ("drift_auto", 1), ("weighted_metrics", 1), ("event_running_stats", 3)):
+        df = E.queries()[name](spark, SF001)
+        df.write.format("noop").mode("overwrite").save()
+        assert plan_of(df).count("FileScan parquet") <= max_scans, name
+
+
+def test_lookup_first_row_of_one_id(spark):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.aggregates import lookup
+    df = spark.createDataFrame([("B", 2023), ("A", 2024), ("A", 2022)], "RA string, ano int")
+    assert tuple(lookup(df, "RA", "A").first()) == ("A", 2022)
+    assert tuple(lookup(df.withColumn("__v", F.lit("B")), "RA", F.col("__v")).drop("__v").first()) == ("B", 2023)
