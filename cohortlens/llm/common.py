@@ -12,7 +12,7 @@ from cohortlens.session import materialize
 
 __all__ = ["arrow_map", "held_out", "materialize", "read", "texts"]
 
-ROWS_AT_ONCE = 2048
+ROWS_AT_ONCE = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, token_output
+from . import bin_packing, quality_forest, simhash_popcount, token_output
 from .common import materialize, read
 
 
@@ -13,11 +13,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_popcount.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_output.write_tokens(read(spark, sf_dir, "documents"), token_output.token_folder(spark))
     read_back = materialize(token_output.digests(token_output.read_tokens(spark, folder)), "token-digests")
     return token_output.with_starts(read_back).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op9_token_output": op9_token_output}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_forest.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "anomaly", F.array(*map(F.lit, quality_forest.CAUSES))[F.col("cause")].alias("cause"))
+
+
+QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_token_output": op9_token_output,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE: dict[str, str] = {}

@@ -1,9 +1,10 @@
-"""Byte-level BPE ids of whole texts, by the tokenizers library, with a memo of space-separated chunks.
+"""Byte-level BPE ids of whole texts, by the tokenizers library, with a memo of chunks between spaces.
 
-A byte-level BPE cuts a text before every single space that stands between
-two non-space characters, so the ids of a text are the ids of such chunks in
-order. Chunks recur far more often than texts, so each is encoded once per
-task and looked up after that.
+A byte-level BPE first cuts a text into words; a cut stands before every
+single space and around every line break between two non-space characters,
+and between a word's letters and the marks that follow. So the ids of a text
+are the ids of such chunks in order. Chunks recur far more often than texts:
+each is encoded once per task and looked up after that.
 """
 
 from __future__ import annotations
@@ -12,41 +13,87 @@ import re
 
 import numpy as np
 
-MEMO_ENTRIES = 400_000  # entries kept in a task before the memo starts anew
-MEMO_CHARS = 64  # longer chunks are encoded each time
-_PLAIN = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+MEMO_ENTRIES = 250_000  # entries kept in a task before the memo starts anew
+MEMO_CHARS = 40  # longer chunks are encoded each time
+JOINED = 256  # new chunks encoded as one text
+_RUNS = re.compile(r"\s(?=\s|\Z)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 
 
 class WordMemo:
     """``packed(text)``: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = Tokenizer.from_file(path)  # for words of letters alone, one in a line: nothing is left to cut
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.model._resize_cache(0)
+        self.memo: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk after a line break has the break
+        self.marks: dict[str, bytes] = {"": b""}
+        vocabulary = self.whole.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        for token, i in vocabulary.items():
+            self.opens[i] = token.startswith("\u0120")
+        self.line_break = self.whole.encode("\n", add_special_tokens=False).ids
 
-    def chunks(self, text: str) -> list[str]:
-        if _PLAIN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, tokenizer, chunks: list[str], by: str, opens) -> dict[str, bytes]:
+        """Ids of chunks, encoded many in one text; a chunk begins where ``opens`` holds."""
+        out = {}
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at:at + JOINED]
+            (ids,) = self._ids(tokenizer, [by.join(part)])
+            starts = (4 * np.flatnonzero(opens(ids))).tolist()
+            packed = ids.tobytes()
+            out.update((c, packed[a:b]) for c, a, b in zip(part, starts, [*starts[1:], len(packed)], strict=True))
+        return out
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        words, lines, spaced, rest = {}, [], [], []
+        for c in new:
+            if m := _WORD.fullmatch(c):
+                words[c] = m.groups()
+            elif " " in c:
+                rest.append(" " + c)
+            elif c[:1] == "\n":
+                (rest if "\n" in c[1:] else lines).append(c)
+            else:
+                spaced.append(" " + c)
+        cores = [" " + w for w in {w for w, _ in words.values()} - self.memo.keys()]
+        found = self._joined(self.letters, cores, "\n", lambda ids: self.opens[ids])
+        found |= self._joined(self.whole, spaced, "", lambda ids: self.opens[ids])
+        out = {c[1:]: x for c, x in found.items()}
+        if len(self.line_break) == 1:
+            out |= self._joined(self.whole, lines, "", lambda ids: ids == self.line_break[0])
+        else:
+            rest += lines
+        out |= {c.removeprefix(" "): x.tobytes() for c, x in zip(rest, self._ids(self.whole, rest))}
+        for marks in {m for _, m in words.values()} - self.marks.keys():
+            self.marks[marks] = self._ids(self.whole, [marks])[0].tobytes()
+        for c, (w, marks) in words.items():
+            if marks:
+                out[c] = (out[w] if w in out else self.memo[w]) + self.marks[marks]
+        return out
 
     def packed_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        cut = [self.chunks(t) for t in texts]
-        new = list(set().union(*cut) - self.memo.keys())
-        memo, extra = self.memo, {}
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (memo if len(chunk) <= MEMO_CHARS else extra)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            memo = {**memo, **extra}
-        return [b"".join(map(memo.__getitem__, c)) for c in cut]
+        cut = [_CUT.split(t) if _RUNS.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [x.tobytes() for x in self._ids(self.whole, [c[0] for c in cut])]
+        wanted = set().union(*(c[1:] for c in cut))
+        if len(self.memo) > MEMO_ENTRIES:  # the words in use just now stay
+            self.memo = {c: self.memo[c] for c in wanted & self.memo.keys()}
+            self.marks = {"": b""}
+        learnt = self._learn(wanted - self.memo.keys())
+        self.memo.update((c, x) for c, x in learnt.items() if len(c) <= MEMO_CHARS)
+        memo = self.memo if wanted <= self.memo.keys() else self.memo | learnt
+        return [head + b"".join(map(memo.__getitem__, c[1:])) for head, c in zip(heads, cut)]
 
     def packed(self, text: str) -> bytes:
         return self.packed_batch([text])[0]
