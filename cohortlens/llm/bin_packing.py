@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, texts
-from .word_memo import WordMemo, tokenizer_path
+from .word_memo import tokenizer_path, worker_memo
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -58,7 +58,7 @@ def _cutter(path: str, capacity: int, separator: int):
     def make():
         from pyspark import TaskContext
 
-        memo, sep = WordMemo(path), np.array([separator], "<u4").tobytes()
+        memo, sep = worker_memo(path), np.array([separator], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with a per-task object: ``make()`` runs once in each task, its result on slices of each batch.
 
     Slices of ROWS_AT_ONCE rows bound what one call holds, however many rows Arrow puts into a batch.

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, quality_forest, simhash_popcount, token_output
-from .common import materialize, read
+from . import bin_packing, quality_forest, simhash_popcount, token_output, toxicity_grammar
+from .common import held_out, materialize, read
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_grammar.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity_grammar.score(docs, model, spans=False)
+    return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted", *(f"n_{k}" for k in toxicity_grammar.KINDS))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_token_output": op9_token_output,

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import ensure_checkpoint_dir
 
 from .common import arrow_map, texts
-from .word_memo import WordMemo, tokenizer_path
+from .word_memo import tokenizer_path, worker_memo
 
 END_ID = 2
 SCHEMA = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
@@ -41,7 +41,7 @@ def _encoder(path: str, end_id: int):
     def make():
         from pyspark import TaskContext
 
-        memo, end, part = WordMemo(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        memo, end, part = worker_memo(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         done = 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

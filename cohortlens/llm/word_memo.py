@@ -9,11 +9,13 @@ each is encoded once per task and looked up after that.
 
 from __future__ import annotations
 
+import os
 import re
+from functools import cache
 
 import numpy as np
 
-MEMO_ENTRIES = 250_000  # entries kept in a task before the memo starts anew
+MEMO_ENTRIES = 700_000  # entries kept in a task before the memo starts anew
 MEMO_CHARS = 40  # longer chunks are encoded each time
 JOINED = 256  # new chunks encoded as one text
 _RUNS = re.compile(r"\s(?=\s|\Z)")
@@ -25,6 +27,7 @@ class WordMemo:
     """``packed(text)``: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -67,7 +70,7 @@ class WordMemo:
                 (rest if "\n" in c[1:] else lines).append(c)
             else:
                 spaced.append(" " + c)
-        cores = [" " + w for w in {w for w, _ in words.values()} - self.memo.keys()]
+        cores = [" " + w for w in {w for w, _ in words.values()} if w not in self.memo]
         found = self._joined(self.letters, cores, "\n", lambda ids: self.opens[ids])
         found |= self._joined(self.whole, spaced, "", lambda ids: self.opens[ids])
         out = {c[1:]: x for c, x in found.items()}
@@ -90,7 +93,7 @@ class WordMemo:
         if len(self.memo) > MEMO_ENTRIES:  # the words in use just now stay
             self.memo = {c: self.memo[c] for c in wanted & self.memo.keys()}
             self.marks = {"": b""}
-        learnt = self._learn(wanted - self.memo.keys())
+        learnt = self._learn({c for c in wanted if c not in self.memo})
         self.memo.update((c, x) for c, x in learnt.items() if len(c) <= MEMO_CHARS)
         memo = self.memo if wanted <= self.memo.keys() else self.memo | learnt
         return [head + b"".join(map(memo.__getitem__, c[1:])) for head, c in zip(heads, cut)]
@@ -99,6 +102,12 @@ class WordMemo:
         return self.packed_batch([text])[0]
 
 
+@cache
+def worker_memo(path: str) -> WordMemo:
+    """The one memo of this Python worker, which serves many tasks."""
+    return WordMemo(path)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
