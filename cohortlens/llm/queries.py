@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, quality_forest, simhash_popcount, token_output, toxicity_grammar
+from . import bin_packing, chat_prefix, html_article, quality_forest, simhash_popcount, token_output, toxicity_grammar
 from .common import held_out, materialize, read
 
 
@@ -16,6 +16,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted", *(f"n_{k}" for k in toxicity_grammar.KINDS))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_article.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_prefix.digest(chat_prefix.examples(turns.unionByName(chat_prefix.control_conversation(spark))))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed_documents(read(spark, sf_dir, "documents"))
 
@@ -38,9 +47,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+# op 4: turns and loss text straight from the table; the formatted length follows from the template's marks.
+_OP4 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+numbered AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(17 + length(regexp_replace(replace(role, '\', '\\'), '(<)(/?s>|</?SYS>>)|(\[)(/?INST\])', '\0#', 'g'))
+           + length(regexp_replace(replace(text, '\', '\\'), '(<)(/?s>|</?SYS>>)|(\[)(/?INST\])', '\0#', 'g'))) OVER w AS chars
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
+FROM numbered GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op4_chat_formatting": _OP4}
