@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, html_article, quality_forest, simhash_popcount, token_output, toxicity_grammar
+from . import bin_packing, chat_prefix, decontaminate, html_article, quality_forest, simhash_popcount, token_output, toxicity_grammar
 from .common import held_out, materialize, read
 
 
@@ -33,6 +33,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_popcount.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_output.write_tokens(read(spark, sf_dir, "documents"), token_output.token_folder(spark))
     read_back = materialize(token_output.digests(token_output.read_tokens(spark, folder)), "token-digests")
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
