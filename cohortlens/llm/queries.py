@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, decontaminate, html_article, quality_forest, simhash_popcount, token_output, toxicity_grammar
+from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, toxicity_grammar
 from .common import held_out, materialize, read
 
 
@@ -25,6 +25,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.digest(chat_prefix.examples(turns.unionByName(chat_prefix.control_conversation(spark))))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed_documents(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,
