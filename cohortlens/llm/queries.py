@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, toxicity_grammar
+from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, toxicity_grammar, warc_fixity
 from .common import held_out, materialize, read
 
 
@@ -16,6 +16,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted", *(f"n_{k}" for k in toxicity_grammar.KINDS))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as WARC replicas; the second has some records with another last byte, and each lacks some of the other's."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    own = warc_fixity.record_bytes(F.col("url"), F.col("html"))
+    rotten = F.when(F.pmod("page_id", F.lit(97)) == 13, F.concat(F.substring(own, 1, F.octet_length(own) - 1), F.encode(F.lit("X"), "UTF-8"))).otherwise(own)
+    here = warc_fixity.records(pages).filter("page_id is null or page_id % 401 <> 5")
+    there = warc_fixity.records(pages, rotten).filter("page_id is null or page_id % 389 <> 7")
+    return warc_fixity.audit(warc_fixity.tree(here), warc_fixity.tree(there))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_article.extract(read(spark, sf_dir, "pages"))
 
@@ -55,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_line_dedup": op5_line_dedup,
@@ -83,4 +94,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op4_chat_formatting": _OP4}
+# op 2: records straight from the table, compared one by one.
+_OP2 = """
+WITH made AS (
+  SELECT page_id, coalesce(page_id // 1024, -1) AS segment,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
+    'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) ||
+    chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) AS body FROM pages),
+placed AS (
+  SELECT page_id, segment, strlen(body) + 1 AS len, sha256(body || chr(10)) AS a,
+    CASE WHEN page_id % 97 = 13 THEN sha256(body || 'X') ELSE sha256(body || chr(10)) END AS b,
+    sum(strlen(body) + 1) OVER (PARTITION BY segment ORDER BY page_id, sha256(body || chr(10)) ROWS UNBOUNDED PRECEDING) - strlen(body) - 1 AS pos
+  FROM made),
+sides AS (
+  SELECT *, page_id IS NULL OR page_id % 401 <> 5 AS here, page_id IS NULL OR page_id % 389 <> 7 AS there FROM placed)
+SELECT segment::BIGINT AS segment, pos::BIGINT AS "offset", page_id,
+  CASE WHEN NOT there THEN 'missing' WHEN NOT here THEN 'additional' ELSE 'corrupt' END AS status,
+  CASE WHEN here THEN len END::BIGINT AS first_length, CASE WHEN there THEN len END::BIGINT AS second_length,
+  CASE WHEN here THEN a END AS first_digest, CASE WHEN there THEN b END AS second_digest
+FROM sides WHERE (here OR there) AND (here <> there OR a <> b)
+"""
+
+ORACLE: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_chat_formatting": _OP4}
