@@ -237,7 +237,7 @@ def evolve(sizes: np.ndarray, start: list[list[int]] | None, patterns: list[list
 
 
 def _island(capacity: int, migrants: int, seed: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         island = int(key[0])
         items = rows[rows["kind"] == 0].sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
         patterns = [list(map(int, p)) for p in rows.loc[rows["kind"] == 1, "pattern"]]

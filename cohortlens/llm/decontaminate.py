@@ -268,9 +268,9 @@ def _reporter(block: list[tuple[int, str]], repetitions: int):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, with their columns as they are."""
     for block in item_blocks(benchmark):
-        schema = StructType([*docs.schema.fields, StructField("_leaks", BooleanType())])
-        marked = arrow_map(docs.withColumn("_text", F.col("text").cast("string")), _marker(block, repetitions_for(block, recall), docs.columns), schema)
-        docs = marked.filter("not _leaks").drop("_leaks")
+        schema = StructType([*docs.schema.fields, StructField("__leaks", BooleanType())])
+        marked = arrow_map(docs.withColumn("__text", F.col("text").cast("string")), _marker(block, repetitions_for(block, recall), docs.columns), schema)
+        docs = marked.filter("not __leaks").drop("__leaks")
     return docs
 
 
@@ -280,8 +280,8 @@ def _marker(block: list[tuple[int, str]], repetitions: int, names: list[str]):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             leaks = np.zeros(batch.num_rows, bool)
-            leaks[[m[0] for m in finder.matches(texts(batch.column("_text")))]] = True
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(leaks)], names=[*names, "_leaks"])
+            leaks[[m[0] for m in finder.matches(texts(batch.column("__text")))]] = True
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(leaks)], names=[*names, "__leaks"])
 
         return step
 

@@ -2,8 +2,8 @@
 
 ``statistics`` counts the rule statistics of whole texts. ``fit_forest`` grows
 random trees over their ratios on a bounded sample of documents; a document's
-anomaly is 2 ** (-mean path length / expected path length), and its cause is
-the statistic whose splits parted it from the most sampled rows on the way.
+anomaly is 2 ** (-mean path length / expected path length), and its cause are
+the two statistics whose splits parted it from the most sampled rows on the way.
 ``fit_thresholds`` takes one cut on the anomaly for each cause from labelled
 rows (those not held out): the cuts with the best balanced accuracy among
 documents that pass the base rules.
@@ -81,7 +81,8 @@ def statistics(docs: DataFrame) -> DataFrame:
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
 
 
-CAUSES = ("mean_word", "symbols", "dup_lines", "repeats")
+NAMES = ("mean_word", "symbols", "dup_lines", "repeats")
+CAUSES = tuple(f"{a}, {b}" for a in NAMES for b in NAMES)
 
 
 def features() -> list:
@@ -111,7 +112,7 @@ class Forest:
     rows: int
 
     def anomaly(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Anomaly and cause (a feature's number) of each row."""
+        """Anomaly and cause (the first feature's number times the number of features, plus the second's) of each row."""
         total, credit = np.zeros(len(x)), np.zeros(x.shape)
         bits = np.log2(np.maximum(self.size, 1))
         for root in self.roots:
@@ -127,7 +128,8 @@ class Forest:
                 credit[inner, f] += bits[at] - bits[child]
                 node[inner] = child
             total += self.path[node]
-        return 2.0 ** (-total / max(len(self.roots), 1) / max(float(_expected(self.rows)), 1e-9)), credit.argmax(1)
+        order = np.argsort(-credit, axis=1, kind="stable")
+        return 2.0 ** (-total / max(len(self.roots), 1) / max(float(_expected(self.rows)), 1e-9)), order[:, 0] * x.shape[1] + order[:, 1]
 
 
 def grow(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 11) -> Forest:
@@ -197,7 +199,7 @@ def best_cuts(table: np.ndarray) -> list[float]:
         if not gone.sum():
             cuts.append(1.0)
             continue
-        value = np.concatenate([[0], np.cumsum(stay)]) / good - np.concatenate([[0], np.cumsum(gone)]) / bad  # under k / bins: kept
+        value = np.concatenate([[0], np.cumsum(stay) / good - np.cumsum(gone) / bad])  # under k / bins: kept
         best = np.nonzero(value >= value.max() - 1e-12)[0]
         cuts.append(float((best[0] + best[-1]) / 2 / bins))
     return cuts

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = M
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS) -> DataFrame:
     """One row of each group: the smallest doc_id (null ids last), then the smallest hash of the text; identical rows count as one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    stay = grouped(docs, words, radius).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_h"))
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_h")), "left_semi")
+    stay = grouped(docs, words, radius).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__first_id"), F.col("first.text_hash").alias("__first_hash"))
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")) & (_text_hash() == F.col("__first_hash")), "left_semi")
     again = Window.partitionBy("doc_id", _text_hash()).orderBy(F.lit(0))
-    return kept.withColumn("_k", F.row_number().over(again)).filter("_k = 1").drop("_k")
+    return kept.withColumn("__again", F.row_number().over(again)).filter("__again = 1").drop("__again")

@@ -52,7 +52,7 @@ sagte nannte schrieb behauptete dit disait appelé écrit dijo llamó escribió"
 
 NEGATION_SPAN = 3
 KINDS = ("plain", "aimed", "threat", "negated", "reported")
-PRIOR = np.array([-3.0, 4.0, 5.0, 4.0, 0.5, 0.5])  # bias, then KINDS
+PRIOR = np.array([-3.0, 7.0, 9.0, 8.0, 1.0, 1.0])  # bias, then KINDS
 PRIOR_PRECISION = 0.5
 SATURATION = 6
 MAX_LABELLED = 50_000
@@ -267,7 +267,7 @@ def learn_lexicon(train: DataFrame, most: int = MAX_LEXICON) -> frozenset[str]:
     if not all_toxic or not all_clean:
         return frozenset(INSULTS)
     telling = counts.filter("entry <> ''").transform(_telling, all_toxic, all_clean)
-    ranked = [r["entry"] for r in telling.orderBy(F.desc("gain"), F.length("entry"), "entry").limit(most).select("entry").collect()]
+    ranked = [r["entry"] for r in telling.orderBy(F.desc("gain"), F.col("entry").startswith("^"), F.desc(F.length("entry")), "entry").limit(most).select("entry").collect()]
     # copies of a toxic document make all its words telling: an entry must be the most telling one of enough documents
     strongest = arrow_map(train.select("text", "toxic"), _strongest(ranked), "entry string, toxic long, clean long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -354,16 +354,16 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` that the model does not call toxic, with their columns as they are."""
     insults, names = model.insults, docs.columns
-    texts_only = docs.withColumn("_text", F.col("text").cast("string"))
+    texts_only = docs.withColumn("__text", F.col("text").cast("string"))
 
     def make():
         matcher = Matcher(insults)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = pa.array([matcher.counts(t) for t in texts(batch.column("_text"))], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), found], names=[*names, "_counts"])
+            found = pa.array([matcher.counts(t) for t in texts(batch.column("__text"))], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), found], names=[*names, "__counts"])
 
         return step
 
-    schema = StructType([*docs.schema.fields, StructField("_counts", ArrayType(IntegerType()))])
-    return arrow_map(texts_only, make, schema).filter(model.score_column("_counts") < 0.5).drop("_counts")
+    schema = StructType([*docs.schema.fields, StructField("__counts", ArrayType(IntegerType()))])
+    return arrow_map(texts_only, make, schema).filter(model.score_column("__counts") < 0.5).drop("__counts")

@@ -32,12 +32,11 @@ class WordMemo:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = Tokenizer.from_file(path)  # for words of letters alone, one in a line: nothing is left to cut
+        self.letters = Tokenizer.from_file(path)  # for letters with marks after them, one word in a line: simpler cuts do
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            pre_tokenizers.Split("\n", "removed"), pre_tokenizers.Punctuation("contiguous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters.model._resize_cache(0)
         self.memo: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk after a line break has the break
-        self.marks: dict[str, bytes] = {"": b""}
         vocabulary = self.whole.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         for token, i in vocabulary.items():
@@ -49,54 +48,51 @@ class WordMemo:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, tokenizer, chunks: list[str], by: str, opens) -> dict[str, bytes]:
-        """Ids of chunks, encoded many in one text; a chunk begins where ``opens`` holds."""
+        """Ids of chunks, encoded many in one text with ``by`` before each; a chunk begins where ``opens`` holds."""
         out = {}
         for at in range(0, len(chunks), JOINED):
             part = chunks[at:at + JOINED]
-            (ids,) = self._ids(tokenizer, [by.join(part)])
+            (ids,) = self._ids(tokenizer, [by.removeprefix("\n") + by.join(part)])
             starts = (4 * np.flatnonzero(opens(ids))).tolist()
             packed = ids.tobytes()
-            out.update((c, packed[a:b]) for c, a, b in zip(part, starts, [*starts[1:], len(packed)], strict=True))
+            if len(starts) != len(part):
+                raise ValueError("the vocabulary is not a byte-level one with single spaces before words")
+            out.update(zip(part, map(packed.__getitem__, map(slice, starts, [*starts[1:], len(packed)]))))
         return out
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        words, lines, spaced, rest = {}, [], [], []
-        for c in new:
-            if m := _WORD.fullmatch(c):
-                words[c] = m.groups()
-            elif " " in c:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        word = _WORD.fullmatch
+        words = [c for c in new if word(c)]
+        lines, spaced, rest = [], [], []
+        for c in set(new).difference(words) if len(words) < len(new) else ():
+            if " " in c:
                 rest.append(" " + c)
             elif c[:1] == "\n":
                 (rest if "\n" in c[1:] else lines).append(c)
             else:
-                spaced.append(" " + c)
-        cores = [" " + w for w in {w for w, _ in words.values()} if w not in self.memo]
-        found = self._joined(self.letters, cores, "\n", lambda ids: self.opens[ids])
-        found |= self._joined(self.whole, spaced, "", lambda ids: self.opens[ids])
-        out = {c[1:]: x for c, x in found.items()}
+                spaced.append(c)
+        out = self._joined(self.letters, words, "\n ", lambda ids: self.opens[ids])
+        out |= self._joined(self.whole, spaced, " ", lambda ids: self.opens[ids])
         if len(self.line_break) == 1:
             out |= self._joined(self.whole, lines, "", lambda ids: ids == self.line_break[0])
         else:
             rest += lines
-        out |= {c.removeprefix(" "): x.tobytes() for c, x in zip(rest, self._ids(self.whole, rest))}
-        for marks in {m for _, m in words.values()} - self.marks.keys():
-            self.marks[marks] = self._ids(self.whole, [marks])[0].tobytes()
-        for c, (w, marks) in words.items():
-            if marks:
-                out[c] = (out[w] if w in out else self.memo[w]) + self.marks[marks]
-        return out
+        return out | {c.removeprefix(" "): x.tobytes() for c, x in zip(rest, self._ids(self.whole, rest))}
 
     def packed_batch(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _RUNS.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [x.tobytes() for x in self._ids(self.whole, [c[0] for c in cut])]
-        wanted = set().union(*(c[1:] for c in cut))
+        heads = [x.tobytes() for x in self._ids(self.whole, [c.pop(0) for c in cut])]
+        wanted = set().union(*cut)
         if len(self.memo) > MEMO_ENTRIES:  # the words in use just now stay
-            self.memo = {c: self.memo[c] for c in wanted & self.memo.keys()}
-            self.marks = {"": b""}
-        learnt = self._learn({c for c in wanted if c not in self.memo})
-        self.memo.update((c, x) for c, x in learnt.items() if len(c) <= MEMO_CHARS)
-        memo = self.memo if wanted <= self.memo.keys() else self.memo | learnt
-        return [head + b"".join(map(memo.__getitem__, c[1:])) for head, c in zip(heads, cut)]
+            self.memo = {c: self.memo[c] for c in wanted if c in self.memo}
+        memo = self.memo
+        learnt = self._learn([c for c in wanted if c not in memo])
+        long = {c: x for c, x in learnt.items() if len(c) > MEMO_CHARS} if learnt and max(map(len, learnt)) > MEMO_CHARS else {}
+        memo.update(learnt)
+        out = [head + b"".join(map(memo.__getitem__, c)) for head, c in zip(heads, cut)]
+        for c in long:
+            del memo[c]
+        return out
 
     def packed(self, text: str) -> bytes:
         return self.packed_batch([text])[0]
