@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 # Whitespace as ``str.strip`` understands it, derived by rule from Unicode,
 # written as literal characters so any regex engine reads the same class.
 WS_CLASS = "[" + "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace()) + "]"
-_WS = f"^{WS_CLASS}+|{WS_CLASS}+$"
+WS_CHARS = WS_CLASS[1:-1]
 
 
 def strip_ws(c: Column) -> Column:
-    """Trim all leading/trailing whitespace (Spark's trim removes spaces only)."""
-    return F.regexp_replace(c, _WS, "")
+    """Trim all leading/trailing whitespace (Spark's trim removes spaces only), in one pass."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_report_header_line(line: Column) -> Column:
@@ -29,30 +29,14 @@ def is_report_header_line(line: Column) -> Column:
             | low.startswith("**pedra") | low.startswith("> **pedra"))
 
 
-def _header_block_regex() -> str:
-    """Regex for the run of header lines at the start of a (stripped) text.
-
-    A header line, once stripped and lower-cased, is empty, '---', starts
-    with '# relatório' / '## relatório' / '**pedra' / '> **pedra', or starts
-    with 'pedra:' and contains 'inde:'.  Lines end at '\n' only.
-    """
-    ws = WS_CLASS.replace("\n", "")           # whitespace within a line
-    rest = "[^\n]*"
-    body = ("(?:|---|#\\ relatório" + rest + "|##\\ relatório" + rest + "|pedra:" + rest + "inde:" + rest
-            + "|\\*\\*pedra" + rest + "|>\\ \\*\\*pedra" + rest + ")")
-    line = f"{ws}*{body}{ws}*"
-    return f"(?iu)^(?:{line}(?:\n|$))*"
-
-
-HEADER_BLOCK = _header_block_regex()
-
-
 def strip_report_header(text: Column) -> Column:
     """Drop leading header lines of a report, keep everything from the
-    first content line on.  One anchored regex consumes the header run; the
-    rest of the whole text is returned untouched."""
-    stripped = strip_ws(text)
-    return F.regexp_replace(stripped, HEADER_BLOCK, "")
+    first content line on.  The position of that line comes from one pass over
+    the lines, so time is linear in the text and no regex recurses."""
+    lines = F.split(strip_ws(text), "\n", -1)
+    first = F.array_position(F.transform(lines, lambda line: ~is_report_header_line(line)), True)
+    return F.when(text.isNotNull(), F.when(first == 0, F.lit("")).otherwise(
+        F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), "\n")))
 
 
 _PLACEHOLDER = re.compile(r"\{(\w+)(?::\.(\d+)f)?\}")

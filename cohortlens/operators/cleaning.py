@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
+from cohortlens.sources.tables import nan_to_null
 
 _NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -68,7 +69,8 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str,
 
 def impute(df: DataFrame, strategy: str = "mean", exclude: Sequence[str] = (),
            text_fill: str = K.UNKNOWN_TEXT) -> DataFrame:
-    """Numeric NULLs <- mean / median / mode / 0; text NULLs <- fixed text."""
+    """Numeric NULLs and NaNs <- mean / median / mode / 0; text NULLs <- fixed text."""
+    df = nan_to_null(df)
     num = numeric_columns(df, exclude)
     txt = text_columns(df, exclude)
     # Only columns that contain NULLs need a fill value (one bounded aggregate).

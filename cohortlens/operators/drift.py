@@ -8,21 +8,23 @@ Two-sample tests per (comparison, feature) as DataFrame code:
   collapses to one row in the map-side partial aggregate;
 * exact running counts along x via ``ordered.bucketed_running_sums``, so a
   feature is spread over many tasks instead of one window partition;
-* one aggregate per (cmp, feature) gives every statistic; the test is
-  chosen per feature with the usual defaults: reference <= 1000 values ->
-  KS (p < .05) or, with <= 5 distinct values, chi-square (z-test for <= 2);
-  larger reference -> normed Wasserstein (>= .1) or, with <= 5 distinct
-  values, Jensen-Shannon (>= .1).
-
-p-values use closed forms shared with the SQL oracle (``*_SQL`` helpers
-produce the same arithmetic for Spark ``F.expr`` and DuckDB): asymptotic
-Kolmogorov series for KS, chi-square survival for 1-4 degrees of freedom
-and a Chebyshev erfc (relative error < 1.2e-7).
+* one aggregate per (cmp, feature) gives every statistic. ``stattest`` names
+  the test; "auto" takes it from the feature's declared kind ("numeric", the
+  default: KS; "categorical": chi-square; "binary": z). Neither the number
+  of rows nor of distinct values changes the test, so a table that grows
+  keeps its test.
+
+p-values (p < .05 is drift) use closed forms: the asymptotic Kolmogorov series
+for KS, the finite chi-square series for any degrees of freedom and a
+Chebyshev erfc (relative error < 1.2e-7). Distances (>= .1 is drift):
+Wasserstein over the reference's deviation, and Jensen-Shannon. The decision
+is made on the unrounded score; a score that cannot be computed is undecided
+(NULL) and left out of the drifted share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +32,11 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.operators.ordered import bucketed_running_sums
 
-# Default test thresholds and sample-size switch.
+# Default test thresholds.
 KS_ALPHA = 0.05
 DISTANCE_THRESHOLD = 0.1
-SMALL_REFERENCE = 1000
-FEW_VALUES = 5
-BINARY_VALUES = 2
+# The test of each kind of feature.
+KIND_TESTS = {"numeric": "ks", "categorical": "chisquare", "binary": "z"}
 
 
 # ------------------------------------------------------------- SQL formulas
@@ -58,18 +59,23 @@ def ks_pvalue_sql(lam: str, terms: int = 40) -> str:
 
 
 def chi2_sf_sql(h: str, erfc_root: str, dof: str) -> str:
-    """Chi-square survival for 1..4 degrees of freedom from ``h = x / 2`` and
-    ``erfc_root = erfc(sqrt(h))`` (NULL above 4: chi-square is only chosen for
-    <= 5 distinct values)."""
-    e = f"exp(-{h})"
-    return (f"(CASE WHEN {dof} <= 0 THEN 1.0 "
-            f"WHEN {dof} = 1 THEN {erfc_root} "
-            f"WHEN {dof} = 2 THEN {e} "
-            f"WHEN {dof} = 3 THEN {erfc_root} + 2.0 * sqrt({h} / pi()) * {e} "
-            f"WHEN {dof} = 4 THEN {e} * (1.0 + {h}) END)")
-
-
-# Staged projections shared by Spark and the SQL oracle: (name, expression).
+    """Chi-square survival for any degrees of freedom from ``h = x / 2`` and
+    ``erfc_root = erfc(sqrt(h))``: the finite series, its terms carried as logarithms.
+
+    Even dof: sum of exp(-h) h^i / i! for i < dof / 2.  Odd dof: erfc(sqrt(h))
+    plus the sum of exp(-h) h^(i - 1/2) / Gamma(i + 1/2) for 1 <= i <= (dof - 1) / 2.
+    """
+    odd = f"(CAST({dof} AS INT) % 2)"
+    n = f"CAST(CAST({dof} AS INT) DIV 2 AS INT)"
+    first = f"(CASE WHEN {odd} = 1 THEN -{h} + 0.5 * ln({h}) - ln(0.5 * sqrt(pi())) ELSE -{h} END)"
+    # the accumulator holds (log of the term, sum so far); 0.5 * odd shifts i to i + 1/2
+    series = (f"aggregate(sequence(1, greatest({n}, 1)), named_struct('t', CAST({first} AS DOUBLE), 's', CAST(0.0 AS DOUBLE)), "
+              f"(acc, i) -> named_struct('t', acc.t + ln({h}) - ln(i + 0.5 * {odd}), 's', acc.s + exp(acc.t)), acc -> acc.s)")
+    return (f"(CASE WHEN {dof} <= 0 OR {h} <= 0 THEN 1.0 WHEN {dof} = 1 THEN {erfc_root} "
+            f"ELSE least(1.0, {series} + CASE WHEN {odd} = 1 THEN {erfc_root} ELSE 0.0 END) END)")
+
+
+# Staged projections: (name, expression).
 STAGE1 = [
     ("lam", "ks_d * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur))"),
     ("chi_root", "CASE WHEN chi_stat >= 0 THEN sqrt(chi_stat / 2.0) END"),
@@ -103,7 +109,7 @@ STAGES = [STAGE1, STAGE2, STAGE3, STAGE4]
 
 # ---------------------------------------------------------------- long form
 def long_pairs(ref: DataFrame, cur: DataFrame, features: Sequence[str], cmp: str = "cur") -> DataFrame:
-    """K1: ``(cmp, feature, per, x)`` for the features both frames have."""
+    """K1: ``(cmp, feature, per, x, n)`` for the features both frames have; n rows hold the value."""
     feats = [f for f in features if f in ref.columns and f in cur.columns]
 
     def unpivot(df: DataFrame, per: int) -> DataFrame:
@@ -111,14 +117,15 @@ def long_pairs(ref: DataFrame, cur: DataFrame, features: Sequence[str], cmp: str
                                 for f in feats])).alias("s")
         return df.select(F.lit(cmp).alias("cmp"), F.lit(per).alias("per"), s).select("cmp", "s.feature", "per", "s.x")
 
-    return _finite(unpivot(ref, 0).unionByName(unpivot(cur, 1)))
+    return _finite(unpivot(ref, 0).unionByName(unpivot(cur, 1))).groupBy("cmp", "feature", "per", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
 def long_periods(df: DataFrame, features: Sequence[str], ref_period, cur_periods: Sequence,
                  time_col: str = K.TIME_COL, complete_cases: bool = False) -> DataFrame:
     """Reference period against each current period in one job.
 
-    Reference rows are replicated once per comparison with ``explode`` over
+    Rows are first counted per (period, feature, value); only those counts of
+    the reference are replicated once per comparison, with ``explode`` over
     the (short) list of current periods -- no join -- and the comparison
     label ``"<ref>_vs_<cur>"`` becomes the group key.
     """
@@ -133,9 +140,9 @@ def long_periods(df: DataFrame, features: Sequence[str], ref_period, cur_periods
                  F.array(*[F.lit(lab) for lab in label.values()])).otherwise(F.array(cmp_of_cur))
     per = F.when(F.col(time_col) == ref_period, F.lit(0)).otherwise(F.lit(1))
     vals = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in feats])
-    out = (src.select(F.explode(cmp).alias("cmp"), per.alias("per"), F.explode(vals).alias("s"))
-           .select("cmp", "s.feature", "per", "s.x"))
-    return _finite(out)
+    counts = (_finite(src.select(F.col(time_col), F.explode(vals).alias("s")).select(time_col, "s.feature", "s.x"))
+              .groupBy(time_col, "feature", "x").agg(F.count(F.lit(1)).alias("n")))
+    return counts.select(F.explode(cmp).alias("cmp"), "feature", per.alias("per"), "x", "n")
 
 
 def _finite(long: DataFrame) -> DataFrame:
@@ -143,19 +150,23 @@ def _finite(long: DataFrame) -> DataFrame:
     return long.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
+def _sides() -> list:
+    """Rows of the reference (a) and of the current period (b)."""
+    return [F.sum(F.when(F.col("per") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((0, "a"), (1, "b"))]
+
+
 # -------------------------------------------------------------------- tests
-def choose_test_sql(stattest: str = "auto") -> str:
+def choose_test_sql(stattest: str = "auto", kinds: Mapping[str, str] | None = None) -> str:
+    """The test's name: ``stattest`` itself, or that of each feature's kind (numeric unless ``kinds`` says otherwise)."""
     if stattest != "auto":
         return f"'{stattest}'"
-    return (f"CASE WHEN n_ref <= {SMALL_REFERENCE} THEN "
-            f"(CASE WHEN n_values <= {BINARY_VALUES} THEN 'z' WHEN n_values <= {FEW_VALUES} THEN 'chisquare' "
-            f"ELSE 'ks' END) "
-            f"ELSE (CASE WHEN n_values <= {FEW_VALUES} THEN 'jensenshannon' ELSE 'wasserstein' END) END")
+    named = " ".join(f"WHEN '{f}' THEN '{KIND_TESTS[k]}'" for f, k in (kinds or {}).items())
+    return f"CASE feature {named} ELSE '{KIND_TESTS['numeric']}' END" if named else f"'{KIND_TESTS['numeric']}'"
 
 
 def score_sql() -> str:
-    return ("round(CASE {t} WHEN 'ks' THEN p_ks WHEN 'wasserstein' THEN d_wasserstein "
-            "WHEN 'jensenshannon' THEN d_js WHEN 'chisquare' THEN p_chi WHEN 'z' THEN p_z END, 4)")
+    return ("CASE {t} WHEN 'ks' THEN p_ks WHEN 'wasserstein' THEN d_wasserstein "
+            "WHEN 'jensenshannon' THEN d_js WHEN 'chisquare' THEN p_chi WHEN 'z' THEN p_z END")
 
 
 def detected_sql() -> str:
@@ -163,42 +174,30 @@ def detected_sql() -> str:
             " ELSE {s} >= " + str(DISTANCE_THRESHOLD) + " END")
 
 
-def _ks_exact_column() -> F.Column:
-    """Exact KS p-value per (comparison, feature) row -- a pandas UDF over the
-    statistics table, which has one row per group (bounded input)."""
-    from cohortlens.functions.ks_exact import ks_exact_udf
-    return ks_exact_udf(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))
-
-
-def _finish(stats: DataFrame, stattest: str, ks_method: str = "asymp") -> DataFrame:
-    from cohortlens.functions.ks_exact import MAX_EXACT
+def _finish(stats: DataFrame, stattest: str, kinds: Mapping[str, str] | None) -> DataFrame:
     t = stats
     for stage in STAGES:
         t = t.withColumns({n: F.expr(e) for n, e in stage})
     t = t.withColumns({n: F.expr(e) for n, e in score_columns()})
-    if ks_method == "exact":
-        small = F.greatest(F.col("n_ref"), F.col("n_cur")) <= MAX_EXACT
-        t = t.withColumn("p_ks", F.when(small, _ks_exact_column()).otherwise(F.col("p_ks")))
-    t = t.withColumn("stattest", F.expr(choose_test_sql(stattest)))
-    t = t.withColumn("drift_score", F.expr(score_sql().replace("{t}", "stattest")))
-    return t.withColumn("drift_detected",
-                        F.expr(detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")))
+    t = t.withColumn("stattest", F.expr(choose_test_sql(stattest, kinds)))
+    t = t.withColumn("raw_score", F.expr(score_sql().replace("{t}", "stattest")))
+    t = t.withColumn("drift_detected", F.expr(detected_sql().replace("{t}", "stattest").replace("{s}", "raw_score")))
+    return t.withColumn("drift_score", F.round("raw_score", 4))
 
 
-def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64,
-                ks_method: str = "asymp") -> DataFrame:
+def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int | None = None,
+                kinds: Mapping[str, str] | None = None) -> DataFrame:
     """K4 result: (cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, drift_detected).
 
-    ``ks_method="exact"`` uses the exact small-sample KS p-value (both sizes
-    <= 10 000), as two-sample KS implementations do by default; "asymp"
-    (default) uses the Kolmogorov series, which is SQL-expressible.
+    ``kinds`` gives features' kinds for ``stattest="auto"``; ``n_buckets``
+    (default: the number of shuffle partitions) only spreads the work.
     """
     keys = ["cmp", "feature"]
+    n_buckets = n_buckets or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     from cohortlens.session import cut_lineage
     # Per-value counts feed five branches: checkpoint them once so the panel
     # upstream is scanned and aggregated a single time.
-    counts = cut_lineage(long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
-                                                      F.count_if(F.col("per") == 1).alias("b")))
+    counts = cut_lineage(long.groupBy(*keys, "x").agg(*_sides()))
     run = bucketed_running_sums(counts, keys, "x", ["a", "b"], n_buckets=n_buckets, next_col="x_next", cut=False)
     sizes = counts.groupBy(*keys).agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
                                       F.count(F.lit(1)).alias("n_values"),
@@ -228,17 +227,19 @@ def drift_table(long: DataFrame, stattest: str = "auto", n_buckets: int = 64,
         # population std of the reference, two-pass over the value counts
         F.sqrt(F.sum(F.col("a") * F.pow(F.col("x") - F.col("ref_mean"), 2)) / F.first("n_ref")).alias("ref_std"),
     )
-    out = _finish(stats, stattest, ks_method)
+    out = _finish(stats, stattest, kinds)
     return out.select(*keys, "n_ref", "n_cur", "n_values", "stattest", "drift_score", "drift_detected")
 
 
 def drift_summary(table: DataFrame, drift_threshold: float = 0.5,
                   dataset_share: float = K.DATASET_DRIFT_SHARE) -> DataFrame:
-    """K2: per comparison -- drifted / total features, share (4 decimals),
-    dataset drift (share >= the fixed .5) and above_threshold (share > threshold)."""
+    """K2: per comparison -- drifted / total features, share (4 decimals) of the
+    decided features, dataset drift (share >= the fixed .5) and
+    above_threshold (share > threshold); all three NULL when none is decided."""
     g = table.groupBy("cmp").agg(F.count(F.lit(1)).alias("n_total_features"),
-                                 F.count_if("drift_detected").alias("n_drifted_features"))
-    share = F.col("n_drifted_features") / F.col("n_total_features")
+                                 F.count_if("drift_detected").alias("n_drifted_features"),
+                                 F.count("drift_detected").alias("decided"))
+    share = F.try_divide(F.col("n_drifted_features"), F.col("decided"))
     return g.select("cmp", "n_total_features", "n_drifted_features",
                     F.round(share, 4).alias("drift_share"),
                     (share >= dataset_share).alias("dataset_drift"),
@@ -247,12 +248,13 @@ def drift_summary(table: DataFrame, drift_threshold: float = 0.5,
 
 
 def check_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = None,
-                drift_threshold: float = 0.5, stattest: str = "auto") -> tuple[DataFrame, DataFrame]:
+                drift_threshold: float = 0.5, stattest: str = "auto",
+                kinds: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """K2 for two frames: (summary row, per-feature table)."""
     if features is None:
         num = {c for c, t in ref.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")}
         features = [c for c, t in cur.dtypes if c in num]
-    table = drift_table(long_pairs(ref, cur, features), stattest)
+    table = drift_table(long_pairs(ref, cur, features), stattest, kinds=kinds)
     return drift_summary(table, drift_threshold), table
 
 
@@ -281,8 +283,7 @@ def histogram(long: DataFrame, bins: int = 10) -> DataFrame:
     from cohortlens.session import cut_lineage
     keys = ["cmp", "feature"]
     # Work on per-value counts (checkpointed, read twice), not on the rows.
-    counts = cut_lineage(long.groupBy(*keys, "x").agg(F.count_if(F.col("per") == 0).alias("a"),
-                                                      F.count_if(F.col("per") == 1).alias("b")))
+    counts = cut_lineage(long.groupBy(*keys, "x").agg(*_sides()))
     rng = counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     j = counts.join(F.broadcast(rng), keys)  # one row per (cmp, feature) -- bounded
     width = (F.col("hi") - F.col("lo")) / bins

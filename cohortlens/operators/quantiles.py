@@ -9,6 +9,8 @@ rows of the current value range in ``buckets`` equal-width buckets (at most
 that bucket holds a single value or few enough rows to return their
 (value, count) pairs (at most ``limit`` rows).  Typical data needs 2-4
 passes; every result the driver sees is bounded by ``buckets`` or ``limit``.
+Each pass divides the finite value range by ``buckets``, so the passes end by
+themselves; infinite values are counted apart.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
-LIMIT = 100_000
-MAX_PASSES = 60
+LIMIT = 10_000
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -31,14 +32,12 @@ def kth_value(values: DataFrame, k: int, lo: float, hi: float, below: int = 0,
     """Exact k-th smallest (0-based) of column ``x`` of ``values``, given
     that all candidates lie in [lo, hi] and ``below`` rows are < lo."""
     x = F.col("x")
-    for _ in range(MAX_PASSES):
-        if lo == hi:
-            return lo
+    while lo != hi:
         rng = values.where((x >= lo) & (x <= hi))
-        width = (hi - lo) / buckets
+        width = hi / buckets - lo / buckets
         if width <= 0 or lo + width == lo:
             break
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        b = F.greatest(F.lit(0), F.least(F.floor(x / F.lit(width) - F.lit(lo / width)), F.lit(buckets - 1))).cast("int")
         hist = sorted((r["b"], r["n"], r["mn"], r["mx"]) for r in
                       rng.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
                                                     F.max("x").alias("mx")).collect())
@@ -59,6 +58,8 @@ def kth_value(values: DataFrame, k: int, lo: float, hi: float, below: int = 0,
             cum += n
         else:
             raise ValueError("rank outside the value range")
+    if lo == hi:
+        return lo
     # Degenerate spacing: the range is narrower than ``buckets`` ulps of lo,
     # so it holds fewer than ``buckets`` distinct doubles -- count them all.
     pairs = values.where((x >= lo) & (x <= hi)).groupBy("x").agg(F.count(F.lit(1)).alias("c")) \
@@ -77,16 +78,26 @@ def exact_median(df: DataFrame, col: str, buckets: int = BUCKETS, limit: int = L
     # One column, persisted for the few passes (recomputable if an executor is lost).
     v = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = v.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        x, inf = F.col("x"), float("inf")
+        finite = F.when(F.abs(x) < inf, x)
+        st = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(x == -inf).alias("low"), F.count(finite).alias("finite"),
+                   F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
         n = st["n"]
         if not n:
             return None
         k1, k2 = (n - 1) // 2, n // 2
-        a = kth_value(v, k1, st["lo"], st["hi"], 0, buckets, limit)
+
+        def kth(k: int) -> float:
+            if k < st["low"]:
+                return -inf
+            if k >= st["low"] + st["finite"]:
+                return inf
+            return kth_value(v, k, st["lo"], st["hi"], st["low"], buckets, limit)
+
+        a = kth(k1)
         if k2 == k1:
             return a
-        nxt = v.agg(F.count_if(F.col("x") <= a).alias("le"),
-                    F.min(F.when(F.col("x") > a, F.col("x"))).alias("up")).first()
+        nxt = v.agg(F.count_if(x <= a).alias("le"), F.min(F.when(x > a, x)).alias("up")).first()
         b = a if nxt["le"] > k2 else nxt["up"]
         return (a + b) / 2.0
     finally:

@@ -97,6 +97,7 @@ def _unify_types(frames: Sequence[DataFrame]) -> list[DataFrame]:
             kinds.setdefault(f.name, set()).add(type(f.dataType))
     target: dict[str, str] = {}
     for name, ks in kinds.items():
+        ks.discard(T.NullType)  # a column without values takes the type the others give it
         if len(ks) <= 1:
             continue
         if all(issubclass(k, _NUMERIC) for k in ks):

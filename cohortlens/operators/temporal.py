@@ -6,8 +6,9 @@ whatever the number of features.  Output row count always equals input.
 
 Ordering: ``(time_col, *tiebreak)``.  ``(id, time)`` must be unique unless a
 tiebreak is given -- Spark has no stable input order to fall back on.
-Null ids form one window partition in Spark; quarantine them first
-(``quality.split_valid``) if the input may contain them.
+A row without an id belongs to no entity: every feature of it is NULL. Null
+ids still share one window partition, so quarantine them first
+(``quality.split_valid``) where there are many.
 """
 
 from __future__ import annotations
@@ -35,11 +36,16 @@ def entity_window(id_col: str) -> WindowSpec:
     return Window.partitionBy(id_col)
 
 
+def of_entity(value: Column, id_col: str) -> Column:
+    """The value for rows with an id, else NULL."""
+    return F.when(F.col(id_col).isNotNull(), value)
+
+
 # --------------------------------------------------------------------------- G1
 def delta_exprs(df: DataFrame, features: Sequence[str], id_col: str = K.ID_COL,
                 time_col: str = K.TIME_COL, tiebreak: Sequence[str] = ()) -> dict[str, Column]:
     w = ordered_window(id_col, time_col, tiebreak)
-    return {f"delta_{f}": F.col(f) - F.lag(f).over(w) for f in features if f in df.columns}
+    return {f"delta_{f}": of_entity(F.col(f) - F.lag(f).over(w), id_col) for f in features if f in df.columns}
 
 
 def deltas(df: DataFrame, features: Sequence[str], id_col: str = K.ID_COL,
@@ -58,7 +64,7 @@ def trend_expr(y: str = "INDE", id_col: str = K.ID_COL, time_col: str = K.TIME_C
     constant time, gives 0.0.
     """
     w = running_window(id_col, time_col, tiebreak) if as_of else entity_window(id_col)
-    return F.coalesce(F.regr_slope(F.col(y), F.col(time_col).cast("double")).over(w), F.lit(0.0))
+    return of_entity(F.coalesce(F.regr_slope(F.col(y), F.col(time_col).cast("double")).over(w), F.lit(0.0)), id_col)
 
 
 def trend_slope(df: DataFrame, y: str = "INDE", id_col: str = K.ID_COL,
@@ -73,7 +79,7 @@ def trend_slope(df: DataFrame, y: str = "INDE", id_col: str = K.ID_COL,
 def years_in_program(df: DataFrame, id_col: str = K.ID_COL, time_col: str = K.TIME_COL,
                      tiebreak: Sequence[str] = (), out: str = "anos_no_programa") -> DataFrame:
     """1-based running row count per entity."""
-    return df.withColumn(out, F.row_number().over(ordered_window(id_col, time_col, tiebreak)))
+    return df.withColumn(out, of_entity(F.row_number().over(ordered_window(id_col, time_col, tiebreak)), id_col))
 
 
 # --------------------------------------------------------------------------- G4
@@ -88,7 +94,7 @@ def level_changes(df: DataFrame, code_col: str = "PEDRA_CODIGO", id_col: str = K
         return df.withColumns({"pedras_mudadas": F.lit(0.0), "pedras_mudadas_total": F.lit(0.0)})
     w = ordered_window(id_col, time_col, tiebreak)
     step = df.withColumn("pedras_mudadas",
-                         F.coalesce(F.abs(F.col(code_col) - F.lag(code_col).over(w)), F.lit(0.0)))
+                         of_entity(F.coalesce(F.abs(F.col(code_col) - F.lag(code_col).over(w)), F.lit(0.0)), id_col))
     return step.withColumn("pedras_mudadas_total",
                            F.sum("pedras_mudadas").over(running_window(id_col, time_col, tiebreak)))
 
@@ -96,7 +102,7 @@ def level_changes(df: DataFrame, code_col: str = "PEDRA_CODIGO", id_col: str = K
 # --------------------------------------------------------------------------- G5
 def new_entities(df: DataFrame, id_col: str = K.ID_COL, out: str = "ingressante") -> DataFrame:
     """The entity has exactly one record."""
-    return df.withColumn(out, F.count(F.lit(1)).over(entity_window(id_col)) == 1)
+    return df.withColumn(out, of_entity(F.count(F.lit(1)).over(entity_window(id_col)) == 1, id_col))
 
 
 # --------------------------------------------------------------------------- G6
@@ -106,9 +112,9 @@ def history_exprs(df: DataFrame, features: Sequence[str] = HIST_FEATURES, id_col
     out: dict[str, Column] = {}
     for f in features:
         if f in df.columns:
-            out[f"{f}_media_hist"] = F.avg(f).over(wr)
-            out[f"{f}_min_hist"] = F.min(f).over(wr)
-            out[f"{f}_max_hist"] = F.max(f).over(wr)
+            out[f"{f}_media_hist"] = of_entity(F.avg(f).over(wr), id_col)
+            out[f"{f}_min_hist"] = of_entity(F.min(f).over(wr), id_col)
+            out[f"{f}_max_hist"] = of_entity(F.max(f).over(wr), id_col)
     return out
 
 
@@ -132,12 +138,12 @@ def temporal_features(df: DataFrame, id_col: str = K.ID_COL, time_col: str = K.T
     first.update(delta_exprs(df, DELTA_FEATURES, id_col, time_col, tiebreak))
     if index_col in df.columns:
         first[f"tendencia_{index_col}"] = trend_expr(index_col, id_col, time_col)
-    first["anos_no_programa"] = F.row_number().over(w)
+    first["anos_no_programa"] = of_entity(F.row_number().over(w), id_col)
     if code_col in df.columns:
-        first["pedras_mudadas"] = F.coalesce(F.abs(F.col(code_col) - F.lag(code_col).over(w)), F.lit(0.0))
+        first["pedras_mudadas"] = of_entity(F.coalesce(F.abs(F.col(code_col) - F.lag(code_col).over(w)), F.lit(0.0)), id_col)
     else:
         first["pedras_mudadas"] = F.lit(0.0)
-    first["ingressante"] = F.count(F.lit(1)).over(entity_window(id_col)) == 1
+    first["ingressante"] = of_entity(F.count(F.lit(1)).over(entity_window(id_col)) == 1, id_col)
     first.update(history_exprs(df, HIST_FEATURES, id_col, time_col, tiebreak))
     step = df.withColumns(first)
     return step.withColumn("pedras_mudadas_total",
@@ -153,13 +159,4 @@ def drop_target(df: DataFrame, code_col: str = "PEDRA_CODIGO", id_col: str = K.I
     if code_col not in df.columns:
         return df.withColumn(out, F.lit(None).cast("double"))
     w = ordered_window(id_col, time_col, tiebreak)
-    return df.withColumn(out, (F.lead(code_col).over(w) < F.col(code_col)).cast("double"))
-
-
-# --------------------------------------------------------------------------- G9
-def first_non_null(df: DataFrame, col: str, id_col: str = K.ID_COL, time_col: str = K.TIME_COL,
-                   tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Replace ``col`` by the entity's first non-null value in time order."""
-    w = ordered_window(id_col, time_col, tiebreak).rowsBetween(Window.unboundedPreceding,
-                                                                Window.unboundedFollowing)
-    return df.withColumn(col, F.first(col, ignorenulls=True).over(w))
+    return df.withColumn(out, of_entity((F.lead(code_col).over(w) < F.col(code_col)).cast("double"), id_col))

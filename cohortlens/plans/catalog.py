@@ -436,15 +436,29 @@ lf0 AS ({unions}),
 lf AS (SELECT * FROM lf0 WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))"""
 
 
-def _stage_ctes() -> str:
-    stages = [*D.STAGES, D.score_columns()]
-    return ",\n".join(f"f{i + 1} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in st)} FROM f{i})"
-                       for i, st in enumerate(stages))
+# K4 written independently of the operator: textbook formulas (lgamma series for the chi-square survival).
+_ERFC = ("(1.0 / (1.0 + 0.5 * abs({z}))) * exp(-({z}) * ({z}) - 1.26551223 + list_sum(list_transform("
+         "[1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277], "
+         "lambda c, i: c * pow(1.0 / (1.0 + 0.5 * abs({z})), i))))")
+_SCORES = {
+    "ks": ("CASE WHEN ks_d * sqrt(n_ref::DOUBLE * n_cur / (n_ref + n_cur)) < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * list_sum(list_transform("
+           "range(1, 41), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * ks_d * ks_d * n_ref::DOUBLE * n_cur / (n_ref + n_cur)))))) END"),
+    "wasserstein": "w1 / greatest(coalesce(ref_std, 0.0), 0.001)",
+    "jensenshannon": "sqrt(greatest((kl_p + kl_q) / 2, 0.0))",
+    "chisquare": ("CASE WHEN chi_inf > 0 THEN 0.0 WHEN n_values = 1 OR chi_stat <= 0 THEN 1.0 WHEN n_values % 2 = 1 THEN "
+                  "list_sum(list_transform(range(0, (n_values - 1) // 2), lambda i: exp(-chi_stat / 2 + i * ln(chi_stat / 2) - lgamma(i + 1)))) ELSE "
+                  + _ERFC.replace("{z}", "sqrt(chi_stat / 2)") +
+                  " + coalesce(list_sum(list_transform(range(1, (n_values - 2) // 2 + 1), lambda i: "
+                  "exp(-chi_stat / 2 + (i - 0.5) * ln(chi_stat / 2) - lgamma(i + 0.5)))), 0.0) END"),
+    "z": ("CASE WHEN a_mode + b_mode IN (0, n_ref + n_cur) THEN 1.0 ELSE "
+          + _ERFC.replace("{z}", "(abs(a_mode::DOUBLE / n_ref - b_mode::DOUBLE / n_cur) / sqrt(2.0 * ((a_mode + b_mode)::DOUBLE / (n_ref + n_cur)) "
+                          "* (1 - (a_mode + b_mode)::DOUBLE / (n_ref + n_cur)) * (1.0 / n_ref + 1.0 / n_cur)))") + " END"),
+}
 
 
 def _drift_table_sql(stattest: str) -> str:
-    score = D.score_sql().replace("{t}", "stattest")
-    detected = D.detected_sql().replace("{t}", "stattest").replace("{s}", "drift_score")
+    test = "ks" if stattest == "auto" else stattest   # the registered features are numeric
+    detected = "raw < 0.05" if test in ("ks", "chisquare", "z") else "raw >= 0.1"
     p, q = "(CAST(a AS DOUBLE) / n_ref)", "(CAST(b AS DOUBLE) / n_cur)"
     m = f"(({p} + {q}) / 2)"
     k = "(CAST(n_cur AS DOUBLE) / n_ref)"
@@ -473,11 +487,9 @@ stats AS (SELECT cmp, feature, n_ref, n_cur, n_values,
                  sum(CASE WHEN x = mode_ref THEN b ELSE 0 END) AS b_mode
           FROM run GROUP BY cmp, feature, n_ref, n_cur, n_values),
 moments AS (SELECT cmp, feature, stddev_pop(x) AS ref_std FROM lf WHERE per = 0 GROUP BY cmp, feature),
-f0 AS (SELECT s.*, m.ref_std FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
-{_stage_ctes()},
-fin AS (SELECT *, {D.choose_test_sql(stattest)} AS stattest FROM f5),
-fin2 AS (SELECT *, {score} AS drift_score FROM fin),
-dt AS (SELECT cmp, feature, n_ref, n_cur, n_values, stattest, drift_score, {detected} AS drift_detected FROM fin2)"""
+scored AS (SELECT s.cmp, s.feature, n_ref, n_cur, n_values, '{test}' AS stattest, {_SCORES[test]} AS raw
+           FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+dt AS (SELECT cmp, feature, n_ref, n_cur, n_values, stattest, round(raw, 4) AS drift_score, {detected} AS drift_detected FROM scored)"""
 
 
 DRIFT_SUMMARY_SQL = """
@@ -507,16 +519,20 @@ def _register_drift_table(name, stattest, features, last_only=False, complete=Fa
 
 _register_drift_table("drift_ks", "ks", K.DRIFT_FEATURES)
 _register_drift_table("drift_wasserstein", "wasserstein", K.DRIFT_FEATURES)
-_register_drift_table("drift_chisquare", "chisquare", ["IEG"])
-_register_drift_table("drift_jensenshannon", "jensenshannon", ["IEG", "IAA"])
-_register_drift_table("drift_ztest", "z", K.DRIFT_FEATURES)
+_register_drift_table("drift_chisquare", "chisquare", K.DRIFT_FEATURES)
+_register_drift_table("drift_jensenshannon", "jensenshannon", K.DRIFT_FEATURES)
 _register_drift_table("drift_auto", "auto", K.DRIFT_FEATURES)
 
 
-@register("drift_ks_exact")
-def q_drift_ks_exact(spark, sf):
-    """K4 with the exact small-sample KS p-value (rows-only: not SQL-expressible)."""
-    return D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES), "ks", ks_method="exact")
+@register("drift_ztest", f"""WITH {LEVEL_PANEL_SQL},
+panel_two AS (SELECT *, CASE WHEN INDE >= 3 THEN 1.0 WHEN INDE IS NOT NULL THEN 0.0 END AS ACIMA FROM panel_lvl),
+{_drift_long_sql(["ACIMA"], source="panel_two")}{_drift_table_sql('z')}
+SELECT * FROM dt""")
+def q_drift_ztest(spark, sf):
+    """K4 z-test on a two-value feature."""
+    ys = panel_years(spark, sf)
+    two = level_panel(spark, sf, years=ys).withColumn("ACIMA", F.when(F.col("INDE").isNotNull(), (F.col("INDE") >= 3).cast("double")))
+    return D.drift_table(D.long_periods(two, ["ACIMA"], ys[0], ys[1:]), kinds={"ACIMA": "binary"})
 
 
 @register("drift_summary", f"WITH {LEVEL_PANEL_SQL},"
@@ -953,7 +969,7 @@ def _strip_sql() -> str:
            f"OR starts_with(lower({t}), '**pedra') OR starts_with(lower({t}), '> **pedra'))")
     return f"""WITH d AS (SELECT conv_id, turn, text,
                   string_split(regexp_replace(text, '{ws}', '', 'g'), chr(10)) AS lines
-           FROM conversations WHERE role = 'assistant'),
+           FROM conversations),
 f AS (SELECT conv_id, turn, text, lines, list_position(list_transform(lines, lambda l: {hdr}), false) AS first
       FROM d)
 SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN first IS NULL OR first = 0 THEN ''
@@ -963,10 +979,10 @@ FROM f"""
 
 @register("report_header_strip", _strip_sql())
 def q_report_header_strip(spark, sf):
-    """C16 over the whole text of every generated (assistant) turn."""
+    """C16 over the whole text of every turn."""
     from cohortlens.functions.text import strip_report_header
     from cohortlens.sources.tables import read_table
-    d = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    d = read_table(spark, sf, "conversations")
     return d.select("conv_id", "turn", strip_report_header(F.col("text")).alias("texto"))
 
 

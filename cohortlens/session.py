@@ -31,7 +31,7 @@ def get_spark(master: str | None = None, app_name: str = "cohortlens",
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -41,18 +41,24 @@ def get_spark(master: str | None = None, app_name: str = "cohortlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    A cluster names a shared (HDFS/S3/...) folder there and we only read it.
-    Only when it is unset -- local tests and bench -- do we create one.
+    A cluster names a shared (HDFS/S3/...) folder in ``spark.checkpoint.dir``
+    and we only read it. A local session without one (tests, bench) uses its
+    checkpoint folder, or gets one; on a cluster that is an error, because a
+    folder of one machine is not seen by the others.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
+        return path
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

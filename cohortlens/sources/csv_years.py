@@ -23,16 +23,26 @@ _INT_RE = r"^[+-]?[0-9]+$"
 _NUM_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def read_csv_text(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8") -> DataFrame:
-    """All columns as strings; NA tokens -> NULL."""
+def read_csv_text(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8",
+                  multi_line: bool = True) -> DataFrame:
+    """All columns as strings; NA tokens -> NULL.
+
+    Fields may be quoted, with doubled quotes and line breaks inside. Files
+    without line breaks in fields can be split with ``multi_line=False``.
+    """
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
     return raw.select(*[F.when(F.col(f"`{c}`").isin(NA_TOKENS) | F.col(f"`{c}`").isNull(), F.lit(None))
                         .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast each text column to bigint / double when every non-null value fits."""
+    """Cast each text column to bigint / double when every non-null value fits.
+
+    A column without values has no type of its own (void), so that the type of
+    other years' values decides in a union.
+    """
     cols = df.columns
     aggs = []
     for i, c in enumerate(cols):
@@ -48,6 +58,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             out.append(F.trim(col).cast("bigint").alias(c))
         elif n > 0 and nf == n:
             out.append(F.trim(col).cast("double").alias(c))
+        elif n == 0:
+            out.append(F.lit(None).alias(c))
         else:
             out.append(col.alias(c))
     return df.select(*out)
@@ -70,14 +82,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def load_years(spark: SparkSession, paths: Mapping[int, str], sep: str = ";",
                encoding: str = "utf-8") -> dict[int, DataFrame]:
-    """A2/A3: the years whose file exists and reads; others are logged and skipped."""
+    """A2/A3: the years whose file exists; missing files are logged and skipped.
+
+    Any other failure is raised: a lost executor or a broken file must not
+    silently take a year out of the panel.
+    """
     out: dict[int, DataFrame] = {}
     for year, path in sorted(paths.items()):
         if not path_exists(spark, path):
             log.warning("file not found for %s: %s", year, path)
             continue
-        try:
-            out[year] = load_csv(spark, path, sep, encoding)
-        except Exception as e:  # unreadable file: skip the year, like a missing one
-            log.warning("could not load %s (%s): %s", year, path, e)
+        out[year] = load_csv(spark, path, sep, encoding)
     return out

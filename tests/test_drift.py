@@ -13,9 +13,9 @@ def frame(spark, xs, year):
     return spark.createDataFrame([(year, float(x)) for x in xs], "ano int, x double")
 
 
-def table(spark, ref, cur, stattest="auto"):
+def table(spark, ref, cur, stattest="auto", kind="numeric"):
     df = frame(spark, ref, 2022).unionByName(frame(spark, cur, 2023))
-    return D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), stattest, n_buckets=7).first()
+    return D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), stattest, n_buckets=7, kinds={"x": kind}).first()
 
 
 def test_strong_shift_detected(spark):
@@ -56,15 +56,14 @@ def test_wasserstein_brute_force(spark):
     fr = np.searchsorted(np.sort(ref), xs, side="right") / len(ref)
     fc = np.searchsorted(np.sort(cur), xs, side="right") / len(cur)
     w = float(np.sum(np.abs(fr - fc)[:-1] * np.diff(xs)))
-    r = table(spark, ref, cur, "auto")
-    assert r["stattest"] == "wasserstein"
+    r = table(spark, ref, cur, "wasserstein")
     assert r["drift_score"] == pytest.approx(round(w / max(ref.std(), 0.001), 4), abs=1e-4)
 
 
 def test_categorical_tests(spark):
     ref = [2, 4, 4, 6, 6, 6, 8, 8, 10] * 20
     cur = [2, 2, 4, 4, 6, 8, 8, 10, 10] * 20
-    r = table(spark, ref, cur, "auto")
+    r = table(spark, ref, cur, "auto", "categorical")
     assert r["stattest"] == "chisquare" and 0 <= r["drift_score"] <= 1
     # chi-square statistic with 4 degrees of freedom: closed form survival
     keys = sorted(set(ref) | set(cur))
@@ -72,14 +71,13 @@ def test_categorical_tests(spark):
     stat = sum((cur.count(v) - ref.count(v) * k) ** 2 / (ref.count(v) * k) for v in keys)
     h = stat / 2
     assert r["drift_score"] == pytest.approx(round(math.exp(-h) * (1 + h), 4), abs=1e-4)
-    big = table(spark, ref * 6, cur * 6, "auto")
-    assert big["stattest"] == "jensenshannon"
+    big = table(spark, ref * 6, cur * 6, "jensenshannon")
     p = np.array([ref.count(v) for v in keys]) / len(ref)
     q = np.array([cur.count(v) for v in keys]) / len(cur)
     m = (p + q) / 2
     js = math.sqrt(0.5 * np.sum(p * np.log(p / m)) + 0.5 * np.sum(q * np.log(q / m)))
     assert big["drift_score"] == pytest.approx(round(js, 4), abs=1e-4)
-    z = table(spark, [0, 1, 1, 1] * 50, [0, 0, 1, 1] * 50, "auto")
+    z = table(spark, [0, 1, 1, 1] * 50, [0, 0, 1, 1] * 50, "auto", "binary")
     assert z["stattest"] == "z" and z["drift_detected"]
 
 
@@ -108,12 +106,37 @@ def test_histogram_counts(spark):
     assert max(r["bin"] for r in h) == 9
 
 
-def test_exact_ks_in_drift_table(spark):
-    from cohortlens.functions.ks_exact import ks_exact_pvalue
-    rng = np.random.default_rng(12)
-    ref, cur = rng.normal(0, 1, 60).round(3), rng.normal(0.6, 1, 45).round(3)
-    xs = np.union1d(ref, cur)
-    d = max(abs((ref <= x).mean() - (cur <= x).mean()) for x in xs)
+def test_the_test_does_not_depend_on_the_number_of_rows(spark):
+    for kind, want in (("numeric", "ks"), ("categorical", "chisquare"), ("binary", "z")):
+        for n in (999, 1000, 1001, 5000):
+            r = table(spark, [k % 2 for k in range(n)], [k % 2 for k in range(n)], "auto", kind)
+            assert r["stattest"] == want and r["drift_detected"] is False
+
+
+@pytest.mark.parametrize(("values", "x", "p"), [  # table values of the chi-square distribution
+    (2, 3.841458820694124, 0.05), (3, 5.991464547107979, 0.05), (4, 7.814727903251179, 0.05), (7, 12.591587243743977, 0.05),
+    (11, 18.307038053275146, 0.05), (31, 50.89218131151707, 0.01), (101, 124.34211340400407, 0.05), (5001, 5165.615, 0.05)])
+def test_chi_square_survival_for_any_degrees_of_freedom(spark, values, x, p):
+    from pyspark.sql import functions as F
+
+    erfc = math.erfc(math.sqrt(x / 2))
+    df = spark.createDataFrame([(x / 2, erfc, values)], "h double, e double, n long")
+    assert df.select(F.expr(D.chi2_sf_sql("h", "e", "(n - 1)")).alias("p")).first()["p"] == pytest.approx(p, rel=2e-3 if values > 5000 else 1e-8)
+
+
+def test_seven_values_get_a_score_and_count_in_the_summary(spark):
+    ref, cur = [k % 7 for k in range(700)], [min(k % 9, 6) for k in range(700)]
     df = frame(spark, ref, 2022).unionByName(frame(spark, cur, 2023))
-    r = D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), "ks", n_buckets=4, ks_method="exact").first()
-    assert r["drift_score"] == pytest.approx(round(ks_exact_pvalue(d, 60, 45), 4), abs=1e-4)
+    t = D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), "chisquare")
+    r = t.first()
+    assert r["n_values"] == 7 and r["drift_score"] is not None and r["drift_detected"]
+    assert D.drift_summary(t).first()["n_drifted_features"] == 1
+
+
+def test_decision_on_the_unrounded_score_and_undecided_left_out(spark):
+    from pyspark.sql import functions as F
+
+    assert "round" not in D.score_sql() + D.detected_sql()
+    t = spark.createDataFrame([("c", "a", True), ("c", "b", None), ("d", "a", None)], "cmp string, feature string, drift_detected boolean")
+    rows = {r["cmp"]: r for r in D.drift_summary(t).withColumn("k", F.lit(1)).collect()}
+    assert rows["c"]["drift_share"] == 1.0 and rows["d"]["dataset_drift"] is None

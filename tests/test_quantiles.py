@@ -33,3 +33,17 @@ def test_kth_value_every_rank_small(spark):
 
 def test_median_of_empty_is_none(spark):
     assert exact_median(spark.createDataFrame([(None,)], "x double"), "x") is None
+
+
+def test_median_with_infinities_and_wide_ranges(spark):
+    import math
+
+    from cohortlens.operators.quantiles import exact_median
+
+    inf = float("inf")
+    for xs in ([1.0, 2.0, 3.0, inf], [-inf, -inf, -inf, 5.0], [inf, inf, 1.0], [1e308, -1e308, 3.0, 4.0, 5e-324], [float(k) for k in range(500)] + [inf] * 3):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        s = sorted(xs)
+        want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+        got = exact_median(df, "x", buckets=16, limit=4)
+        assert got == want or math.isclose(got, want, rel_tol=1e-15)

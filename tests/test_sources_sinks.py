@@ -93,3 +93,37 @@ def test_streaming_scoring(spark):
     assert out.count() == req.count()
     assert out.where(F.col("valido") & F.col("risco_classe").isNull()).count() == 0
     assert out.where(F.col("cluster_nome").isNull()).count() == 0
+
+
+def test_quoted_fields_line_breaks_and_empty_columns(spark, tmp_path):
+    from cohortlens.operators.schema import _unify_types
+    from cohortlens.sources.csv_years import load_csv, load_years
+
+    (tmp_path / "a.csv").write_text('RA;FASE;TEXTO\n1;2;"ele disse ""oi""; ontem"\n2;3;"linha um\nlinha dois"\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("RA;FASE;TEXTO\n3;;x\n4;NA;y\n", encoding="utf-8")
+    a = load_csv(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in a.orderBy("RA").collect()] == [(1, 2, 'ele disse "oi"; ontem'), (2, 3, "linha um\nlinha dois")]
+    years = load_years(spark, {2022: str(tmp_path / "a.csv"), 2023: str(tmp_path / "b.csv"), 2024: str(tmp_path / "none.csv")})
+    assert sorted(years) == [2022, 2023] and dict(years[2023].dtypes)["FASE"] == "void"
+    one, two = _unify_types(list(years.values()))
+    assert dict(one.unionByName(two).dtypes)["FASE"] == "bigint"
+
+
+def test_a_broken_file_is_not_skipped(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from cohortlens.sources import csv_years
+
+    (tmp_path / "a.csv").write_text("RA\n1\n", encoding="utf-8")
+    monkeypatch.setattr(csv_years, "infer_types", lambda df: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        csv_years.load_years(spark, {2022: str(tmp_path / "a.csv")})
+
+
+def test_nan_is_missing(spark):
+    from cohortlens.operators.cleaning import impute
+    from cohortlens.sources.tables import nan_to_null
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    assert sorted(r["x"] for r in impute(df, "mean").collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert [r["x"] for r in nan_to_null(df).collect()].count(None) == 2

@@ -117,3 +117,18 @@ def test_tiebreak_orders_within_same_time(spark):
                                "user_id long, ts long, event_id long, value double")
     out = G.deltas(df, ["value"], "user_id", "ts", tiebreak=["event_id"]).orderBy("ts", "event_id").collect()
     assert [r["delta_value"] for r in out] == [None, 2.0, -1.0]
+
+
+def test_rows_without_an_id_have_no_features(spark):
+    rows = [(None, 2022, 5.0, 1.0, 1.0, 1.0, 2.0), (None, 2023, 7.0, 1.0, 1.0, 1.0, 1.0), (1, 2022, 5.0, 1.0, 1.0, 1.0, 2.0), (1, 2023, 7.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "RA int, ano int, INDE double, IEG double, IDA double, IPS double, PEDRA_CODIGO double")
+    from cohortlens.operators import temporal as T
+
+    out = T.drop_target(T.temporal_features(df)).collect()
+    made = set(out[0].asDict()) - set(df.columns)
+    assert len(made) > 10
+    for r in out:
+        if r["RA"] is None:
+            assert all(r[c] is None for c in made)
+    last = next(r for r in out if r["RA"] == 1 and r["ano"] == 2023)
+    assert last["delta_INDE"] == 2.0 and last["anos_no_programa"] == 2 and last["pedras_mudadas_total"] == 1.0
