@@ -1,12 +1,16 @@
 """User-level pipelines (survey N1-N10) as compositions of the operators.
 
 Each returns DataFrames (lazy) or writes through the sinks; nothing is
-collected except bounded model metadata.  ``sf_dir`` points at the tables
-the panel views read (see ``plans.panel``).
+collected except bounded model metadata.  ``source`` is the user's own data:
+``{year: path}`` of yearly CSV files, or a panel DataFrame with one row per
+entity and year.  A string is a folder of the tables the panel views read
+(see ``plans.panel``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens import constants as K
@@ -15,22 +19,39 @@ from cohortlens.operators import cleaning as CL
 from cohortlens.operators import drift as D
 from cohortlens.operators import models as ML
 from cohortlens.operators import quality as Q
+from cohortlens.operators import schema as S
+from cohortlens.operators import temporal as G
 from cohortlens.plans import catalog
 from cohortlens.sources import sinks
+from cohortlens.sources.csv_years import load_years
+from cohortlens.sources.tables import nan_to_null
+
+
+Source = str | Mapping[int, str] | DataFrame
 
 
-def processed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def processed_panel(spark: SparkSession, source: Source) -> DataFrame:
     """Yearly tables -> harmonise -> level normalisation -> temporal features."""
-    return catalog.temporal_panel(spark, sf_dir)
+    if isinstance(source, str):
+        return catalog.temporal_panel(spark, source)
+    panel = source if isinstance(source, DataFrame) else S.harmonize(load_years(spark, source))
+    return G.temporal_features(S.normalize_level_column(nan_to_null(panel)))
+
+
+def latest_profiles(panel: DataFrame) -> DataFrame:
+    """Latest non-null record per entity, complete on the profile features."""
+    latest = A.latest_nonnull(panel.select(K.ID_COL, K.TIME_COL, *K.CLUSTER_FEATURES, "PEDRA_CODIGO"))
+    return latest.drop(K.TIME_COL).dropna(subset=K.CLUSTER_FEATURES)
 
 
-def train_all(spark: SparkSession, sf_dir: str, out_dir: str, gbt_iter: int = 200,
+def train_all(spark: SparkSession, source: Source, out_dir: str, gbt_iter: int = 200,
               n_init: int = ML.KMEANS_N_INIT) -> dict:
     """Features + target -> risk classifier; latest records -> profiles;
     models, cluster labels and run metrics written under ``out_dir``."""
     out = out_dir.rstrip("/")
-    risk = ML.train_risk_classifier(catalog.target_panel(spark, sf_dir), max_iter=gbt_iter)
-    prof = ML.train_profiles(catalog.latest_complete(spark, sf_dir), n_init=n_init)
+    panel = processed_panel(spark, source)
+    risk = ML.train_risk_classifier(G.drop_target(panel), max_iter=gbt_iter)
+    prof = ML.train_profiles(latest_profiles(panel), n_init=n_init)
     sinks.save_model(risk.model, f"{out}/classifier")
     sinks.save_model(prof.model, f"{out}/profiles")
     sinks.write_cluster_labels(prof.names, prof.profile, f"{out}/cluster_labels")
@@ -43,9 +64,9 @@ def train_all(spark: SparkSession, sf_dir: str, out_dir: str, gbt_iter: int = 20
     return {"risk": risk, "profiles": prof, "risk_metrics": rm, "profile_metrics": pq}
 
 
-def dashboard(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def dashboard(spark: SparkSession, source: Source) -> dict[str, DataFrame]:
     """KPIs, level distribution, mean index per year."""
-    panel = processed_panel(spark, sf_dir)
+    panel = processed_panel(spark, source)
     latest = A.latest_nonnull(panel.select("RA", "ano", "INDE", "PEDRA"))
     return {"kpis": A.dashboard_kpis(panel), "levels": A.value_distribution(latest, "PEDRA"),
             "index_by_year": A.mean_by_period(panel, "INDE")}
@@ -56,21 +77,21 @@ def listing(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFr
     return catalog.entity_listing(spark, sf_dir, year)
 
 
-def drift_across_years(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def drift_across_years(spark: SparkSession, source: Source) -> tuple[DataFrame, DataFrame]:
     """First period against every later one."""
-    return D.all_periods_vs_first(processed_panel(spark, sf_dir), K.DRIFT_FEATURES)
+    return D.all_periods_vs_first(processed_panel(spark, source), K.DRIFT_FEATURES)
 
 
-def data_quality(spark: SparkSession, sf_dir: str, year: int | None = None) -> dict[str, DataFrame]:
+def data_quality(spark: SparkSession, source: Source, year: int | None = None) -> dict[str, DataFrame]:
     """Quality summary, feature stats, rows per period (optional period filter)."""
-    panel = A.filter_equals(processed_panel(spark, sf_dir), "ano", year)
+    panel = A.filter_equals(processed_panel(spark, source), "ano", year)
     return {"summary": Q.quality_summary(panel), "features": Q.feature_stats(panel),
             "per_year": Q.rows_per_period(panel)}
 
 
-def drift_with_stats(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def drift_with_stats(spark: SparkSession, source: Source) -> dict[str, DataFrame]:
     """First vs last period on complete cases: drift, descriptive stats, text."""
-    panel = processed_panel(spark, sf_dir)
+    panel = processed_panel(spark, source)
     ys = D.years_of(panel)
     table = D.drift_table(D.long_periods(panel, K.DRIFT_FEATURES, ys[0], [ys[-1]], complete_cases=True))
     stats = A.two_period_stats(panel, K.DRIFT_FEATURES, ys[0], ys[-1])
@@ -95,5 +116,5 @@ def report_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.q_report_prompts_scored(spark, sf_dir)
 
 
-__all__ = ["processed_panel", "train_all", "dashboard", "listing", "drift_across_years", "data_quality",
+__all__ = ["latest_profiles", "processed_panel", "train_all", "dashboard", "listing", "drift_across_years", "data_quality",
            "drift_with_stats", "score_risk_requests", "score_profile_requests", "report_dataset"]

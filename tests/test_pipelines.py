@@ -24,3 +24,25 @@ def test_dashboard_quality_drift(spark):
     assert q["per_year"].count() == 1
     n7 = P.drift_with_stats(spark, SF001)
     assert n7["summary"].count() == 1 and n7["text"].first()["texto"].startswith("- ")
+
+
+def test_pipelines_on_the_users_own_files_and_frames(spark, tmp_path):
+    from cohortlens.plans import catalog
+    from cohortlens.plans.raw_years import raw_year_tables, write_year_csvs
+
+    paths = write_year_csvs(raw_year_tables(spark, SF001), str(tmp_path / "csv"))
+    panel = P.processed_panel(spark, paths)
+    cols = ["RA", "ano", "INDE", "IEG", "PEDRA", "delta_INDE", "tendencia_INDE", "anos_no_programa", "ingressante"]
+    key = lambda r: (r[0], r[1])
+    got = sorted((tuple(r) for r in panel.select(*cols).collect()), key=key)
+    want = sorted((tuple(r) for r in catalog.temporal_panel(spark, SF001).select(*cols).collect()), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and a[4] == b[4] and a[7:] == b[7:]
+        for x, y in zip(a[2:4] + a[5:7], b[2:4] + b[5:7]):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+    res = P.train_all(spark, paths, str(tmp_path / "out"), gbt_iter=2, n_init=1)
+    assert res["profiles"].names.count() >= 2
+    frame = spark.createDataFrame([(1, 2022, 5.0, "Ágata"), (1, 2023, float("nan"), "Quartzo")], "RA int, ano int, INDE double, PEDRA string")
+    rows = P.processed_panel(spark, frame).orderBy("ano").collect()
+    assert rows[1]["INDE"] is None and rows[1]["anos_no_programa"] == 2 and rows[1]["pedras_mudadas"] == 1.0
