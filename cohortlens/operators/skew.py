@@ -16,8 +16,9 @@ with equal time never straddle a border, and every running statistic here
 (row number, previous value, running count / sum / mean / min / max) is
 associative over consecutive chunks.  Whole-entity statistics (count,
 regression slope) are grouped aggregates -- partial aggregation absorbs
-the hot entity -- attached by a broadcast join for the hot ids (at most
-1 / ``hot_share`` of them) and by the window for the cold ones.
+the hot entity -- attached by a join for the hot ids and by the window for the
+cold ones.  Rows without an id belong to no entity: they pass by with NULL
+statistics and are never gathered.
 """
 
 from __future__ import annotations
@@ -27,11 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# An entity is hot when it holds more than HOT_SHARE of all rows (and at
-# least MIN_HOT_ROWS rows): there are then at most 1 / HOT_SHARE = 1000 hot
-# entities whatever the data size, so the two broadcast chunk tables hold at
-# most 1000 * n_chunks rows (1024 chunks: ~8 MB of bounds).
-HOT_SHARE = 0.001
+# An entity is hot when it holds more rows than one window task should sort,
+# whatever its share of all rows. The hot tables grow with the data, so they
+# are joined, not broadcast by a hint: Spark broadcasts them when they are small.
 MIN_HOT_ROWS = 1_000_000
 DEFAULT_CHUNKS = 1024
 
@@ -72,8 +71,7 @@ def _plain(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str], v
 
 
 def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
-                        tiebreak: Sequence[str] = (), hot_share: float = HOT_SHARE,
-                        min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS,
+                        tiebreak: Sequence[str] = (), min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS,
                         slope: bool = True) -> DataFrame:
     """Row number, delta to previous row, running mean/min/max/sum of
     ``value`` and whole-entity count (+ slope of value on time) per entity,
@@ -84,12 +82,11 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     tiebreak, which quantiles do not split).
     """
     from cohortlens.session import cut_lineage
-    # One row per entity; read for the total and the hot list -> checkpoint once.
-    counts = cut_lineage(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
-    total = counts.agg(F.sum("__n")).scalar()
-    threshold = F.greatest(F.lit(float(min_hot_rows)), total * F.lit(float(hot_share)))
-    hot_ids = counts.where(F.col("__n") > threshold)         # at most 1 / hot_share rows
-    tagged = df.join(F.broadcast(hot_ids.select(id_col, F.lit(True).alias("__hot"))), id_col, "left")
+    nameless = df.where(F.col(id_col).isNull())
+    df = df.where(F.col(id_col).isNotNull())
+    # One row per hot entity, read twice -> checkpoint once.
+    hot_ids = cut_lineage(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_hot_rows))
+    tagged = df.join(hot_ids.select(id_col, F.lit(True).alias("__hot")), id_col, "left")
     cold = tagged.where(F.col("__hot").isNull()).drop("__hot")
     hot = tagged.where(F.col("__hot")).drop("__hot")
 
@@ -102,8 +99,8 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
                                      F.count(F.lit(1)).alias("n_total"),
                                      *([F.coalesce(F.regr_slope(F.col(value), t), F.lit(0.0))
                                         .alias(f"tendencia_{value}")] if slope else []))
-    bounds = cut_lineage(bounds)                              # <= 1 / hot_share rows, read twice
-    h = hot.join(F.broadcast(bounds), id_col)
+    bounds = cut_lineage(bounds)                              # a row for each hot entity, read twice
+    h = hot.join(bounds, id_col)
     h = h.withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
 
     ordering = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
@@ -121,7 +118,7 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
         F.min("__mn").over(before).alias("__omn"),
         F.max("__mx").over(before).alias("__omx"),
         F.lag("__last").over(wk).alias("__prev_last"))
-    h = h.join(F.broadcast(offs), [id_col, "__k"])           # <= n_chunks / hot_share rows
+    h = h.join(offs, [id_col, "__k"])
     w = Window.partitionBy(id_col, "__k").orderBy(time_col, *tiebreak)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run_s = F.sum(value).over(wr)
@@ -138,4 +135,4 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
         f"{value}_max_hist": F.greatest(F.col("__omx"), F.max(value).over(wr)),
     }).drop("__k", "__oc", "__os", "__ocv", "__omn", "__omx", "__prev_last")
     cols = out_cold.columns
-    return out_cold.unionByName(out_hot.select(*cols))
+    return out_cold.unionByName(out_hot.select(*cols)).unionByName(nameless, allowMissingColumns=True)

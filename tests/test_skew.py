@@ -29,7 +29,7 @@ def collect(df):
 def test_chunked_equals_plain(spark):
     df = skewed(spark)
     plain = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], min_hot_rows=10**9))
-    chunked = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_share=0.0,
+    chunked = collect(running_value_stats(df, "user_id", "ts", "value", ["event_id"],
                                           min_hot_rows=10, n_chunks=16))
     assert plain.keys() == chunked.keys()
     diff = [k for k in plain if plain[k] != chunked[k]]
@@ -43,12 +43,13 @@ def test_hot_entity_is_split_across_window_partitions(spark):
     assert "__k" in plan  # hot rows are windowed per (entity, chunk)
 
 
-def test_hot_threshold_is_relative_to_data(spark):
-    """Only entities above hot_share of all rows are chunked: at most 1/hot_share."""
+def test_rows_without_an_id_pass_by(spark):
     from pyspark.sql import functions as F
     df = skewed(spark)
-    out = running_value_stats(df, "user_id", "ts", "value", ["event_id"], hot_share=0.2, min_hot_rows=1,
-                              n_chunks=8)
-    assert out.count() == df.count()
-    counts = df.groupBy("user_id").count()
-    assert counts.where(F.col("count") > 0.2 * df.count()).count() == 1   # only user 0 is hot
+    nameless = df.withColumn("user_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id")))
+    rows = collect(running_value_stats(nameless, "user_id", "ts", "value", ["event_id"], min_hot_rows=50, n_chunks=8))
+    want = collect(running_value_stats(nameless.where("user_id is not null"), "user_id", "ts", "value", ["event_id"], min_hot_rows=10**9))
+    assert len(rows) == df.count()
+    near = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 1e-8
+    assert [(v, rows[k]) for k, v in want.items() if not all(map(near, v, rows[k]))] == [] and len(want) < len(rows)
+    assert all(v[2:] == (None,) * len(v[2:]) for v in rows.values() if v[0] is None)
