@@ -589,6 +589,24 @@ def q_drift_text(spark, sf):
     return D.drift_lines(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, True, True)))
 
 
+@register("drift_text_means", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True, complete=True)}{_drift_table_sql('auto')},"
+          """
+means AS (SELECT cmp, feature, round(avg(x) FILTER (WHERE per = 0), 2) AS ref_mean, round(avg(x) FILTER (WHERE per = 1), 2) AS cur_mean
+          FROM lf GROUP BY cmp, feature)
+SELECT cmp, string_agg(line, chr(10) ORDER BY line) AS texto
+FROM (SELECT dt.cmp, printf('- %s: %s (score=%.4f, teste=%s) ref_mean=%.2f cur_mean=%.2f', dt.feature,
+                            CASE WHEN drift_detected THEN 'DRIFT' ELSE 'estável' END, drift_score, stattest, ref_mean, cur_mean) AS line
+      FROM dt JOIN means m ON m.cmp = dt.cmp AND m.feature = dt.feature)
+GROUP BY cmp""")
+def q_drift_text_means(spark, sf):
+    """C17 with the periods' means."""
+    ys = panel_years(spark, sf)
+    df = level_panel(spark, sf, years=[ys[0], ys[-1]])
+    stats = A.two_period_stats(df, K.DRIFT_FEATURES, ys[0], ys[-1])
+    return D.drift_lines(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, True, True)), stats)
+
+
 # ============================================================ 6. evaluation metrics
 
 TARGET_SQL = TEMPORAL_SQL + f""",
