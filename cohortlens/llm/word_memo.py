@@ -17,7 +17,7 @@ import numpy as np
 
 MEMO_ENTRIES = 700_000  # entries kept in a task before the memo starts anew
 MEMO_CHARS = 40  # longer chunks are encoded each time
-JOINED = 256  # new chunks encoded as one text
+JOINED = 1024  # new chunks encoded as one text
 _RUNS = re.compile(r"\s(?=\s|\Z)")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
@@ -61,8 +61,7 @@ class WordMemo:
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        word = _WORD.fullmatch
-        words = [c for c in new if word(c)]
+        words = list(filter(_WORD.fullmatch, new))
         lines, spaced, rest = [], [], []
         for c in set(new).difference(words) if len(words) < len(new) else ():
             if " " in c:
@@ -86,7 +85,7 @@ class WordMemo:
         if len(self.memo) > MEMO_ENTRIES:  # the words in use just now stay
             self.memo = {c: self.memo[c] for c in wanted if c in self.memo}
         memo = self.memo
-        learnt = self._learn([c for c in wanted if c not in memo])
+        learnt = self._learn(list(wanted.difference(memo)))
         long = {c: x for c, x in learnt.items() if len(c) > MEMO_CHARS} if learnt and max(map(len, learnt)) > MEMO_CHARS else {}
         memo.update(learnt)
         out = [head + b"".join(map(memo.__getitem__, c)) for head, c in zip(heads, cut)]
