@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
 
-__all__ = ["arrow_map", "held_out", "materialize", "read", "texts"]
+__all__ = ["arrow_map", "held_out", "materialize", "read", "smallest", "texts"]
 
 ROWS_AT_ONCE = 256
 
@@ -24,6 +24,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def smallest(rows: DataFrame, hashed: str, most: int, *ties: str) -> DataFrame:
+    """The ``most`` rows with the smallest 64-bit hash.
+
+    Hashes are even, so rows above a bound that leaves about four times as many are
+    dropped first: what a task sends on does not grow with the number of tasks.
+    """
+    n = rows.count()
+    if n > 8 * most:
+        rows = rows.filter(F.col(hashed) <= F.lit(-(1 << 63) + int(4 * most / n * (1 << 64))))
+    return rows.orderBy(hashed, *ties).limit(most)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

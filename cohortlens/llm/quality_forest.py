@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, materialize, texts
+from .common import arrow_map, held_out, materialize, smallest, texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -167,8 +167,8 @@ def grow(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: in
 
 def fit_forest(stats: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 11) -> Forest:
     """Grow the forest on a sample of ``sample_rows`` documents that pass the base rules."""
-    sample = (stats.filter(~F.col("base_failed")).select(F.xxhash64("doc_id", "text_hash", F.lit(seed)).alias("_h"), *features())
-              .orderBy("_h", "mean_word", "symbols", "dup_lines", "repeats").limit(sample_rows).collect())
+    rows = stats.filter(~F.col("base_failed")).select(F.xxhash64("doc_id", "text_hash", F.lit(seed)).alias("_h"), *features())
+    sample = smallest(rows, "_h", sample_rows, *NAMES).collect()
     x = np.array([r[1:] for r in sample], "f8").reshape(-1, len(features()))
     return grow(x, trees, tree_rows, seed)
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import arrow_map, held_out, materialize, texts
+from .common import arrow_map, held_out, materialize, smallest, texts
 
 # word classes, in English, German, French and Spanish
 INSULTS = """idiot moron loser scum trash clown fool dumb stupid pathetic worthless disgusting imbecile
@@ -202,9 +202,9 @@ class Matcher:
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """text and toxic of at most ``most`` labelled doc_ids outside the held-out part; the sample has that bound, so it is broadcast."""
-    sample = (labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
-              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-              .orderBy(F.xxhash64("_id"), "_id").limit(most))
+    rows = (labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
+            .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_h", F.xxhash64("_id")))
+    sample = smallest(rows, "_h", most, "_id").drop("_h")
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic")
 
 
