@@ -36,7 +36,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
+    return line_dedup.dedup(read(spark, sf_dir, "documents"), share=line_dedup.EDIT_SHARE).select("doc_id", "text", "n_lines", "n_kept")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
