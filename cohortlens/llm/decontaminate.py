@@ -12,7 +12,9 @@ own bits, its own coordinates, and an anchor: how far into the item its walk
 starts, so that the repetitions together cover the whole item-sized window
 wherever the edits are. Walks start at every word of every document. The number
 of repetitions is the least that finds ``recall`` of simulated copies with
-as many random edits as the bound allows (``repetitions_for``).
+as many random edits as the bound allows (``search_plan``). Item lengths whose own
+copies it finds less often than that are also searched exactly: an item is cut into one piece
+more than its bound, so one piece must occur unchanged.
 
 A key that agrees is a candidate; the exact distance decides (bit-parallel
 approximate matching over the window and as many words around it as may have
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,7 @@ SAMPLED = 5  # coordinates of a key
 WALK = 12  # steps that coordinates are sampled from
 MOST_REPETITIONS = 48
 TRIALS = 1000
+TRIALS_A_LENGTH = 300
 ITEMS_AT_ONCE = 2000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -90,7 +94,8 @@ def best_window(item: list[int], text: list[int]) -> tuple[int, int, int]:
 class Finder:
     """Candidate search and verification for one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], repetitions: int, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], repetitions: int, seed: int = 5, exact: frozenset[int] = frozenset()):
+        """``exact``: length classes (``length_class``) that are searched exactly as well."""
         self.ids, self.items = [], []
         self.vocabulary: dict[str, int] = {}
         for item_id, text in items:
@@ -100,6 +105,7 @@ class Finder:
                 self.items.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws])
         self.bound = [int(EDIT_SHARE * len(x)) for x in self.items]
         self.tables = [self._table(r, np.random.default_rng([seed, r])) for r in range(repetitions)]
+        self.pieces = self._pieces([k for k, x in enumerate(self.items) if length_class(len(x)) in exact])
 
     def _table(self, r: int, rng: np.random.Generator) -> list[tuple]:
         """For short and long items: bits of every word, coordinates, and the items' keys with their anchors."""
@@ -128,16 +134,43 @@ class Finder:
                 out.append((bits, at, low, first, packed[order], found[order, SAMPLED], found[order, SAMPLED + 1]))
         return out
 
+    def _pieces(self, chosen: list[int]) -> list[tuple]:
+        """By piece length: the pieces' first words, keys, items and places in the item."""
+        rows: dict[int, list[list[int]]] = {}
+        for k in chosen:
+            item, parts = self.items[k], self.bound[k] + 1
+            cuts = [len(item) * j // parts for j in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                rows.setdefault(b - a, []).append([*item[a:b], k, a])
+        out = []
+        for size, found in sorted(rows.items()):
+            table = np.array(found, "i8")
+            packed = self._pack(list(table[:, :size].T))
+            order = np.argsort(packed, kind="stable")
+            first = np.zeros(len(self.vocabulary) + 1, bool)
+            first[table[:, 0]] = True
+            out.append((size, first, packed[order], table[order, size], table[order, size + 1]))
+        return out
+
     def _pack(self, columns: list[np.ndarray]) -> np.ndarray:
         key = np.zeros(len(columns[0]), "u8")
         for c in columns:
             key = key * np.uint64(0x9E3779B97F4A7C15) + c.astype("u8") + np.uint64(1)
         return key
 
-    def candidates(self, symbols: np.ndarray) -> np.ndarray:
+    def _agreeing(self, columns: list[np.ndarray], keys: np.ndarray, item: np.ndarray, anchor: np.ndarray, start: np.ndarray) -> np.ndarray:
+        packed = self._pack(columns)
+        low, high = np.searchsorted(keys, packed, "left"), np.searchsorted(keys, packed, "right")
+        hit = np.flatnonzero(high > low)
+        n = (high - low)[hit]
+        which = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        walk = np.repeat(start[hit], n)
+        return np.column_stack([item[which], walk - anchor[which], walk])
+
+    def candidates(self, symbols: np.ndarray, tables: list | None = None) -> np.ndarray:
         """(item, place where the item would start, walk's start) of all agreeing keys; ``symbols`` ends in WALK zeros."""
         found = []
-        for table in self.tables:
+        for table in self.tables if tables is None else tables:
             for bits, at, steps, first, keys, item, anchor in table:
                 start = np.flatnonzero(first[symbols])
                 start = start[start < len(symbols) - steps]
@@ -146,13 +179,11 @@ class Finder:
                     p += (bits[symbols[p]] >> np.uint64(j) & np.uint64(1)).astype("i8")
                     if j + 1 in at:
                         columns.append(symbols[p])
-                packed = self._pack(columns)
-                low, high = np.searchsorted(keys, packed, "left"), np.searchsorted(keys, packed, "right")
-                hit = np.flatnonzero(high > low)
-                n = (high - low)[hit]
-                which = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                walk = np.repeat(start[hit], n)
-                found.append(np.column_stack([item[which], walk - anchor[which], walk]))
+                found.append(self._agreeing(columns, keys, item, anchor, start))
+        for size, first, keys, item, at in self.pieces:
+            start = np.flatnonzero(first[symbols])
+            start = start[start + size <= len(symbols)]
+            found.append(self._agreeing([symbols[start + j] for j in range(size)], keys, item, at, start))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), "i8")
 
     def symbols(self, batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +232,40 @@ def edited(item: list[str], edits: int, rng: random.Random) -> list[str]:
     return out
 
 
-def repetitions_for(items: list[tuple[int, str]], recall: float = RECALL, trials: int = TRIALS, seed: int = 5) -> int:
-    """Least number of repetitions that find ``recall`` of copies with as many random edits as the bound allows."""
-    rng = random.Random(seed)
+def length_class(n: int) -> int:
+    """The length itself up to 64 words, above that the power of two below it."""
+    return n if n <= 64 else 1 << n.bit_length() - 1
+
+
+def search_plan(items: list[tuple[int, str]], recall: float = RECALL, trials: int = TRIALS, seed: int = 5) -> tuple[int, frozenset[int]]:
+    """Least number of repetitions that find ``recall`` of copies with as many random edits as the bound allows, and
+    the length classes that miss it at that number."""
     finder = Finder(items, MOST_REPETITIONS, seed)
-    if not finder.items:
-        return 1
+    rng = random.Random(seed)
+    missed = _missed(finder, [rng.randrange(len(finder.items)) for _ in range(trials if finder.items else 0)], rng)
+    repetitions = next((r for r, open_ in enumerate(missed, 1) if len(open_) <= (1 - recall) * trials), MOST_REPETITIONS)
+    classes: dict[int, list[int]] = {}
+    for k, item in enumerate(finder.items):
+        classes.setdefault(length_class(len(item)), []).append(k)
+    finder.tables = finder.tables[:repetitions]
+    chosen = [rng.choice(classes[c]) for c in sorted(classes) for _ in range(TRIALS_A_LENGTH)]
+    *_, open_ = _missed(finder, chosen, rng)
+    lost = Counter(length_class(len(finder.items[chosen[t]])) for t in open_)
+    return repetitions, frozenset(c for c, n in lost.items() if n > (1 - recall) * TRIALS_A_LENGTH)
+
+
+def _missed(finder: Finder, chosen: list[int], rng: random.Random):
+    """After each of the finder's repetitions: the places in ``chosen`` of the items whose edited copies none has found."""
     names = {v: k for k, v in finder.vocabulary.items()}
-    chosen = [rng.randrange(len(finder.items)) for _ in range(trials)]
     copies = [edited([names[w] for w in finder.items[k]], finder.bound[k], rng) for k in chosen]
     symbols, starts = finder.symbols(copies)
-    open_, tables = set(range(trials)), finder.tables
-    for r, table in enumerate(tables):
-        finder.tables = [table]
-        for item, place, walk in finder.candidates(symbols).tolist():
+    open_ = set(range(len(chosen)))
+    for table in finder.tables:
+        for item, place, walk in finder.candidates(symbols, [table]).tolist() if open_ else ():
             t = int(np.searchsorted(starts, walk, "right")) - 1
             if chosen[t] == item and abs(place - int(starts[t])) <= finder.bound[item]:
                 open_.discard(t)
-        if len(open_) <= (1 - recall) * trials:
-            return r + 1
-    return MOST_REPETITIONS
+        yield open_
 
 
 def item_blocks(benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE):
@@ -245,13 +290,13 @@ def find(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark):
-        out = out.unionByName(arrow_map(rows, _reporter(block, repetitions_for(block, recall)), schema))
+        out = out.unionByName(arrow_map(rows, _reporter(block, *search_plan(block, recall)), schema))
     return out
 
 
-def _reporter(block: list[tuple[int, str]], repetitions: int):
+def _reporter(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int]):
     def make():
-        finder = Finder(block, repetitions)
+        finder = Finder(block, repetitions, exact=exact)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             lines, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
@@ -269,14 +314,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = REC
     """Rows of ``docs`` that hold no benchmark item, with their columns as they are."""
     for block in item_blocks(benchmark):
         schema = StructType([*docs.schema.fields, StructField("__leaks", BooleanType())])
-        marked = arrow_map(docs.withColumn("__text", F.col("text").cast("string")), _marker(block, repetitions_for(block, recall), docs.columns), schema)
+        marked = arrow_map(docs.withColumn("__text", F.col("text").cast("string")), _marker(block, *search_plan(block, recall), docs.columns), schema)
         docs = marked.filter("not __leaks").drop("__leaks")
     return docs
 
 
-def _marker(block: list[tuple[int, str]], repetitions: int, names: list[str]):
+def _marker(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int], names: list[str]):
     def make():
-        finder = Finder(block, repetitions)
+        finder = Finder(block, repetitions, exact=exact)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             leaks = np.zeros(batch.num_rows, bool)

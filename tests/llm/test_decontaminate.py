@@ -66,6 +66,28 @@ def test_edges(spark):
     assert D.drop_contaminated(docs, bench.limit(0)).count() == 3
 
 
+def test_recall_at_every_length(rng):
+    bench = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for k, n in enumerate([5, 12] * 4 + list(range(6, 60)))]
+    texts, want = [], set()
+    for k, x in bench:
+        item = D.words(x)
+        for copy in (["zz", *item[1:]], item[1:], [*item[:-1], "zz"], D.edited(item, int(0.2 * len(item)), rng)):
+            want.add((len(texts), k))
+            texts.append(" ".join(["aa", *(w.replace("+", "yy") for w in copy), "bb"]))
+    repetitions, exact = D.search_plan(bench)
+    assert {5, 12} <= exact
+    got = {(t, i) for t, i, *_ in D.Finder(bench, repetitions, exact=exact).matches(texts)}
+    assert len(want - got) <= 0.01 * len(want) and not [k for _, k in want - got if len(bench[k][1].split()) in exact]
+
+
+def test_exact_search_alone_finds_every_copy(rng):
+    bench = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(5 + k % 60))) for k in range(120)]
+    finder = D.Finder(bench, 0, exact=frozenset(range(65)))
+    texts = [" ".join(D.edited(D.words(x), int(0.2 * len(D.words(x))), rng)).replace("+", "zz") for _, x in bench for _ in range(3)]
+    got = {(t, i) for t, i, *_ in finder.matches(texts)}
+    assert got >= {(t, t // 3) for t in range(len(texts))}
+
+
 def test_blocks_of_items(spark, rng):
     bench = spark.createDataFrame(_bench(rng), "item_id long, text string")
     blocks = list(D.item_blocks(bench, 7))
