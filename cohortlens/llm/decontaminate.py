@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts and items are word sequences (letters and digits, lower case). An item
+Texts and items are word sequences (letters and digits, lower case; each character is a
+word in scripts written without spaces: Chinese, Japanese, Thai, Lao, Khmer, Burmese). An item
 of n words is found in a document if some window lies within
 ``floor(EDIT_SHARE * n)`` word edits of it (a similarity of 0.8 or more).
 
@@ -26,7 +27,8 @@ at most ITEMS_AT_ONCE, each block against all documents; a block is what the
 driver and each task hold.
 
 Nulls and edges: null or empty texts and items match nothing; items under
-MIN_WORDS words are never searched (ordinary text holds them by chance); null
+MIN_WORDS words (ordinary text holds them by chance) are searched from ``least`` words on, exactly: their
+bound is no edit; the registered query and the pipeline search all; null
 doc_ids are searched and reported; repeated items are separate items; repeated
 rows are searched one by one; empty tables give no rows; other columns are
 ignored (``drop_contaminated`` keeps them).
@@ -55,7 +57,12 @@ MOST_REPETITIONS = 48
 TRIALS = 1000
 TRIALS_A_LENGTH = 300
 ITEMS_AT_ONCE = 2000
-_WORD = re.compile(r"[^\W_]+")
+# letters, digits and vowel signs of scripts without spaces between words, without their punctuation
+_SPACELESS = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0ebd\u0ec0-\u0ece\u0ed0-\u0edf\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17d7\u17dc-\u17e9"
+    "\u3005-\u3007\u3021-\u3029\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_WORD = re.compile(rf"[{_SPACELESS}]|[^\W_{_SPACELESS}]+")
 
 
 def words(text: str) -> list[str]:
@@ -94,18 +101,18 @@ def best_window(item: list[int], text: list[int]) -> tuple[int, int, int]:
 class Finder:
     """Candidate search and verification for one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], repetitions: int, seed: int = 5, exact: frozenset[int] = frozenset()):
-        """``exact``: length classes (``length_class``) that are searched exactly as well."""
+    def __init__(self, items: list[tuple[int, str]], repetitions: int, seed: int = 5, exact: frozenset[int] = frozenset(), least: int = MIN_WORDS):
+        """``exact``: length classes (``length_class``) that are searched exactly as well, as items under MIN_WORDS words are."""
         self.ids, self.items = [], []
         self.vocabulary: dict[str, int] = {}
         for item_id, text in items:
             ws = words(text or "")
-            if len(ws) >= MIN_WORDS:
+            if ws and len(ws) >= least:
                 self.ids.append(item_id)
                 self.items.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws])
         self.bound = [int(EDIT_SHARE * len(x)) for x in self.items]
         self.tables = [self._table(r, np.random.default_rng([seed, r])) for r in range(repetitions)]
-        self.pieces = self._pieces([k for k, x in enumerate(self.items) if length_class(len(x)) in exact])
+        self.pieces = self._pieces([k for k, x in enumerate(self.items) if len(x) < MIN_WORDS or length_class(len(x)) in exact])
 
     def _table(self, r: int, rng: np.random.Generator) -> list[tuple]:
         """For short and long items: bits of every word, coordinates, and the items' keys with their anchors."""
@@ -240,7 +247,7 @@ def length_class(n: int) -> int:
 def search_plan(items: list[tuple[int, str]], recall: float = RECALL, trials: int = TRIALS, seed: int = 5) -> tuple[int, frozenset[int]]:
     """Least number of repetitions that find ``recall`` of copies with as many random edits as the bound allows, and
     the length classes that miss it at that number."""
-    finder = Finder(items, MOST_REPETITIONS, seed)
+    finder = Finder(items, MOST_REPETITIONS, seed)  # without the short items, which need no repetition
     rng = random.Random(seed)
     missed = _missed(finder, [rng.randrange(len(finder.items)) for _ in range(trials if finder.items else 0)], rng)
     repetitions = next((r for r, open_ in enumerate(missed, 1) if len(open_) <= (1 - recall) * trials), MOST_REPETITIONS)
@@ -284,19 +291,19 @@ def _places(text: str, start: int, end: int) -> tuple[int, int]:
     return spans[start][0], spans[end - 1][1]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, edits, start_char, end_char: the best window of each item in each document that holds it."""
     schema = "doc_id long, item_id long, edits int, start_char int, end_char int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark):
-        out = out.unionByName(arrow_map(rows, _reporter(block, *search_plan(block, recall)), schema))
+        out = out.unionByName(arrow_map(rows, _reporter(block, *search_plan(block, recall), least), schema))
     return out
 
 
-def _reporter(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int]):
+def _reporter(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int], least: int):
     def make():
-        finder = Finder(block, repetitions, exact=exact)
+        finder = Finder(block, repetitions, exact=exact, least=least)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             lines, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
@@ -310,18 +317,18 @@ def _reporter(block: list[tuple[int, str]], repetitions: int, exact: frozenset[i
     return make
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, least: int = MIN_WORDS) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, with their columns as they are."""
     for block in item_blocks(benchmark):
         schema = StructType([*docs.schema.fields, StructField("__leaks", BooleanType())])
-        marked = arrow_map(docs.withColumn("__text", F.col("text").cast("string")), _marker(block, *search_plan(block, recall), docs.columns), schema)
+        marked = arrow_map(docs.withColumn("__text", F.col("text").cast("string")), _marker(block, *search_plan(block, recall), least, docs.columns), schema)
         docs = marked.filter("not __leaks").drop("__leaks")
     return docs
 
 
-def _marker(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int], names: list[str]):
+def _marker(block: list[tuple[int, str]], repetitions: int, exact: frozenset[int], least: int, names: list[str]):
     def make():
-        finder = Finder(block, repetitions, exact=exact)
+        finder = Finder(block, repetitions, exact=exact, least=least)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             leaks = np.zeros(batch.num_rows, bool)

@@ -88,6 +88,16 @@ def test_exact_search_alone_finds_every_copy(rng):
     assert got >= {(t, t // 3) for t in range(len(texts))}
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    docs = spark.createDataFrame([(1, "So, the END."), (2, "the bitter end"), (3, "以前，今天天气非常好我们去公园玩。以后"), (4, "今天天气很好"), (5, "ที่นี่ฉันชอบกินข้าวผัดกุ้งมาก"), (6, "42")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the end"), (2, "今天天气真好我们去公园玩"), (3, "ฉันชอบกินข้าวผัดกุ้ง"), (4, "42"), (5, "--")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.edits, r.start_char, r.end_char) for r in D.find(docs, bench, least=1).collect()}
+    assert found.pop((3, 2))[0] == 2
+    assert found == {(1, 1): (0, 4, 11), (5, 3): (0, 6, 26), (6, 4): (0, 0, 2)}
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench, least=1).collect()} == {2, 4}
+    assert {(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()} == {(3, 2), (5, 3)}
+
+
 def test_blocks_of_items(spark, rng):
     bench = spark.createDataFrame(_bench(rng), "item_id long, text string")
     blocks = list(D.item_blocks(bench, 7))
