@@ -14,8 +14,9 @@ threshold's histogram cover all rows.
 
 Nulls and edges: a null, empty or blank text has no words, fails the base rules
 and is not kept; null doc_ids are scored like others but never labelled;
-repeated rows are scored one by one; a cause without labelled bad rows has
-threshold 1 (nothing is anomalous); a doc_id with several labels counts as
+repeated rows are scored one by one; a cause without labelled bad rows takes the
+threshold of its first statistic, else the one of all labelled rows, but with good rows of its own none under the
+middle between the highest of them and 1; without any labelled bad row it is 1 (nothing is anomalous); a doc_id with several labels counts as
 good only if all say so; an empty table gives no rows; other columns are ignored.
 """
 
@@ -205,6 +206,21 @@ def best_cuts(table: np.ndarray) -> list[float]:
     return cuts
 
 
+def all_cuts(table: np.ndarray) -> list[float]:
+    """``best_cuts`` of pairs of statistics; a pair without bad rows takes the cut of its first one's rows or of all rows.
+
+    Its own good rows hold that cut up: as in ``best_cuts`` to the middle of the cuts that keep them all.
+    """
+    n, bins = len(NAMES), table.shape[2] - 1
+    firsts = table.reshape(n, n, 2, bins + 1).sum(1)
+    cuts, by_first, whole = best_cuts(table), best_cuts(firsts), best_cuts(table.sum(0)[None])[0]
+    for k, (gone, stay) in enumerate(table):
+        if not gone.sum():
+            own = (np.flatnonzero(stay)[-1] + 1 + bins) / 2 / bins if stay.any() else 0.0
+            cuts[k] = float(max(by_first[k // n] if firsts[k // n, 0].any() else whole, own))
+    return cuts
+
+
 def fit_thresholds(scored: DataFrame, labels: DataFrame, bins: int = BINS) -> list[float]:
     """The anomaly from which a document goes, for each cause, by a histogram of all labelled rows that are not held out."""
     good = (labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -213,7 +229,7 @@ def fit_thresholds(scored: DataFrame, labels: DataFrame, bins: int = BINS) -> li
     table = np.zeros((len(CAUSES), 2, bins + 1))
     for r in rows.join(good, "doc_id").groupBy("cause", "good", "bin").count().collect():
         table[r["cause"], r["good"], min(r["bin"], bins)] += r["count"]
-    return best_cuts(table)
+    return all_cuts(table)
 
 
 def rate(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

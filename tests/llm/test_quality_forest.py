@@ -45,6 +45,20 @@ def test_best_cut_for_each_cause():
     assert Q.best_cuts(table) == [0.55, 1.0]
 
 
+def test_pairs_without_bad_rows_take_a_wider_cut():
+    n = len(Q.NAMES)
+    table = np.zeros((n * n, 2, 11))
+    assert Q.all_cuts(table) == [1.0] * (n * n)
+    table[0, 1, 2], table[0, 0, 8] = 50, 5
+    table[1, 1, 6] = 40
+    cuts = Q.all_cuts(table)
+    assert cuts[0] == 0.55 and abs(cuts[1] - 0.85) < 1e-12  # above all its good rows
+    assert cuts[2] == 0.75  # no row of its own: the first statistic's cut
+    assert cuts[n] == 0.75  # no bad row with this first statistic: the cut of all rows
+    table[n, 1, 8] = 3
+    assert abs(Q.all_cuts(table)[n] - 0.95) < 1e-12  # not below good rows of its own
+
+
 def test_junk_goes_and_clean_documents_stay(spark, rng):
     rows, labels = [], []
     for k in range(500):
