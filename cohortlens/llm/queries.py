@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, toxicity_grammar, warc_fixity
+from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, tokenizer_alignment, toxicity_grammar, warc_fixity
 from .common import held_out, materialize, read
 
 
@@ -63,6 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "anomaly", F.array(*map(F.lit, quality_forest.CAUSES))[F.col("cause")].alias("cause"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.aligned_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_fixity": op2_warc_fixity,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 # op 4: turns and loss text straight from the table; the formatted length follows from the template's marks.
 _OP4 = r"""
