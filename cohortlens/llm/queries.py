@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, tokenizer_alignment, toxicity_grammar, warc_fixity
+from . import bin_packing, chat_prefix, cover_tree_codes, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, tokenizer_alignment, toxicity_grammar, warc_fixity
 from .common import held_out, materialize, read
 
 
@@ -67,6 +67,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.aligned_scores(read(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree_codes.codes(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_fixity": op2_warc_fixity,
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 # op 4: turns and loss text straight from the table; the formatted length follows from the template's marks.
 _OP4 = r"""
@@ -120,4 +125,36 @@ SELECT segment::BIGINT AS segment, pos::BIGINT AS "offset", page_id,
 FROM sides WHERE (here OR there) AND (here <> there OR a <> b)
 """
 
-ORACLE: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_chat_formatting": _OP4}
+
+
+def _op13(rounds: int) -> str:
+    """Every part against every entry in every round, in whole numbers."""
+    made = ["""
+kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, [floor(x::DOUBLE * 1024)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY n) - 1 AS j, x AS c
+  FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS n FROM kept) USING (rid) WHERE n <= 256)"""]
+    for k in range(rounds + 1):
+        made.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min((list_dot_product(x::DOUBLE[], x::DOUBLE[]) + list_dot_product(c::DOUBLE[], c::DOUBLE[])
+    - 2 * list_dot_product(x::DOUBLE[], c::DOUBLE[]))::BIGINT * 256 + j) AS best
+  FROM parts JOIN c{k} USING (p) GROUP BY rid, p)""")
+        if k < rounds:
+            made.append(f"""
+s{k} AS (
+  SELECT p, j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT p, best % 256 AS j, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 4097) t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY p, j),
+c{k + 1} AS MATERIALIZED (SELECT p, j, coalesce(s.c, b.c) AS c FROM c{k} b LEFT JOIN s{k} s USING (p, j))""")
+    return "WITH " + ",".join(made) + f""",
+coded AS (SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+"""
+
+
+ORACLE: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_chat_formatting": _OP4, "op13_vector_codes": _op13(cover_tree_codes.ROUNDS)}
