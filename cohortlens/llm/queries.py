@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, chat_prefix, cover_tree_codes, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, token_output, tokenizer_alignment, toxicity_grammar, warc_fixity
+from . import bin_packing, chat_prefix, cover_tree_codes, decontaminate, html_article, line_dedup, quality_forest, simhash_popcount, spherical_cells, token_output, tokenizer_alignment, toxicity_grammar, warc_fixity
 from .common import held_out, materialize, read
 
 
@@ -67,6 +67,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.aligned_scores(read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_cells.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree_codes.codes(read(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 # op 4: turns and loss text straight from the table; the formatted length follows from the template's marks.
@@ -157,4 +162,19 @@ FROM coded JOIN kept USING (rid)
 """
 
 
-ORACLE: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_chat_formatting": _OP4, "op13_vector_codes": _op13(cover_tree_codes.ROUNDS)}
+# op 12: every pair of vectors, then reachability.
+_OP12 = """
+WITH RECURSIVE kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x,
+    embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN embedding IF c <> 0]) > 0 AS usable FROM embeddings),
+scaled AS MATERIALIZED (SELECT rid, x, sqrt(list_dot_product(x, x)) AS norm FROM kept WHERE usable),
+links AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM scaled a JOIN scaled b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+reached AS (SELECT rid AS a, rid AS b FROM kept UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+named AS (SELECT r.a AS rid, min(k.vec_id) AS component_id FROM reached r JOIN kept k ON k.rid = r.b GROUP BY r.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = rid) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM kept JOIN named USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op2_warc_fixity": _OP2, "op4_chat_formatting": _OP4, "op12_embedding_near_dedup": _OP12, "op13_vector_codes": _op13(cover_tree_codes.ROUNDS)}
