@@ -15,8 +15,8 @@ Two-sample tests per (comparison, feature) as DataFrame code:
   keeps its test.
 
 p-values (p < .05 is drift) use closed forms: the asymptotic Kolmogorov series
-for KS, the finite chi-square series for any degrees of freedom and a
-Chebyshev erfc (relative error < 1.2e-7). Distances (>= .1 is drift):
+for KS, the regularised incomplete gamma function for chi-square (constant time
+for any degrees of freedom) and a Chebyshev erfc (relative error < 1.2e-7). Distances (>= .1 is drift):
 Wasserstein over the reference's deviation, and Jensen-Shannon. The decision
 is made on the unrounded score; a score that cannot be computed is undecided
 (NULL) and left out of the drifted share.
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
+from cohortlens.functions.special import chi2_sf_sql, erfc_sql
 from cohortlens.operators.ordered import bucketed_running_sums
 
 # Default test thresholds.
@@ -42,15 +43,6 @@ KIND_TESTS = {"numeric": "ks", "categorical": "chisquare", "binary": "z"}
 # ------------------------------------------------------------- SQL formulas
 # Each formula reads plain columns produced by an earlier projection, so
 # every generated expression stays small enough for whole-stage codegen.
-def erfc_sql(z: str, t: str) -> str:
-    """erfc(z) (Numerical Recipes erfcc) given ``t = 1 / (1 + 0.5 |z|)``."""
-    poly = ("(-1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * "
-            "(-0.18628806 + {t} * (0.27886807 + {t} * (-1.13520398 + {t} * (1.48851587 + {t} * "
-            "(-0.82215223 + {t} * 0.17087277)))))))))").format(t=t)
-    pos = f"({t} * exp(-({z}) * ({z}) + {poly}))"
-    return f"(CASE WHEN {z} >= 0 THEN {pos} ELSE 2.0 - {pos} END)"
-
-
 def ks_pvalue_sql(lam: str, terms: int = 40) -> str:
     """Asymptotic Kolmogorov survival at ``lam``: 2 sum (-1)^(k-1) exp(-2 k^2 lam^2)."""
     series = " ".join(f"{'+' if k % 2 else '-'} exp(-2.0 * {k * k} * {lam} * {lam})" for k in range(1, terms + 1))
@@ -58,53 +50,23 @@ def ks_pvalue_sql(lam: str, terms: int = 40) -> str:
             f"ELSE least(1.0, greatest(0.0, 2.0 * (0.0 {series}))) END)")
 
 
-def chi2_sf_sql(h: str, erfc_root: str, dof: str) -> str:
-    """Chi-square survival for any degrees of freedom from ``h = x / 2`` and
-    ``erfc_root = erfc(sqrt(h))``: the finite series, its terms carried as logarithms.
-
-    Even dof: sum of exp(-h) h^i / i! for i < dof / 2.  Odd dof: erfc(sqrt(h))
-    plus the sum of exp(-h) h^(i - 1/2) / Gamma(i + 1/2) for 1 <= i <= (dof - 1) / 2.
-    """
-    odd = f"(CAST({dof} AS INT) % 2)"
-    n = f"CAST(CAST({dof} AS INT) DIV 2 AS INT)"
-    first = f"(CASE WHEN {odd} = 1 THEN -{h} + 0.5 * ln({h}) - ln(0.5 * sqrt(pi())) ELSE -{h} END)"
-    # the accumulator holds (log of the term, sum so far); 0.5 * odd shifts i to i + 1/2
-    series = (f"aggregate(sequence(1, greatest({n}, 1)), named_struct('t', CAST({first} AS DOUBLE), 's', CAST(0.0 AS DOUBLE)), "
-              f"(acc, i) -> named_struct('t', acc.t + ln({h}) - ln(i + 0.5 * {odd}), 's', acc.s + exp(acc.t)), acc -> acc.s)")
-    return (f"(CASE WHEN {dof} <= 0 OR {h} <= 0 THEN 1.0 WHEN {dof} = 1 THEN {erfc_root} "
-            f"ELSE least(1.0, {series} + CASE WHEN {odd} = 1 THEN {erfc_root} ELSE 0.0 END) END)")
-
-
 # Staged projections: (name, expression).
-STAGE1 = [
-    ("lam", "ks_d * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur))"),
-    ("chi_root", "CASE WHEN chi_stat >= 0 THEN sqrt(chi_stat / 2.0) END"),
-    ("pool", "CAST(coalesce(a_mode, 0) + coalesce(b_mode, 0) AS DOUBLE) / (n_ref + n_cur)"),
-]
-STAGE2 = [
-    ("chi_t", "1.0 / (1.0 + 0.5 * abs(chi_root))"),
-    ("zstat", "CASE WHEN pool <= 0 OR pool >= 1 THEN NULL ELSE "
-              "(CAST(coalesce(a_mode, 0) AS DOUBLE) / n_ref - CAST(coalesce(b_mode, 0) AS DOUBLE) / n_cur) / "
-              "sqrt(pool * (1.0 - pool) * (1.0 / n_ref + 1.0 / n_cur)) END"),
-]
-STAGE3 = [
-    ("zarg", "abs(zstat) / sqrt(2.0)"),
-    ("erfc_chi", erfc_sql("chi_root", "chi_t")),
+STAGES = [
+    [("lam", "ks_d * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur))"),
+     ("pool", "CAST(coalesce(a_mode, 0) + coalesce(b_mode, 0) AS DOUBLE) / (n_ref + n_cur)"),
+     ("dof", "n_values - 1")],
+    [("zarg", "CASE WHEN pool <= 0 OR pool >= 1 THEN NULL ELSE "
+              "abs(CAST(coalesce(a_mode, 0) AS DOUBLE) / n_ref - CAST(coalesce(b_mode, 0) AS DOUBLE) / n_cur) / "
+              "sqrt(2.0 * pool * (1.0 - pool) * (1.0 / n_ref + 1.0 / n_cur)) END")],
 ]
-STAGE4 = [("z_t", "1.0 / (1.0 + 0.5 * abs(zarg))")]
-
-
-def score_columns() -> list[tuple[str, str]]:
-    return [
-        ("p_ks", ks_pvalue_sql("lam")),
-        ("d_wasserstein", "w1 / greatest(coalesce(ref_std, 0.0), 0.001)"),
-        ("d_js", "sqrt(greatest(0.5 * kl_p + 0.5 * kl_q, 0.0))"),
-        ("p_chi", f"CASE WHEN chi_inf > 0 THEN 0.0 ELSE {chi2_sf_sql('(chi_stat / 2.0)', 'erfc_chi', 'n_values - 1')} END"),
-        ("p_z", f"CASE WHEN zstat IS NULL THEN 1.0 ELSE {erfc_sql('zarg', 'z_t')} END"),
-    ]
-
-
-STAGES = [STAGE1, STAGE2, STAGE3, STAGE4]
+# The score of each test; only the formula that a feature's test names is evaluated for it.
+SCORES = {
+    "ks": ks_pvalue_sql("lam"),
+    "wasserstein": "w1 / greatest(coalesce(ref_std, 0.0), 0.001)",
+    "jensenshannon": "sqrt(greatest(0.5 * kl_p + 0.5 * kl_q, 0.0))",
+    "chisquare": f"CASE WHEN chi_inf > 0 THEN 0.0 ELSE {chi2_sf_sql('chi_stat', 'dof')} END",
+    "z": f"CASE WHEN zarg IS NULL THEN 1.0 ELSE {erfc_sql('zarg')} END",
+}
 
 
 # ---------------------------------------------------------------- long form
@@ -164,9 +126,15 @@ def choose_test_sql(stattest: str = "auto", kinds: Mapping[str, str] | None = No
     return f"CASE feature {named} ELSE '{KIND_TESTS['numeric']}' END" if named else f"'{KIND_TESTS['numeric']}'"
 
 
-def score_sql() -> str:
-    return ("CASE {t} WHEN 'ks' THEN p_ks WHEN 'wasserstein' THEN d_wasserstein "
-            "WHEN 'jensenshannon' THEN d_js WHEN 'chisquare' THEN p_chi WHEN 'z' THEN p_z END")
+def tests_used(stattest: str = "auto", kinds: Mapping[str, str] | None = None) -> list[str]:
+    """The tests that a table can ask for; no other formula enters its plan."""
+    if stattest != "auto":
+        return [stattest]
+    return sorted({KIND_TESTS["numeric"], *(KIND_TESTS[k] for k in (kinds or {}).values())})
+
+
+def score_sql(tests: Sequence[str]) -> str:
+    return "CASE {t} " + " ".join(f"WHEN '{t}' THEN {SCORES[t]}" for t in tests) + " END"
 
 
 def detected_sql() -> str:
@@ -178,9 +146,8 @@ def _finish(stats: DataFrame, stattest: str, kinds: Mapping[str, str] | None) ->
     t = stats
     for stage in STAGES:
         t = t.withColumns({n: F.expr(e) for n, e in stage})
-    t = t.withColumns({n: F.expr(e) for n, e in score_columns()})
     t = t.withColumn("stattest", F.expr(choose_test_sql(stattest, kinds)))
-    t = t.withColumn("raw_score", F.expr(score_sql().replace("{t}", "stattest")))
+    t = t.withColumn("raw_score", F.expr(score_sql(tests_used(stattest, kinds)).replace("{t}", "stattest")))
     t = t.withColumn("drift_detected", F.expr(detected_sql().replace("{t}", "stattest").replace("{s}", "raw_score")))
     return t.withColumn("drift_score", F.round("raw_score", 4))
 

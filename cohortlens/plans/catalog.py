@@ -456,9 +456,15 @@ _SCORES = {
 }
 
 
-def _drift_table_sql(stattest: str) -> str:
-    test = "ks" if stattest == "auto" else stattest   # the registered features are numeric
-    detected = "raw < 0.05" if test in ("ks", "chisquare", "z") else "raw >= 0.1"
+def _drift_table_sql(stattest: str, of: dict[str, str] | None = None) -> str:
+    test = "ks" if stattest == "auto" else stattest   # the registered features are numeric, but for those in ``of``
+    named = {**(of or {}), "": test}
+
+    def case(choose) -> str:
+        whens = " ".join(f"WHEN feature = '{f}' THEN {choose(t)}" for f, t in named.items() if f)
+        return f"CASE {whens} ELSE {choose(test)} END" if whens else choose(test)
+
+    detected = case(lambda t: "raw < 0.05" if t in ("ks", "chisquare", "z") else "raw >= 0.1")
     p, q = "(CAST(a AS DOUBLE) / n_ref)", "(CAST(b AS DOUBLE) / n_cur)"
     m = f"(({p} + {q}) / 2)"
     k = "(CAST(n_cur AS DOUBLE) / n_ref)"
@@ -487,8 +493,8 @@ stats AS (SELECT cmp, feature, n_ref, n_cur, n_values,
                  sum(CASE WHEN x = mode_ref THEN b ELSE 0 END) AS b_mode
           FROM run GROUP BY cmp, feature, n_ref, n_cur, n_values),
 moments AS (SELECT cmp, feature, stddev_pop(x) AS ref_std FROM lf WHERE per = 0 GROUP BY cmp, feature),
-scored AS (SELECT s.cmp, s.feature, n_ref, n_cur, n_values, '{test}' AS stattest, {_SCORES[test]} AS raw
-           FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+both_ AS (SELECT s.*, ref_std FROM stats s LEFT JOIN moments m ON s.cmp = m.cmp AND s.feature = m.feature),
+scored AS (SELECT cmp, feature, n_ref, n_cur, n_values, {case(lambda t: "'" + t + "'")} AS stattest, {case(lambda t: _SCORES[t])} AS raw FROM both_),
 dt AS (SELECT cmp, feature, n_ref, n_cur, n_values, stattest, round(raw, 4) AS drift_score, {detected} AS drift_detected FROM scored)"""
 
 
@@ -535,6 +541,40 @@ def q_drift_ztest(spark, sf):
     return D.drift_table(D.long_periods(two, ["ACIMA"], ys[0], ys[1:]), kinds={"ACIMA": "binary"})
 
 
+# K1 and K4 by kind: two frames of lineitem, the last ship year against all before it.
+FRAME_KINDS = {"l_partkey": "categorical", "l_suppkey": "categorical", "l_quantity": "categorical", "l_extendedprice": "categorical", "FECHADO": "binary"}
+FRAME_FEATURES = [*FRAME_KINDS, "l_discount"]
+_FRAMES_SQL = """WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS FECHADO, year(l_shipdate) AS y FROM lineitem),
+last AS (SELECT max(y) AS y FROM li),
+lg AS (SELECT 'cur' AS cmp, CASE WHEN li.y = last.y THEN 1 ELSE 0 END AS per, li.* FROM li, last WHERE li.y IS NOT NULL),
+lf0 AS (""" + " UNION ALL ".join(f"SELECT cmp, '{f}' AS feature, per, CAST({f} AS DOUBLE) AS x FROM lg" for f in FRAME_FEATURES) + """),
+lf AS (SELECT * FROM lf0 WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))""" + _drift_table_sql(
+    "auto", {f: D.KIND_TESTS[k] for f, k in FRAME_KINDS.items()})
+
+
+def _two_frames(spark, sf):
+    from cohortlens.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem").withColumn("FECHADO", F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0))
+    last = li.agg(F.max(F.year("l_shipdate"))).first()[0]
+    if last is None:
+        return li, li
+    return li.where(F.year("l_shipdate") < last), li.where(F.year("l_shipdate") == last)
+
+
+@register("drift_two_frames", _FRAMES_SQL + "\nSELECT * FROM dt")
+def q_drift_two_frames(spark, sf):
+    """K1 / K4 on two frames: each feature by the test of its kind, features of thousands of values among them."""
+    ref, cur = _two_frames(spark, sf)
+    return D.check_drift(ref, cur, FRAME_FEATURES, kinds=FRAME_KINDS)[1]
+
+
+@register("drift_two_frames_summary", _FRAMES_SQL + DRIFT_SUMMARY_SQL)
+def q_drift_two_frames_summary(spark, sf):
+    """K2 on two frames."""
+    ref, cur = _two_frames(spark, sf)
+    return D.check_drift(ref, cur, FRAME_FEATURES, kinds=FRAME_KINDS)[0]
+
+
 @register("drift_summary", f"WITH {LEVEL_PANEL_SQL},"
           f"{_drift_long_sql(K.DRIFT_FEATURES, last_only=True, complete=True)}{_drift_table_sql('auto')}"
           f"{DRIFT_SUMMARY_SQL}")

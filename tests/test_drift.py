@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cohortlens.functions import special as S
 from cohortlens.operators import drift as D
 from cohortlens.operators.ordered import bucketed_running_sums
 
@@ -117,11 +119,58 @@ def test_the_test_does_not_depend_on_the_number_of_rows(spark):
     (2, 3.841458820694124, 0.05), (3, 5.991464547107979, 0.05), (4, 7.814727903251179, 0.05), (7, 12.591587243743977, 0.05),
     (11, 18.307038053275146, 0.05), (31, 50.89218131151707, 0.01), (101, 124.34211340400407, 0.05), (5001, 5165.615, 0.05)])
 def test_chi_square_survival_for_any_degrees_of_freedom(spark, values, x, p):
-    from pyspark.sql import functions as F
-
-    erfc = math.erfc(math.sqrt(x / 2))
-    df = spark.createDataFrame([(x / 2, erfc, values)], "h double, e double, n long")
-    assert df.select(F.expr(D.chi2_sf_sql("h", "e", "(n - 1)")).alias("p")).first()["p"] == pytest.approx(p, rel=2e-3 if values > 5000 else 1e-8)
+    df = spark.createDataFrame([(x, values)], "x double, n long")
+    assert df.selectExpr(S.chi2_sf_sql("x", "(n - 1)")).first()[0] == pytest.approx(p, rel=2e-3 if values > 5000 else 1e-8)
+
+
+def plain_survival(dof, x):
+    """Simpson's rule over the density, far into the tail."""
+    a, h = dof / 2, x / 2
+    low = math.lgamma(a)
+    width = (max(h, a) + 40 * math.sqrt(a) + 150 - h) / 200_000
+    if width <= 0:
+        return 0.0
+    t = h + width * np.arange(200_001)
+    y = np.exp((a - 1) * np.log(t) - t - low)
+    return float(width / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()))
+
+
+def test_chi_square_survival_equals_integration(spark):
+    dofs = [3, 4, 7, 20, 99, 200, 399, 400, 401, 450, 1000, 4001, 30_000, 10**6]
+    cases = [(d, float(d + z * math.sqrt(2 * d))) for d in dofs for z in (-3, -1, -0.05, 0, 0.02, 1, 2, 4) if d + z * math.sqrt(2 * d) > 0]
+    got = spark.createDataFrame(cases, "dof long, x double").selectExpr("dof", "x", S.chi2_sf_sql("x", "dof") + " AS p").collect()
+    assert [(r.dof, r.x, r.p) for r in got if abs(r.p - plain_survival(r.dof, r.x)) > 2e-7] == []
+
+
+def test_chi_square_survival_takes_constant_time(spark):
+    """No array or loop that grows with the degrees of freedom; at 4 * 10^9 it is all but the normal law."""
+    df = spark.createDataFrame([(4 * 10**9, 4e9 + z * math.sqrt(8e9)) for z in (-2.0, 0.0, 1.0)], "dof long, x double")
+    got = [r[0] for r in df.selectExpr(S.chi2_sf_sql("x", "dof")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in (-2.0, 0.0, 1.0)], abs=1e-5)
+    assert {part.split(")")[0] for part in S.chi2_sf_sql("x", "dof").split("sequence(")[1:]} == {f"1, {S.STEPS}"}
+
+
+def test_chi_square_of_more_than_a_million_values(spark):
+    n = 1_200_000
+    counts = spark.range(n).selectExpr("'c' AS cmp", "'x' AS feature", "explode(array(0, 1)) AS per", "CAST(id AS DOUBLE) AS x", "id")
+    long = counts.selectExpr("cmp", "feature", "per", "x", "CASE per WHEN 0 THEN 20 ELSE 20 + CASE id % 3 WHEN 0 THEN -4 WHEN 1 THEN 0 ELSE 5 END END AS n")
+    cur = np.tile([16, 20, 25], n // 3)
+    k = cur.sum() / (20 * n)
+    stat = float(((cur - 20 * k) ** 2 / (20 * k)).sum())
+    r = D.drift_table(long, "chisquare").first()
+    assert r["n_values"] == n and r["drift_score"] == pytest.approx(plain_survival(n - 1, stat), abs=6e-5)
+    near = long.withColumn("n", F.when(F.col("per") == 1, F.when(F.col("x") % 2 == 0, 20 + 4).otherwise(20 - 4) + F.when(F.col("x") % 40 == 7, 9).otherwise(0)).otherwise(20))
+    cur = np.array([(24 if v % 2 == 0 else 16) + (9 if v % 40 == 7 else 0) for v in range(n)])
+    k = cur.sum() / (20 * n)
+    want = plain_survival(n - 1, float(((cur - 20 * k) ** 2 / (20 * k)).sum()))
+    assert D.drift_table(near, "chisquare").first()["drift_score"] == pytest.approx(want, abs=6e-5)
+
+
+def test_only_the_test_asked_for_is_in_the_plan(spark):
+    df = frame(spark, [1, 2, 3], 2022).unionByName(frame(spark, [1, 2, 2], 2023))
+    plan = lambda **a: D.drift_table(D.long_periods(df, ["x"], 2022, [2023]), **a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG1P" not in plan(stattest="ks") and "LOG1P" not in plan(kinds={"x": "binary"})
+    assert "LOG1P" in plan(kinds={"x": "categorical"})
 
 
 def test_seven_values_get_a_score_and_count_in_the_summary(spark):
@@ -136,7 +185,7 @@ def test_seven_values_get_a_score_and_count_in_the_summary(spark):
 def test_decision_on_the_unrounded_score_and_undecided_left_out(spark):
     from pyspark.sql import functions as F
 
-    assert "round" not in D.score_sql() + D.detected_sql()
+    assert "round" not in D.score_sql(list(D.SCORES)) + D.detected_sql()
     t = spark.createDataFrame([("c", "a", True), ("c", "b", None), ("d", "a", None)], "cmp string, feature string, drift_detected boolean")
     rows = {r["cmp"]: r for r in D.drift_summary(t).withColumn("k", F.lit(1)).collect()}
     assert rows["c"]["drift_share"] == 1.0 and rows["d"]["dataset_drift"] is None
