@@ -1,17 +1,18 @@
-"""Risk classifier and cohort profiles with Spark ML (survey J1-J15, F5, F6).
-
-* Risk: ``Pipeline(VectorAssembler, GBTClassifier)`` -- depth 4, step .05,
-  subsampling .8, 80 % of features per tree, positive-class weight 3,
-  seed 42 -- trained on the entity-hash train side (no entity on both
-  sides), evaluated with the DataFrame metrics of ``metrics``.
-* Profiles: ``Pipeline(VectorAssembler, StandardScaler, KMeans)`` on each
-  entity's latest complete record; best of ``n_init`` seeds by training
-  cost; clusters named from their profile (``metrics.cluster_names``).
+"""Risk classifier and cohort profiles (survey J1-J15, F5, F6).
+
+* Risk: boosted trees (``boosting``) -- depth 4, step .05, row sampling .8,
+  80 % of features per tree, positive-class weight 3, seed 42 -- trained on
+  the entity-hash train side (no entity on both sides), evaluated with the
+  DataFrame metrics of ``metrics``.
+* Profiles: standardised k-means (``lloyd``) on each entity's latest complete
+  record; best of ``n_init`` seeds by training cost, all of them in the same
+  passes; clusters named from their profile (``metrics.cluster_names``).
 * Scoring is ``model.transform`` over any number of request rows; the
   cluster-name dimension has k rows and is broadcast.
 
-Training inputs are persisted (memory and disk, recomputable from lineage
-if an executor is lost) for the iterative fits and released afterwards.
+Neither model depends on the partitioning or on a number of rows. Split rows,
+scored test rows, profile assignments and names are written once: evaluation
+and later scoring read them instead of the training panel.
 """
 
 from __future__ import annotations
@@ -19,23 +20,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.functions.scalars import risk_tier
+from cohortlens.operators import boosting, lloyd
 from cohortlens.operators import metrics as M
 from cohortlens.operators.aggregates import attach_names
+from cohortlens.session import cut_lineage, materialize
 
 # Classifier hyper-parameters.
-GBT_PARAMS = dict(maxDepth=4, stepSize=0.05, maxIter=200, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", seed=42)
+BOOST_PARAMS = boosting.BoostParams(trees=200, depth=4, rate=0.05, rows=0.8, features=0.8, seed=42)
 POSITIVE_WEIGHT = 3.0
 # K-means parameters.
 KMEANS_K = 4
@@ -46,7 +42,7 @@ KMEANS_SEED = 42
 
 @dataclass
 class RiskModel:
-    model: PipelineModel
+    model: boosting.BoostedTrees
     features: list[str]
     metrics: DataFrame          # one row: precision, recall, f1, positive, negative, roc_auc
     importances: DataFrame      # (feature, importance) sorted desc
@@ -55,7 +51,7 @@ class RiskModel:
 
 @dataclass
 class ProfileModel:
-    model: PipelineModel
+    model: lloyd.Centres
     features: list[str]
     names: DataFrame            # (cluster_id, score, cluster_nome) -- k rows
     profile: DataFrame          # F15 per cluster
@@ -72,60 +68,23 @@ def prepare_for_modeling(df: DataFrame, features: Sequence[str], target: str = K
     return sub.fillna(0.0, subset=keep)
 
 
-ROWS_PER_PARTITION = 500_000
-
-
-def right_sized(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Persist ``df`` in about ``rows_per_partition`` rows per partition.
-
-    Iterative learners launch several jobs per iteration; on a small
-    training set the per-task overhead of many tiny partitions dominates,
-    on a large one we keep (or raise) the parallelism.  One count of the
-    persisted data decides.
-    """
-    import math
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.count()
-    want = max(1, math.ceil(n / rows_per_partition))
-    have = cached.rdd.getNumPartitions()
-    if want == have:
-        return cached
-    resized = (cached.coalesce(want) if want < have else cached.repartition(want)).persist(StorageLevel.MEMORY_AND_DISK)
-    resized.count()
-    cached.unpersist()
-    return resized
-
-
-def _prob1(col: str = "probability"):
-    return vector_to_array(F.col(col))[1]
-
-
 def train_risk_classifier(df: DataFrame, features: Sequence[str] = K.RISK_FEATURES,
                           target: str = K.TARGET_COL, id_col: str = K.ID_COL,
-                          max_iter: int = GBT_PARAMS["maxIter"]) -> RiskModel:
+                          max_iter: int = BOOST_PARAMS.trees) -> RiskModel:
     """J2 -> J3 -> J4 -> J5."""
+    from dataclasses import replace
+
     feats = [f for f in features if f in df.columns]
     data = M.group_split(df, feats, target, id_col).select(
         id_col, *[F.col(f).cast("double").alias(f) for f in feats],
         F.col(target).cast("double").alias("label"), "split")
-    data = data.withColumn("w", F.when(F.col("label") == 1.0, POSITIVE_WEIGHT).otherwise(1.0))
-    train = right_sized(data.where("split = 'train'"))
-    params = dict(GBT_PARAMS, maxIter=max_iter)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
-                            GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", **params)])
-    model = pipe.fit(train)
-    train.unpersist()
-    test = model.transform(data.where("split = 'test'")).withColumn("score", _prob1())
-    scored = test.select(id_col, F.col("label").cast("int").alias("label"),
-                         F.col("prediction").cast("int").alias("prediction"), "score")
-    conf = M.confusion(scored)
-    wm = M.weighted_metrics(conf)
-    auc = M.roc_auc(scored).select("roc_auc").scalar()
-    metrics = wm.withColumn("roc_auc", auc)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = df.sparkSession
-    importances = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)],
-                                        "feature string, importance double").orderBy(F.desc("importance"))
+    data = materialize(data.withColumn("w", F.when(F.col("label") == 1.0, POSITIVE_WEIGHT).otherwise(1.0)), "risk-split")
+    model = boosting.fit(data.where("split = 'train'"), feats, "label", "w", replace(BOOST_PARAMS, trees=max_iter))
+    test = model.transform(data.where("split = 'test'"))
+    scored = materialize(test.select(id_col, F.col("label").cast("int").alias("label"),
+                                     F.col("prediction").cast("int").alias("prediction"), "score"), "risk-test")
+    metrics = cut_lineage(M.weighted_metrics(M.confusion(scored)).withColumn("roc_auc", M.roc_auc(scored).select("roc_auc").scalar()))
+    importances = df.sparkSession.createDataFrame(model.importances(), "feature string, importance double").orderBy(F.desc("importance"))
     return RiskModel(model, feats, metrics, importances, scored)
 
 
@@ -137,7 +96,7 @@ def importance_topk(importances: DataFrame, k: int = 10) -> DataFrame:
 def score_risk(model: RiskModel, features_df: DataFrame, keep: Sequence[str] = ("aluno_id", "ano")) -> DataFrame:
     """Probability of the positive class, tier (C7) and class at 0.5."""
     out = model.model.transform(features_df)
-    p = _prob1()
+    p = F.col("score")
     return out.select(*[c for c in keep if c in features_df.columns],
                       p.alias("risco_probabilidade"), risk_tier(p).alias("risco_classe"),
                       (F.col("prediction") == 1.0).alias("vai_cair"))
@@ -151,42 +110,22 @@ def high_risk_count(model: RiskModel, latest: DataFrame, threshold: float = K.RI
         if f not in cc.columns:
             cc = cc.withColumn(f, F.lit(0.0))
     scored = model.model.transform(cc.select(*[F.col(f).cast("double").alias(f) for f in model.features]))
-    return scored.agg(F.count_if(_prob1() >= threshold).alias("risco_alto"),
+    return scored.agg(F.count_if(F.col("score") >= threshold).alias("risco_alto"),
                       F.count(F.lit(1)).alias("n_avaliados"))
 
 
 # ------------------------------------------------------------------ profiles
 def train_profiles(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, k: int = KMEANS_K,
-                   max_iter: int = KMEANS_MAX_ITER, n_init: int = KMEANS_N_INIT,
-                   seed: int = KMEANS_SEED, parallelism: int = 4) -> ProfileModel:
-    """J8 -> J10 -> F15 -> J12 (J13): best of ``n_init`` k-means fits by cost.
-
-    The scaler is fitted once and the scaled rows cached; the seeded fits
-    run as concurrent Spark jobs (``parallelism`` at a time) and the lowest
-    training cost wins (ties: lowest seed), so the choice is deterministic.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
+                   max_iter: int = KMEANS_MAX_ITER, n_init: int = KMEANS_N_INIT, seed: int = KMEANS_SEED) -> ProfileModel:
+    """J8 -> J10 -> F15 -> J12 (J13): best of ``n_init`` k-means starts by cost (ties: lowest seed), fitted together."""
     feats = list(features)
-    cc = latest.dropna(subset=feats)
-    prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
-                            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
-    scaled = right_sized(prep.transform(cc).select("scaled"))
-
-    def fit(s: int):
-        m = KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="scaled", predictionCol="cluster_id").fit(scaled)
-        return m.summary.trainingCost, s, m
-
-    seeds = [seed + i for i in range(max(1, n_init))]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(seeds)))) as pool:
-        fits = list(pool.map(fit, seeds))
-    best_cost, _, best_km = min(fits, key=lambda t: (t[0], t[1]))
-    scaled.unpersist()
-    best = PipelineModel(stages=[*prep.stages, best_km])
-    assigned = best.transform(cc)
-    profile = M.cluster_profile(assigned, "cluster_id", feats)
-    names = M.cluster_names(profile)
-    return ProfileModel(best, feats, names, profile, assigned, float(best_cost))
+    points = lloyd.Points(latest, feats)
+    starts = [(k, seed + i) for i in range(max(1, n_init))]
+    best = lloyd.best_start(lloyd.fit_starts(points, starts, max_iter), starts, k)
+    points.close()
+    assigned = materialize(best.transform(latest.dropna(subset=feats)), "profiles")
+    profile = cut_lineage(M.cluster_profile(assigned, "cluster_id", feats))
+    return ProfileModel(best, feats, cut_lineage(M.cluster_names(profile)), profile, assigned, best.cost)
 
 
 def assign_profiles(model: ProfileModel, df: DataFrame) -> DataFrame:
@@ -198,10 +137,9 @@ def assign_profiles(model: ProfileModel, df: DataFrame) -> DataFrame:
 def profile_quality(model: ProfileModel) -> DataFrame:
     """J11 on the scaled training data: squared-Euclidean silhouette and
     Davies-Bouldin."""
-    a = model.assigned.withColumn("v", vector_to_array("scaled"))
-    d = len(model.features)
-    sil = M.silhouette_sq(a, "cluster_id", vec_col="v", dim=d).select("silhouette", "n_points")
-    db = M.davies_bouldin(a, "cluster_id", vec_col="v", dim=d).select(
+    a = model.assigned
+    sil = M.silhouette_sq(a, "cluster_id", vec_col="scaled", dim=len(model.features)).select("silhouette", "n_points")
+    db = M.davies_bouldin(a, "cluster_id", vec_col="scaled", dim=len(model.features)).select(
         F.struct("davies_bouldin", "n_clusters")).scalar()
     return sil.withColumn("__db", db).select("silhouette", "n_points",
                                              F.col("__db.davies_bouldin").alias("davies_bouldin"),
@@ -209,38 +147,13 @@ def profile_quality(model: ProfileModel) -> DataFrame:
 
 
 def k_search(latest: DataFrame, features: Sequence[str] = K.CLUSTER_FEATURES, max_k: int = 10,
-             max_iter: int = KMEANS_MAX_ITER, seed: int = KMEANS_SEED, n_init: int = 10,
-             parallelism: int = 4) -> DataFrame:
-    """k = 2..max_k -> (k, silhouette, cost), each k the best of ``n_init``
-    seeded fits by cost.  The scaled data is cached once and the (k, seed)
-    fits run as concurrent Spark jobs."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    feats = list(features)
-    cc = latest.dropna(subset=feats)
-    prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw"),
-                            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]).fit(cc)
-    scaled = right_sized(prep.transform(cc).select("scaled"))
-
-    def fit(ks):
-        k, s = ks
-        m = KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="scaled", predictionCol="cluster_id").fit(scaled)
-        return k, m.summary.trainingCost, s, m
-
-    jobs = [(k, seed + i) for k in range(2, max_k + 1) for i in range(max(1, n_init))]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(fit, jobs))
-    best: dict[int, tuple] = {}
-    for k, cost, s, m in fitted:
-        if k not in best or (cost, s) < best[k][:2]:
-            best[k] = (cost, s, m)
-    frames = []
-    for k in sorted(best):
-        cost, _, km = best[k]
-        lab = km.transform(scaled).withColumn("v", vector_to_array("scaled"))
-        sil = M.silhouette_sq(lab, "cluster_id", vec_col="v", dim=len(feats))
-        frames.append(sil.select(F.lit(k).alias("k"), "silhouette", F.lit(float(cost)).alias("cost")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+             max_iter: int = KMEANS_MAX_ITER, seed: int = KMEANS_SEED, n_init: int = 10) -> DataFrame:
+    """k = 2..max_k -> (k, silhouette, cost), each k the best of ``n_init`` starts by cost; all starts move in the same passes."""
+    points = lloyd.Points(latest, features)
+    starts = [(k, seed + i) for k in range(2, max_k + 1) for i in range(max(1, n_init))]
+    fits = lloyd.fit_starts(points, starts, max_iter)
+    ks = sorted({k for k, _ in starts}) if fits else []
+    best = [lloyd.best_start(fits, starts, k) for k in ks]
+    rated = lloyd.silhouettes(points, best)
+    points.close()
+    return latest.sparkSession.createDataFrame([(k, s, f.cost) for k, s, f in zip(ks, rated, best)], "k int, silhouette double, cost double")

@@ -1224,10 +1224,18 @@ def q_modeling_matrix(spark, sf):
 _MODELS: dict = {}
 
 
+def _model_key(kind: str, spark: SparkSession, sf: str) -> tuple:
+    """Kind, session and the state of the table that the panel reads: a table written anew is trained on anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/orders.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [fs.getFileStatus(path), *fs.listStatus(path)]
+    return kind, id(spark), sf, max(f.getModificationTime() for f in files), sum(f.getLen() for f in files)
+
+
 def risk_model(spark: SparkSession, sf: str):
     """Train once per session and table set."""
     from cohortlens.operators import models as ML
-    key = ("risk", id(spark), sf)
+    key = _model_key("risk", spark, sf)
     if key not in _MODELS:
         _MODELS[key] = ML.train_risk_classifier(target_panel(spark, sf))
     return _MODELS[key]
@@ -1236,7 +1244,7 @@ def risk_model(spark: SparkSession, sf: str):
 def profile_model(spark: SparkSession, sf: str):
     """Train once per session and table set."""
     from cohortlens.operators import models as ML
-    key = ("profile", id(spark), sf)
+    key = _model_key("profile", spark, sf)
     if key not in _MODELS:
         _MODELS[key] = ML.train_profiles(latest_complete(spark, sf))
     return _MODELS[key]
@@ -1301,7 +1309,7 @@ def q_profile_quality(spark, sf):
 def k_search_table(spark: SparkSession, sf: str) -> DataFrame:
     """J9 once per session and table set (shared by k_search and best_k)."""
     from cohortlens.operators import models as ML
-    key = ("k_search", id(spark), sf)
+    key = _model_key("k_search", spark, sf)
     if key not in _MODELS:
         _MODELS[key] = ML.k_search(latest_complete(spark, sf), max_k=10)
     return _MODELS[key]

@@ -45,22 +45,18 @@ def latest_profiles(panel: DataFrame) -> DataFrame:
 
 
 def train_all(spark: SparkSession, source: Source, out_dir: str, gbt_iter: int = 200,
-              n_init: int = ML.KMEANS_N_INIT) -> dict:
+              n_init: int = ML.KMEANS_N_INIT, run_id: str = "latest") -> dict:
     """Features + target -> risk classifier; latest records -> profiles;
-    models, cluster labels and run metrics written under ``out_dir``."""
-    out = out_dir.rstrip("/")
+    models, cluster labels and run metrics published together under ``out_dir``."""
     panel = processed_panel(spark, source)
     risk = ML.train_risk_classifier(G.drop_target(panel), max_iter=gbt_iter)
     prof = ML.train_profiles(latest_profiles(panel), n_init=n_init)
-    sinks.save_model(risk.model, f"{out}/classifier")
-    sinks.save_model(prof.model, f"{out}/profiles")
-    sinks.write_cluster_labels(prof.names, prof.profile, f"{out}/cluster_labels")
     rm = sinks.metrics_row_to_dict(risk.metrics)
     pq = sinks.metrics_row_to_dict(ML.profile_quality(prof))
-    sinks.log_run_metrics(spark, "risk_classifier", {k: rm.get(k) for k in ("f1", "precision", "recall", "roc_auc")},
-                          f"{out}/run_metrics")
-    sinks.log_run_metrics(spark, "profiles", {"silhouette": pq.get("silhouette"),
-                                              "davies_bouldin": pq.get("davies_bouldin")}, f"{out}/run_metrics")
+    sinks.publish_run(spark, out_dir, run_id, {"classifier": risk.model, "profiles": prof.model},
+                      {"cluster_labels": prof.names.join(prof.profile, "cluster_id", "left")},
+                      {"risk_classifier": {k: rm.get(k) for k in ("f1", "precision", "recall", "roc_auc")},
+                       "profiles": {"silhouette": pq.get("silhouette"), "davies_bouldin": pq.get("davies_bouldin")}})
     return {"risk": risk, "profiles": prof, "risk_metrics": rm, "profile_metrics": pq}
 
 

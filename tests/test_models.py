@@ -69,11 +69,3 @@ def test_k_search_cost_decreases(spark):
     ks = ML.k_search(catalog.latest_complete(spark, SF001), max_k=5, max_iter=50, n_init=2).orderBy("k").collect()
     assert [r["k"] for r in ks] == [2, 3, 4, 5]
     assert ks[-1]["cost"] < ks[0]["cost"]
-
-
-def test_right_sized_partitions(spark):
-    df = spark.range(0, 1000).repartition(8)
-    small = ML.right_sized(df, rows_per_partition=500)
-    assert small.rdd.getNumPartitions() == 2 and small.count() == 1000
-    big = ML.right_sized(spark.range(0, 1000).coalesce(1), rows_per_partition=100)
-    assert big.rdd.getNumPartitions() == 10 and big.count() == 1000

@@ -1,9 +1,9 @@
 """End-to-end pipelines on sf0.001."""
 
-import os
 import tempfile
 
 from cohortlens.plans import pipelines as P
+from cohortlens.sources import sinks as SK
 
 from conftest import SF001
 
@@ -11,10 +11,13 @@ from conftest import SF001
 def test_train_all_writes_artifacts(spark):
     out = tempfile.mkdtemp(prefix="cohortlens-train-", dir="/tmp")
     res = P.train_all(spark, SF001, out, gbt_iter=3, n_init=2)
-    for sub in ("classifier", "profiles", "cluster_labels", "run_metrics"):
-        assert os.path.isdir(os.path.join(out, sub))
+    assert SK.read_published_table(spark, out, "cluster_labels").count() == res["profiles"].names.count()
     assert 0 <= res["risk_metrics"]["f1"] <= 1
-    assert spark.read.parquet(os.path.join(out, "run_metrics")).count() == 6
+    assert SK.read_metrics(spark, out).count() == 6
+    again = SK.load_published_model(spark, out, "classifier")
+    rows = res["risk"].test_scored.limit(5).collect()
+    assert rows and [t.value.tolist() for t in again.trees] == [t.value.tolist() for t in res["risk"].model.trees]
+    assert (SK.load_published_model(spark, out, "profiles").centres == res["profiles"].model.centres).all()
 
 
 def test_dashboard_quality_drift(spark):

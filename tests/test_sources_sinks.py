@@ -3,11 +3,11 @@
 import os
 import tempfile
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.operators import lloyd
 from cohortlens.operators import models as ML
 from cohortlens.plans import catalog
 from cohortlens.sources import csv_years as C
@@ -57,11 +57,11 @@ def test_load_years_skips_missing(spark):
 def test_model_and_label_sinks(spark):
     d = tmpdir()
     df = spark.createDataFrame([(float(i % 5), float(i % 3)) for i in range(50)], "a double, b double")
-    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="f"),
-                             KMeans(k=2, seed=1, featuresCol="f")]).fit(df)
-    path = SK.save_model(model, os.path.join(d, "model"))
-    again = SK.load_model(path)
-    assert again.transform(df).count() == 50
+    points = lloyd.Points(df, ["a", "b"])
+    model = lloyd.fit_starts(points, [(2, 1)], 10)[0]
+    path = SK.save_model(spark, model, os.path.join(d, "model"))
+    again = SK.load_model(spark, path)
+    assert again.transform(df).collect() == model.transform(df).collect()
     names = spark.createDataFrame([(0, "A"), (1, "B")], "cluster_id int, cluster_nome string")
     prof = spark.createDataFrame([(0, 10), (1, 5)], "cluster_id int, n_alunos long")
     SK.write_cluster_labels(names, prof, os.path.join(d, "labels"))
@@ -127,3 +127,30 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
     assert sorted(r["x"] for r in impute(df, "mean").collect()) == [1.0, 2.0, 2.0, 3.0]
     assert [r["x"] for r in nan_to_null(df).collect()].count(None) == 2
+
+
+def _model(shift):
+    return lloyd.Centres(["a"], [0.0], [1.0], np.array([[shift], [shift + 1.0]]))
+
+
+def test_a_set_is_published_as_a_whole(spark, monkeypatch):
+    """A run that fails leaves the former set readable; a run id published again has its metrics once."""
+    base = tmpdir()
+    labels = spark.createDataFrame([(0, "A")], "cluster_id int, cluster_nome string")
+    assert SK.read_manifest(spark, base) == {"current": None, "runs": {}} and SK.read_metrics(spark, base).count() == 0
+    with pytest.raises(KeyError):
+        SK.load_published_model(spark, base, "profiles")
+    SK.publish_run(spark, base, "r1", {"profiles": _model(0.0)}, {"labels": labels}, {"m": {"f1": 0.5}})
+    for part in ("log_run_metrics", "_replace_file"):
+        with monkeypatch.context() as m:
+            m.setattr(SK, part, lambda *a, **k: (_ for _ in ()).throw(OSError("disk")))
+            with pytest.raises(OSError):
+                SK.publish_run(spark, base, "r2", {"profiles": _model(5.0)}, {"labels": labels}, {"m": {"f1": 0.9}})
+        assert SK.load_published_model(spark, base, "profiles").centres[0, 0] == 0.0
+        assert [tuple(r) for r in SK.read_metrics(spark, base).select("run_id", "value").collect()] == [("r1", 0.5)]
+    for value in (0.6, 0.7):
+        SK.publish_run(spark, base, "r2", {"profiles": _model(value)}, {"labels": labels}, {"m": {"f1": value}})
+    assert sorted(tuple(r) for r in SK.read_metrics(spark, base).select("run_id", "value").collect()) == [("r1", 0.5), ("r2", 0.7)]
+    assert SK.load_published_model(spark, base, "profiles").centres[0, 0] == 0.7
+    assert SK.load_published_model(spark, base, "profiles", "r1").centres[0, 0] == 0.0
+    assert SK.read_published_table(spark, base, "labels").collect() == labels.collect()
