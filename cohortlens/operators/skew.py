@@ -70,6 +70,17 @@ def _plain(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str], v
     return df.withColumns(cols)
 
 
+def _by_size(df: DataFrame, id_col: str, min_hot_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without an id, of cold and of hot entities."""
+    from cohortlens.session import cut_lineage
+    named = df.where(F.col(id_col).isNotNull())
+    # One row per hot entity, read twice -> checkpoint once.
+    hot_ids = cut_lineage(named.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_hot_rows))
+    tagged = named.join(hot_ids.select(id_col, F.lit(True).alias("__hot")), id_col, "left")
+    return (df.where(F.col(id_col).isNull()), tagged.where(F.col("__hot").isNull()).drop("__hot"),
+            tagged.where(F.col("__hot")).drop("__hot"))
+
+
 def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
                         tiebreak: Sequence[str] = (), min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS,
                         slope: bool = True) -> DataFrame:
@@ -82,13 +93,7 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     tiebreak, which quantiles do not split).
     """
     from cohortlens.session import cut_lineage
-    nameless = df.where(F.col(id_col).isNull())
-    df = df.where(F.col(id_col).isNotNull())
-    # One row per hot entity, read twice -> checkpoint once.
-    hot_ids = cut_lineage(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_hot_rows))
-    tagged = df.join(hot_ids.select(id_col, F.lit(True).alias("__hot")), id_col, "left")
-    cold = tagged.where(F.col("__hot").isNull()).drop("__hot")
-    hot = tagged.where(F.col("__hot")).drop("__hot")
+    nameless, cold, hot = _by_size(df, id_col, min_hot_rows)
 
     out_cold = _plain(cold, id_col, time_col, tiebreak, value, slope)
 
@@ -136,3 +141,91 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     }).drop("__k", "__oc", "__os", "__ocv", "__omn", "__omx", "__prev_last")
     cols = out_cold.columns
     return out_cold.unionByName(out_hot.select(*cols)).unionByName(nameless, allowMissingColumns=True)
+
+
+# ------------------------------------------------- G2 as of a row, G4, G8 and G9
+def _slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, low: Column, high: Column) -> Column:
+    """OLS slope from moments; fewer than two points or one time only gives 0."""
+    return F.when((n < 2) | (low == high), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0)))
+
+
+def _plain_features(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str], y: str | None, code_col: str | None,
+                    name_col: str | None) -> DataFrame:
+    from cohortlens.operators import temporal as G
+    out = df
+    if y:
+        w = Window.partitionBy(id_col).orderBy(time_col, *tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"tendencia_{y}_asof", F.coalesce(F.regr_slope(F.col(y), numeric_time(df, time_col)).over(w), F.lit(0.0)))
+    if code_col:
+        out = G.drop_target(G.level_changes(out, code_col, id_col, time_col, tiebreak), code_col, id_col, time_col, tiebreak=tiebreak)
+    if name_col:
+        w = Window.partitionBy(id_col).orderBy(time_col, *tiebreak).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = out.withColumn(name_col, F.first(name_col, ignorenulls=True).over(w))
+    return out
+
+
+def entity_features(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str] = (), y: str | None = None, code_col: str | None = None,
+                    name_col: str | None = None, min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+    """The ordered features of hot entities without a window over a whole entity.
+
+    * ``y``: slope of y on time as of each row (G2), from moments that merge: a chunk sends its number, sums, squares and
+      products, their running sums over the chunks before enter each row's own;
+    * ``code_col``: level changes and their running total (G4) and whether the next level is lower (G8): the last level
+      of the chunk before and the first of the chunk after are carried over the borders, forwards and backwards;
+    * ``name_col``: the entity's first known name (G9), a grouped aggregate.
+
+    Same results as the plain windows (``temporal``), which cold entities use; rows without an id keep NULL features.
+    """
+    from cohortlens import constants as K
+    from cohortlens.session import cut_lineage
+    nameless, cold, hot = _by_size(df, id_col, min_hot_rows)
+    out_cold = _plain_features(cold, id_col, time_col, tiebreak, y, code_col, name_col)
+    ordering = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
+    t = numeric_time(hot, time_col)
+    probs = [i / n_chunks for i in range(1, n_chunks)]
+    known = [F.min_by(F.col(name_col), F.when(F.col(name_col).isNotNull(), ordering)).alias("__name")] if name_col else []
+    bounds = cut_lineage(hot.groupBy(id_col).agg(F.percentile_approx(t, probs, max(10000, 8 * n_chunks)).alias("__b"), F.min(t).alias("__t0"), *known))
+    h = hot.join(bounds, id_col).withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
+    h = h.withColumn("__x", t - F.col("__t0"))                 # time since the entity's first: small numbers to square
+    w = Window.partitionBy(id_col, "__k").orderBy(time_col, *tiebreak)
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moments: dict[str, Column] = {}
+    if y:
+        x, v = F.when(F.col(y).isNotNull(), F.col("__x")), F.when(F.col("__x").isNotNull(), F.col(y))
+        moments = {"n": F.count(F.when(x.isNotNull(), v)), "sx": F.sum(x), "sy": F.sum(v), "sxx": F.sum(x * x), "sxy": F.sum(x * v),
+                   "low": F.min(x), "high": F.max(x)}
+    if code_col:
+        code = F.col(code_col)
+        h = h.withColumns({"__first": F.row_number().over(w) == 1, "__lag": F.lag(code).over(w), "__lead": F.lead(code).over(w),
+                           "__last": F.row_number().over(Window.partitionBy(id_col, "__k").orderBy(F.desc(time_col), *[F.desc(c) for c in tiebreak])) == 1})
+        h = h.withColumn("__own", F.when(F.col("__first"), 0.0).otherwise(F.coalesce(F.abs(code - F.col("__lag")), F.lit(0.0))))
+    sums = {f"__{k}": c for k, c in moments.items()}
+    if code_col:
+        sums |= {"__inner": F.sum("__own"), "__code0": F.min_by(code, ordering), "__code1": F.max_by(code, ordering)}
+    wk = Window.partitionBy(id_col).orderBy("__k")
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    if sums:
+        chunks = h.groupBy(id_col, "__k").agg(*[c.alias(n) for n, c in sums.items()])
+        carried = []
+        if y:
+            carried += [F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in ("n", "sx", "sy", "sxx", "sxy")]
+            carried += [F.min("__low").over(before).alias("__o_low"), F.max("__high").over(before).alias("__o_high")]
+        if code_col:
+            border = F.coalesce(F.abs(F.col("__code0") - F.lag("__code1").over(wk)), F.lit(0.0))
+            chunks = chunks.withColumn("__border", border)
+            carried += ["__border", F.coalesce(F.sum(F.col("__inner") + F.col("__border")).over(before), F.lit(0.0)).alias("__o_total"),
+                        F.lead("__code0").over(wk).alias("__next")]
+        h = h.join(chunks.select(id_col, "__k", *carried), [id_col, "__k"])
+    new: dict[str, Column] = {}
+    if y:
+        run = {k: F.coalesce(c.over(wr), F.lit(0)) + F.col(f"__o_{k}") for k, c in moments.items() if k not in ("low", "high")}
+        new[f"tendencia_{y}_asof"] = _slope(run["n"], run["sx"], run["sy"], run["sxx"], run["sxy"],
+                                            F.least(F.col("__o_low"), moments["low"].over(wr)), F.greatest(F.col("__o_high"), moments["high"].over(wr)))
+    if code_col:
+        new["pedras_mudadas"] = F.when(F.col("__first"), F.col("__border")).otherwise(F.col("__own"))
+        new["pedras_mudadas_total"] = F.col("__o_total") + F.col("__border") + F.sum("__own").over(wr)
+        new[K.TARGET_COL] = (F.when(F.col("__last"), F.col("__next")).otherwise(F.col("__lead")) < code).cast("double")
+    if name_col:
+        new[name_col] = F.col("__name")
+    out_hot = h.withColumns(new)
+    return out_cold.unionByName(out_hot.select(*out_cold.columns)).unionByName(nameless, allowMissingColumns=True)

@@ -1183,6 +1183,32 @@ def q_event_running_stats(spark, sf):
 
 
 
+_HALF_SQL = """
+WITH half AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id, event_id, ts, value, length(event_type) % 4 * 1.0::DOUBLE AS code,
+  CASE WHEN event_id % 50 = 7 THEN event_type || event_id::VARCHAR END AS name FROM events),
+steps AS (SELECT *, coalesce(abs(code - lag(code) OVER w), 0.0) AS pedras_mudadas FROM half WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, round(CASE WHEN count(value) OVER wr < 2 THEN 0.0 ELSE coalesce(regr_slope(value, epoch_us(ts) / 86400000000.0 - 8766) OVER wr, 0.0) END, 4) + 0.0
+    AS tendencia_value_asof,
+  pedras_mudadas, sum(pedras_mudadas) OVER wr AS pedras_mudadas_total, CASE WHEN lead(code) OVER w < code THEN 1.0::DOUBLE WHEN lead(code) OVER w >= code THEN 0.0 END AS {target},
+  first_value(name IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS name
+FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
+  wr AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""".replace("{target}", K.TARGET_COL)
+
+
+@register("event_entity_features", _HALF_SQL)
+def q_event_entity_features(spark, sf):
+    """G2 as of a row, G4, G8 and G9 where one user has half of the rows: hot users in time chunks."""
+    from cohortlens.operators.skew import entity_features
+    from cohortlens.plans.panel import events_panel
+    ev = events_panel(spark, sf).select(
+        F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long").alias("user_id"), "event_id", "ts", "value",
+        (F.length("event_type") % 4).cast("double").alias("code"),
+        F.when(F.col("event_id") % 50 == 7, F.concat("event_type", F.col("event_id").cast("string"))).alias("name"))
+    out = entity_features(ev, "user_id", "ts", ["event_id"], "value", "code", "name", EVENT_MIN_HOT_ROWS, EVENT_CHUNKS)
+    return out.select("user_id", "event_id", F.round("tendencia_value_asof", 4).alias("tendencia_value_asof"), "pedras_mudadas",
+                      "pedras_mudadas_total", K.TARGET_COL, "name")
+
+
 @register("harmonize_from_csv", None)
 def q_harmonize_from_csv(spark, sf):
     """A1-A3 + B7: yearly tables written as ';' CSV files, loaded back with

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cohortlens.operators.skew import running_value_stats
+from cohortlens.operators.skew import entity_features, running_value_stats
 
 COLS = ["user_id", "event_id", "n_seq", "delta_value", "value_media_hist", "value_min_hist",
         "value_max_hist", "value_soma_hist", "n_total", "tendencia_value"]
@@ -53,3 +53,56 @@ def test_rows_without_an_id_pass_by(spark):
     near = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 1e-8
     assert [(v, rows[k]) for k, v in want.items() if not all(map(near, v, rows[k]))] == [] and len(want) < len(rows)
     assert all(v[2:] == (None,) * len(v[2:]) for v in rows.values() if v[0] is None)
+
+
+def half_in_one(spark, n=3000, nameless=False):
+    """One user with half of the rows, many equal times, NULL levels, values and names."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(n):
+        user = 0 if rng.random() < 0.5 else int(rng.integers(1, 60))
+        rows.append((None if nameless and rng.random() < 0.1 else user, int(rng.integers(0, 200)), i,
+                     None if rng.random() < 0.1 else float(np.round(rng.normal(5, 2), 2)),
+                     None if rng.random() < 0.2 else float(rng.integers(0, 4)), f"n{i}" if rng.random() < 0.02 else None))
+    return spark.createDataFrame(rows, "user_id long, ts long, event_id long, value double, code double, name string")
+
+
+FEATURES = ["tendencia_value_asof", "pedras_mudadas", "pedras_mudadas_total", "vai_cair", "name"]
+
+
+def features(df, **sizes):
+    from cohortlens import constants as K
+    out = entity_features(df, "user_id", "ts", ["event_id"], y="value", code_col="code", name_col="name", **sizes)
+    return {r["event_id"]: [r[c if c != "vai_cair" else K.TARGET_COL] for c in FEATURES] for r in out.collect()}
+
+
+def near(a, b):
+    return all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) < 1e-9 for x, y in zip(a, b))
+
+
+def test_ordered_features_of_a_hot_entity_equal_the_plain_windows(spark):
+    df = half_in_one(spark)
+    plain = features(df, min_hot_rows=10**9)
+    for sizes in ({"min_hot_rows": 100, "n_chunks": 16}, {"min_hot_rows": 5, "n_chunks": 300}, {"min_hot_rows": 20, "n_chunks": 2}):
+        chunked = features(df, **sizes)
+        assert chunked.keys() == plain.keys()
+        assert [(k, v, plain[k]) for k, v in chunked.items() if not near(v, plain[k])][:3] == []
+
+
+def test_no_window_holds_a_whole_hot_entity(spark):
+    """Windows on the hot side are by (entity, chunk), or over the chunks of an entity."""
+    from cohortlens.operators import skew
+    df = half_in_one(spark, 400)
+    _, cold, hot = skew._by_size(df, "user_id", 100)
+    assert hot.select("user_id").distinct().count() == 1 and cold.where("user_id = 0").count() == 0
+
+
+def test_ordered_features_without_an_id_one_time_and_nulls(spark):
+    df = half_in_one(spark, 1200, nameless=True)
+    rows = features(df, min_hot_rows=50, n_chunks=8)
+    named = features(df.where("user_id is not null"), min_hot_rows=10**9)
+    assert len(rows) == 1200 and [(k, v, rows[k]) for k, v in named.items() if not near(v, rows[k])] == []
+    assert all(rows[k][:4] == [None] * 4 for k in rows.keys() - named.keys())
+    same = spark.createDataFrame([(1, 7, i, float(i), None, None) for i in range(40)], "user_id long, ts long, event_id long, value double, code double, name string")
+    got = features(same, min_hot_rows=5, n_chunks=4)
+    assert all(v == [0.0, 0.0, 0.0, None, None] for v in got.values())
