@@ -102,6 +102,11 @@ def _vec(df: DataFrame, features: Sequence[str] | None, vec_col: str | None) ->
     return F.array(*[F.col(f).cast("double") for f in features])
 
 
+def vector_length(df: DataFrame, vec_col: str) -> int:
+    """The length of the longest vector (shorter ones have NULL components)."""
+    return df.agg(F.max(F.size(vec_col))).first()[0] or 0
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -132,7 +137,7 @@ def silhouette_sq(df: DataFrame, cluster_col: str, features: Sequence[str] | Non
     a(i) = n_A (|x|^2 - 2 x.c_A + m_A) / (n_A - 1); b(i) = min over B != A of
     |x|^2 - 2 x.c_B + m_B; s = (b - a) / max(a, b); singleton cluster -> 0.
     """
-    d = dim if dim is not None else len(features)
+    d = dim if dim is not None else len(features) if features else vector_length(df, vec_col)
     pts = _points(df, cluster_col, features, vec_col)
     cents = _centroids(pts, d)
     j = pts.withColumn("__cents", _all_centroids(cents))  # projected: no subquery inside a lambda
@@ -151,11 +156,100 @@ def silhouette_sq(df: DataFrame, cluster_col: str, features: Sequence[str] | Non
                  F.count_distinct("cluster").alias("n_clusters"))
 
 
+def reference_sets(points: DataFrame, per_cluster: int) -> DataFrame:
+    """The ``per_cluster`` points of each cluster with the smallest hash, with their place in it.
+
+    Points above a bound that leaves about four times as many are dropped first, so no task orders a whole cluster.
+    """
+    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))   # one row a cluster
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_cluster) / F.col("__n"))
+    near = (points.join(F.broadcast(sizes), "cluster")
+            .where(F.col("h") <= F.lit(-(2.0 ** 63)) + share * F.lit(2.0 ** 64)))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("h", "v"))
+    return near.withColumn("place", rank).where(F.col("place") <= per_cluster).select("cluster", "v", "h", "place", F.col("__n").alias("n"))
+
+
+def silhouette_euclidean(df: DataFrame, cluster_col: str, features: Sequence[str] | None = None, vec_col: str | None = None,
+                         id_col: str | None = None, per_cluster: int = 256, groups: int = 8) -> DataFrame:
+    """Mean silhouette with Euclidean distance, every row against a bounded reference set of each cluster.
+
+    A row's mean distance to a cluster is that to its reference set (the ``per_cluster`` members
+    with the smallest hash of ``id_col``, or of the vector), itself left out. Sets that hold
+    whole clusters give the exact value. Otherwise ``std_error`` is the delete-a-group jackknife
+    over the sets cut into ``groups``, with the finite-population correction of the cluster that is
+    sampled most thinly; about 95 % of the values lie within twice of it.
+    One row: silhouette, std_error, n_points, n_clusters. NULL clusters, NULL vectors and vectors
+    with a NULL component are left out. The sets (clusters x per_cluster vectors) go to all tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(_vec(df, features, vec_col))
+    points = df.select(F.col(cluster_col).alias("cluster"), _vec(df, features, vec_col).alias("v"), key.alias("h"))
+    points = points.where(F.col("cluster").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    found = reference_sets(points, per_cluster).collect()
+    if not found:
+        return df.sparkSession.createDataFrame([(None, None, 0, 0)], "silhouette double, std_error double, n_points long, n_clusters long")
+    names = sorted({r.cluster for r in found})
+    order = {c: k for k, c in enumerate(names)}
+    found.sort(key=lambda r: (order[r.cluster], r.place))
+    own = np.array([order[r.cluster] for r in found], "i8")
+    vectors = np.array([r.v for r in found], "f8").reshape(len(found), -1)
+    hashes, part = np.array([r.h for r in found], "i8"), np.array([(r.place - 1) % groups for r in found], "i8")
+    held = np.zeros((groups, len(names)))
+    np.add.at(held, (part, own), 1)
+    whole = {r.cluster: r.n for r in found}
+    thin = max((1 - min(1.0, per_cluster / n) for n in whole.values()), default=0.0)
+    kind = df.schema[cluster_col].dataType.simpleString()
+
+    def score(sums, counts, mine):
+        """Silhouettes from summed distances and numbers by (row, cluster)."""
+        rows = np.arange(len(mine))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(counts > 0, sums / counts, np.nan)
+        a = mean[rows, mine]
+        mean[rows, mine] = np.nan
+        b = np.where(np.isnan(mean).all(1), np.nan, np.fmin.reduce(mean, axis=1)) if mean.shape[1] else np.full(len(mine), np.nan)
+        top = np.fmax(a, b)
+        return np.where(np.isnan(a) | np.isnan(b) | ~(top > 0), 0.0, (b - a) / np.where(top > 0, top, 1))
+
+    def run(batches):
+        total, n, seen = np.zeros(groups + 1), 0, set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                x = np.array(rows.column("v").to_pylist(), "f8").reshape(rows.num_rows, -1)
+                h, mine = rows.column("h").to_numpy(), np.array([order[c] for c in rows.column("cluster").to_pylist()], "i8")
+                gap = np.sqrt(np.stack([((x - v) ** 2).sum(1) for v in vectors], 1))
+                sums, counts = np.zeros((groups, len(x), len(names))), np.repeat(held[:, None], len(x), 1)
+                for k in range(len(vectors)):
+                    sums[part[k], :, own[k]] += gap[:, k]
+                i, k = np.nonzero((h[:, None] == hashes[None]) & (mine[:, None] == own[None]) & (gap == 0))
+                first = np.unique(i, return_index=True)[1]  # a row of the set is not its own neighbour; of equal rows one goes
+                counts[part[k[first]], i[first], mine[i[first]]] -= 1
+                s_all, c_all = sums.sum(0), counts.sum(0)
+                total[0] += score(s_all, c_all, mine).sum()
+                for g in range(groups):
+                    total[g + 1] += score(s_all - sums[g], c_all - counts[g], mine).sum()
+                n += len(x)
+                seen.update(mine.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "s"])
+
+    sums = points.withColumn("cluster", F.col("cluster").cast(kind)).mapInArrow(run, "n long, s array<double>")
+    of_all = sums.agg(F.sum("n").alias("n_points"), *[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(groups + 1)])
+    left_out = F.array(*[F.col(f"s{k + 1}") / F.col("n_points") for k in range(groups)])
+    mean = F.aggregate(left_out, F.lit(0.0), lambda a, v: a + v) / groups
+    with_mean = of_all.select("n_points", (F.col("s0") / F.col("n_points")).alias("silhouette"), left_out.alias("__l"), mean.alias("__m"))
+    spread = F.aggregate(F.transform("__l", lambda v: (v - F.col("__m")) * (v - F.col("__m"))), F.lit(0.0), lambda a, v: a + v)
+    return with_mean.select("silhouette", F.sqrt(spread * F.lit(thin * (groups - 1) / groups)).alias("std_error"), "n_points",
+                            F.lit(len(names)).cast("long").alias("n_clusters"))
+
+
 def davies_bouldin(df: DataFrame, cluster_col: str, features: Sequence[str] | None = None,
                    vec_col: str | None = None, dim: int | None = None) -> DataFrame:
     """Davies-Bouldin index (Euclidean): mean over clusters of the max over
     other clusters of (S_i + S_j) / |c_i - c_j|; S = mean distance to centroid."""
-    d = dim if dim is not None else len(features)
+    d = dim if dim is not None else len(features) if features else vector_length(df, vec_col)
     from cohortlens.session import cut_lineage
     pts = _points(df, cluster_col, features, vec_col)
     cents = cut_lineage(_centroids(pts, d))          # k rows, read twice

@@ -740,11 +740,10 @@ def q_zscore(spark, sf):
     return z.select("RA", *[r6(f"{c}_z").alias(f"{c}_z") for c in K.CLUSTER_FEATURES])
 
 
-EMB_DIM = 64
-EMB_SQL = f"""
+EMB_SQL = """
 pts AS (SELECT vec_id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
 pts2 AS (SELECT *, list_dot_product(v, v) AS sq FROM pts),
-dims AS (SELECT cluster, i, avg(v[i]) AS ci FROM pts2, range(1, {EMB_DIM + 1}) t(i) GROUP BY cluster, i),
+dims AS (SELECT cluster, i, avg(v[i]) AS ci FROM pts2, range(1, 65537) t(i) WHERE i <= len(v) GROUP BY cluster, i),
 cents AS (SELECT d.cluster, list(d.ci ORDER BY d.i) AS c,
                  (SELECT count(*) FROM pts2 p WHERE p.cluster = d.cluster) AS n,
                  (SELECT avg(sq) FROM pts2 p WHERE p.cluster = d.cluster) AS msq
@@ -765,10 +764,25 @@ FROM pt""")
 def q_silhouette(spark, sf):
     from cohortlens.sources.tables import read_table
     e = read_table(spark, sf, "embeddings")
-    s = M.silhouette_sq(e, "label", vec_col="embedding", dim=EMB_DIM)
+    s = M.silhouette_sq(e, "label", vec_col="embedding")
     return s.select(F.round("silhouette", 6).alias("silhouette"), "n_points", "n_clusters")
 
 
+@register("silhouette_euclidean", """
+WITH pts AS MATERIALIZED (SELECT vec_id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+pd AS (SELECT p.vec_id, p.cluster AS own, q.cluster AS other, sum(list_distance(p.v, q.v)) AS s, count(*) AS n
+       FROM pts p JOIN pts q ON p.vec_id <> q.vec_id GROUP BY ALL),
+pt AS (SELECT vec_id, max(CASE WHEN other = own THEN s / n END) AS a, min(CASE WHEN other <> own THEN s / n END) AS b FROM pd GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), 6) AS silhouette,
+       0.0::DOUBLE AS std_error, count(*) AS n_points, (SELECT count(DISTINCT cluster) FROM pts) AS n_clusters
+FROM pt""")
+def q_silhouette_euclidean(spark, sf):
+    """The reference sets hold whole clusters here up to 256 members, so the value is exact and its error 0."""
+    from cohortlens.sources.tables import read_table
+    s = M.silhouette_euclidean(read_table(spark, sf, "embeddings"), "label", vec_col="embedding", id_col="vec_id")
+    return s.select(F.round("silhouette", 6).alias("silhouette"), "std_error", "n_points", "n_clusters")
+
+
 @register("davies_bouldin", f"""WITH {EMB_SQL},
 sp AS (SELECT p.cluster, avg(list_distance(p.v, c.c)) AS s FROM pts2 p JOIN cents c ON p.cluster = c.cluster
        GROUP BY p.cluster),
@@ -780,7 +794,7 @@ SELECT round(avg(coalesce(worst, 0.0)), 6) AS davies_bouldin, count(*) AS n_clus
 def q_davies_bouldin(spark, sf):
     from cohortlens.sources.tables import read_table
     e = read_table(spark, sf, "embeddings")
-    d = M.davies_bouldin(e, "label", vec_col="embedding", dim=EMB_DIM)
+    d = M.davies_bouldin(e, "label", vec_col="embedding")
     return d.select(F.round("davies_bouldin", 6).alias("davies_bouldin"), "n_clusters")
 
 

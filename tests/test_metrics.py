@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics as M
 
@@ -107,3 +108,65 @@ def test_cluster_profile(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "c int, x double")
     p = {r["cluster_id"]: r for r in M.cluster_profile(df, "c", ["x"]).collect()}
     assert p[0]["n_alunos"] == 2 and p[0]["x_mean"] == 2.0 and p[0]["percentual"] == pytest.approx(200 / 3)
+
+
+def _brute_silhouette(x, label):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    s = []
+    for i in range(len(x)):
+        own = (label == label[i]) & (np.arange(len(x)) != i)
+        others = [d[i, label == c].mean() for c in set(label) if c != label[i]]
+        if not own.any() or not others:
+            s.append(0.0)
+            continue
+        a, b = d[i, own].mean(), min(others)
+        s.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    return float(np.mean(s))
+
+
+def _clusters(spark, n, seed, copies=False):
+    rng = np.random.default_rng(seed)
+    label = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 4)) + label[:, None] * 1.5
+    if copies:
+        x[: n // 4] = x[0]
+        label[n - 1] = 9   # a cluster of one
+    df = spark.createDataFrame([(k, int(c), [float(v) for v in r]) for k, (c, r) in enumerate(zip(label, x))], "id long, c int, v array<double>")
+    return df, x, label
+
+
+def test_euclidean_silhouette_is_exact_when_the_sets_hold_all_rows(spark):
+    df, x, label = _clusters(spark, 150, 1, copies=True)
+    df = df.unionByName(spark.createDataFrame([(900, None, [1.0, 2.0, 3.0, 4.0]), (901, 1, None), (902, 1, [1.0, None, 2.0, 3.0])], df.schema))
+    for key in ("id", None):
+        r = M.silhouette_euclidean(df, "c", vec_col="v", id_col=key, per_cluster=200).first()
+        assert r.silhouette == pytest.approx(_brute_silhouette(x, label), abs=1e-9)
+        assert r.std_error == 0.0 and (r.n_points, r.n_clusters) == (150, 4)
+    assert M.silhouette_euclidean(df.limit(0), "c", vec_col="v").first().n_points == 0
+
+
+def test_euclidean_silhouette_from_samples_lies_within_its_error(spark):
+    inside = 0
+    for seed in range(6):
+        df, x, label = _clusters(spark, 900, 20 + seed)
+        r = M.silhouette_euclidean(df, "c", vec_col="v", id_col="id", per_cluster=40).first()
+        assert 0 < r.std_error < 0.05
+        inside += abs(r.silhouette - _brute_silhouette(x, label)) <= 2 * r.std_error
+    assert inside >= 5
+
+
+def test_reference_sets_are_bounded_and_the_smallest_hashes(spark):
+    df, _, _ = _clusters(spark, 900, 3)
+    points = df.selectExpr("c AS cluster", "v", "xxhash64(id) AS h")
+    got = {(r.cluster, r.h) for r in M.reference_sets(points, 25).collect()}
+    want = {}
+    for r in points.collect():
+        want.setdefault(r.cluster, []).append(r.h)
+    assert got == {(c, h) for c, hs in want.items() for h in sorted(hs)[:25]}
+
+
+def test_metrics_take_the_vector_length_from_the_data(spark):
+    df, x, label = _clusters(spark, 120, 5)
+    wide = df.select("c", F.concat("v", F.array_repeat(F.lit(0.0), 90)).alias("v"))
+    assert M.vector_length(wide, "v") == 94
+    assert M.silhouette_sq(wide, "c", vec_col="v").first().silhouette == pytest.approx(M.silhouette_sq(df, "c", vec_col="v").first().silhouette)
