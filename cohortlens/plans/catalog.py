@@ -541,6 +541,55 @@ def q_drift_ztest(spark, sf):
     return D.drift_table(D.long_periods(two, ["ACIMA"], ys[0], ys[1:]), kinds={"ACIMA": "binary"})
 
 
+# Per-year state: each year's rows are read once into its own tables, and the results come from these.
+_PANEL_TYPES = {"RA": "bigint", "ano": "int", **dict.fromkeys(["INDE", "IDA", "IPS", "IEG", "IAA", "IAN"], "double"), "PEDRA": "string", "PEDRA_CODIGO": "double"}
+
+
+def _year_state(spark, sf) -> str:
+    import uuid
+    from cohortlens.operators import year_state
+    from cohortlens.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/year-state-{uuid.uuid4().hex[:12]}"
+    for year in panel_years(spark, sf):
+        year_state.add_year(level_panel(spark, sf, years=[year]), base, year)
+    return base
+
+
+@register("year_state_profile", f"WITH {LEVEL_PANEL_SQL},"
+          "n AS (SELECT ano, count(*) AS n, count(DISTINCT RA) AS ids FROM panel_lvl GROUP BY ano)"
+          + " UNION ALL ".join(f"""
+SELECT p.ano, '{c}' AS coluna, '{t}' AS tipo, count(*) FILTER (WHERE p.{c} IS NULL) AS n_nulos,
+  round(count(*) FILTER (WHERE p.{c} IS NULL) * 100.0 / any_value(n.n), 6) AS pct_nulos, any_value(n.n) AS n_linhas, {len(_PANEL_TYPES)} AS n_colunas,
+  any_value(n.ids) AS n_ids_unicos FROM panel_lvl p JOIN n ON p.ano = n.ano GROUP BY p.ano""" for c, t in _PANEL_TYPES.items()))
+def q_year_state_profile(spark, sf):
+    """F12 of every year, from the years' states."""
+    from cohortlens.operators import year_state
+    return year_state.profile_by_year(spark, _year_state(spark, sf))
+
+
+@register("year_state_stats", _feature_stats_sql())
+def q_year_state_stats(spark, sf):
+    """F10 of all years together, from the years' value counts."""
+    from cohortlens.operators import year_state
+    return year_state.feature_stats(spark, _year_state(spark, sf))
+
+
+@register("year_state_medians", f"WITH {LEVEL_PANEL_SQL}" + " UNION ALL ".join(
+    f"\nSELECT '{c}' AS feature, median({c}) AS median FROM panel_lvl" for c in K.QUALITY_FEATURES if c in _PANEL_TYPES))
+def q_year_state_medians(spark, sf):
+    """C6's medians of all years together, from the years' value counts."""
+    from cohortlens.operators import year_state
+    return year_state.medians(spark, _year_state(spark, sf))
+
+
+@register("year_state_drift", f"WITH {LEVEL_PANEL_SQL},"
+          f"{_drift_long_sql(K.DRIFT_FEATURES)}{_drift_table_sql('auto')}{DRIFT_SUMMARY_SQL}")
+def q_year_state_drift(spark, sf):
+    """K3b from the years' value counts."""
+    from cohortlens.operators import year_state
+    return year_state.drift_vs_first(spark, _year_state(spark, sf))[0]
+
+
 # K1 and K4 by kind: two frames of lineitem, the last ship year against all before it.
 FRAME_KINDS = {"l_partkey": "categorical", "l_suppkey": "categorical", "l_quantity": "categorical", "l_extendedprice": "categorical", "FECHADO": "binary"}
 FRAME_FEATURES = [*FRAME_KINDS, "l_discount"]
