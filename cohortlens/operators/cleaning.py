@@ -53,10 +53,10 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str,
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
         return {c: row[c] for c in cols}
     if strategy == "median":
-        # Exact median (interpolated, like pandas) by bounded histogram
-        # narrowing -- no per-column buffer of all distinct values.
-        from cohortlens.operators.quantiles import exact_median
-        return {c: exact_median(df, c) for c in cols}
+        # Exact median (interpolated, like pandas), all columns in the same
+        # few passes -- no per-column buffer of all distinct values.
+        from cohortlens.operators.quantiles import exact_medians
+        return dict(exact_medians(df, cols))
     if strategy == "approx_median":
         row = df.agg(*[F.percentile_approx(c, 0.5, 100000).alias(c) for c in cols]).first()
         return {c: row[c] for c in cols}
