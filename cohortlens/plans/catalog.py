@@ -1272,6 +1272,37 @@ def q_event_entity_features(spark, sf):
                       "pedras_mudadas_total", K.TARGET_COL, "name")
 
 
+_LINE_SQL = """concat_ws(';', o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE '"' || o_orderpriority || ';x"' END,
+  CASE WHEN o_orderkey % 89 = 3 THEN 'extra' END)"""
+
+
+def _csv_orders(spark, sf) -> str:
+    """``orders`` as a CSV folder with a quoted separator in a field, some lines with a field too few or too many."""
+    import uuid
+    from cohortlens.session import ensure_checkpoint_dir
+    from cohortlens.sources.tables import read_table
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orders-csv-{uuid.uuid4().hex[:12]}"
+    lines = read_table(spark, sf, "orders").selectExpr(f"{_LINE_SQL} AS value")
+    lines.withColumnRenamed("value", "PEDIDO;CLIENTE;PRIORIDADE").write.options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
+    return path
+
+
+@register("csv_rejects", f"""WITH l AS (SELECT {_LINE_SQL} AS text, (o_orderkey % 97 = 5) AS few, (o_orderkey % 89 = 3) AS many FROM orders)
+SELECT text, CASE WHEN few THEN 'too few fields: 2 of 3' ELSE 'too many fields: 4 of 3' END AS reason FROM l WHERE few <> many""")
+def q_csv_rejects(spark, sf):
+    """A1: records that do not fit the header."""
+    from cohortlens.sources.csv_years import read_csv_checked
+    return read_csv_checked(spark, _csv_orders(spark, sf), multi_line=False)[1].select("text", "reason")
+
+
+@register("csv_checked_rows", """SELECT o_orderkey AS PEDIDO, o_custkey AS CLIENTE,
+  CASE WHEN o_orderkey % 97 = 5 THEN 'extra' ELSE o_orderpriority || ';x' END AS PRIORIDADE FROM orders WHERE (o_orderkey % 97 = 5) = (o_orderkey % 89 = 3)""")
+def q_csv_checked_rows(spark, sf):
+    """A1: the other records with inferred types (a field too few and one too many make three again)."""
+    from cohortlens.sources.csv_years import infer_types, read_csv_checked
+    return infer_types(read_csv_checked(spark, _csv_orders(spark, sf), multi_line=False)[0])
+
+
 @register("harmonize_from_csv", None)
 def q_harmonize_from_csv(spark, sf):
     """A1-A3 + B7: yearly tables written as ';' CSV files, loaded back with

@@ -65,11 +65,52 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def load_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8") -> DataFrame:
-    """A1: header CSV with inferred column types; raises if the file is absent."""
+_BROKEN = "__broken_record"
+REJECTS = "file string, text string, reason string, first_field string"
+
+
+def read_csv_checked(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8",
+                     multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with as many fields as the header, rejects): rejects have the file, the record's text, why, and its first field.
+
+    The reader keeps a record that does not fit the header in a column of its
+    own. The file is parsed once, into a table in the shared folder that both
+    results read.
+    """
+    from cohortlens.session import materialize
+    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line}
+    names = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*(f"c{k}" for k in range(len(names))), _BROKEN])
+    raw = (spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
+           .schema(schema).csv(path))
+    raw = materialize(raw, "csv-records")
+    broken = F.col(_BROKEN)
+    rows = raw.where(broken.isNull()).select(*[
+        F.when(F.col(f"c{k}").isin(NA_TOKENS), F.lit(None)).otherwise(F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])
+    bare = F.regexp_replace(broken, '"([^"]|"")*"', "")                # separators inside quotes do not count
+    fields = F.lit(1) + ((F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep)).cast("int")
+    kind = F.when(fields < len(names), "too few fields").when(fields > len(names), "too many fields")
+    reason = F.coalesce(F.concat(kind, F.lit(": "), fields.cast("string"), F.lit(f" of {len(names)}")), F.lit("malformed"))
+    rejects = raw.where(broken.isNotNull()).select(F.lit(path).alias("file"), broken.alias("text"), reason.alias("reason"),
+                                                   F.col("c0").alias("first_field"))
+    return rows, rejects
+
+
+def load_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8", multi_line: bool = True,
+             reject_table: str | None = None) -> DataFrame:
+    """A1: header CSV with inferred column types; raises if the file is absent.
+
+    With ``reject_table`` records that have too few or too many fields are
+    appended to that Parquet table and left out; without it, missing fields
+    are NULL and fields beyond the header are dropped.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    return infer_types(read_csv_text(spark, path, sep, encoding))
+    if reject_table is None:
+        return infer_types(read_csv_text(spark, path, sep, encoding, multi_line))
+    rows, rejects = read_csv_checked(spark, path, sep, encoding, multi_line)
+    rejects.write.mode("append").parquet(reject_table)
+    return infer_types(rows)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -80,8 +121,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def load_years(spark: SparkSession, paths: Mapping[int, str], sep: str = ";",
-               encoding: str = "utf-8") -> dict[int, DataFrame]:
+def load_years(spark: SparkSession, paths: Mapping[int, str], sep: str = ";", encoding: str = "utf-8",
+               multi_line: bool = True, reject_table: str | None = None) -> dict[int, DataFrame]:
     """A2/A3: the years whose file exists; missing files are logged and skipped.
 
     Any other failure is raised: a lost executor or a broken file must not
@@ -92,5 +133,5 @@ def load_years(spark: SparkSession, paths: Mapping[int, str], sep: str = ";",
         if not path_exists(spark, path):
             log.warning("file not found for %s: %s", year, path)
             continue
-        out[year] = load_csv(spark, path, sep, encoding)
+        out[year] = load_csv(spark, path, sep, encoding, multi_line, reject_table)
     return out

@@ -154,3 +154,27 @@ def test_a_set_is_published_as_a_whole(spark, monkeypatch):
     assert SK.load_published_model(spark, base, "profiles").centres[0, 0] == 0.7
     assert SK.load_published_model(spark, base, "profiles", "r1").centres[0, 0] == 0.0
     assert SK.read_published_table(spark, base, "labels").collect() == labels.collect()
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_malformed_rows_are_in_the_reject_table_not_in_the_panel(spark, multi_line):
+    d = tmpdir()
+    text = 'RA;X;Obs\n1;2;ok\n2;3\n3;4;ok;more\n4;5;"a;b"\n5;6;"quote ""x"" ; y";7\n6;NA;\n'
+    paths = {2022: write(os.path.join(d, "a.csv"), text), 2023: write(os.path.join(d, "b.csv"), "RA;X\n1;2\n9\n")}
+    rejects = os.path.join(d, "rejects")
+    got = C.load_years(spark, paths, multi_line=multi_line, reject_table=rejects)
+    assert [tuple(r) for r in got[2022].orderBy("RA").collect()] == [(1, 2, "ok"), (4, 5, "a;b"), (6, None, None)]
+    assert dict(got[2022].dtypes)["X"] == "bigint" and got[2022].select("RA").count() == 3 and got[2023].count() == 1
+    rows = sorted((os.path.basename(r.file), r.text, r.reason, r.first_field) for r in spark.read.parquet(rejects).collect())
+    assert rows == [("a.csv", "2;3", "too few fields: 2 of 3", "2"), ("a.csv", "3;4;ok;more", "too many fields: 4 of 3", "3"),
+                    ("a.csv", '5;6;"quote ""x"" ; y";7', "too many fields: 4 of 3", "5"), ("b.csv", "9", "too few fields: 1 of 2", "9")]
+    assert C.load_csv(spark, paths[2022]).count() == 6   # without a reject table nothing is left out
+
+
+def test_fields_with_line_breaks_reach_load_years(spark):
+    d = tmpdir()
+    paths = {2022: write(os.path.join(d, "a.csv"), 'RA;Obs\n1;"two\nlines"\n2;one\n')}
+    assert [r.Obs for r in C.load_years(spark, paths)[2022].orderBy("RA").collect()] == ["two\nlines", "one"]
+    whole, rejects = C.read_csv_checked(spark, paths[2022])
+    assert whole.count() == 2 and rejects.count() == 0
+    assert C.load_years(spark, paths, multi_line=False)[2022].count() == 3
