@@ -102,6 +102,24 @@ def score_risk(model: RiskModel, features_df: DataFrame, keep: Sequence[str] = (
                       (F.col("prediction") == 1.0).alias("vai_cair"))
 
 
+def score_requests(requests: DataFrame, risk: RiskModel | None, profiles: ProfileModel | None) -> DataFrame:
+    """J7, J14, J15 in one chain without a join of the requests with themselves: the requests' own columns, unchanged, with
+    cluster_id and cluster_nome (features of C11) and risco_probabilidade, risco_classe and vai_cair (features of C9, C10)."""
+    from cohortlens.operators import cleaning as CL
+
+    def beside(df: DataFrame) -> DataFrame:
+        return df.withColumn("__own", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+    out = requests
+    if profiles is not None:
+        out = assign_profiles(profiles, CL.cluster_request_features(beside(out))).select("__own.*", "cluster_id", "cluster_nome")
+    if risk is not None:
+        scored = risk.model.transform(CL.risk_request_features(beside(out)))
+        p = F.col("score")
+        out = scored.select("__own.*", p.alias("risco_probabilidade"), risk_tier(p).alias("risco_classe"), (F.col("prediction") == 1.0).alias("vai_cair"))
+    return out
+
+
 def high_risk_count(model: RiskModel, latest: DataFrame, threshold: float = K.RISK_THRESHOLD_HIGH) -> DataFrame:
     """complete-case latest records with probability >= threshold."""
     feats = [f for f in model.features if f in latest.columns]

@@ -30,6 +30,34 @@ REPORT_TEMPLATE = (
     "{feedback_texto}\n"
 )
 
+# The data block of the report prompt with all indicators and both models' results (17 fields).
+FULL_TEMPLATE = (
+    "DADOS DO ALUNO:\n"
+    "- Nome: {nome}\n"
+    "- Idade: {idade} anos\n"
+    "- Pedra Atual: {pedra} (INDE: {inde:.1f})\n"
+    "\n"
+    "INDICADORES EDUCACIONAIS:\n"
+    "- IEG (Engajamento): {ieg:.1f}\n"
+    "- IDA (Desempenho Acadêmico): {ida:.1f}\n"
+    "- IPS (Psicossocial): {ips:.1f}\n"
+    "- IAA (Autoavaliação): {iaa:.1f}\n"
+    "- IAN (Adequação ao Nível): {ian:.1f}\n"
+    "- IPV (Ponto de Virada): {ipv:.1f}\n"
+    "- IPP (Psicopedagógico): {ipp:.1f}\n"
+    "\n"
+    "RESULTADOS DOS MODELOS PREDITIVOS (Machine Learning):\n"
+    "- Predição de Risco de Queda: {risco_classe} ({risco_percentual}%)\n"
+    "- Cluster (Perfil Comportamental): {cluster_nome}\n"
+    "\n"
+    "HISTÓRICO:\n"
+    "- Anos no programa: {anos_no_programa}\n"
+    "- Tendência do INDE: {tendencia_inde}\n"
+    "\n"
+    "FEEDBACKS ANTERIORES:\n"
+    "{feedback_texto}\n"
+)
+
 
 def report_rows(latest: DataFrame) -> DataFrame:
     """C8 + C13: trend label from the numeric slope, then field defaults.

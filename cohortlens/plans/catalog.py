@@ -288,9 +288,39 @@ def q_validate(spark, sf):
     return v.select("aluno_id", "ano", F.array_join("erros", ";").alias("erros"), "valido")
 
 
+@register("request_profile_features", f"""WITH {REQUEST_SQL}
+SELECT aluno_id, ano, inde AS INDE, {", ".join(f"coalesce({c.lower()}, 0.0) AS {c}" for c in ("IEG", "IDA", "IPS", "IAA"))} FROM req""")
+def q_request_profile_features(spark, sf):
+    """C11."""
+    return CL.cluster_request_features(request_view(spark, sf)).select("aluno_id", "ano", "INDE", "IEG", "IDA", "IPS", "IAA")
+
+
+@register("safe_numbers", """SELECT o_orderkey, coalesce(TRY_CAST(o_orderpriority AS DOUBLE), 0.0) AS texto,
+  coalesce(TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE), -1.0) AS prioridade,
+  CASE WHEN o_orderkey % 7 = 0 THEN 2.5 ELSE coalesce(o_totalprice, 2.5) END AS preco FROM orders""")
+def q_safe_numbers(spark, sf):
+    """Numbers out of texts and columns with holes, a default for the rest."""
+    from cohortlens.sources.tables import read_table
+    o = read_table(spark, sf, "orders")
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan")))
+    return o.select("o_orderkey", S.safe_float("o_orderpriority").alias("texto"),
+                    S.safe_float(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)), -1.0).alias("prioridade"), S.safe_float(price, 2.5).alias("preco"))
+
+
+@register("drop_empty_columns", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, INDE, CASE WHEN RA = (SELECT min(RA) FROM panel_lvl) THEN INDE END AS QUASE FROM panel_lvl""")
+def q_drop_empty_columns(spark, sf):
+    """A column without any value goes, one with a single entity's values stays."""
+    p = level_panel(spark, sf)
+    least = p.agg(F.min("RA")).scalar()
+    holes = p.withColumn("__m", least).select("RA", "ano", "INDE", F.lit(None).cast("double").alias("VAZIA"), F.when(F.col("RA") < 0, F.col("INDE")).alias("NUNCA"),
+                                              F.when(F.col("RA") == F.col("__m"), F.col("INDE")).alias("QUASE"))
+    return CL.drop_all_null_columns(holes)
+
+
 # ============================================================ 4. dashboard / quality aggregates
 
-LATEST_COLS = ["INDE", "IPS", "IEG", "PEDRA", "PEDRA_CODIGO"]
+LATEST_COLS = ["INDE", "IDA", "IPS", "IEG", "IAA", "IAN", "PEDRA", "PEDRA_CODIGO"]
 
 
 @register("latest_nonnull", f"""WITH {LEVEL_PANEL_SQL}
@@ -1019,25 +1049,26 @@ def _latest_report_fields(spark, sf) -> DataFrame:
                        "anos_no_programa", F.col("tendencia_INDE").alias("tendencia_num"))
 
 
-def _report_sql() -> str:
-    from cohortlens.operators.reports import REPORT_TEMPLATE
+def _report_sql(template: str) -> str:
     import re
     pieces, pos = [], 0
-    defaults = {"idade": "'0'", "tendencia_inde": None, "cluster_nome": "'Não identificado'",
+    defaults = {"idade": "'0'", "tendencia_inde": None, "cluster_nome": "'Não identificado'", "risco_classe": "'N/A'",
                 "risco_percentual": "'0'", "feedback_texto": "'Não disponível'"}
-    for m in re.finditer(r"\{(\w+)(?::\.(\d+)f)?\}", REPORT_TEMPLATE):
+    for m in re.finditer(r"\{(\w+)(?::\.(\d+)f)?\}", template):
         if m.start() > pos:
-            pieces.append("'" + REPORT_TEMPLATE[pos:m.start()].replace("'", "''") + "'")
+            pieces.append("'" + template[pos:m.start()].replace("'", "''") + "'")
         f, d = m.group(1), m.group(2)
         if f in defaults and defaults[f] is not None:
             pieces.append(defaults[f])
+        elif f in ("ieg", "ida", "ips", "iaa", "ian", "ipv", "ipp"):
+            pieces.append(f"printf('%.{d}f', coalesce({f}, 0.0))")
         elif d:
             pieces.append(f"coalesce(printf('%.{d}f', {f}), 'N/A')")
         else:
             pieces.append(f"coalesce(CAST({f} AS VARCHAR), 'N/A')")
         pos = m.end()
-    if pos < len(REPORT_TEMPLATE):
-        pieces.append("'" + REPORT_TEMPLATE[pos:].replace("'", "''") + "'")
+    if pos < len(template):
+        pieces.append("'" + template[pos:].replace("'", "''") + "'")
     body = " || ".join(p.replace("\n", "' || chr(10) || '") for p in pieces)
     return f"""WITH {NAMED_PANEL_SQL},
 f AS (
@@ -1046,7 +1077,8 @@ f AS (
          {TREND_SQL} AS tendencia_num,
          CAST(row_number() OVER (PARTITION BY RA ORDER BY ano) AS INTEGER) AS anos_no_programa
   FROM panel_named),
-l AS (SELECT RA, NOME1 AS nome, PEDRA AS pedra, INDE AS inde, anos_no_programa,
+l AS (SELECT RA, NOME1 AS nome, PEDRA AS pedra, INDE AS inde, IEG AS ieg, IDA AS ida, IPS AS ips, IAA AS iaa, IAN AS ian, NULL::DOUBLE AS ipv,
+             NULL::DOUBLE AS ipp, anos_no_programa,
              CASE WHEN coalesce(tendencia_num, 0) > {K.TREND_THRESHOLD} THEN 'crescendo'
                   WHEN coalesce(tendencia_num, 0) < -{K.TREND_THRESHOLD} THEN 'decrescendo'
                   ELSE 'estável' END AS tendencia_inde
@@ -1061,23 +1093,27 @@ def q_report_prompts(spark, sf):
     return render_prompts(report_rows(_latest_report_fields(spark, sf))).select("RA", "prompt")
 
 
-ORACLE["report_prompts"] = _report_sql()
+@register("report_prompts_full", None)
+def q_report_prompts_full(spark, sf):
+    """C14 with the 17-field template; the panel has no IPV and IPP."""
+    from cohortlens.operators.reports import FULL_TEMPLATE, render_prompts, report_rows
+    return render_prompts(report_rows(_latest_report_fields(spark, sf)), FULL_TEMPLATE).select("RA", "prompt")
+
+
+def _register_report_sql():
+    from cohortlens.operators.reports import FULL_TEMPLATE, REPORT_TEMPLATE
+    ORACLE["report_prompts"] = _report_sql(REPORT_TEMPLATE)
+    ORACLE["report_prompts_full"] = _report_sql(FULL_TEMPLATE)
+
+
+_register_report_sql()
 
 
 @register("report_prompts_scored")
 def q_report_prompts_scored(spark, sf):
     """Latest record + risk (N8) + profile (N9) -> defaults -> prompt."""
-    from cohortlens.operators import models as ML
-    from cohortlens.operators.reports import render_prompts, report_rows
-    base = _latest_report_fields(spark, sf)
-    feats = CL.risk_request_features(base.select(
-        "RA", "inde", "ieg", "ida", "ips", "iaa", F.col("anos_no_programa"),
-        F.col("tendencia_num").alias("tendencia_inde")))
-    risk = ML.score_risk(risk_model(spark, sf), feats, keep=("RA",))
-    prof = ML.assign_profiles(profile_model(spark, sf), CL.cluster_request_features(base.select("RA", "inde", "ieg", "ida", "ips", "iaa")))
-    rows = (base.join(risk.select("RA", (F.col("risco_probabilidade") * 100).alias("risco_percentual"), "risco_classe"), "RA", "left")
-            .join(prof.select("RA", "cluster_nome"), "RA", "left"))
-    return render_prompts(report_rows(rows)).select("RA", "risco_classe", "cluster_nome", "prompt")
+    from cohortlens.plans.pipelines import prompts_of_latest
+    return prompts_of_latest(_latest_report_fields(spark, sf), risk_model(spark, sf), profile_model(spark, sf))
 
 
 def _strip_sql() -> str:
@@ -1390,9 +1426,9 @@ def q_importance_top3(spark, sf):
 
 @register("risk_scoring")
 def q_risk_scoring(spark, sf):
-    """Every request -> cold-start features -> probability, tier, class."""
+    """Every valid request -> cold-start features -> probability, tier, class."""
     from cohortlens.operators import models as ML
-    feats = CL.risk_request_features(request_view(spark, sf))
+    feats = CL.risk_request_features(Q.split_valid(request_view(spark, sf))[0])
     return ML.score_risk(risk_model(spark, sf), feats)
 
 
@@ -1442,23 +1478,17 @@ def q_k_search(spark, sf):
 
 @register("profile_scoring")
 def q_profile_scoring(spark, sf):
-    """Every request -> zero-filled profile features -> cluster + name."""
+    """Every valid request -> zero-filled profile features -> cluster + name."""
     from cohortlens.operators import models as ML
-    req = CL.cluster_request_features(request_view(spark, sf))
+    req = CL.cluster_request_features(Q.split_valid(request_view(spark, sf))[0])
     return ML.assign_profiles(profile_model(spark, sf), req).select("aluno_id", "ano", "cluster_id", "cluster_nome")
 
 
 @register("listing_with_clusters")
 def q_listing_with_clusters(spark, sf):
     """Listing rows with a profile name on complete cases, NULL otherwise."""
-    from cohortlens.operators import models as ML
-    df = A.propagate_first_name(G.temporal_features(named_panel(spark, sf)))
-    feats = K.CLUSTER_FEATURES
-    complete = df.dropna(subset=feats)
-    named = ML.assign_profiles(profile_model(spark, sf), complete).select("RA", "ano", F.col("cluster_nome").alias("cluster"))
-    out = df.join(named, ["RA", "ano"], "left")
-    from cohortlens.operators.schema import listing_projection
-    return A.listing_order(A.round_records(listing_projection(out)))
+    from cohortlens.plans.pipelines import listing_of
+    return listing_of(G.temporal_features(named_panel(spark, sf)), profile_model(spark, sf))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.operators import aggregates as A
@@ -19,6 +20,7 @@ from cohortlens.operators import cleaning as CL
 from cohortlens.operators import drift as D
 from cohortlens.operators import models as ML
 from cohortlens.operators import quality as Q
+from cohortlens.operators import reports
 from cohortlens.operators import schema as S
 from cohortlens.operators import temporal as G
 from cohortlens.plans import catalog
@@ -68,9 +70,19 @@ def dashboard(spark: SparkSession, source: Source) -> dict[str, DataFrame]:
             "index_by_year": A.mean_by_period(panel, "INDE")}
 
 
-def listing(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
-    """Entity listing (optionally one period)."""
-    return catalog.entity_listing(spark, sf_dir, year)
+def listing_of(panel: DataFrame, profiles: ML.ProfileModel | None = None) -> DataFrame:
+    """N4 / J15 of a processed panel: listing rows, with a profile name on complete cases (NULL otherwise) given a model."""
+    out = A.propagate_first_name(panel) if "NOME" in panel.columns else panel
+    if profiles is not None:
+        out = ML.assign_profiles(profiles, out).withColumnRenamed("cluster_nome", "cluster").drop("scaled", "cluster_id")
+    return A.listing_order(A.round_records(S.listing_projection(out)))
+
+
+def listing(spark: SparkSession, source: Source, year: int | None = None, profiles: ML.ProfileModel | None = None) -> DataFrame:
+    """Entity listing (optionally one period, optionally with profiles)."""
+    if isinstance(source, str) and profiles is None:
+        return catalog.entity_listing(spark, source, year)
+    return listing_of(A.filter_equals(processed_panel(spark, source), K.TIME_COL, year), profiles)
 
 
 def drift_across_years(spark: SparkSession, source: Source) -> tuple[DataFrame, DataFrame]:
@@ -107,10 +119,32 @@ def score_profile_requests(requests: DataFrame, model: ML.ProfileModel) -> DataF
     return ML.assign_profiles(model, CL.cluster_request_features(ok))
 
 
-def report_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest record + risk + profile -> defaults -> prompt per entity."""
-    return catalog.q_report_prompts_scored(spark, sf_dir)
+def latest_report_fields(panel: DataFrame) -> DataFrame:
+    """Each entity's latest record under the report's field names."""
+    named = A.propagate_first_name(panel) if "NOME" in panel.columns else panel.withColumn("NOME", F.lit(None).cast("string"))
+    last = A.latest_row(named)
+    known = [F.col(c).alias(c.lower()) for c in ("INDE", "IEG", "IDA", "IPS", "IAA", "IAN", "IPV", "IPP") if c in panel.columns]
+    return last.select(K.ID_COL, F.col("NOME").alias("nome"), F.col("PEDRA").alias("pedra"), *known, "anos_no_programa",
+                       F.col("tendencia_INDE").alias("tendencia_num"))
+
+
+def prompts_of_latest(latest: DataFrame, risk: ML.RiskModel, profiles: ML.ProfileModel, template: str = reports.REPORT_TEMPLATE) -> DataFrame:
+    """Both models in one chain over the latest records, then defaults and the prompt."""
+    scored = ML.score_requests(latest.withColumn("tendencia_inde", F.col("tendencia_num")), risk, profiles)
+    rows = scored.withColumn("risco_percentual", F.col("risco_probabilidade") * 100)
+    return reports.render_prompts(reports.report_rows(rows), template).select(K.ID_COL, "risco_classe", "cluster_nome", "prompt")
+
+
+def report_dataset(spark: SparkSession, source: Source, risk: ML.RiskModel | None = None, profiles: ML.ProfileModel | None = None,
+                   template: str = reports.REPORT_TEMPLATE) -> DataFrame:
+    """Latest record + risk + profile -> defaults -> prompt per entity; models that are not given are trained on the source."""
+    if isinstance(source, str) and risk is None and profiles is None:
+        return catalog.q_report_prompts_scored(spark, source)
+    panel = processed_panel(spark, source)
+    risk = risk or ML.train_risk_classifier(G.drop_target(panel))
+    profiles = profiles or ML.train_profiles(latest_profiles(panel))
+    return prompts_of_latest(latest_report_fields(panel), risk, profiles, template)
 
 
 __all__ = ["latest_profiles", "processed_panel", "train_all", "dashboard", "listing", "drift_across_years", "data_quality",
-           "drift_with_stats", "score_risk_requests", "score_profile_requests", "report_dataset"]
+           "drift_with_stats", "score_risk_requests", "score_profile_requests", "report_dataset", "listing_of", "latest_report_fields", "prompts_of_latest"]

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortlens.operators import cleaning as CL
 from cohortlens.operators import quality as Q
 from cohortlens.session import ensure_checkpoint_dir
 
@@ -30,13 +29,9 @@ def score_requests(requests: DataFrame, risk_model, profile_model=None) -> DataF
     dimension is a k-row static table (stream-static broadcast join).
     """
     from cohortlens.operators import models as ML
-    v = Q.validate(requests)
-    keep = ["aluno_id", "ano", "erros", "valido"]
-    if profile_model is not None:
-        prof = ML.assign_profiles(profile_model, CL.cluster_request_features(v))
-        v = prof.select(*requests.columns, "erros", "valido", "cluster_id", "cluster_nome")
-        keep += ["cluster_id", "cluster_nome"]
-    return ML.score_risk(risk_model, CL.risk_request_features(v), keep=tuple(keep))
+    scored = ML.score_requests(Q.validate(requests), risk_model, profile_model)
+    profile = ["cluster_id", "cluster_nome"] if profile_model is not None else []
+    return scored.select("aluno_id", "ano", "erros", "valido", *profile, "risco_probabilidade", "risco_classe", "vai_cair")
 
 
 def start_scoring_stream(spark, source_dir: str, sink_dir: str, risk_model, name: str = "risk_scoring",

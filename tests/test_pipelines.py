@@ -49,3 +49,31 @@ def test_pipelines_on_the_users_own_files_and_frames(spark, tmp_path):
     frame = spark.createDataFrame([(1, 2022, 5.0, "Ágata"), (1, 2023, float("nan"), "Quartzo")], "RA int, ano int, INDE double, PEDRA string")
     rows = P.processed_panel(spark, frame).orderBy("ano").collect()
     assert rows[1]["INDE"] is None and rows[1]["anos_no_programa"] == 2 and rows[1]["pedras_mudadas"] == 1.0
+
+
+def test_listing_and_prompts_of_the_users_own_frame_in_one_chain(spark):
+    from cohortlens.operators import models as ML
+    from cohortlens.operators.reports import FULL_TEMPLATE
+    from cohortlens.plans import catalog
+
+    frame = catalog.named_panel(spark, SF001)
+    panel = P.processed_panel(spark, frame)
+    risk = ML.train_risk_classifier(P.G.drop_target(panel), max_iter=3)
+    prof = ML.train_profiles(P.latest_profiles(panel), n_init=1)
+    rows = P.listing(spark, frame, 1996, prof).collect()
+    want = {r.RA: r.cluster_nome for r in ML.assign_profiles(prof, panel.where("ano = 1996").dropna(subset=prof.features)).collect()}
+    assert len(rows) == panel.where("ano = 1996").count() and {r.ra: r.cluster for r in rows if r.cluster} == want
+    prompts = P.report_dataset(spark, frame, risk, prof, FULL_TEMPLATE)
+    first = prompts.where("risco_classe is not null").first()
+    assert prompts.count() == panel.select("RA").distinct().count()
+    assert f"Risco de Queda: {first.risco_classe} (" in first.prompt and f"Comportamental): {first.cluster_nome}" in first.prompt and "IPV (Ponto de Virada): 0.0" in first.prompt
+    requests = spark.createDataFrame([("a", 2022, 5.0, None), ("b", 2022, 6.0, 7.0)], "aluno_id string, ano int, inde double, ieg double")
+    requests = requests.withColumns({c: P.F.lit(None).cast("double") for c in ("ida", "ips", "iaa")})
+    both = ML.score_requests(requests, risk, prof)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == plan.count("BroadcastHashJoin") <= 1
+    got = {r.aluno_id: r for r in both.collect()}
+    alone = {r.aluno_id: r.risco_probabilidade for r in ML.score_risk(risk, P.CL.risk_request_features(requests)).collect()}
+    assert got["a"].ieg is None and {k: r.risco_probabilidade for k, r in got.items()} == alone  # medians, not the zeros of the profile features
+    own = {r.aluno_id: r.cluster_id for r in ML.assign_profiles(prof, P.CL.cluster_request_features(requests)).collect()}
+    assert {k: r.cluster_id for k, r in got.items()} == own
