@@ -39,6 +39,7 @@ from .word_memo import tokenizer_path, worker_memo
 CAPACITY = 2048
 SEPARATOR = 0
 ISLAND_PIECES = 4096
+ISLAND_SEQUENCES = 8  # an island's pieces fill so many sequences at least, unless it is the only one
 POPULATION = 6
 GENERATIONS = 24
 EPOCHS = 2
@@ -281,9 +282,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND
     """Place pieces (uid, length) into sequences; returns uid, sequence_id, offset."""
     full = items.filter(F.col("length") == capacity).select("uid", F.struct(F.lit(-1).alias("level"), F.col("uid").alias("a"), F.lit(0).alias("b")).alias("sequence"), F.lit(0).cast("long").alias("offset"))
     rest = items.filter(F.col("length") != capacity).select("uid", F.col("length").cast("int").alias("length"))
-    placed, level, n = full, 0, rest.count()
+    placed, level, before = full, 0, None
+    n, total = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     while n:
-        islands = -(-n // island_pieces)
+        # an island holds some sequences' worth of pieces, and there are at most half as many as a level before
+        islands = max(1, min(-(-n // island_pieces), total // (ISLAND_SEQUENCES * capacity), n if before is None else before // 2))
+        before = islands
         state = rest.select((F.abs(F.xxhash64("uid", F.lit(level))) % islands).alias("island"), F.lit(0).alias("kind"), "uid", "length",
                             F.lit(-1).alias("bin"), F.lit(0).alias("place"), F.lit(None).cast("array<int>").alias("pattern"))
         state = _evolved(state, islands, capacity, epochs, migrants, seed + level)
@@ -296,7 +300,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND
             state = materialize(state.join(given, ["island", "bin"], "left"), "levels")
             rest = state.filter("_given").select("uid", "length")
             state = state.filter("_given is null")
-            n = rest.count()
+            n, total = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         else:
             n = 0
         placed = placed.unionByName(state.select("uid", F.struct(F.lit(level).alias("level"), F.col("island").alias("a"), F.col("bin").alias("b")).alias("sequence"), F.col("place").cast("long").alias("offset")))

@@ -17,6 +17,7 @@ import numpy as np
 
 MEMO_ENTRIES = 700_000  # entries kept in a task before the memo starts anew
 MEMO_CHARS = 40  # longer chunks are encoded each time
+MEMO_MARKS = 10_000  # runs of marks kept
 JOINED = 1024  # new chunks encoded as one text
 _RUNS = re.compile(r"\s(?=\s|\Z)")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -37,6 +38,7 @@ class WordMemo:
             pre_tokenizers.Split("\n", "removed"), pre_tokenizers.Punctuation("contiguous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters.model._resize_cache(0)
         self.memo: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk after a line break has the break
+        self.marks: dict[str, bytes] = {}  # of marks after letters
         vocabulary = self.whole.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         for token, i in vocabulary.items():
@@ -61,16 +63,27 @@ class WordMemo:
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        words = list(filter(_WORD.fullmatch, new))
+        words, others = {}, []  # letters with the marks after them; the two are cut apart
+        for c in new:
+            if found := _WORD.fullmatch(c):
+                words[c] = found.groups()
+            else:
+                others.append(c)
         lines, spaced, rest = [], [], []
-        for c in set(new).difference(words) if len(words) < len(new) else ():
+        for c in others:
             if " " in c:
                 rest.append(" " + c)
             elif c[:1] == "\n":
                 (rest if "\n" in c[1:] else lines).append(c)
             else:
                 spaced.append(c)
-        out = self._joined(self.letters, words, "\n ", lambda ids: self.opens[ids])
+        known = {w: self.memo[w] for w, _ in words.values() if w in self.memo}  # most letters have been said without marks or with others
+        known |= self._joined(self.letters, list({w for w, _ in words.values()}.difference(known)), "\n ", lambda ids: self.opens[ids])
+        if len(self.marks) > MEMO_MARKS:
+            self.marks = {}
+        marks = list({m for _, m in words.values()}.difference(self.marks))
+        self.marks.update(zip(marks, (x.tobytes() for x in self._ids(self.whole, marks))))
+        out = {c: known[w] + self.marks[m] for c, (w, m) in words.items()}
         out |= self._joined(self.whole, spaced, " ", lambda ids: self.opens[ids])
         if len(self.line_break) == 1:
             out |= self._joined(self.whole, lines, "", lambda ids: ids == self.line_break[0])

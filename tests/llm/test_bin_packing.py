@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pytest
 from conftest_llm import clashing, sentence
 
 from cohortlens.llm import bin_packing as B
@@ -71,3 +74,29 @@ def test_evolution_reaches_the_bound():
 
 def test_empty_table(spark):
     assert B.packed_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize(("sizes", "capacity", "pieces"), [([1] * 10, 1000, 3), ([5, 7, 1] * 300, 131_072, 50), ([700, 300] * 60, 1000, 4), ([1000, 999, 1], 1000, 1)])
+def test_capacities_above_an_islands_total_end(spark, sizes, capacity, pieces):
+    """Islands that would fill less than a few sequences are fewer, and every level has half of them at most."""
+    items = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "uid long, length long")
+    placed = B.pack(items, capacity=capacity, island_pieces=pieces).join(items, "uid").collect()
+    assert sorted(r.uid for r in placed) == list(range(len(sizes)))
+    assert _check(placed, capacity) == -(-sum(sizes) // capacity)
+
+
+def test_start_and_digest_against_plain_encoding(spark, rng):
+    from tokenizers import Tokenizer
+
+    from cohortlens.llm.word_memo import tokenizer_path
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    texts = [sentence(rng, rng.randint(0, 90)) for _ in range(60)] + [None, "", "a  b\n\n c <|endoftext|> 你好, don't!?", "word. Word, word; " * 300]
+    found = {}
+    for r in B.packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64).collect():
+        found.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for k, t in enumerate(texts):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 64 or 64, len(ids), 64), len(ids)]
+        assert sorted(found[k]) == [(p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]

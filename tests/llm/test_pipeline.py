@@ -107,13 +107,17 @@ CONTRACTS = {
     9: ("documents", {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}),
     10: ("documents", {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
                        "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"}),
+    11: ("documents", {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint",
+                       "groups_sha256": "string"}),
+    12: ("embeddings", {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}),
+    13: ("embeddings", {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"}),
 }
 
 
 def test_registered_queries(spark):
     queries = E.queries()
     names = {int(n[2:].split("_")[0]): n for n in queries if n.startswith("op")}
-    assert sorted(names) == list(range(1, 11)) and "pipeline" in queries
+    assert sorted(names) == list(range(1, 14)) and "pipeline" in queries
     for n, (table, columns) in CONTRACTS.items():
         found = queries[names[n]](spark, "/root/testdata/sf0.001")
         kinds = dict(found.dtypes)
@@ -123,12 +127,12 @@ def test_registered_queries(spark):
             assert found.count() == spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["op2_warc_fixity", "op4_chat_formatting"])
+@pytest.mark.parametrize("name", ["op2_warc_fixity", "op4_chat_formatting", "op12_embedding_near_dedup", "op13_vector_codes"])
 def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
     found = E.queries()[name](spark, "/root/testdata/sf0.01")
     rows = sorted((tuple(r[c] for c in sorted(found.columns)) for r in found.collect()), key=str)
