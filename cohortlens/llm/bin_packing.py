@@ -39,7 +39,7 @@ from .word_memo import tokenizer_path, worker_memo
 CAPACITY = 2048
 SEPARATOR = 0
 ISLAND_PIECES = 4096
-ISLAND_SEQUENCES = 8  # an island's pieces fill so many sequences at least, unless it is the only one
+ISLAND_SEQUENCES = 32  # an island's pieces fill so many sequences at least, unless it is the only one
 POPULATION = 6
 GENERATIONS = 24
 EPOCHS = 2
