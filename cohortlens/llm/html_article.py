@@ -41,6 +41,8 @@ DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising spo
 footer cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe signup login share sharing social related
 recommended comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager toolbar widget skip hidden
 masthead topbar banner""".split())
+#: Words that also stand on a wrapper of the whole page or article, as in "has-sidebar" or "page-with-banner".
+WRAPPING = frozenset("menu nav navbar navigation sidebar footer header toolbar widget masthead topbar banner".split())
 PAGE_HEADER = frozenset(["header"])  # only outside the article
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("table ul ol dl body article main section div".split())
@@ -48,16 +50,16 @@ KEPT_WHOLE = frozenset(["article", "main"])
 SIBLING_SHARE = 0.2
 LEAST_SIBLING = 10.0
 LINK_LIST = 0.9
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "score", "chars", "links", "n_links", "hidden_words")
+    __slots__ = ("tag", "parent", "items", "dropped", "score", "chars", "links", "n_links", "words", "form")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, words: bool = False):
-        self.tag, self.parent, self.dropped, self.hidden_words = tag, parent, dropped, words
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, words: frozenset | set = frozenset(), form: bool = False):
+        self.tag, self.parent, self.dropped, self.words, self.form = tag, parent, dropped, words, form
         self.items: list[Node | str] = []
         self.score = self.chars = self.links = 0.0
         self.n_links = 0
@@ -101,7 +103,7 @@ def tree(html: str) -> Node:
             at = at.parent
         return None
 
-    at, n = 0, len(html)
+    at, n, head_ends = 0, len(html), True
     while at < n:
         m = _TAG.search(html, at)
         text = html[at:m.start() if m else n]
@@ -124,7 +126,8 @@ def tree(html: str) -> Node:
             node.items.append(" ")
         if tag in UNREAD:
             if tag == "head":  # only what stands in a body is read; an unclosed head ends at the body
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
+                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at) if head_ends else None
+                head_ends = end is not None
                 at = (end.end() if end[0].startswith("</") else end.start()) if end else at
             elif not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -138,8 +141,9 @@ def tree(html: str) -> Node:
             node = close(to)
         words, role, hidden = _named(attributes) if attributes else (set(), "", False)
         inside = any(open_tags.get(t) for t in KEPT_WHOLE)
-        by_words = bool(words & DROPPED_WORDS) or not inside and bool(words & PAGE_HEADER)
-        child = Node(tag, node, hidden or tag in DROPPED or role in DROPPED_ROLES or tag == "header" and not inside, by_words)
+        by_words = words & (DROPPED_WORDS if inside else DROPPED_WORDS | PAGE_HEADER)
+        gone = hidden or role in DROPPED_ROLES or tag == "header" and not inside
+        child = Node(tag, node, gone or tag in DROPPED, by_words, tag == "form" and not gone)
         node.items.append(child)
         if not attributes.rstrip().endswith("/"):
             open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -159,8 +163,12 @@ def _walk(root: Node):
 
 
 def _measure(root: Node) -> None:
-    """Characters, link characters and links below each node; what a class or id word drops unless it holds an article."""
+    """Characters, link characters and links below each node; what a class or id word drops unless it holds an article.
+
+    On a page without an article or main element of its own, a wrapper with a layout word (or a form) that holds most of the unlinked text stays.
+    """
     holds: set[int] = set()
+    proper = False
     anchors = 0
     for x, entering in _walk(root):
         if entering is None:
@@ -181,14 +189,19 @@ def _measure(root: Node) -> None:
                 anchors -= 1
             if stack:
                 stack[-1] = [a + b for a, b in zip(stack[-1], (x.chars, x.links, x.n_links))]
+            proper = proper or x.tag in KEPT_WHOLE and not x.words and not x.dropped
             if x.tag in KEPT_WHOLE or id(x) in holds:
                 if x.parent is not None:
                     holds.add(id(x.parent))
+    most = (root.chars - root.links) / 2
     for x, entering in _walk(root):
         if entering and x.parent is not None:
-            if x.hidden_words and x.tag not in KEPT_WHOLE and id(x) not in holds:
+            wraps = not proper and x.chars - x.links > most and x.words <= WRAPPING
+            if x.form and (wraps or id(x) in holds):
+                x.dropped = False
+            if x.words and x.tag not in KEPT_WHOLE and id(x) not in holds and not wraps:
                 x.dropped = True
-            elif x.hidden_words and x.tag == "article":  # an article of its own kind: a comment, an advert, a teaser
+            elif x.words and x.tag == "article" and not wraps:  # an article of its own kind: a comment, an advert, a teaser
                 x.dropped = True
             elif x.tag in ("ul", "ol", "div", "table", "p") and x.n_links >= 3 and x.links > LINK_LIST * x.chars:
                 x.dropped = True

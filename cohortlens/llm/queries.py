@@ -32,7 +32,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_prefix.digest(chat_prefix.examples(turns.unionByName(chat_prefix.control_conversation(spark))))
+    laid = materialize(chat_prefix.layout(turns.unionByName(chat_prefix.control_conversation(spark))), "chat-layout")
+    return chat_prefix.read_back(chat_prefix.examples_of(laid, text=False), laid)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from conftest_llm import clashing
 
 from cohortlens.llm import html_article as H
@@ -38,3 +41,30 @@ def test_rows(spark):
     assert sorted(((r.page_id or 0, r.url or "", r.text[:6], r.n_chars) for r in found)) == [
         (0, "v", "x é", 3), (1, "u", "Head &", len(H.article(PAGE))), (1, "u", "Head &", len(H.article(PAGE))), (2, "", "", 0)]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+SAID = [f"Sentence {k}, with words, and commas, that go on for some time here." for k in range(5)]
+BODY = "<h2>Top</h2>" + "".join(f"<p>{x}</p>" for x in SAID)
+AROUND = '<header class="top"><a href="/">Home</a></header>{}<div class="footer">(c) all rights</div>'
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="has-sidebar">{}</div>', '<div id="page-with-banner">{}</div>', '<form action="x">{}</form>', '<article class="post has-menu">{}</article>',
+                                     '<article class="post widget-area">{}</article>', '<form><article>{}</article></form>', '<div class="nav-open menu"><div>{}</div></div>'])
+def test_wrappers_named_after_what_they_hold(wrapper):
+    for page in (wrapper.format(BODY), AROUND.format(wrapper.format(BODY + '<div class="sidebar"><p>Side text, by the way.</p></div>'))):
+        assert H.article(page).split("\n") == ["Top", *SAID]
+
+
+def test_long_comments_sidebars_and_forms_still_go():
+    long = "".join(f"<p>Comment {k}, long, and with commas, and more of it than the article has.</p>" for k in range(40))
+    for other in ('<div id="comments">{}</div>', '<section class="comment-list sidebar">{}</section>', '<article class="comment">{}</article>'):
+        assert H.article(f"<div>{BODY}</div>" + other.format(long)).split("\n") == ["Top", *SAID]
+    for other in ('<div class="sidebar">{}</div>', "<form>{}</form>", '<article class="related">{}</article>'):
+        assert H.article(f"<main>{BODY}</main>" + other.format(long)).split("\n") == ["Top", *SAID]
+
+
+@pytest.mark.parametrize("piece", ["<b ", "<b x='", '<a href="', "<head>", "<", "<!", "</p "])
+def test_time_is_linear_in_unclosed_tags(piece):
+    began = time.perf_counter()
+    H.article(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 5
