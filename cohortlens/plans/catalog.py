@@ -1491,6 +1491,93 @@ def q_listing_with_clusters(spark, sf):
     return listing_of(G.temporal_features(named_panel(spark, sf)), profile_model(spark, sf))
 
 
+# Scoring from stored models whose numbers follow from the data, so that SQL can say the same.
+
+
+def _stored(spark, model, name: str):
+    """The model written to the shared folder and read again."""
+    import uuid
+    from cohortlens.session import ensure_checkpoint_dir
+    from cohortlens.sources import sinks
+    return sinks.load_model(spark, sinks.save_model(spark, model, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"))
+
+
+def _stump_model(spark, sf):
+    """Two trees of one split each, at the panel's mean index and engagement; a missing index goes left, a missing engagement right."""
+    import numpy as np
+    from cohortlens.operators.boosting import BoostedTrees, Tree
+    from cohortlens.operators.models import RiskModel
+    m = level_panel(spark, sf).agg(F.avg("INDE").alias("a"), F.avg("IEG").alias("e")).first()
+    trees = [Tree(np.array([f, -1, -1]), np.zeros(3, "i8"), np.array([left, False, False]), np.array([0.0, lo, hi]), np.array([1.0, 0.0, 0.0]))
+             for f, left, lo, hi in ((0, True, 1.1, -0.7), (1, False, -0.3, 0.25))]
+    model = _stored(spark, BoostedTrees(["INDE", "IEG"], [np.array([round(m.a or 0.0, 6)]), np.array([round(m.e or 0.0, 6)])], trees, 1), "stumps")
+    return RiskModel(model, model.features, None, None, None)
+
+
+def _stump_sql(source: str) -> str:
+    return f"""WITH {LEVEL_PANEL_SQL},
+last AS (SELECT RA, arg_max(INDE, ano) FILTER (WHERE INDE IS NOT NULL) AS INDE, arg_max(IEG, ano) FILTER (WHERE IEG IS NOT NULL) AS IEG FROM panel_lvl GROUP BY RA),
+means AS (SELECT round(avg(INDE), 6) AS a, round(avg(IEG), 6) AS e FROM panel_lvl),
+scored AS (SELECT s.*, 1.0 / (1.0 + exp(-((CASE WHEN INDE > a THEN -0.7 ELSE 1.1 END) + (CASE WHEN IEG <= e THEN -0.3 ELSE 0.25 END)))) AS p FROM {source} s, means)"""
+
+
+@register("stored_trees_scoring", f"""{_stump_sql("panel_lvl")}
+SELECT RA, ano, round(p, 9) AS risco_probabilidade, CASE WHEN p >= {K.RISK_THRESHOLD_HIGH} THEN '{K.RISK_LABELS[0]}'
+  WHEN p >= {K.RISK_THRESHOLD_MEDIUM} THEN '{K.RISK_LABELS[1]}' ELSE '{K.RISK_LABELS[2]}' END AS risco_classe, p >= 0.5 AS vai_cair FROM scored""")
+def q_stored_trees_scoring(spark, sf):
+    """Probability, tier and class by a stored tree model."""
+    from cohortlens.operators import models as ML
+    scored = ML.score_risk(_stump_model(spark, sf), level_panel(spark, sf), keep=("RA", "ano"))
+    return scored.withColumn("risco_probabilidade", r9("risco_probabilidade"))
+
+
+@register("stored_trees_high_count", f"""{_stump_sql("last")}
+SELECT count(*) FILTER (WHERE p >= {K.RISK_THRESHOLD_HIGH}) AS risco_alto, count(*) AS n_avaliados FROM scored WHERE INDE IS NOT NULL AND IEG IS NOT NULL""")
+def q_stored_trees_high_count(spark, sf):
+    """F5 by the stored tree model."""
+    from cohortlens.operators import models as ML
+    latest = A.latest_nonnull(level_panel(spark, sf).select("RA", "ano", "INDE", "IEG"))
+    return ML.high_risk_count(_stump_model(spark, sf), latest)
+
+
+def _level_centres(spark, sf):
+    """One centre a level: the mean of its entities' standardised latest records."""
+    import numpy as np
+    from cohortlens.operators.lloyd import Centres
+    feats = K.CLUSTER_FEATURES
+    lat = latest_complete(spark, sf)
+    m = lat.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(feats)], *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(feats)]).first()
+    means, devs = [[round(m[f"{x}{k}"] or 0.0, 6) for k in range(len(feats))] for x in "ms"]
+    frame = Centres(feats, means, devs, np.zeros((0, len(feats))))
+    rows = lat.where("PEDRA_CODIGO IS NOT NULL").groupBy("PEDRA_CODIGO").agg(*[F.round(F.avg(z), 6).alias(f"z{k}") for k, z in enumerate(frame.scaled())])
+    centres = [[r[f"z{k}"] for k in range(len(feats))] for r in rows.orderBy("PEDRA_CODIGO").collect()]   # one row a level
+    return _stored(spark, Centres(feats, means, devs, np.array(centres).reshape(-1, len(feats))), "centres")
+
+
+def _centre_sql() -> str:
+    feats = K.CLUSTER_FEATURES
+    each = lambda form: ", ".join(form.format(k=k, c=c) for k, c in enumerate(feats))
+    gap = " + ".join(f"(z{k} - c{k}) * (z{k} - c{k})" for k in range(len(feats)))
+    return f"""WITH {LATEST_CC_SQL},
+st AS (SELECT {each("round(avg({c}), 6) AS m{k}, round(stddev_samp({c}), 6) AS s{k}")} FROM latcc),
+zs AS (SELECT RA, PEDRA_CODIGO, {each("(CASE WHEN s{k} > 0 THEN ({c} - m{k}) / s{k} ELSE 0.0 END) AS z{k}")} FROM latcc, st),
+ce AS (SELECT CAST(row_number() OVER (ORDER BY PEDRA_CODIGO) - 1 AS INTEGER) AS cluster_id, * EXCLUDE (PEDRA_CODIGO) FROM (
+  SELECT PEDRA_CODIGO, {each("round(avg(z{k}), 6) AS c{k}")} FROM zs WHERE PEDRA_CODIGO IS NOT NULL GROUP BY 1)),
+near AS (SELECT RA, arg_min(cluster_id, {gap}) AS cluster_id FROM zs, ce GROUP BY RA)"""
+
+
+@register("stored_centres_assign", _centre_sql() + "\nSELECT RA, cluster_id FROM near")
+def q_stored_centres_assign(spark, sf):
+    """The nearest of the stored centres."""
+    return _level_centres(spark, sf).transform(latest_complete(spark, sf)).select("RA", "cluster_id")
+
+
+@register("stored_centres_distribution", _centre_sql() + "\nSELECT cluster_id, count(*) AS n FROM near GROUP BY cluster_id")
+def q_stored_centres_distribution(spark, sf):
+    """F6 over the stored centres."""
+    return _level_centres(spark, sf).transform(latest_complete(spark, sf)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))
