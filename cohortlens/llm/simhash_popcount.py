@@ -6,7 +6,7 @@
 the vector of their bit counts. Flipping a bit moves one count by one, so the
 Manhattan distance of two vectors never exceeds the fingerprints' bit distance.
 The grid range-join finds all vectors within that Manhattan radius r: the
-segments form b > r blocks, a cell is the vector's exact value on b - r of them,
+segments form b > r blocks (more of them the more fingerprints there are), a cell is the vector's exact value on b - r of them,
 and since at most r blocks can differ, two vectors in range share the cell of
 at least one choice of blocks. Pairs in a cell are checked for the Manhattan
 distance, then for the bit distance. Each count is held in unary (0, 1, 2 as
@@ -41,7 +41,8 @@ from .graph import components
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 HASH_SEED = 42
-BLOCKS = 6
+#: (distinct fingerprints, blocks): a cell fixes about 21, 27 or 32 bits, so that few others share it by chance; the links are the same.
+BLOCKS = ((1 << 20, 6), (1 << 25, 7), (1 << 62, 8))
 TILE = 8192
 _STRIP = 1 << 20  # pairs compared at once
 _EVEN = 0x5555555555555555
@@ -171,7 +172,11 @@ def _cells(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def blocks_for(distinct: int) -> int:
+    return next(blocks for most, blocks in BLOCKS if distinct <= most)
+
+
+def links(distinct: DataFrame, radius: int = MAX_BITS, blocks: int = BLOCKS[0][1], tile: int = TILE) -> DataFrame:
     """Edges (u, v) joining exactly the ``distinct`` fingerprints (fp) that chains of links within ``radius`` join."""
     masks = cell_masks(blocks, radius)
     high, low = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_EVEN)), F.col("fp").bitwiseAND(F.lit(_EVEN))
@@ -188,18 +193,18 @@ def links(distinct: DataFrame, radius: int = MAX_BITS, blocks: int = BLOCKS, til
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(radius), "u long, v long").distinct()
 
 
-def grouped(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def grouped(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """``fingerprints`` with each row's group: root (a fingerprint) and component_id."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    joined = components(links(distinct.select("fp"), radius, blocks))
+    joined = components(links(distinct.select("fp"), radius, blocks or blocks_for(distinct.count())))
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
     return prints.join(of_print, "fp")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable through links)."""
     return grouped(docs, words, radius, blocks).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -45,7 +45,7 @@ def test_the_embedding_is_a_lower_bound():
     assert (np.bitwise_count(S.embed(a) ^ S.embed(b)) <= np.bitwise_count(a ^ b)).all()
 
 
-@pytest.mark.parametrize(("blocks", "tile"), [(6, 8192), (8, 8192), (6, 40)])
+@pytest.mark.parametrize(("blocks", "tile"), [(6, 8192), (7, 8192), (8, 8192), (6, 40)])
 def test_links_join_what_brute_force_joins(spark, blocks, tile):
     rng = np.random.default_rng(1)
     fps = [int(x) for x in rng.integers(0, 1 << 63, 80)]
@@ -91,3 +91,9 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).collect() == [] and S.keep_first(empty).collect() == []
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [S.blocks_for(n) for n in (0, 10**6, 2 * 10**6, 10**8, 10**12)] == [6, 6, 7, 8, 8]
+    for blocks in (6, 7, 8):
+        assert min(bin(m & (1 << 64) - 1).count("1") for m in S.cell_masks(blocks, 4)) >= 2 * (32 // blocks) * (blocks - 4)
