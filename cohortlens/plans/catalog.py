@@ -1578,6 +1578,54 @@ def q_stored_centres_distribution(spark, sf):
     return _level_centres(spark, sf).transform(latest_complete(spark, sf)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Sinks, each written and read back.
+
+
+@register("json_records", f"""WITH {LEVEL_PANEL_SQL}
+SELECT RA, ano, round(INDE, 2) AS INDE, round(IEG, 2) AS IEG, PEDRA FROM panel_lvl""")
+def q_json_records(spark, sf):
+    """Records as JSON; floats have two digits."""
+    import uuid
+    from cohortlens.session import ensure_checkpoint_dir
+    from cohortlens.sources import sinks
+    rows = level_panel(spark, sf).select("RA", "ano", "INDE", "IEG", "PEDRA")
+    path = sinks.write_records_json(rows, f"{ensure_checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex[:12]}")
+    return spark.read.schema("RA long, ano int, INDE double, IEG double, PEDRA string").json(path)
+
+
+@register("drift_report_tables", f"WITH {LEVEL_PANEL_SQL},{_drift_long_sql(K.DRIFT_FEATURES, last_only=True)}{_drift_table_sql('ks')}\nSELECT * FROM dt")
+def q_drift_report_tables(spark, sf):
+    """The report's feature table."""
+    import uuid
+    from cohortlens.session import ensure_checkpoint_dir, cut_lineage
+    from cohortlens.sources import sinks
+    table = cut_lineage(D.drift_table(_drift_long(spark, sf, K.DRIFT_FEATURES, last_only=True), "ks"))
+    path = sinks.write_drift_report(D.drift_summary(table), table, f"{ensure_checkpoint_dir(spark).rstrip('/')}/drift-{uuid.uuid4().hex[:12]}")
+    return spark.read.parquet(f"{path}/features")
+
+
+@register("published_run", f"""WITH {LEVEL_PANEL_SQL},
+m AS (SELECT count(*)::DOUBLE AS n, round(avg(INDE), 9) AS mean_inde FROM panel_lvl),
+v AS (SELECT 'linhas' AS metric, n AS value FROM m UNION ALL SELECT 'inde_medio', mean_inde FROM m),
+l AS (SELECT DISTINCT CAST(PEDRA_CODIGO AS INTEGER) AS cluster_id, PEDRA AS cluster_nome FROM panel_lvl WHERE PEDRA IS NOT NULL)
+SELECT 'panel' AS run_name, metric, value, NULL::INTEGER AS cluster_id, NULL::VARCHAR AS cluster_nome FROM v
+UNION ALL SELECT NULL, NULL, NULL, cluster_id, cluster_nome FROM l""")
+def q_published_run(spark, sf):
+    """A run published twice under one id; its metrics, which count once, and the current labels."""
+    import uuid
+    from cohortlens.session import cut_lineage, ensure_checkpoint_dir
+    from cohortlens.sources import sinks
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex[:12]}"
+    panel = level_panel(spark, sf)
+    labels = cut_lineage(panel.where("PEDRA IS NOT NULL").select(F.col("PEDRA_CODIGO").cast("int").alias("cluster_id"), F.col("PEDRA").alias("cluster_nome")).distinct())
+    m = panel.agg(F.count(F.lit(1)).alias("n"), r9(F.avg("INDE")).alias("mean")).first()
+    model = _stump_model(spark, sf).model
+    for _ in range(2):
+        sinks.publish_run(spark, base, "r1", {"classifier": model}, {"cluster_labels": labels}, {"panel": {"linhas": m.n, "inde_medio": m.mean}})
+    names = sinks.read_published_table(spark, base, "cluster_labels")
+    return sinks.read_metrics(spark, base).select("run_name", "metric", "value").unionByName(names, allowMissingColumns=True)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Panel -> temporal features -> drop target -> per-year mean index and target rate."""
     df = G.drop_target(temporal_panel(spark, sf))
