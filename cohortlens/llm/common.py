@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.session import materialize
+from cohortlens.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["arrow_map", "held_out", "materialize", "read", "smallest", "texts"]
+__all__ = ["Scratch", "arrow_map", "held_out", "materialize", "read", "smallest", "texts"]
 
 ROWS_AT_ONCE = 256
 
@@ -54,3 +55,43 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield step(batch.slice(at, ROWS_AT_ONCE))
 
     return df.mapInArrow(run, schema)
+
+
+class Scratch:
+    """Tables in a folder of their own under the shared checkpoint folder, deleted when the block ends.
+
+    Only for tables that no lazy result reads after the block. While it runs, the shuffle files of a finished
+    write are removed at once (the tables are complete by then), instead of when the driver collects garbage.
+    """
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self._CLEAN, None)
+        self.spark.conf.set(self._CLEAN, "true")
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read; hashes and numbers do not repeat, so without dictionaries."""
+        df.write.option("parquet.enable.dictionary", "false").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self._CLEAN)
+        else:
+            self.spark.conf.set(self._CLEAN, self.before)
+        self._delete(self.folder)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
