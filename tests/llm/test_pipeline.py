@@ -9,7 +9,7 @@ from test_simhash_popcount import _components, _plain_simhash
 import __spark_entry__ as E
 import corpus_pipeline as P
 from cohortlens.llm import decontaminate, toxicity_grammar
-from cohortlens.llm.line_dedup import one_edit
+from cohortlens.llm.line_dedup import EDIT_SHARE, near
 from cohortlens.llm.word_memo import WordMemo, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, line int"
@@ -57,7 +57,7 @@ def test_stages_against_plain_versions(spark, corpus):
         new = []
         for line in lines:
             words = line.encode().split()
-            if words and any(w == words or max(len(w), len(words)) >= 5 and one_edit(w, words) for w in said):
+            if words and any(near(w, words, EDIT_SHARE) for w in said):
                 continue
             new.append(line)
         said += [x.encode().split() for x in lines if x.split()]
