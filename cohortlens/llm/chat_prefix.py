@@ -10,8 +10,10 @@ grows with the input. ``examples`` explodes every assistant turn into an
 example of its own: all preceding turns as context and that reply, of which
 only the reply's text [loss_start, loss_end) is trainable. Turns after the last
 reply end in one example without a target, so nothing is lost. Example texts
-repeat their context; that is what the expansion asks for, and ``text=False``
-leaves them out (the layout then serves as the text, and ``read_back`` reads it).
+repeat their context; that is what the expansion asks for. They are cut one after another
+from the conversation's turns, so a task holds a conversation and one text, while the time
+grows with the square of the turns. ``text=False`` leaves the texts out (the layout then
+serves as the text, and ``read_back`` reads it).
 
 Nulls and edges: a null text or role is empty; turns are ordered by turn (null
 first), then role, then text, and repeated rows are turns like any other; a
@@ -55,21 +57,25 @@ def layout(turns: DataFrame) -> DataFrame:
 
 
 def examples(turns: DataFrame, text: bool = True, target_role: str = TARGET_ROLE) -> DataFrame:
-    """conv_id, target (the reply's position, null: none), last (position of the last turn), text, loss_start, loss_end, chars."""
+    """conv_id, target (the reply's position, null: none), last (position of the last turn), text, loss_start, loss_end, chars, final (whether it ends the conversation)."""
     return examples_of(layout(turns), text, target_role)
 
 
 def examples_of(laid: DataFrame, text: bool = True, target_role: str = TARGET_ROLE) -> DataFrame:
     """``examples`` from a layout."""
-    whole = Window.partitionBy("conv_id").orderBy("position")
-    rows = laid.withColumn("trainable", F.col("role") == target_role)
-    rows = rows.withColumn("_final", F.lead("position").over(whole).isNull())
+    trainable = F.col("role") == target_role
     if text:
-        rows = rows.withColumn("text", F.array_join(F.collect_list("formatted").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)), ""))
-    if_target = lambda c: F.when(F.col("trainable"), F.col(c))
-    return rows.filter("trainable or _final").select(
+        whole = laid.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "role", "formatted", "loss_start", "loss_end", "end"))).alias("_turns"))
+        ends = F.filter("_turns", lambda t: (t["role"] == target_role) | (t["position"] == F.size("_turns")))
+        rows = whole.select("conv_id", "_turns", F.explode(ends).alias("_end")).select(
+            "conv_id", "_end.*", (F.col("_end.position") == F.size("_turns")).alias("final"),
+            F.array_join(F.transform(F.slice("_turns", F.lit(1), F.col("_end.position")), lambda t: t["formatted"]), "").alias("text"))
+    else:
+        rows = laid.withColumn("final", F.lead("position").over(Window.partitionBy("conv_id").orderBy("position")).isNull()).filter(trainable | F.col("final"))
+    if_target = lambda c: F.when(trainable, F.col(c))
+    return rows.select(
         "conv_id", if_target("position").alias("target"), F.col("position").alias("last"), *(["text"] if text else []),
-        if_target("loss_start").alias("loss_start"), if_target("loss_end").alias("loss_end"), F.col("end").alias("chars"))
+        if_target("loss_start").alias("loss_start"), if_target("loss_end").alias("loss_end"), F.col("end").alias("chars"), "final")
 
 
 def parse(text: Column) -> Column:
@@ -83,9 +89,9 @@ def parse(text: Column) -> Column:
 def digest(made: DataFrame) -> DataFrame:
     """What a reader of the examples finds in each conversation: its turns, and the text under the loss masks."""
     loss = unescape(F.substr("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    rows = made.withColumn("_loss", F.when(F.col("target").isNotNull(), loss))
+    rows = made.select("conv_id", "target", "last", "chars", F.when(F.col("final"), F.col("text")).alias("text"), F.when(F.col("target").isNotNull(), loss).alias("_loss"))
     found = rows.groupBy("conv_id").agg(
-        F.max_by("text", "last").alias("text"), F.sum("chars").alias("formatted_chars"),
+        F.max("text").alias("text"), F.sum("chars").alias("formatted_chars"),
         F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "_loss")))).alias("losses"))
     turns = parse(F.col("text"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -85,3 +85,25 @@ def test_a_long_conversation_takes_linear_time(spark):
 
     took(500)
     assert took(16_000) < 8 * took(4_000) + 2
+
+
+def test_the_query_reads_the_example_texts(spark, monkeypatch, tmp_path):
+    from cohortlens.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "Q"), (1, 1, "assistant", "A"), (1, 2, "assistant", "B")], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    plain = {r.conv_id: r for r in queries.op4_chat_formatting(spark, str(tmp_path)).collect()}
+    assert (plain[1].n_turns, plain[1].loss_sha256, plain[-7].n_turns) == (3, _sha("AB"), 2)
+    seen = []
+    examples = C.examples
+
+    def other(turns, **more):
+        made = examples(turns, **more)
+        seen.extend((r.conv_id, r.target, r.text) for r in made.collect())
+        return made.withColumn("text", F.translate("text", "AQ", "XY"))
+
+    monkeypatch.setattr(C, "examples", other)
+    found = {r.conv_id: r for r in queries.op4_chat_formatting(spark, str(tmp_path)).collect()}
+    turn = "[INST]{}[/INST]{}</s>".format
+    whole = turn("user", "Q") + turn("assistant", "A")
+    assert {x for x in seen if x[0] == 1} == {(1, 2, whole), (1, 3, whole + turn("assistant", "B"))}
+    assert found[1].loss_sha256 == _sha("XB") and found[1].turns_sha256 == _sha("user\nY\nassistant\nX\nassistant\nB\n")
