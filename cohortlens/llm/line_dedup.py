@@ -9,20 +9,22 @@ it; the order is by doc_id, then the hash of the document's text, then the line'
 
 1. Every line is hashed (128 bits); equal lines leave one row with the earliest place.
 2. One edit leaves the first or the second half of a line as it is, so only
-   lines that share a half with another can have a line at one edit. For more edits
-   lines of SAMPLED_WORDS words or more get BANDS keys of ROWS word pairs each, drawn by
-   min-hashing (the k-th copy of a pair counts as a pair of its own): a substitution changes two pairs,
-   so lines at the bound share 5 of 13 pairs (ten words) or more, and one key or more agrees with a
-   chance of 0.96 or more.
+   lines that share a half with another can have a line at one edit. For more edits, of lines of
+   ``least_words`` words or more: a gram is a run of q words (three; two or one with a share over 2/9 or a third; the k-th copy of a gram
+   counts as a gram of its own). An edit takes away q grams at most, so with all grams in one order the first q * k + 2 of lines
+   at k edits have two in common, of which a pair is made later (``common_grams``: one where a share leaves no two). These are a line's keys, for the
+   largest number that it needs with any other line (``prefix_sizes``). The order is by frequency, rarest first, in a table of fixed size counted from
+   a sixteenth of the documents; any order finds the same lines, a good one compares fewer.
    Lines that share neither are settled. A bit map of fixed size (MAP_BITS) over the survivors' hashes lets the next scan read out
    their texts; it may let others through, which a join then removes.
 3. Survivors that share a half emit all variants with one word deleted, as hashed keys: with the
    word's place (equal keys: one substitution) and without (equal to a whole
-   shorter line: one deletion). Sampled keys that lines share are known from step 2. Every key needs only the earliest line that has it,
-   so a key shared by any number of lines costs one row each.
-4. Each line and the earliest line of each of its keys are compared word by
-   word; a line with a confirmed earlier neighbour goes. One edit is found always. More
-   edits are missed if no key agrees, or if lines that are not near come first in each key that does.
+   shorter line: one deletion). Gram keys that lines share are known from step 2. Every variant key needs only the earliest line that has it,
+   so a variant shared by any number of lines costs one row each.
+4. Each line and the earliest line of its keys are compared word by
+   word; a line with a confirmed earlier neighbour goes. A line that is left is then compared with every earlier line that
+   shares two gram keys with it and whose length allows it, so no near line is missed, one edit or more. A gram that many lines
+   have among their first costs a row for each two of them that are left.
 
 Variant keys and halves come from prefix sums, so a line costs as much as its words. The tables on the way are
 deleted, and their shuffle files with each, once the kept lines are written.
@@ -37,7 +39,7 @@ empty table gives no rows; other columns are passed through, but for those that
 from __future__ import annotations
 
 from collections import Counter
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +53,15 @@ from .common import Scratch, arrow_map, materialize, texts
 
 MIN_WORDS = 5
 EDIT_SHARE = 0.2
-SAMPLED_WORDS = 8  # the shorter of two lines at two edits, the longer having ten words
-BANDS = 20
-ROWS = 2
+RANK_BITS = 18  # the table of frequencies has 2^18 counts
+RANK_SHARE = 16  # one document of so many is counted
 BLOCK_WORDS = 1 << 17  # words whose hashes are worked on at once
 MAP_BITS = 1 << 25
 KEY_MAP_BITS = 1 << 27
+KEY_PARTS = 4  # the keys are counted in so many parts one after another, which bounds the shuffle files
 _PAGE = 32768  # bits in a page of Spark's bitmap functions
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_DRAWS = np.random.default_rng(9).integers(0, 1 << 31, BANDS * ROWS, dtype="u4") * np.uint32(2) + np.uint32(1)
 _SPACES = " \t\n\r\x0b\x0c"  # what bytes.split() splits at
 _PLACE = ("no_id", "doc_id", "text_hash", "line")
 
@@ -122,40 +123,78 @@ def half_keys(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def samples(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """BANDS odd keys of each line, a key from the ROWS pairs of adjacent words that are least under ROWS hashes; lines have two words or more."""
-    out = np.zeros((len(sizes), BANDS), "u8")
-    w = np.delete(w[:-1] * _BASE + w[1:], np.cumsum(sizes)[:-1] - 1)
-    sizes = sizes - 1
-    starts = np.cumsum(sizes) - sizes
-    w = np.sort(np.repeat(np.arange(len(sizes), dtype="u8") << np.uint64(48), sizes) | w >> np.uint64(16))
-    place = np.arange(len(w))
-    new = np.concatenate([[True], w[1:] != w[:-1]])
+def bound(size: np.ndarray | int, share: float) -> np.ndarray:
+    """The edits that two lines may differ by, the longer having ``size`` words."""
+    return np.floor(share * np.asarray(size) + 1e-9).astype("i8")
+
+
+def least_words(share: float) -> int:
+    """The words of the shortest line that can have a line at two edits or more."""
+    longer = max(1, int(2 / share))
+    while bound(longer, share) < 2:
+        longer += 1
+    return max(gram_words(share), longer - 2)
+
+
+def gram_words(share: float) -> int:
+    """The words of a gram: the most for which lines within two edits or more share a gram in any case."""
+    return 3 if share <= 2 / 9 else 2 if share <= 1 / 3 else 1
+
+
+def common_grams(share: float) -> int:
+    """How many grams are asked in common: two, if lines at two edits or more have so many at any length, else one."""
+    q = gram_words(share)
+    longer = np.arange(1, 8 * q + int(8 / share))
+    common = longer - q + 1 - q * bound(longer, share)
+    return int(np.clip(common[bound(longer, share) >= 2].min(), 1, 2))
+
+
+def prefix_sizes(sizes: np.ndarray, share: float) -> np.ndarray:
+    """So many first grams has a line: all but q * k of the longer's grams are common at k edits, for the shorter the more the lengths differ, the fewer."""
+    q, common = gram_words(share), common_grams(share)
+    return np.max([q * bound(sizes + more, share) + common - more for more in range(int(q / share) + 2)], axis=0)
+
+
+def grams(w: np.ndarray, sizes: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, 48-bit hash) of the runs of ``gram_words`` words, sorted; lines have so many words or more."""
+    q = gram_words(share)
+    of_run = w[:len(w) - q + 1]
+    for k in range(1, q):
+        of_run = of_run * _BASE + w[k:len(w) - q + 1 + k]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    inside = row[:len(of_run)] == row[q - 1:]
+    row, gram = row[:len(of_run)][inside], _mixed(of_run[inside]) >> np.uint64(16)
+    order = np.lexsort((gram, row))
+    return row[order], gram[order]
+
+
+def prefixes(w: np.ndarray, sizes: np.ndarray, share: float, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(line, odd key): the first grams of each line by frequency, so many that lines within their bound of edits share one."""
+    row, gram = grams(w, sizes, share)
+    place = np.arange(len(gram))
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])
     copy = (place - np.maximum.accumulate(np.where(new, place, 0))).astype("u8")
-    mixed = ((w & np.uint64((1 << 48) - 1)) + copy * np.uint64(0xC2B2AE3D27D4EB4F)) * _BASE
-    mixed = (mixed >> np.uint64(32)).astype("u4")
-    for k, draw in enumerate(_DRAWS):
-        x = mixed * draw
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        band = out[:, k // ROWS]
-        band[:] = (band + np.minimum.reduceat(x, starts)) * _BASE + np.uint64(k // ROWS + 1)
-    return (out ^ out >> np.uint64(31) | np.uint64(1)).view("i8")
-
-
-def filter_keys(lines: list[list[bytes]], share: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key), by line: the keys of the halves (even) and, with ``share``, of the samples (odd)."""
+    key = _mixed(_mixed((gram + copy * np.uint64(0xC2B2AE3D27D4EB4F)) * _BASE)) | np.uint64(1)
+    often = ranks[(gram & np.uint64(len(ranks) - 1)).astype("i8")] if ranks is not None else np.zeros(len(gram), "i8")
+    order = np.lexsort((key, often, row))
+    starts = np.searchsorted(row, np.arange(len(sizes)))
+    keep = place - starts[row] < prefix_sizes(sizes, share)[row]
+    return row[order][keep], key[order][keep].view("i8")
+
+
+def filter_keys(lines: list[list[bytes]], share: float = 0, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), by line: the keys of the halves (even) and, with ``share``, of the first grams (odd)."""
     rows, keys = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for first, block in _blocks(lines):
         w, sizes = word_hashes(block)
         row, key = half_keys(w, sizes)
         rows.append(row + first)
         keys.append(key)
-        long = np.flatnonzero(sizes >= SAMPLED_WORDS)
-        if share and len(long):
-            drawn = samples(w[np.repeat(sizes >= SAMPLED_WORDS, sizes)], sizes[long])
-            rows.append(np.repeat(long + first, BANDS))
-            keys.append(drawn.ravel())
+        long = sizes >= least_words(share) if share else np.zeros(len(sizes), bool)
+        if long.any():
+            row, key = prefixes(w[np.repeat(long, sizes)], sizes[long], share, ranks)
+            rows.append(np.flatnonzero(long)[row] + first)
+            keys.append(key)
     row, key = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(row, kind="stable")
     return row[order], key[order]
@@ -166,31 +205,60 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
 
 
-def _hash_lines(batch: pa.RecordBatch, share: float = 0) -> pa.RecordBatch:
-    docs, text_hashes, lines, highs, lows, said = [], [], [], [], [], []
-    for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch.column("text"))):
-        for k, line in enumerate(text.split("\n")):
-            if words := line_words(line):
-                high, low = line_hash(words)
-                docs.append(doc_id)
-                text_hashes.append(text_hash)
-                lines.append(k)
-                highs.append(high)
-                lows.append(low)
-                said.append(words)
-    row, key = filter_keys(said, share)
-    ends = np.cumsum(np.bincount(row, minlength=len(said)))
-    keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(key))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((docs, text_hashes, lines, highs, lows), kinds)), keys],
-                                      names=["doc_id", "text_hash", "line", "high", "low", "keys"])
+def _gram_counts(batch: pa.RecordBatch, share: float) -> pa.RecordBatch:
+    total = np.zeros(1 << RANK_BITS, "i8")
+    lines = (words for text in texts(batch.column("text")) for line in text.split("\n") if len(words := line_words(line)) >= least_words(share))
+    for _, block in _blocks(list(lines)):
+        _, gram = grams(*word_hashes(block), share)
+        total += np.bincount((gram & np.uint64(len(total) - 1)).astype("i8"), minlength=len(total))
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], names=["place", "n"])
+
+
+def frequencies(docs: DataFrame, share: float) -> np.ndarray:
+    """How often the grams occur in a sixteenth of the documents, in a table of fixed size; only the order of a line's grams depends on it."""
+    counted = _source(docs).filter(F.pmod("text_hash", F.lit(RANK_SHARE)) == 0).select("text")
+    found = arrow_map(counted, lambda: partial(_gram_counts, share=share), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    ranks = np.zeros(1 << RANK_BITS, "i8")
+    ranks[found["place"].to_numpy()] = found["n"].to_numpy()
+    return ranks
+
+
+def _hash_lines(share: float = 0, shared=None):
+    def make():
+        ranks = shared.value if shared is not None else None
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            docs, text_hashes, lines, highs, lows, said = [], [], [], [], [], []
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch.column("text"))):
+                for k, line in enumerate(text.split("\n")):
+                    if words := line_words(line):
+                        high, low = line_hash(words)
+                        docs.append(doc_id)
+                        text_hashes.append(text_hash)
+                        lines.append(k)
+                        highs.append(high)
+                        lows.append(low)
+                        said.append(words)
+            row, key = filter_keys(said, share, ranks)
+            ends = np.cumsum(np.bincount(row, minlength=len(said)))
+            keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(key))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            sizes = [len(words) for words in said]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((docs, text_hashes, lines, highs, lows, sizes), kinds)), keys],
+                                              names=["doc_id", "text_hash", "line", "high", "low", "size", "keys"])
+
+        return step
+
+    return make
 
 
 def distinct_lines(docs: DataFrame, share: float = 0) -> DataFrame:
-    """high, low, keys and the earliest place of every distinct line."""
-    rows = arrow_map(_source(docs), lambda: partial(_hash_lines, share=share), "doc_id long, text_hash long, line int, high long, low long, keys array<long>")
+    """high, low, size (words), keys and the earliest place of every distinct line."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, share)) if share else None
+    rows = arrow_map(_source(docs), _hash_lines(share, shared), "doc_id long, text_hash long, line int, high long, low long, size int, keys array<long>")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line")
-    return rows.groupBy("high", "low").agg(F.min(place).alias("place"), F.first("keys").alias("keys")).select("high", "low", "keys", "place.*")
+    return rows.groupBy("high", "low").agg(F.min(place).alias("place"), F.first("size").alias("size"), F.first("keys").alias("keys")).select("high", "low", "size", "keys", "place.*")
 
 
 def bit_map(values: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
@@ -227,14 +295,17 @@ def _held_keys(shared):
 
 def shared_keys(lines: DataFrame, saved: Scratch) -> DataFrame:
     """high, low, key of the keys that a line shares with another."""
-    shared = saved.table(lines.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    keys = lines.select(F.explode("keys").alias("key"))
+    parts = [saved.table(keys.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k).groupBy("key").count().filter("count > 1").select("key"), f"shared-keys/part={k}")
+             for k in range(KEY_PARTS)]
+    shared = reduce(DataFrame.unionByName, parts)
     bits = lines.sparkSession.sparkContext.broadcast(bit_map(shared, "key", KEY_MAP_BITS))
     held = arrow_map(lines.select("high", "low", "keys"), _held_keys(bits), "high long, low long, key long")
     return held.join(shared, "key", "left_semi").select("high", "low", "key")
 
 
 def survivors(held: DataFrame) -> DataFrame:
-    """Lines that share a half or a sampled key with another, and whether a half."""
+    """Lines that share a half or a gram key with another, and whether a half."""
     return held.groupBy("high", "low").agg(F.max(F.col("key") % 2 == 0).alias("half"))
 
 
@@ -260,9 +331,9 @@ def _read_lines(shared):
 
 
 def line_numbers(places: DataFrame, left: DataFrame) -> DataFrame:
-    """high, low, half, and a number that follows the lines' places, of the lines in ``left``."""
+    """high, low, size, half, and a number that follows the lines' places, of the lines in ``left``."""
     placed = places.join(left, ["high", "low"])
-    return placed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).select("high", "low", "half", F.monotonically_increasing_id().alias("number"))
+    return placed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).select("high", "low", "size", "half", F.monotonically_increasing_id().alias("number"))
 
 
 def numbered_lines(docs: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -327,10 +398,27 @@ def variant_neighbours(numbered: DataFrame, saved: Scratch) -> DataFrame:
     return again.select("number", earlier.alias("earlier")).filter("earlier < number")
 
 
-def sampled_neighbours(numbers: DataFrame, held: DataFrame, saved: Scratch) -> DataFrame:
-    """(number, earlier): each line with the earliest line of each of its sampled keys."""
-    keyed = saved.table(held.filter("key % 2 <> 0").join(numbers.select("high", "low", "number"), ["high", "low"]).select("key", "number"), "sampled-keys")
-    return keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number").select("number", "earlier").distinct()
+def keyed_lines(numbers: DataFrame, held: DataFrame) -> DataFrame:
+    """key, number, size: the lines of each gram key."""
+    return held.filter("key % 2 <> 0").join(numbers.select("high", "low", "number", "size"), ["high", "low"]).select("key", "number", "size")
+
+
+def _with_common(pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs that share as many gram keys as near lines do."""
+    return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
+
+
+def first_neighbours(keyed: DataFrame, share: float) -> DataFrame:
+    """(number, earlier): each line with the earliest line of its gram keys."""
+    return _with_common(keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number"), share)
+
+
+def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float) -> DataFrame:
+    """(number, earlier): lines that are not ``gone`` (number) with all earlier lines of their gram keys, as far as the lengths allow two edits or more."""
+    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"))
+    most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
+    pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key")
+    return _with_common(pairs.filter((F.col("earlier") < F.col("number")) & (most >= 2) & (F.abs(F.col("size") - F.col("earlier_size")) <= most)), share)
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -376,24 +464,35 @@ def near(a: list[bytes], b: list[bytes], share: float = 0) -> bool:
 
 def _confirm(batch: pa.RecordBatch, share: float = 0) -> pa.RecordBatch:
     confirmed = [near(a.split(b" "), b.split(b" "), share) for a, b in zip(batch.column("words").to_pylist(), batch.column("earlier_words").to_pylist())]
-    return pa.RecordBatch.from_arrays([batch.column("high"), batch.column("low"), pa.array(confirmed, pa.bool_())], names=["high", "low", "near"])
+    return pa.RecordBatch.from_arrays([batch.column("high"), batch.column("low"), batch.column("number"), pa.array(confirmed, pa.bool_())], names=["high", "low", "number", "near"])
+
+
+def confirmed_lines(numbered: DataFrame, pairs: DataFrame, share: float = 0) -> DataFrame:
+    """high, low, number of the lines with a near line among ``pairs``."""
+    earlier = numbered.select(F.col("number").alias("earlier"), F.col("words").alias("earlier_words"))
+    both = numbered.join(pairs, "number").join(earlier, "earlier").select("high", "low", "number", "words", "earlier_words")
+    return arrow_map(both, lambda: partial(_confirm, share=share), "high long, low long, number long, near boolean").filter("near").select("high", "low", "number").distinct()
 
 
 def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scratch, share: float = 0) -> DataFrame:
     """high, low of the lines that have a near line before them; ``held`` is deleted on the way."""
     numbers = saved.table(line_numbers(places, survivors(held)), "line-numbers")
     if share:
-        sampled = saved.table(sampled_neighbours(numbers, held, saved), "sampled-pairs")
-        saved.drop("sampled-keys")
+        keyed = saved.table(keyed_lines(numbers, held), "gram-keys")
     saved.drop("held-keys")
     numbered = saved.table(numbered_lines(docs, numbers), "numbered-lines")
     saved.drop("line-numbers")
     pairs = variant_neighbours(numbered, saved)
-    pairs = saved.table((pairs.unionByName(sampled) if share else pairs).distinct(), "pairs")
-    saved.drop("variant-keys", "sampled-pairs")
-    earlier = numbered.select(F.col("number").alias("earlier"), F.col("words").alias("earlier_words"))
-    both = numbered.join(pairs, "number").join(earlier, "earlier").select("high", "low", "words", "earlier_words")
-    return arrow_map(both, lambda: partial(_confirm, share=share), "high long, low long, near boolean").filter("near").select("high", "low").distinct()
+    pairs = saved.table((pairs.unionByName(first_neighbours(keyed, share)) if share else pairs).distinct(), "pairs")
+    saved.drop("variant-keys")
+    found = confirmed_lines(numbered, pairs, share)
+    if share:
+        found = saved.table(found, "first-near-lines")
+        saved.drop("pairs")
+        more = saved.table(all_neighbours(keyed, found.select("number"), share), "all-pairs")
+        saved.drop("gram-keys")
+        found = found.unionByName(confirmed_lines(numbered, more, share))
+    return found.select("high", "low").distinct()
 
 
 def kept_lines(docs: DataFrame, share: float = 0) -> DataFrame:
@@ -401,7 +500,7 @@ def kept_lines(docs: DataFrame, share: float = 0) -> DataFrame:
     with Scratch(docs.sparkSession, "line-dedup") as saved:
         lines = saved.table(distinct_lines(docs, share), "lines")
         held = saved.table(shared_keys(lines, saved), "held-keys")
-        places = saved.table(lines.select("high", "low", *_PLACE), "places")
+        places = saved.table(lines.select("high", "low", "size", *_PLACE), "places")
         saved.drop("lines", "shared-keys")
         near_ = saved.table(near_lines(docs, places, held, saved, share), "near-lines")
         stay = places.join(near_, ["high", "low"], "left_anti")

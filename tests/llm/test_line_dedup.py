@@ -121,3 +121,43 @@ def test_columns_of_the_counts_names_are_replaced(spark):
     found = L.dedup(docs)
     assert sorted(found.columns) == sorted(docs.columns)
     assert sorted((r.doc_id, r.n_lines, r.n_kept) for r in found.select("doc_id", "n_lines", "n_kept").collect()) == [(1, 2, 2), (2, 2, 0)]
+
+
+def _kept_by_brute_force(lines, share):
+    return [not any(L.near(x, line, share) for x in lines[:i]) for i, line in enumerate(lines)]
+
+
+def test_several_edits_are_found_where_many_lines_share_a_template(spark, rng):
+    common = [f"c{k}" for k in range(24)]
+    said = []
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(8)]
+        near, far = list(own), list(own)
+        for at in rng.sample(range(8), 5):
+            near[at] = f"n{i}x{at}"
+        for at in rng.sample(range(8), 7):
+            far[at] = f"f{i}x{at}"
+        said += [own + common, near + common, far + common]
+    said += [[f"w{rng.randrange(6)}" for _ in range(rng.randint(8, 14))] for _ in range(120)]
+    lines = [[w.encode() for w in x] for x in said]
+    found = L.dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string"), share=L.EDIT_SHARE).collect()
+    want = _kept_by_brute_force(lines, L.EDIT_SHARE)
+    assert {r.doc_id: bool(r.n_kept) for r in found} == dict(enumerate(want)) and sum(want[1:180:3]) == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.33, 0.45])
+def test_near_lines_share_a_first_gram_in_any_order(rng, share):
+    import numpy as np
+
+    ranks = np.random.default_rng(3).integers(0, 50, 1 << L.RANK_BITS)
+    tried = 0
+    while tried < 300:
+        a = [f"w{rng.randrange(12)}".encode() for _ in range(rng.randint(2, 40))]
+        b = [x.encode() for x in [x.decode() for x in a]]
+        for _ in range(rng.randint(2, 14)):
+            b = [x.encode() for x in _edit(rng, [x.decode() for x in b])]
+        if int(share * max(len(a), len(b)) + 1e-9) < 2 or not L.near(a, b, share) or L.near(a, b):
+            continue
+        tried += 1
+        row, key = L.filter_keys([a, b], share, ranks)
+        assert sum(k % 2 for k in set(key[row == 0]) & set(key[row == 1])) >= L.common_grams(share)
