@@ -189,3 +189,12 @@ def test_decision_on_the_unrounded_score_and_undecided_left_out(spark):
     t = spark.createDataFrame([("c", "a", True), ("c", "b", None), ("d", "a", None)], "cmp string, feature string, drift_detected boolean")
     rows = {r["cmp"]: r for r in D.drift_summary(t).withColumn("k", F.lit(1)).collect()}
     assert rows["c"]["drift_share"] == 1.0 and rows["d"]["dataset_drift"] is None
+
+
+def test_tests_without_an_order_need_no_running_counts(spark):
+    long = spark.createDataFrame([("c", "f", per, float(x), 1 + x * (1 + per)) for per in (0, 1) for x in range(5)], "cmp string, feature string, per int, x double, n long")
+    for test, ordered in (("ks", True), ("wasserstein", True), ("chisquare", False), ("jensenshannon", False)):
+        plan = D.drift_table(long, test)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Window" in plan) == ordered
+    (r,) = D.drift_table(long, "chisquare").collect()
+    assert (r.n_ref, r.n_cur, r.n_values) == (15, 25, 5)
