@@ -6,7 +6,8 @@ task holds that share.  Here entities are split by size:
 
 * cold entities use the plain windows;
 * hot entities are cut into ``n_chunks`` contiguous time ranges from
-  per-entity approximate quantiles; each (entity, chunk) is its own window
+  per-entity approximate quantiles (more where an entity has more than
+  ``CHUNK_ROWS`` rows a range, so a window does not grow with the entity); each (entity, chunk) is its own window
   partition, and per-chunk summaries (count, sum, min, max, last value)
   prefix-summed over the chunks -- a table of #hot x n_chunks rows -- carry
   the running state across chunk borders.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 # are joined, not broadcast by a hint: Spark broadcasts them when they are small.
 MIN_HOT_ROWS = 1_000_000
 DEFAULT_CHUNKS = 1024
+CHUNK_ROWS = 1 << 18  # rows in a chunk, about; an entity with more in ``n_chunks`` chunks gets more chunks
 
 
 def numeric_time(df: DataFrame, time_col: str) -> Column:
@@ -70,17 +72,33 @@ def _plain(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequence[str], v
     return df.withColumns(cols)
 
 
-def _by_size(df: DataFrame, id_col: str, min_hot_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows without an id, of cold and of hot entities."""
+def _hot_ids(df: DataFrame, id_col: str, min_hot_rows: int) -> DataFrame:
+    """One row per hot entity with its rows' number (``__n``), read several times -> checkpoint once."""
     from cohortlens.session import cut_lineage
     named = df.where(F.col(id_col).isNotNull())
-    # One row per hot entity, read twice -> checkpoint once.
-    hot_ids = cut_lineage(named.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_hot_rows))
-    tagged = named.join(hot_ids.select(id_col, F.lit(True).alias("__hot")), id_col, "left")
+    return cut_lineage(named.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_hot_rows))
+
+
+def _by_size(df: DataFrame, id_col: str, min_hot_rows: int, hot_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without an id, of cold and of hot entities."""
+    hot_ids = _hot_ids(df, id_col, min_hot_rows) if hot_ids is None else hot_ids
+    tagged = df.where(F.col(id_col).isNotNull()).join(hot_ids.select(id_col, F.lit(True).alias("__hot")), id_col, "left")
     return (df.where(F.col(id_col).isNull()), tagged.where(F.col("__hot").isNull()).drop("__hot"),
             tagged.where(F.col("__hot")).drop("__hot"))
 
 
+def _chunk_bounds(hot: DataFrame, hot_ids: DataFrame, id_col: str, t: Column, n_chunks: int, *more: Column) -> DataFrame:
+    """A row for each hot entity: time bounds of its chunks (``__b``) and ``more`` aggregates."""
+    def bounds(rows: DataFrame, n: int) -> DataFrame:
+        return rows.groupBy(id_col).agg(F.percentile_approx(t, [i / n for i in range(1, n)], max(10000, 8 * n)).alias("__b"), *more)
+
+    most = hot_ids.agg(F.max("__n")).first()[0] or 0
+    if most <= n_chunks * CHUNK_ROWS:
+        return bounds(hot, n_chunks)
+    large = hot_ids.where(F.col("__n") > n_chunks * CHUNK_ROWS).select(id_col)
+    return bounds(hot.join(large, id_col, "left_anti"), n_chunks).unionByName(bounds(hot.join(large, id_col, "left_semi"), -(-most // CHUNK_ROWS)))
+
+
 def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
                         tiebreak: Sequence[str] = (), min_hot_rows: int = MIN_HOT_ROWS, n_chunks: int = DEFAULT_CHUNKS,
                         slope: bool = True) -> DataFrame:
@@ -93,17 +111,16 @@ def running_value_stats(df: DataFrame, id_col: str, time_col: str, value: str,
     tiebreak, which quantiles do not split).
     """
     from cohortlens.session import cut_lineage
-    nameless, cold, hot = _by_size(df, id_col, min_hot_rows)
+    hot_ids = _hot_ids(df, id_col, min_hot_rows)
+    nameless, cold, hot = _by_size(df, id_col, min_hot_rows, hot_ids)
 
     out_cold = _plain(cold, id_col, time_col, tiebreak, value, slope)
 
     # ---- hot entities: chunk by per-entity time quantiles
     t = numeric_time(df, time_col)
-    probs = [i / n_chunks for i in range(1, n_chunks)]
-    bounds = hot.groupBy(id_col).agg(F.percentile_approx(t, probs, max(10000, 8 * n_chunks)).alias("__b"),
-                                     F.count(F.lit(1)).alias("n_total"),
-                                     *([F.coalesce(F.regr_slope(F.col(value), t), F.lit(0.0))
-                                        .alias(f"tendencia_{value}")] if slope else []))
+    bounds = _chunk_bounds(hot, hot_ids, id_col, t, n_chunks, F.count(F.lit(1)).alias("n_total"),
+                           *([F.coalesce(F.regr_slope(F.col(value), t), F.lit(0.0))
+                              .alias(f"tendencia_{value}")] if slope else []))
     bounds = cut_lineage(bounds)                              # a row for each hot entity, read twice
     h = hot.join(bounds, id_col)
     h = h.withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
@@ -178,13 +195,13 @@ def entity_features(df: DataFrame, id_col: str, time_col: str, tiebreak: Sequenc
     """
     from cohortlens import constants as K
     from cohortlens.session import cut_lineage
-    nameless, cold, hot = _by_size(df, id_col, min_hot_rows)
+    hot_ids = _hot_ids(df, id_col, min_hot_rows)
+    nameless, cold, hot = _by_size(df, id_col, min_hot_rows, hot_ids)
     out_cold = _plain_features(cold, id_col, time_col, tiebreak, y, code_col, name_col)
     ordering = F.struct(F.col(time_col), *[F.col(c) for c in tiebreak])
     t = numeric_time(hot, time_col)
-    probs = [i / n_chunks for i in range(1, n_chunks)]
     known = [F.min_by(F.col(name_col), F.when(F.col(name_col).isNotNull(), ordering)).alias("__name")] if name_col else []
-    bounds = cut_lineage(hot.groupBy(id_col).agg(F.percentile_approx(t, probs, max(10000, 8 * n_chunks)).alias("__b"), F.min(t).alias("__t0"), *known))
+    bounds = cut_lineage(_chunk_bounds(hot, hot_ids, id_col, t, n_chunks, F.min(t).alias("__t0"), *known))
     h = hot.join(bounds, id_col).withColumn("__k", F.size(F.filter("__b", lambda b: b < t))).drop("__b")
     h = h.withColumn("__x", t - F.col("__t0"))                 # time since the entity's first: small numbers to square
     w = Window.partitionBy(id_col, "__k").orderBy(time_col, *tiebreak)

@@ -106,3 +106,24 @@ def test_ordered_features_without_an_id_one_time_and_nulls(spark):
     same = spark.createDataFrame([(1, 7, i, float(i), None, None) for i in range(40)], "user_id long, ts long, event_id long, value double, code double, name string")
     got = features(same, min_hot_rows=5, n_chunks=4)
     assert all(v == [0.0, 0.0, 0.0, None, None] for v in got.values())
+
+
+def test_a_large_entity_gets_more_chunks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import skew
+
+    monkeypatch.setattr(skew, "CHUNK_ROWS", 50)
+    rows = [(0 if i % 2 else 1 + i % 9, i, float(i), float(i * 7 % 13)) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t double, v double")
+    ids = skew._hot_ids(df, "user_id", 20)
+    _, _, hot = skew._by_size(df, "user_id", 20, ids)
+    bounds = {r.user_id: len(r["__b"]) for r in skew._chunk_bounds(hot, ids, "user_id", F.col("t"), 4).collect()}
+    assert bounds.pop(0) == 19 and set(bounds.values()) == {3}
+    got = {r.event_id: (r.n_seq, r.v_soma_hist, r.delta_v) for r in skew.running_value_stats(df, "user_id", "t", "v", ["event_id"], 20, 4, slope=False).collect()}
+    want, state = {}, {}
+    for user, event, _, v in rows:
+        n, total, last = state.get(user, (0, 0.0, None))
+        state[user] = (n + 1, total + v, v)
+        want[event] = (n + 1, total + v, None if last is None else v - last)
+    assert got == want
