@@ -107,10 +107,33 @@ class Points:
         self.blocks.unpersist()
 
 
+def gap_to(columns: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to a centre; columns: features x points."""
+    total = np.square(columns[0] - centre[0])
+    for x, c in zip(columns[1:], centre[1:]):
+        total += np.square(x - c)
+    return total
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gaps = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
-    best = gaps.argmin(1)
-    return best, gaps[np.arange(len(x)), best]
+    """The nearest centre of each point (ties: the lowest) and its squared distance; a feature at a time."""
+    columns = np.ascontiguousarray(x.T)
+    best, least = np.zeros(len(x), "i8"), gap_to(columns, centres[0])
+    for k, c in enumerate(centres[1:], 1):
+        gap = gap_to(columns, c)
+        nearer = gap < least
+        best[nearer] = k
+        np.minimum(least, gap, out=least)
+    return best, least
+
+
+def sums_by_cell(values: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """Sums of whole numbers (points x columns) by cell."""
+    if float(np.abs(values).max(initial=0)) * len(values) < 2.0 ** 53:  # exact in doubles
+        return np.stack([np.bincount(cell, v, cells) for v in values.T], 1).astype("i8")
+    out = np.zeros((cells, values.shape[1]), "i8")
+    np.add.at(out, cell, values)
+    return out
 
 
 def _moved(centres: dict[int, np.ndarray], width: int):
@@ -122,7 +145,9 @@ def _moved(centres: dict[int, np.ndarray], width: int):
                 x = whole / WHOLE
                 for s, c in centres.items():
                     best, gap = nearest(x, c)
-                    np.add.at(total[s], best, np.column_stack([whole, np.ones(len(x), "i8"), np.rint(gap * WHOLE).astype("i8")]))
+                    total[s][:, :width] += sums_by_cell(whole, best, len(c))
+                    total[s][:, width] += np.bincount(best, minlength=len(c))
+                    total[s][:, width + 1:] += sums_by_cell(np.rint(gap * WHOLE).astype("i8")[:, None], best, len(c))
         rows = [(s, c, t[c].tolist()) for s, t in total.items() for c in range(len(t)) if t[c, width]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                                           pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["start", "cell", "sums"])

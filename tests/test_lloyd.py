@@ -74,3 +74,15 @@ def test_empty_constant_and_fewer_rows_than_centres(spark):
     few = L.Points(spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "a double, b double"), ["a", "b"])
     f = L.fit_starts(few, [(3, 1)], 5)[0]
     assert f.cost == 0.0 and f.centres.shape == (3, 2)
+
+
+def test_nearest_and_sums_are_exact():
+    draw = np.random.default_rng(5)
+    x, c = np.round(draw.normal(size=(500, 5)), 1), np.round(draw.normal(size=(7, 5)), 1)
+    gaps = ((x[:, None] - c[None]) ** 2).sum(2)
+    best, gap = L.nearest(x, c)
+    assert (best == gaps.argmin(1)).all() and (gap == gaps.min(1)).all()
+    for high in (1 << 20, 1 << 58):
+        whole, cell = draw.integers(-high, high, (31, 3)), draw.integers(0, 4, 31)
+        plain = [[sum(int(v) for v in whole[cell == k, j]) for j in range(3)] for k in range(5)]
+        assert L.sums_by_cell(whole, cell, 5).tolist() == plain
