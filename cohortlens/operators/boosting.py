@@ -7,12 +7,14 @@ time by one aggregate over all blocks: every task adds up gradient and curvature
 (node, feature, range), and the best split of each (node, feature) is taken from
 the sums -- the ranges up to one go left, missing values to the side that gains
 more. Beyond DIRECT_TASKS tasks the sums meet by (node, feature) in tasks of their
-own first, so that what the driver gets is bounded.
+own first, so that what the driver gets is bounded. Before a tree's first level every
+block adds the last trees to its margins and keeps its sampled rows with their gradients
+and curvatures; the levels read those, so a level costs its sums alone.
 
 Sums are whole numbers (2^-28 of a gradient), row sampling is a hash of the row
 and the tree, feature sampling a seeded draw: the trees do not depend on the
 partitioning or on the number of rows in a task. Margins are written every
-``write_every`` trees; in between, tasks add the newer trees themselves.
+``write_every`` trees; in between, they are held in the cached blocks.
 
 A model is a table with one row a node (``BoostedTrees.table``); scoring walks all
 trees over Arrow batches.
@@ -35,8 +37,9 @@ from cohortlens.session import materialize
 MISSING = 255
 WHOLE = float(1 << 28)
 BLOCK_ROWS = 8192
-TASK_ROWS = 1 << 17   # rows a task holds; the trees do not depend on it
-DIRECT_TASKS = 64     # so many tasks send their sums to the driver directly
+TASK_ROWS = 1 << 18   # rows a task holds; the trees do not depend on it
+CHAIN = 5             # so many trees are added to one another's cached blocks, then all since the last write anew: Spark's plans stay short
+DIRECT_TASKS = 4      # so many tasks send their sums to the driver directly
 
 
 @dataclass(frozen=True)
@@ -242,7 +245,31 @@ def _with_margins(new: list[Tree], depth: int):
     return run
 
 
-def _level_sums(new: list[Tree], tree: Tree, level: int, number: int, chosen: np.ndarray, widths: list[int], p: BoostParams):
+READY = f"{BLOCK}, kept binary, g binary, c binary"
+
+
+def _ready(new: list[Tree], number: int, p: BoostParams):
+    """The blocks with ``new`` added to their margins, and the bins, gradients and curvatures of the rows in tree ``number``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bins, y, w, h, margin = _block(batch, row)
+                for t in new:
+                    margin = margin + t.margins(bins, p.depth)
+                stay = in_tree(h, number, p.seed, p.rows)
+                prob = _sigmoid(margin[stay])
+                g = np.rint(w[stay] * (prob - y[stay]) * WHOLE)
+                c = np.rint(w[stay] * prob * (1 - prob) * WHOLE)
+                one = batch.slice(row, 1)
+                pack = lambda v: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(one.column(k) for k in ("n", "bins", "y", "w", "h")), pack(margin), pack(bins[:, stay]), pack(g), pack(c)],
+                                                 names=["n", "bins", "y", "w", "h", "margin", "kept", "g", "c"])
+
+    return run
+
+
+def _level_sums(tree: Tree, level: int, chosen: np.ndarray, widths: list[int]):
     """Sums of a level by (node, feature): slot = node of the level * features + feature."""
     first, many = 2 ** level - 1, 2 ** level
 
@@ -250,18 +277,12 @@ def _level_sums(new: list[Tree], tree: Tree, level: int, number: int, chosen: np
         total = {f: np.zeros((2, many, widths[f] + 1), "i8") for f in chosen.tolist()}
         for batch in batches:
             for row in range(batch.num_rows):
-                bins, y, w, h, margin = _block(batch, row)
-                stay = in_tree(h, number, p.seed, p.rows)
-                bins, y, w, margin = bins[:, stay], y[stay], w[stay], margin[stay]
+                g, c = (np.frombuffer(batch.column(k)[row].as_buffer(), "f8") for k in ("g", "c"))
+                bins = np.frombuffer(batch.column("kept")[row].as_buffer(), "u1").reshape(-1, len(g)) if len(g) else np.zeros((len(widths), 0), "u1")
                 node = tree.nodes(bins, level) - first
                 here = node >= 0  # rows in a leaf of an earlier level stay there
                 if not here.all():
-                    bins, y, w, margin, node = bins[:, here], y[here], w[here], margin[here], node[here]
-                for t in new:
-                    margin = margin + t.margins(bins, p.depth)
-                prob = _sigmoid(margin)
-                g = np.rint(w * (prob - y) * WHOLE)
-                c = np.rint(w * prob * (1 - prob) * WHOLE)
+                    bins, g, c, node = bins[:, here], g[here], c[here], node[here]
                 for f in chosen.tolist():
                     width = widths[f] + 1
                     at = node * width + np.where(bins[f] == MISSING, width - 1, bins[f])
@@ -292,13 +313,13 @@ def best_of_slots(batches: Iterator[pa.RecordBatch], p: BoostParams) -> list[dic
     return [dict(zip(_BEST.names, (slot, *best_split(*(s / WHOLE), p), *(float(x) for x in s.sum(1) / WHOLE)))) for slot, s in total.items()]
 
 
-def grow(blocks: DataFrame, tasks: int, new: list[Tree], number: int, widths: list[int], p: BoostParams) -> Tree:
-    """The next tree: one aggregate a level."""
+def grow(ready: DataFrame, tasks: int, number: int, widths: list[int], p: BoostParams) -> Tree:
+    """The next tree: one aggregate a level over blocks that ``_ready`` made for it."""
     chosen = tree_features(len(widths), number, p)
     tree = Tree.empty(p.depth)
     tree.feature[0] = -1
     for level in range(p.depth):
-        sums = blocks.mapInArrow(_level_sums(new, tree, level, number, chosen, widths, p), "slot int, g array<long>, h array<long>")
+        sums = ready.select("kept", "g", "c").mapInArrow(_level_sums(tree, level, chosen, widths), "slot int, g array<long>, h array<long>")
         if tasks > DIRECT_TASKS:
             met = sums.repartition("slot").mapInArrow(lambda batches: iter([pa.RecordBatch.from_pylist(best_of_slots(batches, p), _BEST)]),
                                                       "slot int, gain double, bin int, missing_left boolean, gl double, hl double, g double, h double")
@@ -341,14 +362,22 @@ def fit(df: DataFrame, features: Sequence[str], label: str, weight: str, params:
     widths = [len(c) + 1 for c in model.cuts]
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     blocks = rows.repartition(tasks).mapInArrow(_blocks(model), BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
-    written = 0
+    written, ready = 0, None
     for number in range(p.trees):
-        tree = grow(blocks, tasks, model.trees[written:], number, widths, p)
-        model.trees.append(tree)
+        again = (number - written) % CHAIN == 0
+        before, new = (blocks, model.trees[written:]) if again else (ready, model.trees[-1:])
+        latest = before.select("n", "bins", "y", "w", "h", "margin").mapInArrow(_ready(new, number, p), READY).persist(StorageLevel.MEMORY_AND_DISK)
+        model.trees.append(grow(latest, tasks, number, widths, p))
+        if ready is not None:
+            ready.unpersist()
+        ready = latest
         if len(model.trees) - written >= p.write_every and number + 1 < p.trees:
             newer = materialize(blocks.mapInArrow(_with_margins(model.trees[written:], p.depth), BLOCK), "boost-margins")
             newer = newer.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
             blocks.unpersist()
-            blocks, written = newer, len(model.trees)
+            ready.unpersist()
+            blocks, written, ready = newer, len(model.trees), None
+    if ready is not None:
+        ready.unpersist()
     blocks.unpersist()
     return model

@@ -113,3 +113,19 @@ def test_empty_single_class_and_constant(spark):
     assert model.probability(np.array([[1.0], [np.nan]])).tolist() == [0.5, 0.5]
     one = spark.createDataFrame([(1.0, 1.0, 1.0)] * 50 + [(None, 1.0, 1.0), (2.0, None, 1.0)], "a double, y double, w double")
     assert B.fit(one, ["a"], "y", "w", B.BoostParams(trees=3)).probability(np.array([[1.0]]))[0] > 0.5
+
+
+def test_a_tree_is_added_to_the_margins_once_and_not_at_every_level(spark, monkeypatch):
+    x, y = _data(300, 4)
+    kept = []
+    level_sums = B._level_sums
+
+    def counted(*given):
+        kept.append(given)
+        return level_sums(*given)
+
+    monkeypatch.setattr(B, "_level_sums", counted)
+    sent = B.fit(_frame(spark, x, y, 6), ["a", "b", "c", "d"], "y", "w", B.BoostParams(trees=7, depth=2))
+    assert len(sent.trees) == 7
+    assert all(sum(isinstance(v, B.Tree) for v in given) == 1 and not any(isinstance(v, list) and v and isinstance(v[0], B.Tree) for v in given) for given in kept)
+    assert B.DIRECT_TASKS <= 8  # what the driver gets does not grow with the tasks beyond these
