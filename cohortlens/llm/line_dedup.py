@@ -23,8 +23,10 @@ it; the order is by doc_id, then the hash of the document's text, then the line'
    so a variant shared by any number of lines costs one row each.
 4. Each line and the earliest line of its keys are compared word by
    word; a line with a confirmed earlier neighbour goes. A line that is left is then compared with every earlier line that
-   shares two gram keys with it and whose length allows it, so no near line is missed, one edit or more. A gram that many lines
-   have among their first costs a row for each two of them that are left.
+   shares two gram keys with it and whose length allows it, so no near line is missed, one edit or more. A key of fewer than
+   OFTEN lines makes that many pairs a line at most. Each line carries its keys of OFTEN lines or more: by these a pair is made once,
+   at the second that the two have in common, and not at all if they have no second. Lines that share many grams, but are not
+   near, are still compared two by two.
 
 Variant keys and halves come from prefix sums, so a line costs as much as its words. The tables on the way are
 deleted, and their shuffle files with each, once the kept lines are written.
@@ -58,6 +60,7 @@ RANK_SHARE = 16  # one document of so many is counted
 BLOCK_WORDS = 1 << 17  # words whose hashes are worked on at once
 MAP_BITS = 1 << 25
 KEY_MAP_BITS = 1 << 27
+OFTEN = 32  # a key of so many lines is carried along with its lines
 KEY_PARTS = 4  # the keys are counted in so many parts one after another, which bounds the shuffle files
 _PAGE = 32768  # bits in a page of Spark's bitmap functions
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -294,14 +297,14 @@ def _held_keys(shared):
 
 
 def shared_keys(lines: DataFrame, saved: Scratch) -> DataFrame:
-    """high, low, key of the keys that a line shares with another."""
+    """high, low, key of the keys that a line shares with another, and whether OFTEN lines or more have it."""
     keys = lines.select(F.explode("keys").alias("key"))
-    parts = [saved.table(keys.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k).groupBy("key").count().filter("count > 1").select("key"), f"shared-keys/part={k}")
+    parts = [saved.table(keys.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k).groupBy("key").count().filter("count > 1").select("key", (F.col("count") >= OFTEN).alias("often")), f"shared-keys/part={k}")
              for k in range(KEY_PARTS)]
     shared = reduce(DataFrame.unionByName, parts)
     bits = lines.sparkSession.sparkContext.broadcast(bit_map(shared, "key", KEY_MAP_BITS))
     held = arrow_map(lines.select("high", "low", "keys"), _held_keys(bits), "high long, low long, key long")
-    return held.join(shared, "key", "left_semi").select("high", "low", "key")
+    return held.join(shared, "key").select("high", "low", "key", "often")
 
 
 def survivors(held: DataFrame) -> DataFrame:
@@ -309,6 +312,11 @@ def survivors(held: DataFrame) -> DataFrame:
     return held.groupBy("high", "low").agg(F.max(F.col("key") % 2 == 0).alias("half"))
 
 
+def often_keys(held: DataFrame) -> DataFrame:
+    """high, low and the sorted gram keys that OFTEN lines or more have, of the lines with any."""
+    return held.filter("often and key % 2 <> 0").groupBy("high", "low").agg(F.array_sort(F.collect_list("key")).alias("often_keys"))
+
+
 def _read_lines(shared):
     def make():
         bits = shared.value
@@ -331,16 +339,16 @@ def _read_lines(shared):
 
 
 def line_numbers(places: DataFrame, left: DataFrame) -> DataFrame:
-    """high, low, size, half, and a number that follows the lines' places, of the lines in ``left``."""
+    """high, low, size, the columns of ``left``, and a number that follows the lines' places, of the lines in ``left``."""
     placed = places.join(left, ["high", "low"])
-    return placed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).select("high", "low", "size", "half", F.monotonically_increasing_id().alias("number"))
+    return placed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).select("size", *left.columns, F.monotonically_increasing_id().alias("number"))
 
 
 def numbered_lines(docs: DataFrame, numbers: DataFrame) -> DataFrame:
     """``numbers`` with the lines' words."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(numbers, "high"))
     read = arrow_map(_source(docs).select("text"), _read_lines(shared), "high long, low long, words binary")
-    return read.join(numbers, ["high", "low"]).dropDuplicates(["high", "low"]).select("high", "low", "words", "half", "number")
+    return read.join(numbers.select("high", "low", "half", "number"), ["high", "low"]).dropDuplicates(["high", "low"]).select("high", "low", "words", "half", "number")
 
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -399,26 +407,29 @@ def variant_neighbours(numbered: DataFrame, saved: Scratch) -> DataFrame:
 
 
 def keyed_lines(numbers: DataFrame, held: DataFrame) -> DataFrame:
-    """key, number, size: the lines of each gram key."""
-    return held.filter("key % 2 <> 0").join(numbers.select("high", "low", "number", "size"), ["high", "low"]).select("key", "number", "size")
-
-
-def _with_common(pairs: DataFrame, share: float) -> DataFrame:
-    """The pairs that share as many gram keys as near lines do."""
-    return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
+    """key, often, number, size, often_keys: the lines of each gram key."""
+    return (held.filter("key % 2 <> 0").join(numbers.select("high", "low", "number", "size", "often_keys"), ["high", "low"])
+            .select("key", "often", "number", "size", "often_keys"))
 
 
 def first_neighbours(keyed: DataFrame, share: float) -> DataFrame:
-    """(number, earlier): each line with the earliest line of its gram keys."""
-    return _with_common(keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number"), share)
+    """(number, earlier): each line with the earliest line of its gram keys, if the two share as many as near lines do."""
+    keyed = keyed.select("key", "number")
+    pairs = keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number")
+    return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
 
 
 def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float) -> DataFrame:
-    """(number, earlier): lines that are not ``gone`` (number) with all earlier lines of their gram keys, as far as the lengths allow two edits or more."""
-    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"))
+    """(number, earlier): lines that are not ``gone`` (number) with all earlier lines that share as many gram keys as near lines do, as far as the
+    lengths allow two edits or more. Of the keys of OFTEN lines or more, only the last that is needed makes a pair; the others count by the lines' lists."""
+    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"), F.col("often_keys").alias("earlier_keys"))
     most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
-    pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key")
-    return _with_common(pairs.filter((F.col("earlier") < F.col("number")) & (most >= 2) & (F.abs(F.col("size") - F.col("earlier_size")) <= most)), share)
+    common = F.array_intersect("often_keys", "earlier_keys")  # in the order of the first
+    made = ~F.col("often") | (F.get(common, F.lit(common_grams(share) - 1)) == F.col("key"))
+    pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key").filter(
+        (F.col("earlier") < F.col("number")) & (most >= 2) & (F.abs(F.col("size") - F.col("earlier_size")) <= most) & made)
+    counted = pairs.select("number", "earlier", (~F.col("often")).cast("int").alias("n"), F.coalesce(F.size(common), F.lit(0)).alias("n_often"))
+    return counted.groupBy("number", "earlier").agg((F.sum("n") + F.max("n_often")).alias("n")).filter(F.col("n") >= common_grams(share)).select("number", "earlier")
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -476,7 +487,10 @@ def confirmed_lines(numbered: DataFrame, pairs: DataFrame, share: float = 0) ->
 
 def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scratch, share: float = 0) -> DataFrame:
     """high, low of the lines that have a near line before them; ``held`` is deleted on the way."""
-    numbers = saved.table(line_numbers(places, survivors(held)), "line-numbers")
+    left = survivors(held)
+    if share:
+        left = left.join(often_keys(held), ["high", "low"], "left")
+    numbers = saved.table(line_numbers(places, left), "line-numbers")
     if share:
         keyed = saved.table(keyed_lines(numbers, held), "gram-keys")
     saved.drop("held-keys")

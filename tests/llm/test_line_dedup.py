@@ -161,3 +161,45 @@ def test_near_lines_share_a_first_gram_in_any_order(rng, share):
         tried += 1
         row, key = L.filter_keys([a, b], share, ranks)
         assert sum(k % 2 for k in set(key[row == 0]) & set(key[row == 1])) >= L.common_grams(share)
+
+
+def _keyed(spark, lines):
+    """The table of gram keys of {number: (size, keys)}."""
+    n = {}
+    for _, keys in lines.values():
+        for k in keys:
+            n[k] = n.get(k, 0) + 1
+    often = lambda k: n[k] >= L.OFTEN
+    rows = [(k, often(k), i, size, sorted(filter(often, keys)) or None) for i, (size, keys) in lines.items() for k in keys]
+    return spark.createDataFrame(rows, "key long, often boolean, number long, size int, often_keys array<long>")
+
+
+def _join_rows(plan) -> list[int]:
+    """Rows that each join of an executed plan made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _join_rows(plan.executedPlan())
+    found = [plan.metrics().apply("numOutputRows").value()] if name.endswith("JoinExec") else []
+    below = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return found + [n for x in below for n in _join_rows(x)]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.45])
+def test_pairs_share_as_many_keys_as_asked_rare_or_often(spark, rng, share):
+    lines = {i: (rng.randint(10, 60), {rng.choice([rng.randrange(8), rng.randrange(100, 400)]) for _ in range(rng.randint(1, 9))}) for i in range(150)}
+    gone = set(rng.sample(range(150), 30))
+    want = set()
+    for b, (size, keys) in lines.items():
+        for a in range(b if b not in gone else 0):
+            most = int(share * max(size, lines[a][0]) + 1e-9)
+            if most >= 2 and abs(size - lines[a][0]) <= most and len(keys & lines[a][1]) >= L.common_grams(share):
+                want.add((b, a))
+    found = L.all_neighbours(_keyed(spark, lines), spark.createDataFrame([(i,) for i in gone], "number long"), share).collect()
+    assert len(found) == len(want) > 100 and {(r.number, r.earlier) for r in found} == want
+
+
+def test_lines_that_share_many_often_keys_meet_once(spark):
+    lines = {i: (50, set(range(1, 41, 2))) for i in range(200)}
+    pairs = L.all_neighbours(_keyed(spark, lines), spark.createDataFrame([], "number long"), L.EDIT_SHARE)
+    assert len(pairs.collect()) == 200 * 199 // 2
+    assert max(_join_rows(pairs._jdf.queryExecution().executedPlan())) <= 200 * 199 // 2
