@@ -61,7 +61,7 @@ BLOCK_WORDS = 1 << 17  # words whose hashes are worked on at once
 MAP_BITS = 1 << 25
 KEY_MAP_BITS = 1 << 27
 OFTEN = 32  # a key of so many lines is carried along with its lines
-KEY_PARTS = 4  # the keys are counted in so many parts one after another, which bounds the shuffle files
+KEY_PARTS = 4  # the keys are counted, and joined to pairs, in so many parts one after another, which bounds the shuffle files
 _PAGE = 32768  # bits in a page of Spark's bitmap functions
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -419,17 +419,28 @@ def first_neighbours(keyed: DataFrame, share: float) -> DataFrame:
     return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
 
 
-def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float) -> DataFrame:
-    """(number, earlier): lines that are not ``gone`` (number) with all earlier lines that share as many gram keys as near lines do, as far as the
-    lengths allow two edits or more. Of the keys of OFTEN lines or more, only the last that is needed makes a pair; the others count by the lines' lists."""
+def _pair_rows(keyed: DataFrame, gone: DataFrame, share: float) -> DataFrame:
+    """number, earlier, n (1 for a key of fewer than OFTEN lines), n_often (the keys of OFTEN lines or more that the two have in common)."""
     earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"), F.col("often_keys").alias("earlier_keys"))
     most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
     common = F.array_intersect("often_keys", "earlier_keys")  # in the order of the first
     made = ~F.col("often") | (F.get(common, F.lit(common_grams(share) - 1)) == F.col("key"))
     pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key").filter(
         (F.col("earlier") < F.col("number")) & (most >= 2) & (F.abs(F.col("size") - F.col("earlier_size")) <= most) & made)
-    counted = pairs.select("number", "earlier", (~F.col("often")).cast("int").alias("n"), F.coalesce(F.size(common), F.lit(0)).alias("n_often"))
-    return counted.groupBy("number", "earlier").agg((F.sum("n") + F.max("n_often")).alias("n")).filter(F.col("n") >= common_grams(share)).select("number", "earlier")
+    return pairs.select("number", "earlier", (~F.col("often")).cast("int").alias("n"), F.coalesce(F.size(common), F.lit(0)).alias("n_often"))
+
+
+def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float, saved: Scratch | None = None) -> DataFrame:
+    """(number, earlier): lines that are not ``gone`` (number) with all earlier lines that share as many gram keys as near lines do, as far as the
+    lengths allow two edits or more. Of the keys of OFTEN lines or more, only the last that is needed makes a pair; the others count by the lines' lists.
+    With ``saved``, the keys are joined in KEY_PARTS parts one after another."""
+    if saved is None:
+        rows = _pair_rows(keyed, gone, share)
+    else:
+        rows = reduce(DataFrame.unionByName, [
+            saved.table(_pair_rows(keyed.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k), gone, share), f"pair-rows/part={k}") for k in range(KEY_PARTS)])
+    return (rows.groupBy("number", "earlier").agg((F.sum("n") + F.max("n_often")).alias("n"))
+            .filter(F.col("n") >= common_grams(share)).select("number", "earlier"))
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -503,8 +514,10 @@ def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scrat
     if share:
         found = saved.table(found, "first-near-lines")
         saved.drop("pairs")
-        more = saved.table(all_neighbours(keyed, found.select("number"), share), "all-pairs")
+        more = all_neighbours(keyed, found.select("number"), share, saved)
         saved.drop("gram-keys")
+        more = saved.table(more, "all-pairs")
+        saved.drop("pair-rows")
         found = found.unionByName(confirmed_lines(numbered, more, share))
     return found.select("high", "low").distinct()
 

@@ -3,6 +3,7 @@ from conftest_llm import clashing
 from pyspark.sql import functions as F
 
 from cohortlens.llm import line_dedup as L
+from cohortlens.llm.common import Scratch
 
 
 def _edit(rng, words):
@@ -203,3 +204,13 @@ def test_lines_that_share_many_often_keys_meet_once(spark):
     pairs = L.all_neighbours(_keyed(spark, lines), spark.createDataFrame([], "number long"), L.EDIT_SHARE)
     assert len(pairs.collect()) == 200 * 199 // 2
     assert max(_join_rows(pairs._jdf.queryExecution().executedPlan())) <= 200 * 199 // 2
+
+
+def test_pairs_are_joined_in_parts_of_the_keys(spark, rng):
+    lines = {i: (30, {rng.choice([rng.randrange(8), rng.randrange(100, 400)]) for _ in range(rng.randint(1, 9))}) for i in range(120)}
+    keyed, gone = _keyed(spark, lines), spark.createDataFrame([(3,)], "number long")
+    with Scratch(spark, "test-pairs") as saved:
+        found = L.all_neighbours(keyed, gone, L.EDIT_SHARE, saved).collect()
+        read = saved.spark.read
+        parts = [{r.number for r in read.parquet(f"{saved.folder}/pair-rows/part={k}").collect()} for k in range(L.KEY_PARTS)]
+    assert all(parts) and sorted(found) == sorted(L.all_neighbours(keyed, gone, L.EDIT_SHARE).collect())
