@@ -9,6 +9,7 @@ each is encoded once per task and looked up after that.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from functools import cache
@@ -23,6 +24,14 @@ _RUNS = re.compile(r"\s(?=\s|\Z)")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 
+_AS_THEY_ARE = {*range(33, 127), *range(161, 173), *range(174, 256), 10}  # the line break parts words and is in none
+_ALPHABET = "".join(chr(b) if b in _AS_THEY_ARE else chr(256 + sum(x not in _AS_THEY_ARE or x == 10 for x in range(b))) for b in range(256))  # bytes as byte-level vocabularies write them
+
+
+def _spelled(words: list[str]) -> list[str]:
+    """Words without white space, in the alphabet of bytes."""
+    return codecs.charmap_decode("\n".join(words).encode(), "strict", _ALPHABET)[0].split("\n")
+
 
 class WordMemo:
     """``packed(text)``: the ids as little-endian unsigned 32-bit integers."""
@@ -31,12 +40,11 @@ class WordMemo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.letters = Tokenizer.from_file(path)  # for letters without their marks, one word in a line, written in the alphabet of bytes already
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.letters.model._resize_cache(0)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = Tokenizer.from_file(path)  # for letters with marks after them, one word in a line: simpler cuts do
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split("\n", "removed"), pre_tokenizers.Punctuation("contiguous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.letters.model._resize_cache(0)
         self.memo: dict[str, bytes] = {}  # by the chunk without its leading space; a chunk after a line break has the break
         self.marks: dict[str, bytes] = {}  # of marks after letters
         vocabulary = self.whole.get_vocab()
@@ -49,9 +57,9 @@ class WordMemo:
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, tokenizer, chunks: list[str], by: str, opens) -> dict[str, bytes]:
+    def _joined(self, tokenizer, chunks: list[str], by: str, opens) -> list[bytes]:
         """Ids of chunks, encoded many in one text with ``by`` before each; a chunk begins where ``opens`` holds."""
-        out = {}
+        out = []
         for at in range(0, len(chunks), JOINED):
             part = chunks[at:at + JOINED]
             (ids,) = self._ids(tokenizer, [by.removeprefix("\n") + by.join(part)])
@@ -59,7 +67,7 @@ class WordMemo:
             packed = ids.tobytes()
             if len(starts) != len(part):
                 raise ValueError("the vocabulary is not a byte-level one with single spaces before words")
-            out.update(zip(part, map(packed.__getitem__, map(slice, starts, [*starts[1:], len(packed)]))))
+            out += map(packed.__getitem__, map(slice, starts, [*starts[1:], len(packed)]))
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
@@ -78,15 +86,16 @@ class WordMemo:
             else:
                 spaced.append(c)
         known = {w: self.memo[w] for w, _ in words.values() if w in self.memo}  # most letters have been said without marks or with others
-        known |= self._joined(self.letters, list({w for w, _ in words.values()}.difference(known)), "\n ", lambda ids: self.opens[ids])
+        if letters := list({w for w, _ in words.values()}.difference(known)):
+            known |= zip(letters, self._joined(self.letters, _spelled(letters), "\n\u0120", lambda ids: self.opens[ids]))
         if len(self.marks) > MEMO_MARKS:
             self.marks = {}
         marks = list({m for _, m in words.values()}.difference(self.marks))
         self.marks.update(zip(marks, (x.tobytes() for x in self._ids(self.whole, marks))))
         out = {c: known[w] + self.marks[m] for c, (w, m) in words.items()}
-        out |= self._joined(self.whole, spaced, " ", lambda ids: self.opens[ids])
+        out |= zip(spaced, self._joined(self.whole, spaced, " ", lambda ids: self.opens[ids]))
         if len(self.line_break) == 1:
-            out |= self._joined(self.whole, lines, "", lambda ids: ids == self.line_break[0])
+            out |= zip(lines, self._joined(self.whole, lines, "", lambda ids: ids == self.line_break[0]))
         else:
             rest += lines
         return out | {c.removeprefix(" "): x.tobytes() for c, x in zip(rest, self._ids(self.whole, rest))}

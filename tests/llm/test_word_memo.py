@@ -14,3 +14,13 @@ def test_same_ids_as_the_whole_text():
     for text, ids in zip(texts, got):
         want = memo.whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
+
+
+def test_words_are_spelled_in_the_alphabet_of_bytes():
+    from tokenizers import pre_tokenizers
+
+    from cohortlens.llm.word_memo import _spelled
+
+    words = ["a", "Zz", "été", "ÀÖØöøÿĀſɏ", "x" * 70] + [chr(c) for c in [*range(0x100, 0x250), 0x3042, 0x1F642]]
+    pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    assert _spelled(words) == ["".join(x for x, _ in pre.pre_tokenize_str(w)) for w in words]
