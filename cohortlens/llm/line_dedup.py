@@ -26,7 +26,8 @@ it; the order is by doc_id, then the hash of the document's text, then the line'
    shares two gram keys with it and whose length allows it, so no near line is missed, one edit or more. A key of fewer than
    OFTEN lines makes that many pairs a line at most. Each line carries its keys of OFTEN lines or more: by these a pair is made once,
    at the second that the two have in common, and not at all if they have no second. Lines that share many grams, but are not
-   near, are still compared two by two.
+   near, meet by these keys, but few of them are compared: a line's sketch is the parity of its numbers of words in each of
+   SKETCH_BITS classes, of which an edit changes two at most, and a pair is made only if the sketches differ in no more than its bound allows.
 
 Variant keys and halves come from prefix sums, so a line costs as much as its words. The tables on the way are
 deleted, and their shuffle files with each, once the kept lines are written.
@@ -61,11 +62,13 @@ BLOCK_WORDS = 1 << 17  # words whose hashes are worked on at once
 MAP_BITS = 1 << 25
 KEY_MAP_BITS = 1 << 27
 OFTEN = 32  # a key of so many lines is carried along with its lines
+SKETCH_BITS = 256  # classes of words in a line's sketch
 KEY_PARTS = 4  # the keys are counted, and joined to pairs, in so many parts one after another, which bounds the shuffle files
 _PAGE = 32768  # bits in a page of Spark's bitmap functions
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACES = " \t\n\r\x0b\x0c"  # what bytes.split() splits at
+_SKETCH = [f"sketch_{k}" for k in range(SKETCH_BITS // 64)]
 _PLACE = ("no_id", "doc_id", "text_hash", "line")
 
 
@@ -419,26 +422,54 @@ def first_neighbours(keyed: DataFrame, share: float) -> DataFrame:
     return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
 
 
-def _pair_rows(keyed: DataFrame, gone: DataFrame, share: float) -> DataFrame:
+def sketches(lines: list[list[bytes]]) -> np.ndarray:
+    """Lines by SKETCH_BITS bits: those of the classes of which a line has an odd number of words."""
+    out = np.zeros((len(lines), len(_SKETCH)), "i8")
+    for first, block in _blocks(lines):
+        w, sizes = word_hashes(block)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        n = np.bincount(row * SKETCH_BITS + (w % np.uint64(SKETCH_BITS)).astype("i8"), minlength=len(sizes) * SKETCH_BITS)
+        out[first:first + len(sizes)] = np.packbits((n & 1).astype("u1").reshape(-1, SKETCH_BITS), axis=1).view("i8")
+    return out
+
+
+def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = sketches([words.split(b" ") for words in batch.column("words").to_pylist()])
+    return pa.RecordBatch.from_arrays([batch.column("number"), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], names=["number", *_SKETCH])
+
+
+def sketched_lines(numbered: DataFrame) -> DataFrame:
+    """number and the sketch of each line."""
+    return arrow_map(numbered.select("number", "words"), lambda: _sketched, ", ".join(["number long", *(f"{c} long" for c in _SKETCH)]))
+
+
+def _pair_rows(keyed: DataFrame, gone: DataFrame, share: float, sketched: DataFrame | None = None) -> DataFrame:
     """number, earlier, n (1 for a key of fewer than OFTEN lines), n_often (the keys of OFTEN lines or more that the two have in common)."""
-    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"), F.col("often_keys").alias("earlier_keys"))
+    if sketched is not None:
+        keyed = keyed.join(sketched, "number")
+    with_sketch = _SKETCH if sketched is not None else []
+    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"), F.col("often_keys").alias("earlier_keys"),
+                           *(F.col(c).alias(f"earlier_{c}") for c in with_sketch))
     most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
     common = F.array_intersect("often_keys", "earlier_keys")  # in the order of the first
     made = ~F.col("often") | (F.get(common, F.lit(common_grams(share) - 1)) == F.col("key"))
+    longer = F.abs(F.col("size") - F.col("earlier_size"))
+    # a word more or less changes one bit, another word two
+    alike = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"earlier_{c}"))) for c in with_sketch), F.lit(0)) <= 2 * most - longer
     pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key").filter(
-        (F.col("earlier") < F.col("number")) & (most >= 2) & (F.abs(F.col("size") - F.col("earlier_size")) <= most) & made)
+        (F.col("earlier") < F.col("number")) & (most >= 2) & (longer <= most) & alike & made)
     return pairs.select("number", "earlier", (~F.col("often")).cast("int").alias("n"), F.coalesce(F.size(common), F.lit(0)).alias("n_often"))
 
 
-def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float, saved: Scratch | None = None) -> DataFrame:
+def all_neighbours(keyed: DataFrame, gone: DataFrame, share: float, saved: Scratch | None = None, sketched: DataFrame | None = None) -> DataFrame:
     """(number, earlier): lines that are not ``gone`` (number) with all earlier lines that share as many gram keys as near lines do, as far as the
     lengths allow two edits or more. Of the keys of OFTEN lines or more, only the last that is needed makes a pair; the others count by the lines' lists.
-    With ``saved``, the keys are joined in KEY_PARTS parts one after another."""
+    With ``saved``, the keys are joined in KEY_PARTS parts one after another; with ``sketched``, pairs whose sketches differ in too much are left out."""
     if saved is None:
-        rows = _pair_rows(keyed, gone, share)
+        rows = _pair_rows(keyed, gone, share, sketched)
     else:
         rows = reduce(DataFrame.unionByName, [
-            saved.table(_pair_rows(keyed.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k), gone, share), f"pair-rows/part={k}") for k in range(KEY_PARTS)])
+            saved.table(_pair_rows(keyed.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k), gone, share, sketched), f"pair-rows/part={k}") for k in range(KEY_PARTS)])
     return (rows.groupBy("number", "earlier").agg((F.sum("n") + F.max("n_often")).alias("n"))
             .filter(F.col("n") >= common_grams(share)).select("number", "earlier"))
 
@@ -514,8 +545,9 @@ def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scrat
     if share:
         found = saved.table(found, "first-near-lines")
         saved.drop("pairs")
-        more = all_neighbours(keyed, found.select("number"), share, saved)
-        saved.drop("gram-keys")
+        sketched = saved.table(sketched_lines(numbered), "sketches")
+        more = all_neighbours(keyed, found.select("number"), share, saved, sketched)
+        saved.drop("gram-keys", "sketches")
         more = saved.table(more, "all-pairs")
         saved.drop("pair-rows")
         found = found.unionByName(confirmed_lines(numbered, more, share))

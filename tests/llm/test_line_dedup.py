@@ -214,3 +214,28 @@ def test_pairs_are_joined_in_parts_of_the_keys(spark, rng):
         read = saved.spark.read
         parts = [{r.number for r in read.parquet(f"{saved.folder}/pair-rows/part={k}").collect()} for k in range(L.KEY_PARTS)]
     assert all(parts) and sorted(found) == sorted(L.all_neighbours(keyed, gone, L.EDIT_SHARE).collect())
+
+
+def test_sketches_of_lines_at_so_many_edits(rng):
+    bits = lambda x: "".join(f"{v & (1 << 64) - 1:064b}" for v in x.tolist())
+    lines = [[b"w%d" % rng.randrange(30) for _ in range(rng.randint(1, 90))] for _ in range(60)]
+    for a in lines:
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            b = [x.encode() for x in _edit(rng, [x.decode() for x in b])]
+        one, two = L.sketches([a, b])
+        differ = sum(x != y for x, y in zip(bits(one), bits(two)))
+        assert differ <= 2 * _distance(a, b) - abs(len(a) - len(b))
+    assert len({x.tobytes() for x in L.sketches(lines)}) == len(lines)
+
+
+def test_lines_of_one_template_that_are_not_near_are_not_compared(spark, monkeypatch):
+    words = lambda i: [f"common{k // 4}" if k % 8 < 4 else f"own{i}x{k}" for k in range(48)]
+    lines = [" ".join(words(i)) for i in range(120)]
+    late = [" ".join(["other"] * 3 + words(i)[3:]) for i in range(0, 120, 10)]
+    compared, confirmed = [], L.confirmed_lines
+    monkeypatch.setattr(L, "confirmed_lines", lambda numbered, pairs, share=0: compared.append(pairs.count()) or confirmed(numbered, pairs, share))
+    docs = spark.createDataFrame([*enumerate(lines), *((1000 + k, x) for k, x in enumerate(late))], "doc_id long, text string")
+    left = L.remaining(docs, L.EDIT_SHARE)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(120))
+    assert len(compared) == 2 and sum(compared) < 500  # 7,140 pairs share grams
