@@ -7,24 +7,25 @@ floor(share * its words) where that is more: EDIT_SHARE, which the registered qu
 pipeline give, is a similarity of 0.8 or more at every length. A line goes if an earlier line is near
 it; the order is by doc_id, then the hash of the document's text, then the line's number.
 
-1. Every line is hashed (128 bits); equal lines leave one row with the earliest place.
+1. Every line is hashed (128 bits) and written with its keys (2.), as read; equal lines leave one row with the earliest place, and a number in that order.
 2. One edit leaves the first or the second half of a line as it is, so only
    lines that share a half with another can have a line at one edit. For more edits, of lines of
-   ``least_words`` words or more: a gram is a run of q words (three; two or one with a share over 2/9 or a third; the k-th copy of a gram
+   ``least_words`` words or more: a gram is a run of q words (two; one with a share over a third; the k-th copy of a gram
    counts as a gram of its own). An edit takes away q grams at most, so with all grams in one order the first q * k + 2 of lines
    at k edits have two in common, of which a pair is made later (``common_grams``: one where a share leaves no two). These are a line's keys, for the
    largest number that it needs with any other line (``prefix_sizes``). The order is by frequency, rarest first, in a table of fixed size counted from
    a sixteenth of the documents; any order finds the same lines, a good one compares fewer.
-   Lines that share neither are settled. A bit map of fixed size (MAP_BITS) over the survivors' hashes lets the next scan read out
-   their texts; it may let others through, which a join then removes.
-3. Survivors that share a half emit all variants with one word deleted, as hashed keys: with the
+   Lines that share neither are settled. The keys are counted in KEY_PARTS parts, one after another; only the numbers of lines that share a key go on,
+   and the words of a line are read from the documents when it is to be compared: a bit map of fixed size (MAP_BITS) over the hashes of
+   these lines picks them out; it may let others through, which a join then removes.
+3. Lines that share a half emit all variants with one word deleted, as hashed keys: with the
    word's place (equal keys: one substitution) and without (equal to a whole
    shorter line: one deletion). Gram keys that lines share are known from step 2. Every variant key needs only the earliest line that has it,
    so a variant shared by any number of lines costs one row each.
 4. Each line and the earliest line of its keys are compared word by
    word; a line with a confirmed earlier neighbour goes. A line that is left is then compared with every earlier line that
    shares two gram keys with it and whose length allows it, so no near line is missed, one edit or more. A key of fewer than
-   OFTEN lines makes that many pairs a line at most. Each line carries its keys of OFTEN lines or more: by these a pair is made once,
+   OFTEN lines (or of a fixed share of the lines, ``often_from``) makes that many pairs a line at most. Each line carries its more frequent keys: by these a pair is made once,
    at the second that the two have in common, and not at all if they have no second. Lines that share many grams, but are not
    near, meet by these keys, but few of them are compared: a line's sketch is the parity of its numbers of words in each of
    SKETCH_BITS classes, of which an edit changes two at most, and a pair is made only if the sketches differ in no more than its bound allows.
@@ -41,6 +42,7 @@ empty table gives no rows; other columns are passed through, but for those that
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import partial, reduce
 
@@ -62,6 +64,7 @@ BLOCK_WORDS = 1 << 17  # words whose hashes are worked on at once
 MAP_BITS = 1 << 25
 KEY_MAP_BITS = 1 << 27
 OFTEN = 32  # a key of so many lines is carried along with its lines
+OFTEN_SHARE = 14  # or of 1 / 2^14 of the lines, where that is more
 SKETCH_BITS = 256  # classes of words in a line's sketch
 KEY_PARTS = 4  # the keys are counted, and joined to pairs, in so many parts one after another, which bounds the shuffle files
 _PAGE = 32768  # bits in a page of Spark's bitmap functions
@@ -69,6 +72,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACES = " \t\n\r\x0b\x0c"  # what bytes.split() splits at
 _SKETCH = [f"sketch_{k}" for k in range(SKETCH_BITS // 64)]
+_KEYS = [f"keys_{k}" for k in range(KEY_PARTS)]
 _PLACE = ("no_id", "doc_id", "text_hash", "line")
 
 
@@ -143,8 +147,8 @@ def least_words(share: float) -> int:
 
 
 def gram_words(share: float) -> int:
-    """The words of a gram: the most for which lines within two edits or more share a gram in any case."""
-    return 3 if share <= 2 / 9 else 2 if share <= 1 / 3 else 1
+    """The words of a gram: two, if lines within two edits or more share such a gram in any case. Of runs of three, nearly all would be keys."""
+    return 2 if share <= 1 / 3 else 1
 
 
 def common_grams(share: float) -> int:
@@ -188,8 +192,22 @@ def prefixes(w: np.ndarray, sizes: np.ndarray, share: float, ranks: np.ndarray |
     return row[order][keep], key[order][keep].view("i8")
 
 
-def filter_keys(lines: list[list[bytes]], share: float = 0, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key), by line: the keys of the halves (even) and, with ``share``, of the first grams (odd)."""
+def _parities(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    starts = np.cumsum(sizes) - sizes
+    bit, word = np.uint64(1) << w % np.uint64(64), (w >> np.uint64(6)) % np.uint64(len(_SKETCH))
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(len(_SKETCH))], axis=1).view("i8")
+
+
+def sketches(lines: list[list[bytes]]) -> np.ndarray:
+    """Lines by SKETCH_BITS bits: those of the classes of which a line has an odd number of words."""
+    out = np.zeros((len(lines), len(_SKETCH)), "i8")
+    for first, block in _blocks(lines):
+        out[first:first + len(block)] = _parities(*word_hashes(block))
+    return out
+
+
+def filter_keys(lines: list[list[bytes]], share: float = 0, ranks: np.ndarray | None = None, sketched: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), by line: the keys of the halves (even) and, with ``share``, of the first grams (odd). ``sketched`` gets the sketches of lines with grams."""
     rows, keys = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for first, block in _blocks(lines):
         w, sizes = word_hashes(block)
@@ -198,9 +216,12 @@ def filter_keys(lines: list[list[bytes]], share: float = 0, ranks: np.ndarray |
         keys.append(key)
         long = sizes >= least_words(share) if share else np.zeros(len(sizes), bool)
         if long.any():
-            row, key = prefixes(w[np.repeat(long, sizes)], sizes[long], share, ranks)
+            of_long = w[np.repeat(long, sizes)]
+            row, key = prefixes(of_long, sizes[long], share, ranks)
             rows.append(np.flatnonzero(long)[row] + first)
             keys.append(key)
+            if sketched is not None:
+                sketched[first + np.flatnonzero(long)] = _parities(of_long, sizes[long])
     row, key = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(row, kind="stable")
     return row[order], key[order]
@@ -230,6 +251,10 @@ def frequencies(docs: DataFrame, share: float) -> np.ndarray:
     return ranks
 
 
+def key_part(key: np.ndarray) -> np.ndarray:
+    return (key >> 1) % KEY_PARTS
+
+
 def _hash_lines(share: float = 0, shared=None):
     def make():
         ranks = shared.value if shared is not None else None
@@ -246,35 +271,50 @@ def _hash_lines(share: float = 0, shared=None):
                         highs.append(high)
                         lows.append(low)
                         said.append(words)
-            row, key = filter_keys(said, share, ranks)
-            ends = np.cumsum(np.bincount(row, minlength=len(said)))
-            keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(key))
+            sketched = np.zeros((len(said), len(_SKETCH)), "i8")
+            row, key = filter_keys(said, share, ranks, sketched)
+            keys = []
+            for part in range(KEY_PARTS):
+                of_part = key_part(key) == part
+                ends = np.cumsum(np.bincount(row[of_part], minlength=len(said)))
+                keys.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(key[of_part])))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             sizes = [len(words) for words in said]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((docs, text_hashes, lines, highs, lows, sizes), kinds)), keys],
-                                              names=["doc_id", "text_hash", "line", "high", "low", "size", "keys"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((docs, text_hashes, lines, highs, lows, sizes), kinds)),
+                                               *(pa.array(np.ascontiguousarray(x)) for x in sketched.T), *keys],
+                                              names=["doc_id", "text_hash", "line", "high", "low", "size", *_SKETCH, *_KEYS])
 
         return step
 
     return make
 
 
-def distinct_lines(docs: DataFrame, share: float = 0) -> DataFrame:
-    """high, low, size (words), keys and the earliest place of every distinct line."""
+def hashed_lines(docs: DataFrame, share: float = 0) -> DataFrame:
+    """Every line with words: its place, 128-bit hash, size (words), sketch, and its keys in KEY_PARTS lists."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, share)) if share else None
-    rows = arrow_map(_source(docs), _hash_lines(share, shared), "doc_id long, text_hash long, line int, high long, low long, size int, keys array<long>")
+    schema = ["doc_id long, text_hash long, line int, high long, low long, size int", *(f"{c} long" for c in _SKETCH), *(f"{c} array<long>" for c in _KEYS)]
+    return arrow_map(_source(docs), _hash_lines(share, shared), ", ".join(schema))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """high, low, size, sketch and the earliest place of every distinct line, and a number that follows the places."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line")
-    return rows.groupBy("high", "low").agg(F.min(place).alias("place"), F.first("size").alias("size"), F.first("keys").alias("keys")).select("high", "low", "size", "keys", "place.*")
+    found = lines.groupBy("high", "low").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("size", *_SKETCH))).select("high", "low", "size", *_SKETCH, "place.*")
+    return found.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).withColumn("number", F.monotonically_increasing_id())
 
 
-def bit_map(values: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
-    """A map of fixed size in which every value's bit is set."""
+def bit_map(values: DataFrame, column: str, bits: int = MAP_BITS, saved: Scratch | None = None) -> np.ndarray:
+    """A map of fixed size in which every value's bit is set; with ``saved``, its pages are written first, so that their shuffle files go at once."""
     at = F.pmod(F.col(column), F.lit(bits)) + 1
     pages = values.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    if saved is not None:
+        pages = saved.table(pages, name := f"bits-{uuid.uuid4().hex[:12]}")
     out = np.zeros(bits // 8, "u1")
     for r in pages.collect():
         k = (r["page"] - 1) * _PAGE // 8
         out[k:k + _PAGE // 8] = np.frombuffer(r["bits"], "u1")
+    if saved is not None:
+        saved.drop(name)
     return out
 
 
@@ -288,36 +328,41 @@ def _held_keys(shared):
         bits = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = batch.column("keys")
-            row, key = pc.list_parent_indices(keys), keys.flatten()
-            keep = np.flatnonzero(in_map(bits, key.to_numpy()))
-            row = row.take(pa.array(keep))
-            return pa.RecordBatch.from_arrays([batch.column("high").take(row), batch.column("low").take(row), key.take(pa.array(keep))], names=["high", "low", "key"])
+            keys = batch.column(2)
+            row, key = pc.list_parent_indices(keys).to_numpy(), keys.flatten().to_numpy()
+            keep = in_map(bits, key)
+            held, sizes = np.unique(row[keep], return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), pa.array(key[keep]))
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(held)) for c in range(2)), lists], names=["high", "low", "keys"])
 
         return step
 
     return make
 
 
-def shared_keys(lines: DataFrame, saved: Scratch) -> DataFrame:
-    """high, low, key of the keys that a line shares with another, and whether OFTEN lines or more have it."""
-    keys = lines.select(F.explode("keys").alias("key"))
-    parts = [saved.table(keys.filter(F.pmod(F.shiftright("key", 1), F.lit(KEY_PARTS)) == k).groupBy("key").count().filter("count > 1").select("key", (F.col("count") >= OFTEN).alias("often")), f"shared-keys/part={k}")
-             for k in range(KEY_PARTS)]
-    shared = reduce(DataFrame.unionByName, parts)
-    bits = lines.sparkSession.sparkContext.broadcast(bit_map(shared, "key", KEY_MAP_BITS))
-    held = arrow_map(lines.select("high", "low", "keys"), _held_keys(bits), "high long, low long, key long")
-    return held.join(shared, "key").select("high", "low", "key", "often")
+def shared_keys(lines: DataFrame, places: DataFrame, saved: Scratch) -> DataFrame:
+    """key, number, often: the keys that a line shares with another, and whether as many lines have it as ``often_from`` says.
+    A part of the keys after another; copies of a line, which have its hash, are counted apart from other lines only in ``often``."""
+    parts, least = [], often_from(places.count())
+    for k, column in enumerate(_KEYS):
+        keys = lines.select("high", F.explode(column).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("high").alias("least"), F.max("high").alias("most"))
+        shared = saved.table(keys.filter("least < most").select("key", (F.col("n") >= least).alias("often")), f"shared-keys/part={k}")
+        bits = lines.sparkSession.sparkContext.broadcast(bit_map(shared, "key", KEY_MAP_BITS, saved))
+        held = arrow_map(lines.select("high", "low", column), _held_keys(bits), "high long, low long, keys array<long>").groupBy("high", "low").agg(F.first("keys").alias("keys"))
+        numbered = held.join(places.select("high", "low", "number"), ["high", "low"]).select("number", F.explode("keys").alias("key"))
+        parts.append(saved.table(numbered.join(shared, "key").select("key", "number", "often"), f"held-keys/part={k}"))
+        saved.drop(f"shared-keys/part={k}")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def survivors(held: DataFrame) -> DataFrame:
-    """Lines that share a half or a gram key with another, and whether a half."""
-    return held.groupBy("high", "low").agg(F.max(F.col("key") % 2 == 0).alias("half"))
+def often_from(lines: int) -> int:
+    """The number of lines from which a key is carried along: OFTEN, and in larger tables the same share of the lines, so that what is carried grows with them."""
+    return max(OFTEN, lines >> OFTEN_SHARE)
 
 
 def often_keys(held: DataFrame) -> DataFrame:
-    """high, low and the sorted gram keys that OFTEN lines or more have, of the lines with any."""
-    return held.filter("often and key % 2 <> 0").groupBy("high", "low").agg(F.array_sort(F.collect_list("key")).alias("often_keys"))
+    """number and the sorted gram keys that are often, of the lines with any."""
+    return held.filter("often and key % 2 <> 0").groupBy("number").agg(F.array_sort(F.collect_list("key")).alias("often_keys"))
 
 
 def _read_lines(shared):
@@ -341,17 +386,15 @@ def _read_lines(shared):
     return make
 
 
-def line_numbers(places: DataFrame, left: DataFrame) -> DataFrame:
-    """high, low, size, the columns of ``left``, and a number that follows the lines' places, of the lines in ``left``."""
-    placed = places.join(left, ["high", "low"])
-    return placed.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE).select("size", *left.columns, F.monotonically_increasing_id().alias("number"))
+def numbered_lines(docs: DataFrame, numbers: DataFrame, saved: Scratch) -> DataFrame:
+    """``numbers`` (high, low, number, and more) with the lines' words, which are read from the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(numbers, "high", saved=saved))
+    read = arrow_map(_source(docs).select("text"), _read_lines(shared), "high long, low long, words binary")
+    return read.join(numbers, ["high", "low"]).dropDuplicates(["high", "low"])
 
 
-def numbered_lines(docs: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``numbers`` with the lines' words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(numbers, "high"))
-    read = arrow_map(_source(docs).select("text"), _read_lines(shared), "high long, low long, words binary")
-    return read.join(numbers.select("high", "low", "half", "number"), ["high", "low"]).dropDuplicates(["high", "low"]).select("high", "low", "words", "half", "number")
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("number").unionByName(pairs.select(F.col("earlier").alias("number"))).distinct()
 
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -403,61 +446,50 @@ def variant_neighbours(numbered: DataFrame, saved: Scratch) -> DataFrame:
     keys = saved.table(arrow_map(rows, _emit(), _VARIANT).groupBy("key").agg(
         F.count("*").alias("n"), least(0).alias("substituted"), least(1).alias("whole"), least(2).alias("deleted"))
         .filter("n > 1 and (substituted is not null or (whole is not null and deleted is not null))").drop("n"), "variant-keys")
-    shared = numbered.sparkSession.sparkContext.broadcast(bit_map(keys, "key"))
+    shared = numbered.sparkSession.sparkContext.broadcast(bit_map(keys, "key", saved=saved))
     again = arrow_map(rows, _emit(shared), _VARIANT).join(keys, "key")
     earlier = F.when(F.col("role") == 0, F.col("substituted")).when(F.col("role") == 1, F.col("deleted")).otherwise(F.col("whole"))
     return again.select("number", earlier.alias("earlier")).filter("earlier < number")
 
 
-def keyed_lines(numbers: DataFrame, held: DataFrame) -> DataFrame:
+def keyed_lines(places: DataFrame, held: DataFrame) -> DataFrame:
     """key, often, number, size, often_keys: the lines of each gram key."""
-    return (held.filter("key % 2 <> 0").join(numbers.select("high", "low", "number", "size", "often_keys"), ["high", "low"])
-            .select("key", "often", "number", "size", "often_keys"))
+    numbers = places.select("number", "size").join(often_keys(held), "number", "left")
+    return held.filter("key % 2 <> 0").join(numbers, "number").select("key", "often", "number", "size", "often_keys")
 
 
-def first_neighbours(keyed: DataFrame, share: float) -> DataFrame:
-    """(number, earlier): each line with the earliest line of its gram keys, if the two share as many as near lines do."""
-    keyed = keyed.select("key", "number")
-    pairs = keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number")
-    return pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
-
-
-def sketches(lines: list[list[bytes]]) -> np.ndarray:
-    """Lines by SKETCH_BITS bits: those of the classes of which a line has an odd number of words."""
-    out = np.zeros((len(lines), len(_SKETCH)), "i8")
-    for first, block in _blocks(lines):
-        w, sizes = word_hashes(block)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        n = np.bincount(row * SKETCH_BITS + (w % np.uint64(SKETCH_BITS)).astype("i8"), minlength=len(sizes) * SKETCH_BITS)
-        out[first:first + len(sizes)] = np.packbits((n & 1).astype("u1").reshape(-1, SKETCH_BITS), axis=1).view("i8")
-    return out
+def _alike(share: float, sketched: bool):
+    """(bound, whether the lengths of a row's two lines, and the sketches, allow so many edits or one)."""
+    most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
+    longer = F.abs(F.col("size") - F.col("earlier_size"))
+    # a word more or less changes one bit, another word two
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"earlier_{c}"))) for c in _SKETCH * sketched), F.lit(0))
+    bound = F.greatest(most, F.lit(1))
+    return most, (longer <= bound) & (differ <= 2 * bound - longer)
 
 
-def _sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = sketches([words.split(b" ") for words in batch.column("words").to_pylist()])
-    return pa.RecordBatch.from_arrays([batch.column("number"), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], names=["number", *_SKETCH])
+def _as_earlier(lines: DataFrame) -> DataFrame:
+    return lines.select(*(F.col(c).alias("earlier" if c == "number" else f"earlier_{c}") for c in lines.columns))
 
 
-def sketched_lines(numbered: DataFrame) -> DataFrame:
-    """number and the sketch of each line."""
-    return arrow_map(numbered.select("number", "words"), lambda: _sketched, ", ".join(["number long", *(f"{c} long" for c in _SKETCH)]))
+def first_neighbours(keyed: DataFrame, share: float, sketched: DataFrame) -> DataFrame:
+    """(number, earlier): each line with the earliest line of its gram keys, if the two share as many as near lines do and their sketches (number, size,
+    sketch) allow it."""
+    keyed = keyed.select("key", "number")
+    pairs = keyed.join(keyed.groupBy("key").agg(F.min("number").alias("earlier")), "key").filter("earlier < number")
+    pairs = pairs.groupBy("number", "earlier").count().filter(F.col("count") >= common_grams(share)).select("number", "earlier")
+    return pairs.join(sketched, "number").join(_as_earlier(sketched), "earlier").filter(_alike(share, True)[1]).select("number", "earlier")
 
 
 def _pair_rows(keyed: DataFrame, gone: DataFrame, share: float, sketched: DataFrame | None = None) -> DataFrame:
     """number, earlier, n (1 for a key of fewer than OFTEN lines), n_often (the keys of OFTEN lines or more that the two have in common)."""
     if sketched is not None:
         keyed = keyed.join(sketched, "number")
-    with_sketch = _SKETCH if sketched is not None else []
-    earlier = keyed.select("key", F.col("number").alias("earlier"), F.col("size").alias("earlier_size"), F.col("often_keys").alias("earlier_keys"),
-                           *(F.col(c).alias(f"earlier_{c}") for c in with_sketch))
-    most = F.floor(F.greatest("size", "earlier_size") * F.lit(float(share)) + F.lit(1e-9))
-    common = F.array_intersect("often_keys", "earlier_keys")  # in the order of the first
+    earlier = _as_earlier(keyed.drop("often")).withColumnRenamed("earlier_key", "key")
+    most, alike = _alike(share, sketched is not None)
+    common = F.array_intersect("often_keys", "earlier_often_keys")  # in the order of the first
     made = ~F.col("often") | (F.get(common, F.lit(common_grams(share) - 1)) == F.col("key"))
-    longer = F.abs(F.col("size") - F.col("earlier_size"))
-    # a word more or less changes one bit, another word two
-    alike = reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"earlier_{c}"))) for c in with_sketch), F.lit(0)) <= 2 * most - longer
-    pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key").filter(
-        (F.col("earlier") < F.col("number")) & (most >= 2) & (longer <= most) & alike & made)
+    pairs = keyed.join(gone, "number", "left_anti").join(earlier, "key").filter((F.col("earlier") < F.col("number")) & (most >= 2) & alike & made)
     return pairs.select("number", "earlier", (~F.col("often")).cast("int").alias("n"), F.coalesce(F.size(common), F.lit(0)).alias("n_often"))
 
 
@@ -529,27 +561,27 @@ def confirmed_lines(numbered: DataFrame, pairs: DataFrame, share: float = 0) ->
 
 def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scratch, share: float = 0) -> DataFrame:
     """high, low of the lines that have a near line before them; ``held`` is deleted on the way."""
-    left = survivors(held)
-    if share:
-        left = left.join(often_keys(held), ["high", "low"], "left")
-    numbers = saved.table(line_numbers(places, left), "line-numbers")
+    half = saved.table(held.filter("key % 2 = 0").select("number").distinct().withColumn("half", F.lit(True)), "half-lines")
+    wanted = half
     if share:
-        keyed = saved.table(keyed_lines(numbers, held), "gram-keys")
+        sketched = places.select("number", "size", *_SKETCH)
+        keyed = saved.table(keyed_lines(places, held), "gram-keys")
+        first = saved.table(first_neighbours(keyed, share, sketched), "first-pairs")
+        wanted = half.join(_of_pairs(first), "number", "full")
     saved.drop("held-keys")
-    numbered = saved.table(numbered_lines(docs, numbers), "numbered-lines")
-    saved.drop("line-numbers")
+    placed = places.select("high", "low", "number")
+    numbered = saved.table(numbered_lines(docs, saved.table(placed.join(wanted, "number"), "wanted-lines"), saved), "numbered-lines")
     pairs = variant_neighbours(numbered, saved)
-    pairs = saved.table((pairs.unionByName(first_neighbours(keyed, share)) if share else pairs).distinct(), "pairs")
-    saved.drop("variant-keys")
+    pairs = saved.table((pairs.unionByName(first) if share else pairs).distinct(), "pairs")
+    saved.drop("variant-keys", "half-lines", "wanted-lines")
     found = confirmed_lines(numbered, pairs, share)
     if share:
         found = saved.table(found, "first-near-lines")
-        saved.drop("pairs")
-        sketched = saved.table(sketched_lines(numbered), "sketches")
-        more = all_neighbours(keyed, found.select("number"), share, saved, sketched)
-        saved.drop("gram-keys", "sketches")
+        saved.drop("pairs", "first-pairs", "numbered-lines")
+        more = all_neighbours(keyed, found.select("number"), share, saved, sketched.drop("size"))
         more = saved.table(more, "all-pairs")
-        saved.drop("pair-rows")
+        saved.drop("gram-keys", "pair-rows")
+        numbered = saved.table(numbered_lines(docs, saved.table(placed.join(_of_pairs(more), "number"), "more-lines"), saved), "more-numbered-lines")
         found = found.unionByName(confirmed_lines(numbered, more, share))
     return found.select("high", "low").distinct()
 
@@ -557,10 +589,10 @@ def near_lines(docs: DataFrame, places: DataFrame, held: DataFrame, saved: Scrat
 def kept_lines(docs: DataFrame, share: float = 0) -> DataFrame:
     """__id, __hash and the numbers of the lines that stay, by document; a written table, while those on the way to it are deleted."""
     with Scratch(docs.sparkSession, "line-dedup") as saved:
-        lines = saved.table(distinct_lines(docs, share), "lines")
-        held = saved.table(shared_keys(lines, saved), "held-keys")
-        places = saved.table(lines.select("high", "low", "size", *_PLACE), "places")
-        saved.drop("lines", "shared-keys")
+        lines = saved.table(hashed_lines(docs, share), "lines")
+        places = saved.table(distinct_lines(lines), "places")
+        held = shared_keys(lines, places, saved)
+        saved.drop("lines")
         near_ = saved.table(near_lines(docs, places, held, saved, share), "near-lines")
         stay = places.join(near_, ["high", "low"], "left_anti")
         return materialize(stay.groupBy("no_id", "doc_id", "text_hash").agg(F.collect_list("line").alias("__lines"))
