@@ -239,3 +239,49 @@ def test_lines_of_one_template_that_are_not_near_are_not_compared(spark, monkeyp
     left = L.remaining(docs, L.EDIT_SHARE)
     assert sorted(r.doc_id for r in left.collect()) == list(range(120))
     assert len(compared) == 2 and sum(compared) < 500  # 7,140 pairs share grams
+
+
+def _tables(spark, saved, said):
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string")
+    lines = saved.table(L.hashed_lines(docs, L.EDIT_SHARE), "lines")
+    return lines, saved.table(L.distinct_lines(lines), "places")
+
+
+def test_keys_are_written_as_read_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+    assert "Exchange" not in L.hashed_lines(docs, L.EDIT_SHARE)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_a_line_do_not_share_its_keys(spark, rng):
+    line = [f"a{k}" for k in range(30)]
+    with Scratch(spark, "test-keys") as saved:
+        lines, places = _tables(spark, saved, [line] * 40 + [[f"b{i}x{k}" for k in range(30)] for i in range(5)])
+        assert lines.count() == 45 and places.count() == 6
+        assert L.shared_keys(lines, places, saved).count() == 0
+        lines, places = _tables(spark, Scratch(spark, "test-keys-2"), [line] * 40 + [[*line[:-1], "z"]])
+        held = L.shared_keys(lines, places, Scratch(spark, "test-keys-3")).collect()
+        assert len(held) == len({(r.key, r.number) for r in held}) == 2 * len({r.key for r in held}) > 10
+
+
+def test_words_are_read_only_of_lines_that_are_compared(spark, monkeypatch):
+    # each line shares one run of two words with the next one
+    said = [[f"s{i}", f"t{i}", *(f"o{i}x{k}" for k in range(16)), f"s{i + 1}", f"t{i + 1}"] for i in range(200)]
+    said += [[*said[7][:-1], "other"], [*said[9][:9], "new", *said[9][11:]]]
+    read, numbered = [], L.numbered_lines
+    monkeypatch.setattr(L, "numbered_lines", lambda docs, numbers, *rest: read.append(numbers.count()) or numbered(docs, numbers, *rest))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string")
+    left = L.remaining(docs, L.EDIT_SHARE).collect()
+    assert sorted(r.doc_id for r in left) == list(range(200)) and sum(read) < 20
+
+
+@pytest.mark.parametrize("often", [1, 3, 1000])
+def test_any_key_may_be_carried(spark, rng, monkeypatch, often):
+    monkeypatch.setattr(L, "OFTEN", often)
+    said = [[f"w{rng.randrange(5)}" for _ in range(rng.randint(8, 13))] for _ in range(90)]
+    found = L.dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(said)], "doc_id long, text string"), share=L.EDIT_SHARE).collect()
+    want = _kept_by_brute_force([[w.encode() for w in x] for x in said], L.EDIT_SHARE)
+    assert {r.doc_id: bool(r.n_kept) for r in found} == dict(enumerate(want)) and 10 < sum(want) < 90
+
+
+def test_lines_are_as_often_carried_in_larger_tables():
+    assert L.often_from(100) == L.often_from(400_000) == L.OFTEN and L.often_from(60 * 2_050_000) == 60 * 2_050_000 >> L.OFTEN_SHARE
