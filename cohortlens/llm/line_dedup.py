@@ -352,6 +352,7 @@ def shared_keys(lines: DataFrame, places: DataFrame, saved: Scratch) -> DataFram
         numbered = held.join(places.select("high", "low", "number"), ["high", "low"]).select("number", F.explode("keys").alias("key"))
         parts.append(saved.table(numbered.join(shared, "key").select("key", "number", "often"), f"held-keys/part={k}"))
         saved.drop(f"shared-keys/part={k}")
+        bits.destroy()  # a file on every machine
     return reduce(DataFrame.unionByName, parts)
 
 
